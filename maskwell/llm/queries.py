@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import simhash
+from maskwell.llm import license_scan, mixing, sharding, simhash, sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,4 +21,42 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document; see :func:`license_scan.label_documents`."""
+    return license_scan.label_documents(_read(spark, sf_dir, "documents"))
+
+
+#: The documents have no domain: the number in a source's name, modulo 4, stands in for it.
+DOMAIN = "concat('d', cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4 as string))"
+MIX_WEIGHTS = {
+    "domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1},
+    "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
+    "source": {},
+}
+MIX_EPOCHS = 4
+MIX_SEED = 20
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document that the mix takes; see :func:`mixing.with_copies`."""
+    mixed = mixing.with_copies(
+        _read(spark, sf_dir, "documents"), MIX_WEIGHTS, max_epochs=MIX_EPOCHS, seed=MIX_SEED, domain=DOMAIN
+    )
+    return mixed.where("copies > 0").select("row.doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+SHARDS = [f"shard-{k:02d}" for k in range(32)]
+SLOTS = 4099
+
+
+def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document; see :func:`sharding.with_shard`."""
+    placed = sharding.with_shard(_read(spark, sf_dir, "documents"), "doc_id", SHARDS, SLOTS)
+    return placed.select("row.doc_id", "slot", "shard")
+
+
+QUERIES["op5_license_scan"] = op5_license_scan
 QUERIES["op7_simhash_near_dedup"] = op7_simhash_near_dedup
+QUERIES["op8_mix_sources"] = op8_mix_sources
+QUERIES["op9_shard_documents"] = op9_shard_documents
+ORACLE_SQL.update(sql.oracle_sql())
