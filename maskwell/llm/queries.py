@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import license_scan, mixing, sharding, simhash, sql
+from maskwell.llm import bpe, langid, license_scan, mixing, quality, sharding, simhash, sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,11 +22,60 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def fold(doc_id: Column) -> Column:
+    """crc32 of the id as text, modulo 5; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learnt from the folds other than 0."""
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold(F.col("doc_id")) != 0))
+    scored = langid.with_language(docs, model)
+    held_out = F.coalesce(fold(F.col("row.doc_id")) == 0, F.lit(False))
+    return scored.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def with_digests(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of encoded documents."""
+    decoded = bpe.decode_documents(encoded, tokenizer_path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the text decoded from them, for every document."""
+    return with_digests(bpe.encode_documents(_read(spark, sf_dir, "documents"), BYTE_BPE), BYTE_BPE)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every document; see :func:`license_scan.label_documents`."""
     return license_scan.label_documents(_read(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: text evidence, site priors and whether it is kept.
+
+    The source stands for the host and the language for the path.
+    """
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"))
+    rated = quality.with_quality(docs, model, host="source", path="lang")
+    return rated.select(
+        "row.doc_id", "p_text", "host_mean", "path_mean", "quality", (F.col("quality") >= QUALITY_THRESHOLD).alias("kept")
+    )
+
+
+QUALITY_THRESHOLD = 0.5
+
 #: The documents have no domain: the number in a source's name, modulo 4, stands in for it.
 DOMAIN = "concat('d', cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4 as string))"
 MIX_WEIGHTS = {
@@ -55,7 +105,10 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "slot", "shard")
 
 
+QUERIES["op2_language_id"] = op2_language_id
+QUERIES["op3_bpe_encode_decode"] = op3_bpe_encode_decode
 QUERIES["op5_license_scan"] = op5_license_scan
+QUERIES["op6_quality_classifier"] = op6_quality_classifier
 QUERIES["op7_simhash_near_dedup"] = op7_simhash_near_dedup
 QUERIES["op8_mix_sources"] = op8_mix_sources
 QUERIES["op9_shard_documents"] = op9_shard_documents

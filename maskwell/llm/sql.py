@@ -132,14 +132,20 @@ WITH RECURSIVE shard AS (
     ('0x' || substr(md5('skip:' || name), 1, 8))::BIGINT % {slots - 1} + 1 AS skip
   FROM (SELECT unnest([{names}]) AS name, unnest(range(1, {len(shards) + 1})) AS i)
 ),
-pref AS (SELECT list(list_transform(range({slots}), lambda j: (at0 + j * skip) % {slots}) ORDER BY i) AS p FROM shard),
-fill(turn, taken, slot) AS (
-  SELECT 0, repeat('0', {slots})::BIT, -1::BIGINT
+pref AS (SELECT list(at0 ORDER BY i) AS at0, list(skip ORDER BY i) AS skip FROM shard),
+-- seen: how far each shard has read its order; a turn looks 64 places ahead and, if all are taken, at the whole order.
+fill(turn, taken, seen, slot) AS (
+  SELECT 0, repeat('0', {slots})::BIT, list_transform(range({len(shards)}), lambda x: 0::BIGINT), -1::BIGINT
   UNION ALL
-  SELECT turn + 1, set_bit(taken, s::INT, 1), s
+  SELECT turn + 1, set_bit(taken, ((a + j * k) % {slots})::INT, 1),
+    seen[:i] || [j + 1] || seen[i + 2:], (a + j * k) % {slots}
   FROM (
-    SELECT turn, taken, list_filter(p[turn % {len(shards)} + 1], lambda c: get_bit(taken, c::INT) = 0)[1] AS s
-    FROM fill, pref WHERE turn < {slots}
+    SELECT *, coalesce(
+      list_filter(range(first, first + 64), lambda x: get_bit(taken, ((a + x * k) % {slots})::INT) = 0)[1],
+      list_filter(range({slots}), lambda x: get_bit(taken, ((a + x * k) % {slots})::INT) = 0)[1]) AS j
+    FROM (SELECT turn, taken, seen, turn % {len(shards)} AS i, at0[turn % {len(shards)} + 1] AS a,
+            skip[turn % {len(shards)} + 1] AS k, seen[turn % {len(shards)} + 1] AS first
+          FROM fill, pref WHERE turn < {slots})
   )
 ),
 owner AS (SELECT slot, (turn - 1) % {len(shards)} AS i FROM fill WHERE turn > 0),
