@@ -176,7 +176,7 @@ def hamming_links(
     fingerprints: DataFrame,
     radius: int = 4,
     sample_size: int = 8192,
-    shard_rows: int = 8192,
+    shard_rows: int = 32_768,
 ) -> DataFrame:
     """Edges ``a``, ``b`` that span all links of the distinct longs in ``fingerprint``.
 
@@ -206,8 +206,8 @@ def hamming_links(
     sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("n"))
     blocks = sizes.select(
         "shard",
-        F.greatest(F.lit(1), F.ceil(F.col("homes") / F.lit(2 * shard_rows))).cast("int").alias("home_blocks"),
-        F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(8 * shard_rows))).cast("int").alias("seek_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("homes") / F.lit(shard_rows))).cast("int").alias("home_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(4 * shard_rows))).cast("int").alias("seek_blocks"),
     )
     # One row per shard, and a tree has at most sample_size / 8 of them: a bounded broadcast.
     placed = dealt.join(F.broadcast(blocks), "shard").withColumn("h", F.xxhash64("fingerprint"))
