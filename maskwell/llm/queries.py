@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import bpe, langid, license_scan, mixing, quality, sharding, simhash, sql
+from maskwell.llm import bpe, cap_filters, forest, langid, license_scan, mixing, quality, sharding, simhash, sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,6 +22,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector; see :func:`cap_filters.link_embeddings`."""
+    return cap_filters.link_embeddings(_read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found of every vector whose id is divisible by 100."""
+    return forest.nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
@@ -105,6 +115,7 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "slot", "shard")
 
 
+QUERIES["op1_embedding_near_dedup"] = op1_embedding_near_dedup
 QUERIES["op2_language_id"] = op2_language_id
 QUERIES["op3_bpe_encode_decode"] = op3_bpe_encode_decode
 QUERIES["op5_license_scan"] = op5_license_scan
@@ -112,4 +123,5 @@ QUERIES["op6_quality_classifier"] = op6_quality_classifier
 QUERIES["op7_simhash_near_dedup"] = op7_simhash_near_dedup
 QUERIES["op8_mix_sources"] = op8_mix_sources
 QUERIES["op9_shard_documents"] = op9_shard_documents
+QUERIES["op10_nearest_neighbours"] = op10_nearest_neighbours
 ORACLE_SQL.update(sql.oracle_sql())
