@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _ARCHIVE = "maskwell-modules.zip"
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +50,9 @@ def ship_package(spark: SparkSession) -> None:
     Sends its modules as a zip file by Spark's own file server, once per application.
     """
     context = spark.sparkContext
-    if any(os.path.basename(p) == _ARCHIVE for p in context._python_includes):
+    if context.applicationId in _shipped:
         return
+    _shipped.add(context.applicationId)
     root = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="maskwell-"), _ARCHIVE)
     with zipfile.ZipFile(archive, "w") as z:
