@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import bpe, cap_filters, forest, langid, license_scan, mixing, quality, sharding, simhash, sql
+from maskwell.llm import bpe, cap_filters, forest, langid, license_scan, mixing, quality, sharding, simhash, sql, token_files
+from maskwell.shared import new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,6 +67,16 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(bpe.encode_documents(_read(spark, sf_dir, "documents"), BYTE_BPE), BYTE_BPE)
 
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, from the ORC files written."""
+    path = new_path(spark, "token-files")
+    token_files.write_token_files(_read(spark, sf_dir, "documents"), path, WORD_BPE, end_id=1)
+    return token_files.token_positions(token_files.read_token_files(spark, path))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every document; see :func:`license_scan.label_documents`."""
     return license_scan.label_documents(_read(spark, sf_dir, "documents"))
@@ -118,6 +129,7 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_embedding_near_dedup"] = op1_embedding_near_dedup
 QUERIES["op2_language_id"] = op2_language_id
 QUERIES["op3_bpe_encode_decode"] = op3_bpe_encode_decode
+QUERIES["op4_token_files"] = op4_token_files
 QUERIES["op5_license_scan"] = op5_license_scan
 QUERIES["op6_quality_classifier"] = op6_quality_classifier
 QUERIES["op7_simhash_near_dedup"] = op7_simhash_near_dedup
