@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from maskwell.plans import pii
+from maskwell.plans import language, pii, records, wire
 
-MODULES = (pii,)
+MODULES = (pii, language, records, wire)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
