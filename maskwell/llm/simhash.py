@@ -34,31 +34,49 @@ _CHUNK = 8192
 _DENSE = 1 << 22
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of a whole text as an unsigned integer.
+def shingle_hashes(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle of a whole text, repeats included.
 
-    Words are runs without ASCII white space, A-Z lower-cased; shingles keep repeats. A text
-    with fewer words than a shingle counts as one shingle; without a word the result is 0.
+    Words are runs without ASCII white space, A-Z lower-cased. A text with fewer words than a
+    shingle counts as one shingle, a text without a word has none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     size = min(words_per_shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - size + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)),
         dtype="<u8",
         count=n,
     )
+
+
+def fingerprint(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of a whole text as an unsigned integer: a bit is 1 if over half the hashes have it.
+
+    Without a word the result is 0.
+    """
+    return majority(shingle_hashes(text, words_per_shingle, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, _CHUNK):
+    for at in range(0, len(hashes), _CHUNK):
         bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def jaccard(a: str | None, b: str | None, words_per_shingle: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles; two texts without words are equal."""
+    x, y = (np.unique(shingle_hashes(t, words_per_shingle)) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
 def with_fingerprint(docs: DataFrame, text_col: str, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -159,17 +177,30 @@ def _close_pairs(
 
 
 def _shard_edges(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Spanning edges of the links of each unit."""
+    for points, _, found in _unit_pairs(batches, radius):
+        labels = np.arange(len(points))
+        for i, j in found:
+            labels = union_labels(labels, i, j)
+        linked = labels != np.arange(len(points))
+        yield pd.DataFrame({"a": points[linked].view(np.int64), "b": points[labels[linked]].view(np.int64)})
+
+
+def _shard_pairs(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Every link of each unit once."""
+    for points, home, found in _unit_pairs(batches, radius):
+        for i, j in found:
+            # Two values at home in the shard seek each other; a visitor is not sought.
+            once = np.where(home[i], points[i] < points[j], True)
+            yield pd.DataFrame({"a": points[i[once]].view(np.int64), "b": points[j[once]].view(np.int64)})
+
+
+def _unit_pairs(batches: Iterator[pd.DataFrame], radius: int):
     for unit in sorted_groups(batches, ["shard", "home_block", "seek_block"]):
         points = unit["fingerprint"].to_numpy().astype(np.int64).view(np.uint64)
-        labels = np.arange(len(points))
         homes = np.flatnonzero(unit["as_home"].to_numpy())
         seekers = np.flatnonzero(unit["as_seeker"].to_numpy())
-        for i, j in _close_pairs(points, seekers, homes, radius):
-            labels = union_labels(labels, i, j)
-        linked = labels != np.arange(len(points))
-        yield pd.DataFrame(
-            {"a": points[linked].view(np.int64), "b": points[labels[linked]].view(np.int64)}
-        )
+        yield points, unit["home"].to_numpy(), _close_pairs(points, seekers, homes, radius)
 
 
 def hamming_links(
@@ -177,9 +208,12 @@ def hamming_links(
     radius: int = 4,
     sample_size: int = 8192,
     shard_rows: int = 32_768,
+    all_pairs: bool = False,
 ) -> DataFrame:
     """Edges ``a``, ``b`` that span all links of the distinct longs in ``fingerprint``.
 
+    With ``all_pairs`` every link is returned, for values that do not crowd together.
+
     Two values link at ``radius`` differing bits or fewer. The tree is fitted on the
     ``sample_size`` values with the smallest hash, so it has at most ``sample_size / 8``
     shards and its size on the driver and in tasks is bounded; every value is searched.
@@ -219,14 +253,15 @@ def hamming_links(
         .withColumn("as_home", F.col("home") & (F.col("home_block") == own_home))
         .withColumn("as_seeker", F.col("seek_block") == own_seek)
         .where("as_home or as_seeker")
-        .select("shard", "home_block", "seek_block", "fingerprint", "as_home", "as_seeker")
+        .select("shard", "home_block", "seek_block", "fingerprint", "home", "as_home", "as_seeker")
     )
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     keys = ["shard", "home_block", "seek_block"]
+    search = _shard_pairs if all_pairs else _shard_edges
     return (
         units.repartition(tasks, *keys)
         .sortWithinPartitions(*keys)
-        .mapInPandas(lambda batches: _shard_edges(batches, radius), "a long, b long")
+        .mapInPandas(lambda batches: search(batches, radius), "a long, b long")
     )
 
 
@@ -265,24 +300,94 @@ def simhash_classes(
     )
 
 
-def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each SimHash class, in the columns of ``docs``.
+def similar_classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words_per_shingle: int = 5,
+    similarity: float = 0.8,
+    radius: int = 12,
+    sure: int = 4,
+) -> DataFrame:
+    """As :func:`simhash_classes`, by Jaccard similarity of word shingles instead of bits alone.
+
+    Texts whose fingerprints differ by at most ``sure`` bits are one class. The first texts of
+    these classes are searched again at ``radius`` bits, and two classes join if the shingle
+    sets of their texts have a similarity of at least ``similarity``. A copy at 0.8 differs by
+    about 9 bits of 64; the search at 12 finds most such pairs, not all.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    @F.pandas_udf("fingerprint long, shingles long")
+    def prints_of(texts: pd.Series) -> pd.DataFrame:
+        hashes = [shingle_hashes(t, words_per_shingle) for t in texts]
+        bits = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"fingerprint": bits, "shingles": [len(np.unique(h)) for h in hashes]})
+
+    prints = slim.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), prints_of("text").alias("p"))
+    prints = materialize(prints.select("doc_id", "text_hash", "p.*"), "fingerprints")
+    roots = connected_components(hamming_links(prints, sure), "a", "b")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "shingles"))
+    nodes = prints.groupBy("fingerprint").agg(first.alias("first"))
+    rooted = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left")
+    rooted = materialize(
+        rooted.select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("root")), "rooted"
+    )
+    heads = rooted.groupBy("root").agg(F.min(F.struct("first", "fingerprint")).alias("h"))
+    heads = materialize(heads.select("root", "h.fingerprint", "h.first.*"), "heads")
+    near = materialize(hamming_links(heads, radius, all_pairs=True), "near-pairs")
+
+    def side(name: str) -> DataFrame:
+        return heads.select(*[F.col(c).alias(f"{name}_{c}") for c in ("root", "fingerprint", "doc_id", "text_hash", "shingles")])
+
+    pairs = near.join(side("a"), F.col("a") == F.col("a_fingerprint")).join(side("b"), F.col("b") == F.col("b_fingerprint"))
+    # Sets of very different size cannot be similar.
+    smaller, larger = F.least("a_shingles", "b_shingles"), F.greatest("a_shingles", "b_shingles")
+    pairs = materialize(pairs.where(smaller >= similarity * larger), "near-pairs")
+    ends = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{x}_root").alias("root"), F.col(f"{x}_doc_id").alias("doc_id"),
+                                                     F.col(f"{x}_text_hash").alias("text_hash")) for x in "ab"])).alias("e"))
+    ends = materialize(ends.select("e.*").distinct(), "near-ends")
+    keyed = slim.withColumn("text_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    # A class has one head; rows that repeat its id and text give the same text once more.
+    texts = keyed.join(ends.withColumnRenamed("doc_id", "id"), ["text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
+    texts = materialize(texts.select("root", "text").dropDuplicates(["root"]), "near-texts")
+
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, words_per_shingle) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    sided = pairs.select("a_root", "b_root")
+    for x in "ab":
+        sided = sided.join(texts.select(F.col("root").alias(f"{x}_root"), F.col("text").alias(f"{x}_text")), f"{x}_root")
+    links = sided.where(similar("a_text", "b_text") >= similarity).select("a_root", "b_root")
+    merged = connected_components(links, "a_root", "b_root")
+    final = rooted.join(merged, F.col("root") == F.col("node"), "left").select(
+        "fingerprint", F.col("first.doc_id").alias("first_id"), F.coalesce("component", "root").alias("root")
+    )
+    final = materialize(final, "classes")
+    firsts = final.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_print = materialize(final.join(firsts, "root").select("fingerprint", "root", "component_id"), "classes")
+    return prints.join(of_print, "fingerprint").select(
+        F.col("doc_id").alias(id_col), "text_hash", "fingerprint", "component_id", F.col("root").alias("class")
+    )
+
+
+def keep_one_per_class(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` with one document of each class of similar texts, in the columns of ``docs``.
 
     The smallest non-null id stays (of equal ids, the smallest hash of the text; a class of
     null ids keeps the one with the smallest hash). Rows that repeat both id and text count
-    as one.
+    as one. Null and empty texts are one class.
     """
     key = [F.coalesce(F.col(id_col), F.lit(0)).alias("_id"), F.col(id_col).isNull().alias("_no_id")]
-    classes = simhash_classes(docs, id_col, text_col, **options)
-    keep = classes.select(
-        *key,
-        F.coalesce("text_hash", F.lit(0)).alias("_hash"),
-        F.coalesce("component_id", "fingerprint").alias("_class"),
-        F.col("component_id").isNull().alias("_no_class"),
-    )
-    keep = keep.groupBy("_class", "_no_class").agg(F.min(F.struct("_no_id", "_id", "_hash")).alias("k"))
+    classes = similar_classes(docs, id_col, text_col, words_per_shingle, similarity)
+    keep = classes.select(*key, F.col("text_hash").alias("_hash"), "class")
+    keep = keep.groupBy("class").agg(F.min(F.struct("_no_id", "_id", "_hash")).alias("k"))
     keep = materialize(keep.select("k._id", "k._no_id", "k._hash").distinct(), "kept")
     names = docs.columns
-    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), *key, F.xxhash64(docs[text_col]).alias("_hash"))
+    hashed = F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).alias("_hash")
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), *key, hashed)
     single = keyed.dropDuplicates(["_id", "_no_id", "_hash"])
     return single.join(keep, ["_id", "_no_id", "_hash"], "left_semi").select("_row.*")
