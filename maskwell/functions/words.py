@@ -27,8 +27,8 @@ LEGAL_FORMS = (
 NAME_SUFFIXES = ("'s", "en", "s", "n", "'")
 
 #: Accented Latin letters and what they fold to; ß, æ, œ and þ fold to two letters.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿłšžčćđőű"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyylszccdou"
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿłšžčćđőűąęśźżńěřťďňůāēīū"
+PLAIN = "aaaaaaceeeeiiiinoooooouuuuyylszccdouaeszznertdnuaeiu"
 
 
 def fold(text: Column) -> Column:
