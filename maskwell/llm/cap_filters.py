@@ -8,15 +8,17 @@ without trying all directions. Vectors meet in their filters and are verified th
 cosine in double precision.
 
 The number of directions follows from the data: it grows with the largest label so that a
-filter holds about ``load`` unrelated vectors, and a pair at the threshold shares
-``shared`` filters on average. The chance to lose such a pair is about exp(-shared).
+filter holds about ``load`` unrelated vectors. The bound is then lowered until random pairs
+at the threshold share ``shared`` filters on average and a share of ``meet`` of them have one
+in common, measured with the code itself: sums of a few blocks have shorter tails than the
+normal distribution of the first estimate.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 from statistics import NormalDist
 
@@ -44,8 +46,10 @@ class CapCode:
     seed: int = 11
 
     @staticmethod
-    def plan(largest: int, cosine: float, load: float = 64.0, shared: float = 16.0, codes: int = 4) -> CapCode:
-        """Code for labels of at most ``largest`` vectors."""
+    def plan(
+        largest: int, cosine: float, dim: int, load: float = 64.0, shared: float = 16.0, codes: int = 16, meet: float = 0.995
+    ) -> CapCode:
+        """Code for labels of at most ``largest`` vectors of ``dim`` components."""
         normal = NormalDist()
         share = min(0.02, load / max(1, largest))
         bound = normal.inv_cdf(1 - share)
@@ -56,7 +60,15 @@ class CapCode:
         both = float((density * beyond).sum() / density.sum())
         directions = shared / (both * share) / codes
         blocks = max(2, math.ceil(math.log(directions) / math.log(512)))
-        return CapCode(codes, blocks, max(2, math.ceil(directions ** (1 / blocks))), bound)
+        code = CapCode(codes, blocks, max(2, math.ceil(directions ** (1 / blocks))), bound)
+        a, b = _pairs_at(cosine, dim)
+        while code.bound > 0:
+            (row_a, name_a), (row_b, name_b) = code.decode(a), code.decode(b)
+            common = np.intersect1d(name_a * len(a) + row_a, name_b * len(a) + row_b, assume_unique=True)
+            if len(common) >= shared * len(a) and len(np.unique(common % len(a))) >= meet * len(a):
+                break
+            code = replace(code, bound=code.bound - 0.05)
+        return code
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) for each filter that a unit vector exceeds; at least its best one per code."""
@@ -95,6 +107,18 @@ def _codebooks(dim: int, blocks: int, words: int, seed: int) -> list[tuple[np.nd
     return books
 
 
+def _pairs_at(cosine: float, dim: int, n: int = 1024, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors and a partner of each at ``cosine``."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    if dim == 1:
+        return a, a
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + math.sqrt(1 - cosine**2) * b
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     x /= np.abs(x).max(axis=1, keepdims=True)
@@ -171,14 +195,15 @@ def link_embeddings(
         .withColumns({"dim": F.size("vector"), "node": F.monotonically_increasing_id()}),
         "vector-nodes",
     )
-    largest = nodes.groupBy("label", "dim").count().agg(F.max("count").alias("n")).first().n or 0
-    code = CapCode.plan(largest, cosine, load, shared)
+    # One row per number of components.
+    per_dim = nodes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
+    codes = {r.dim: CapCode.plan(r.n, cosine, r.dim, load, shared) for r in per_dim}
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), _CHUNK):
-                for _, some in batch.iloc[at : at + _CHUNK].groupby("dim"):
-                    row, name = code.decode(_unit(some["vector"]))
+                for dim, some in batch.iloc[at : at + _CHUNK].groupby("dim"):
+                    row, name = codes[dim].decode(_unit(some["vector"]))
                     order = np.lexsort((name, row))
                     lists = np.split(name[order], np.searchsorted(row[order], np.arange(1, len(some))))
                     yield some.assign(filters=lists)

@@ -137,7 +137,8 @@ def nearest_neighbours(
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest rows found of each query row.
 
     ``search_share`` is the number of rows in the leaves that a query visits over all trees,
-    as a multiple of all rows (a row met in two trees counts twice). The trees come from
+    as a multiple of all rows (a row met in two trees counts twice); a small table gets more,
+    so that every query finds ``k`` rows if there are that many. The trees come from
     ``sample_size`` vectors of smallest hash; at most ``trees`` x ``leaves`` inner nodes are
     sent to the tasks. Nearness is Euclidean distance in double precision on the original
     vectors, ties go to the smaller id.
@@ -160,7 +161,7 @@ def nearest_neighbours(
     rows = rows.where(F.size("vector") == common.dim)
     # The limit per vector is applied in each task before the shuffle, so copies stay there.
     by_vector = Window.partitionBy("vector").orderBy("id")
-    kept = rows.select("id", "vector").withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
+    kept = rows.select("id", "vector").dropDuplicates().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
     kept = materialize(kept.select("id", "vector"), "ann-rows")
     asking = materialize(rows.where("asks").groupBy("vector").agg(F.min("id").alias("class")), "ann-queries")
     sample = kept.orderBy(F.xxhash64("vector"), "id").limit(sample_size).select("vector").collect()
@@ -184,7 +185,8 @@ def nearest_neighbours(
     held = [np.zeros(tree.leaves) for tree in forest]
     for r in counts:
         held[r.tree][r.leaf] = r["count"]
-    wanted = search_share * float(held[0].sum())
+    # Leaves of all trees that hold this many rows hold at least k + 1 different ones.
+    wanted = max(search_share * float(held[0].sum()), trees * (k + 1.0))
     sizes_shared = spark.sparkContext.broadcast(held)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
