@@ -2,17 +2,20 @@
 
 1. Each text becomes a 64-bit fingerprint (majority vote over hashed word shingles).
 2. Equal fingerprints collapse to one node.
-3. A vantage-point tree is fitted on a bounded sample and deals every fingerprint to its
-   home shard. A fingerprint just inside a sphere may have partners just outside, so it
-   also visits the shards beyond the boundary that the triangle bounds leave open. Two
-   fingerprints within the radius therefore meet exactly once, in the home of one of them.
-4. Inside a shard the same bounds prune a local dual-tree search, and each shard gives the
-   spanning edges of the links found, which connected components then join.
-
-Random fingerprints lie about 32 bits from any vantage point, give or take 4, so a radius
-of 4 prunes weakly: a level of the tree removes about an eighth of the comparisons. The
-search is exact at every size, but its work grows nearly with the square of the number of
-distinct fingerprints; see the README for figures.
+3. The fingerprint is read as a few words of bits, so many that two fingerprints within the
+   radius differ by one bit or none in some word. A vantage-point tree per word, fitted on a
+   bounded sample, deals every fingerprint to its home shard. A word just inside a sphere
+   may have partners just outside, so it also visits the shards beyond the boundary that
+   the triangle bounds leave open. Two words within a bit meet exactly once per tree, in
+   the home of one of them.
+4. Inside a shard the same bounds prune a local dual-tree search; pairs are kept by the
+   distance of the whole fingerprints. Each shard gives the spanning edges of the links
+   found, which connected components then join.
+
+A tree over whole fingerprints would prune little: random ones lie 32 bits from a vantage
+point, give or take 4, so a radius of 4 leaves nearly every boundary open. For a word of 21
+bits the spread is 2.3 against a radius of 1, and no word has more than 22 values in reach:
+what a fingerprint visits is bounded whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.llm.components import connected_components
@@ -31,6 +34,7 @@ from maskwell.llm.groups import sorted_groups, union_labels
 from maskwell.shared import materialize
 
 _CHUNK = 8192
+_UNIT = ["shard", "home_block", "seek_block"]
 _DENSE = 1 << 22
 
 
@@ -68,10 +72,22 @@ def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), _CHUNK):
         bits = np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        # Sums of up to 255 rows fit a byte.
+        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide_words(hashes: np.ndarray) -> list[int]:
+    """A second SimHash of 256 bits, from the same shingle hashes mixed anew, as 16 words of 16 bits."""
+    parts = []
+    for k in range(1, 5):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        parts.append(majority(x ^ (x >> np.uint64(31))))
+    return np.array(parts, dtype="<u8").view("<u2").tolist()
+
+
 def jaccard(a: str | None, b: str | None, words_per_shingle: int = 5) -> float:
     """Jaccard similarity of the sets of word shingles; two texts without words are equal."""
     x, y = (np.unique(shingle_hashes(t, words_per_shingle)) for t in (a, b))
@@ -178,7 +194,7 @@ def _close_pairs(
 
 def _shard_edges(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """Spanning edges of the links of each unit."""
-    for points, _, found in _unit_pairs(batches, radius):
+    for points, found in _unit_pairs(batches, radius):
         labels = np.arange(len(points))
         for i, j in found:
             labels = union_labels(labels, i, j)
@@ -187,63 +203,91 @@ def _shard_edges(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Da
 
 
 def _shard_pairs(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Every link of each unit once."""
-    for points, home, found in _unit_pairs(batches, radius):
+    """Every link of each unit, the smaller value first."""
+    for points, found in _unit_pairs(batches, radius):
+        signed = points.view(np.int64)
         for i, j in found:
-            # Two values at home in the shard seek each other; a visitor is not sought.
-            once = np.where(home[i], points[i] < points[j], True)
-            yield pd.DataFrame({"a": points[i[once]].view(np.int64), "b": points[j[once]].view(np.int64)})
+            yield pd.DataFrame({"a": np.minimum(signed[i], signed[j]), "b": np.maximum(signed[i], signed[j])}).drop_duplicates()
 
 
 def _unit_pairs(batches: Iterator[pd.DataFrame], radius: int):
-    for unit in sorted_groups(batches, ["shard", "home_block", "seek_block"]):
+    for unit in sorted_groups(batches, _UNIT):
         points = unit["fingerprint"].to_numpy().astype(np.int64).view(np.uint64)
+        words = unit["value"].to_numpy().astype(np.uint32)
         homes = np.flatnonzero(unit["as_home"].to_numpy())
         seekers = np.flatnonzero(unit["as_seeker"].to_numpy())
-        yield points, unit["home"].to_numpy(), _close_pairs(points, seekers, homes, radius)
+        yield points, _linked(points, _close_pairs(words, seekers, homes, 1), radius)
+
+
+def _linked(points: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]], radius: int):
+    for i, j in found:
+        near = (np.bitwise_count(points[i] ^ points[j]) <= radius) & (points[i] != points[j])
+        if near.any():
+            yield i[near], j[near]
+
+
+def words_of(fingerprint: Column, radius: int) -> Column:
+    """Words of a fingerprint such that values within ``radius`` bits agree in one word but for a bit."""
+    n = radius // 2 + 1
+    edges = [64 * k // n for k in range(n + 1)]
+    if n < 3:
+        raise ValueError("the radius must be at least 4 bits")
+    return F.array(*[
+        F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("int") for a, b in zip(edges, edges[1:], strict=False)
+    ])
 
 
 def hamming_links(
     fingerprints: DataFrame,
     radius: int = 4,
     sample_size: int = 8192,
-    shard_rows: int = 32_768,
+    shard_rows: int = 4096,
     all_pairs: bool = False,
 ) -> DataFrame:
     """Edges ``a``, ``b`` that span all links of the distinct longs in ``fingerprint``.
 
-    With ``all_pairs`` every link is returned, for values that do not crowd together.
+    With ``all_pairs`` every link is returned once, for values that do not crowd together.
 
-    Two values link at ``radius`` differing bits or fewer. The tree is fitted on the
-    ``sample_size`` values with the smallest hash, so it has at most ``sample_size / 8``
-    shards and its size on the driver and in tasks is bounded; every value is searched.
+    Two values link at ``radius`` differing bits or fewer, if they agree in one word but for
+    a bit. By default the words are those of the value itself, then that always holds; a
+    column ``words`` (array<int>, equal for equal values) takes their place. The trees are fitted on
+    the ``sample_size`` values with the smallest hash, so each has at most ``sample_size / 8``
+    shards and their size on the driver and in tasks is bounded; every value is searched.
     Shards that hold more than ``shard_rows`` values (a dense neighbourhood, or more data
     than the bounded tree has leaves for) are compared block by block in separate tasks.
     """
     spark = fingerprints.sparkSession
-    points = materialize(fingerprints.select("fingerprint").where("fingerprint is not null").distinct(), "points")
+    known = fingerprints.where("fingerprint is not null")
+    if "words" in fingerprints.columns:
+        points = known.select("fingerprint", "words").dropDuplicates(["fingerprint"])
+    else:
+        points = known.select("fingerprint").distinct().withColumn("words", words_of(F.col("fingerprint"), radius))
+    points = materialize(points, "points")
     total = points.count()
-    sample = points.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(sample_size).collect()
-    values = np.array([r[0] for r in sample], dtype=np.int64).view(np.uint64)
+    sample = points.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(sample_size).select("words").collect()
+    values = np.array([r[0] for r in sample], dtype=np.uint64)
     most = max(0, int(math.log2(max(1, sample_size // 8))))
     levels = min(most, max(0, math.ceil(math.log2(max(1, total) / shard_rows))))
-    tree = VantageTree(values, levels)
+    trees = [VantageTree(column, levels) for column in values.T] if total else []
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 4 * _CHUNK):
                 some = batch["fingerprint"].to_numpy()[at : at + 4 * _CHUNK].astype(np.int64)
-                row, shard, home = tree.deal(some.view(np.uint64), radius)
-                yield pd.DataFrame({"fingerprint": some[row], "shard": shard.astype(np.int32), "home": home})
+                words = np.stack(batch["words"].iloc[at : at + 4 * _CHUNK]).astype(np.uint64)
+                for k, tree in enumerate(trees):
+                    row, shard, home = tree.deal(words[:, k], 1)
+                    yield pd.DataFrame({"fingerprint": some[row], "value": words[row, k].astype(np.int32),
+                                        "shard": (shard * len(trees) + k).astype(np.int32), "home": home})
 
-    dealt = materialize(points.mapInPandas(deal, "fingerprint long, shard int, home boolean"), "dealt")
+    dealt = materialize(points.mapInPandas(deal, "fingerprint long, value int, shard int, home boolean"), "dealt")
     sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("n"))
     blocks = sizes.select(
         "shard",
-        F.greatest(F.lit(1), F.ceil(F.col("homes") / F.lit(shard_rows))).cast("int").alias("home_blocks"),
-        F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(4 * shard_rows))).cast("int").alias("seek_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("homes") / F.lit(2 * shard_rows))).cast("int").alias("home_blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(8 * shard_rows))).cast("int").alias("seek_blocks"),
     )
-    # One row per shard, and a tree has at most sample_size / 8 of them: a bounded broadcast.
+    # One row per shard, and each tree has at most sample_size / 8 of them: a bounded broadcast.
     placed = dealt.join(F.broadcast(blocks), "shard").withColumn("h", F.xxhash64("fingerprint"))
     own_home = F.pmod("h", F.col("home_blocks")).cast("int")
     own_seek = F.pmod(F.shiftright("h", 20), F.col("seek_blocks")).cast("int")
@@ -253,16 +297,16 @@ def hamming_links(
         .withColumn("as_home", F.col("home") & (F.col("home_block") == own_home))
         .withColumn("as_seeker", F.col("seek_block") == own_seek)
         .where("as_home or as_seeker")
-        .select("shard", "home_block", "seek_block", "fingerprint", "home", "as_home", "as_seeker")
+        .select(*_UNIT, "fingerprint", "value", "as_home", "as_seeker")
     )
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    keys = ["shard", "home_block", "seek_block"]
     search = _shard_pairs if all_pairs else _shard_edges
-    return (
-        units.repartition(tasks, *keys)
-        .sortWithinPartitions(*keys)
+    found = (
+        units.repartition(tasks, *_UNIT)
+        .sortWithinPartitions(*_UNIT)
         .mapInPandas(lambda batches: search(batches, radius), "a long, b long")
     )
+    return found.distinct() if all_pairs else found
 
 
 def simhash_classes(
@@ -306,28 +350,32 @@ def similar_classes(
     text_col: str = "text",
     words_per_shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 12,
+    radius: int = 20,
+    wide_radius: int = 60,
     sure: int = 4,
 ) -> DataFrame:
     """As :func:`simhash_classes`, by Jaccard similarity of word shingles instead of bits alone.
 
     Texts whose fingerprints differ by at most ``sure`` bits are one class. The first texts of
-    these classes are searched again at ``radius`` bits, and two classes join if the shingle
-    sets of their texts have a similarity of at least ``similarity``. A copy at 0.8 differs by
-    about 9 bits of 64; the search at 12 finds most such pairs, not all.
+    these classes are searched again by the 16 words of a second, wider fingerprint, and two
+    classes join if the shingle sets of their texts have a similarity of at least
+    ``similarity``. A pair at 0.8 differs in 15 % of the bits; the chance that it agrees in one
+    of 16 words of 16 bits but for a bit is 0.99, and ``radius`` bits of 64 and
+    ``wide_radius`` of 256 lie over three standard deviations above what such a pair shows.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    @F.pandas_udf("fingerprint long, shingles long")
+    @F.pandas_udf("fingerprint long, words array<int>, shingles long")
     def prints_of(texts: pd.Series) -> pd.DataFrame:
         hashes = [shingle_hashes(t, words_per_shingle) for t in texts]
         bits = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"fingerprint": bits, "shingles": [len(np.unique(h)) for h in hashes]})
+        wide = [wide_words(h) for h in hashes]
+        return pd.DataFrame({"fingerprint": bits, "words": wide, "shingles": [len(np.unique(h)) for h in hashes]})
 
     prints = slim.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), prints_of("text").alias("p"))
     prints = materialize(prints.select("doc_id", "text_hash", "p.*"), "fingerprints")
-    roots = connected_components(hamming_links(prints, sure), "a", "b")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "shingles"))
+    roots = connected_components(hamming_links(prints.drop("words"), sure), "a", "b")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "shingles", "words"))
     nodes = prints.groupBy("fingerprint").agg(first.alias("first"))
     rooted = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left")
     rooted = materialize(
@@ -338,12 +386,14 @@ def similar_classes(
     near = materialize(hamming_links(heads, radius, all_pairs=True), "near-pairs")
 
     def side(name: str) -> DataFrame:
-        return heads.select(*[F.col(c).alias(f"{name}_{c}") for c in ("root", "fingerprint", "doc_id", "text_hash", "shingles")])
+        return heads.select(*[F.col(c).alias(f"{name}_{c}") for c in ("root", "fingerprint", "doc_id", "text_hash", "shingles", "words")])
 
     pairs = near.join(side("a"), F.col("a") == F.col("a_fingerprint")).join(side("b"), F.col("b") == F.col("b_fingerprint"))
     # Sets of very different size cannot be similar.
     smaller, larger = F.least("a_shingles", "b_shingles"), F.greatest("a_shingles", "b_shingles")
-    pairs = materialize(pairs.where(smaller >= similarity * larger), "near-pairs")
+    apart = F.aggregate(F.zip_with("a_words", "b_words", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = pairs.where((smaller >= similarity * larger) & (apart <= wide_radius)).drop("a_words", "b_words")
+    pairs = materialize(pairs, "near-pairs")
     ends = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{x}_root").alias("root"), F.col(f"{x}_doc_id").alias("doc_id"),
                                                      F.col(f"{x}_text_hash").alias("text_hash")) for x in "ab"])).alias("e"))
     ends = materialize(ends.select("e.*").distinct(), "near-ends")

@@ -109,3 +109,23 @@ def test_nulls_ties_clashing_columns_and_empty_tables(spark):
     empty = docs.limit(0)
     assert simhash.simhash_classes(empty).count() == 0
     assert simhash.keep_one_per_class(empty).count() == 0
+
+
+def test_similar_texts_share_a_class(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    rows = []
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(200)]
+        for edits in (0, 1, 2, 3, 4, 12):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    got = {r.doc_id: r["class"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if i // 6 == j // 6]
+    near = [(i, j) for i, j in pairs if simhash.jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    assert len(near) > 150
+    assert sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
+    assert not any(got[i] == got[j] for i in range(len(rows)) for j in range(i) if i // 6 != j // 6)
+    assert not any(got[i * 6] == got[i * 6 + 5] for i in range(40))
