@@ -350,8 +350,8 @@ def similar_classes(
     text_col: str = "text",
     words_per_shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 20,
-    wide_radius: int = 60,
+    radius: int = 14,
+    wide_radius: int = 56,
     sure: int = 4,
 ) -> DataFrame:
     """As :func:`simhash_classes`, by Jaccard similarity of word shingles instead of bits alone.
@@ -359,9 +359,9 @@ def similar_classes(
     Texts whose fingerprints differ by at most ``sure`` bits are one class. The first texts of
     these classes are searched again by the 16 words of a second, wider fingerprint, and two
     classes join if the shingle sets of their texts have a similarity of at least
-    ``similarity``. A pair at 0.8 differs in 15 % of the bits; the chance that it agrees in one
-    of 16 words of 16 bits but for a bit is 0.99, and ``radius`` bits of 64 and
-    ``wide_radius`` of 256 lie over three standard deviations above what such a pair shows.
+    ``similarity``. A pair at 0.8 differs in 15 % of the bits: it agrees in one of 16 words of
+    16 bits but for a bit with a chance of 0.99, lies within 14 of 64 bits with one of 0.95
+    and within 56 of 256 with one of over 0.99. At 0.85 all three together reach 0.98.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -385,30 +385,30 @@ def similar_classes(
     heads = materialize(heads.select("root", "h.fingerprint", "h.first.*"), "heads")
     near = materialize(hamming_links(heads, radius, all_pairs=True), "near-pairs")
 
-    def side(name: str) -> DataFrame:
+    def head(name: str) -> DataFrame:
         return heads.select(*[F.col(c).alias(f"{name}_{c}") for c in ("root", "fingerprint", "doc_id", "text_hash", "shingles", "words")])
 
-    pairs = near.join(side("a"), F.col("a") == F.col("a_fingerprint")).join(side("b"), F.col("b") == F.col("b_fingerprint"))
+    pairs = near.join(head("a"), F.col("a") == F.col("a_fingerprint")).join(head("b"), F.col("b") == F.col("b_fingerprint"))
     # Sets of very different size cannot be similar.
     smaller, larger = F.least("a_shingles", "b_shingles"), F.greatest("a_shingles", "b_shingles")
     apart = F.aggregate(F.zip_with("a_words", "b_words", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     pairs = pairs.where((smaller >= similarity * larger) & (apart <= wide_radius)).drop("a_words", "b_words")
     pairs = materialize(pairs, "near-pairs")
-    ends = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{x}_root").alias("root"), F.col(f"{x}_doc_id").alias("doc_id"),
-                                                     F.col(f"{x}_text_hash").alias("text_hash")) for x in "ab"])).alias("e"))
-    ends = materialize(ends.select("e.*").distinct(), "near-ends")
+    side = F.explode(F.array(*[
+        F.struct(F.lit(x).alias("side"), F.col(f"{x}_doc_id").alias("id"), F.col(f"{x}_text_hash").alias("text_hash")) for x in "ab"
+    ]))
+    ends = pairs.select("a_root", "b_root", side.alias("e")).select("a_root", "b_root", "e.*")
     keyed = slim.withColumn("text_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    # A class has one head; rows that repeat its id and text give the same text once more.
-    texts = keyed.join(ends.withColumnRenamed("doc_id", "id"), ["text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
-    texts = materialize(texts.select("root", "text").dropDuplicates(["root"]), "near-texts")
+    texts = keyed.join(ends, ["text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
+    # Two texts come together per pair; rows that repeat an id and a text give the same text once more.
+    sided = texts.groupBy("a_root", "b_root").agg(
+        *[F.max(F.when(F.col("side") == x, F.col("text"))).alias(f"{x}_text") for x in "ab"]
+    )
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y, words_per_shingle) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    sided = pairs.select("a_root", "b_root")
-    for x in "ab":
-        sided = sided.join(texts.select(F.col("root").alias(f"{x}_root"), F.col("text").alias(f"{x}_text")), f"{x}_root")
     links = sided.where(similar("a_text", "b_text") >= similarity).select("a_root", "b_root")
     merged = connected_components(links, "a_root", "b_root")
     final = rooted.join(merged, F.col("root") == F.col("node"), "left").select(

@@ -126,6 +126,6 @@ def test_similar_texts_share_a_class(spark):
     pairs = [(i, j) for i in range(len(rows)) for j in range(i) if i // 6 == j // 6]
     near = [(i, j) for i, j in pairs if simhash.jaccard(rows[i][1], rows[j][1]) >= 0.8]
     assert len(near) > 150
-    assert sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
+    assert sum(got[i] == got[j] for i, j in near) >= 0.97 * len(near)
     assert not any(got[i] == got[j] for i in range(len(rows)) for j in range(i) if i // 6 != j // 6)
     assert not any(got[i * 6] == got[i * 6 + 5] for i in range(40))
