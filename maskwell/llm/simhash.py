@@ -210,6 +210,22 @@ def _shard_pairs(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Da
             yield pd.DataFrame({"a": np.minimum(signed[i], signed[j]), "b": np.maximum(signed[i], signed[j])}).drop_duplicates()
 
 
+def _shard_nearest(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """The link of each seeker of a unit to its nearest home, ties to the smaller value."""
+    for points, found in _unit_pairs(batches, radius):
+        best = np.full(len(points), -1)
+        for i, j in found:
+            known = np.flatnonzero(best >= 0)
+            i, j = np.concatenate((i, known)), np.concatenate((j, best[known]))
+            order = np.lexsort((points[j], np.bitwise_count(points[i] ^ points[j]), i))
+            seekers, first = np.unique(i[order], return_index=True)
+            best[seekers] = j[order][first]
+        i = np.flatnonzero(best >= 0)
+        signed = points.view(np.int64)
+        a, b = signed[i], signed[best[i]]
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
 def _unit_pairs(batches: Iterator[pd.DataFrame], radius: int):
     for unit in sorted_groups(batches, _UNIT):
         points = unit["fingerprint"].to_numpy().astype(np.int64).view(np.uint64)
@@ -242,11 +258,12 @@ def hamming_links(
     radius: int = 4,
     sample_size: int = 8192,
     shard_rows: int = 4096,
-    all_pairs: bool = False,
+    links: str = "spanning",
 ) -> DataFrame:
     """Edges ``a``, ``b`` that span all links of the distinct longs in ``fingerprint``.
 
-    With ``all_pairs`` every link is returned once, for values that do not crowd together.
+    With ``links="all"`` every link is returned once, for values that do not crowd together;
+    with ``links="nearest"`` each value has that to its nearest of every shard it visits.
 
     Two values link at ``radius`` differing bits or fewer, if they agree in one word but for
     a bit. By default the words are those of the value itself, then that always holds; a
@@ -300,13 +317,13 @@ def hamming_links(
         .select(*_UNIT, "fingerprint", "value", "as_home", "as_seeker")
     )
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    search = _shard_pairs if all_pairs else _shard_edges
+    search = {"spanning": _shard_edges, "all": _shard_pairs, "nearest": _shard_nearest}[links]
     found = (
         units.repartition(tasks, *_UNIT)
         .sortWithinPartitions(*_UNIT)
         .mapInPandas(lambda batches: search(batches, radius), "a long, b long")
     )
-    return found.distinct() if all_pairs else found
+    return found if links == "spanning" else found.distinct()
 
 
 def simhash_classes(
@@ -344,6 +361,28 @@ def simhash_classes(
     )
 
 
+_FILTER_BITS = 26
+
+
+def listed_only(rows: DataFrame, listed: DataFrame, hash_col: str) -> DataFrame:
+    """``rows`` whose hash may be in ``listed``: a bitmap of 2^26 bits lets all of those pass.
+
+    The bitmap is at most 2048 rows of 4 kB, whatever the data; a full one lets every row pass.
+    """
+
+    def place(c: str) -> Column:
+        return F.pmod(F.col(c), F.lit(1 << _FILTER_BITS))
+
+    bits = listed.groupBy(F.shiftright(place(hash_col), 15).alias("_part")).agg(
+        F.bitmap_construct_agg(place(hash_col) % 32768).alias("_bits")
+    )
+    at = place(hash_col) % 32768
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("_byte div cast(pow(2, _at % 8) as int) % 2 = 1")
+    passed = rows.withColumn("_part", F.shiftright(place(hash_col), 15)).join(F.broadcast(bits), "_part")
+    return passed.withColumns({"_byte": byte, "_at": at}).where(is_set).drop("_part", "_bits", "_byte", "_at")
+
+
 def similar_classes(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -353,11 +392,15 @@ def similar_classes(
     radius: int = 14,
     wide_radius: int = 56,
     sure: int = 4,
+    wide_sure: int = 24,
 ) -> DataFrame:
     """As :func:`simhash_classes`, by Jaccard similarity of word shingles instead of bits alone.
 
-    Texts whose fingerprints differ by at most ``sure`` bits are one class. The first texts of
-    these classes are searched again by the 16 words of a second, wider fingerprint, and two
+    Texts whose fingerprints differ by at most ``sure`` bits are one class. So that a crowd of
+    near copies does not give all its pairs, each class then joins its nearest one by the
+    fingerprint if the wider ones differ by at most ``wide_sure`` bits (a pair below
+    ``similarity`` does so with a chance under 0.005), as long as this still joins a hundredth
+    of the classes. The first texts of the classes left are searched again by the 16 words of a second, wider fingerprint, and two
     classes join if the shingle sets of their texts have a similarity of at least
     ``similarity``. A pair at 0.8 differs in 15 % of the bits: it agrees in one of 16 words of
     16 bits but for a bit with a chance of 0.99, lies within 14 of 64 bits with one of 0.95
@@ -381,25 +424,44 @@ def similar_classes(
     rooted = materialize(
         rooted.select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("root")), "rooted"
     )
-    heads = rooted.groupBy("root").agg(F.min(F.struct("first", "fingerprint")).alias("h"))
-    heads = materialize(heads.select("root", "h.fingerprint", "h.first.*"), "heads")
-    near = materialize(hamming_links(heads, radius, all_pairs=True), "near-pairs")
 
-    def head(name: str) -> DataFrame:
-        return heads.select(*[F.col(c).alias(f"{name}_{c}") for c in ("root", "fingerprint", "doc_id", "text_hash", "shingles", "words")])
-
-    pairs = near.join(head("a"), F.col("a") == F.col("a_fingerprint")).join(head("b"), F.col("b") == F.col("b_fingerprint"))
+    def heads_of(rooted: DataFrame) -> DataFrame:
+        heads = rooted.groupBy("root").agg(F.min(F.struct("first", "fingerprint")).alias("h"))
+        return materialize(heads.select("root", "h.fingerprint", "h.first.*"), "heads")
+
+    def with_heads(near: DataFrame, heads: DataFrame) -> DataFrame:
+        for x in "ab":
+            side = heads.select(*[F.col(c).alias(f"{x}_{c}") for c in ("root", "fingerprint", "doc_id", "text_hash", "shingles", "words")])
+            near = near.join(side, F.col(x) == F.col(f"{x}_fingerprint"))
+        apart = F.zip_with("a_words", "b_words", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return near.withColumn("apart", F.aggregate(apart, F.lit(0), lambda n, x: n + x)).drop("a_words", "b_words")
+
+    def joined(rooted: DataFrame, merged: DataFrame) -> DataFrame:
+        moved = rooted.join(merged, F.col("root") == F.col("node"), "left")
+        return materialize(moved.select("fingerprint", "first", F.coalesce("component", "root").alias("root")), "rooted")
+
+    heads = heads_of(rooted)
+    while True:
+        own = heads.select("fingerprint", words_of(F.col("fingerprint"), 6).alias("words"))
+        near = with_heads(hamming_links(own, radius, links="nearest"), heads)
+        merged = connected_components(near.where(F.col("apart") <= wide_sure), "a_root", "b_root")
+        before = heads.count()
+        rooted = joined(rooted, merged)
+        heads = heads_of(rooted)
+        if heads.count() >= 0.99 * before:
+            break
+    near = materialize(hamming_links(heads.select("fingerprint", "words"), radius, links="all"), "near-pairs")
+    pairs = with_heads(near, heads)
     # Sets of very different size cannot be similar.
     smaller, larger = F.least("a_shingles", "b_shingles"), F.greatest("a_shingles", "b_shingles")
-    apart = F.aggregate(F.zip_with("a_words", "b_words", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    pairs = pairs.where((smaller >= similarity * larger) & (apart <= wide_radius)).drop("a_words", "b_words")
+    pairs = pairs.where((smaller >= similarity * larger) & (F.col("apart") <= wide_radius))
     pairs = materialize(pairs, "near-pairs")
     side = F.explode(F.array(*[
         F.struct(F.lit(x).alias("side"), F.col(f"{x}_doc_id").alias("id"), F.col(f"{x}_text_hash").alias("text_hash")) for x in "ab"
     ]))
     ends = pairs.select("a_root", "b_root", side.alias("e")).select("a_root", "b_root", "e.*")
     keyed = slim.withColumn("text_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    texts = keyed.join(ends, ["text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
+    texts = listed_only(keyed, ends, "text_hash").join(ends, ["text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
     # Two texts come together per pair; rows that repeat an id and a text give the same text once more.
     sided = texts.groupBy("a_root", "b_root").agg(
         *[F.max(F.when(F.col("side") == x, F.col("text"))).alias(f"{x}_text") for x in "ab"]
@@ -411,10 +473,7 @@ def similar_classes(
 
     links = sided.where(similar("a_text", "b_text") >= similarity).select("a_root", "b_root")
     merged = connected_components(links, "a_root", "b_root")
-    final = rooted.join(merged, F.col("root") == F.col("node"), "left").select(
-        "fingerprint", F.col("first.doc_id").alias("first_id"), F.coalesce("component", "root").alias("root")
-    )
-    final = materialize(final, "classes")
+    final = joined(rooted, merged).withColumn("first_id", F.col("first.doc_id"))
     firsts = final.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = materialize(final.join(firsts, "root").select("fingerprint", "root", "component_id"), "classes")
     return prints.join(of_print, "fingerprint").select(
