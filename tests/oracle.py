@@ -1,6 +1,7 @@
 """Comparison of a query with its SQL on the same tables."""
 
 import duckdb
+import pandas as pd
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -20,7 +21,7 @@ def normal(frame):
     for row in frame.itertuples(index=False):
         cells = []
         for v in row:
-            if v is None or v != v:
+            if v is None or v is pd.NA or v != v:
                 cells.append("")
             elif isinstance(v, float):
                 cells.append(f"{v:.9g}")
