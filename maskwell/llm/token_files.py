@@ -72,15 +72,14 @@ class CachedEncoder:
         runs = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.runs
         try:
-            return b"".join([known[r] for r in runs])
+            return b"".join(map(known.__getitem__, runs))
         except KeyError:
             pass
         if len(known) > _CACHE:
             known.clear()
-        for r in set(runs):
-            if r not in known:
-                known[r] = self._run(r)
-        return b"".join([known[r] for r in runs])
+        for r in set(runs).difference(known):
+            known[r] = self._run(r)
+        return b"".join(map(known.__getitem__, runs))
 
     def _by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
