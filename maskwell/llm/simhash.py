@@ -389,8 +389,8 @@ def similar_classes(
     text_col: str = "text",
     words_per_shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 14,
-    wide_radius: int = 56,
+    radius: int = 20,
+    wide_radius: int = 60,
     sure: int = 4,
     wide_sure: int = 24,
 ) -> DataFrame:
@@ -403,8 +403,8 @@ def similar_classes(
     of the classes. The first texts of the classes left are searched again by the 16 words of a second, wider fingerprint, and two
     classes join if the shingle sets of their texts have a similarity of at least
     ``similarity``. A pair at 0.8 differs in 15 % of the bits: it agrees in one of 16 words of
-    16 bits but for a bit with a chance of 0.99, lies within 14 of 64 bits with one of 0.95
-    and within 56 of 256 with one of over 0.99. At 0.85 all three together reach 0.98.
+    16 bits but for a bit with a chance of 0.99, and ``radius`` bits of 64 and ``wide_radius``
+    of 256 lie over three standard deviations above what such a pair shows.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

@@ -1,3 +1,4 @@
+import inspect
 import random
 import re
 
@@ -129,3 +130,18 @@ def test_similar_texts_share_a_class(spark):
     assert sum(got[i] == got[j] for i, j in near) >= 0.97 * len(near)
     assert not any(got[i] == got[j] for i in range(len(rows)) for j in range(i) if i // 6 != j // 6)
     assert not any(got[i * 6] == got[i * 6 + 5] for i in range(40))
+
+
+@pytest.mark.parametrize("size", [46, 100, 200])
+def test_pairs_at_the_threshold_become_candidates(size):
+    defaults = {k: p.default for k, p in inspect.signature(simhash.similar_classes).parameters.items()}
+    rng = np.random.default_rng(size)
+    found = 0
+    for _ in range(400):
+        both = round(size * 2 * 0.8 / 1.8)
+        hashes = rng.integers(0, 1 << 64, 2 * size - both, dtype=np.uint64)
+        a, b = np.sort(hashes[:size]), np.sort(hashes[size - both :])
+        apart = np.bitwise_count(np.array(simhash.wide_words(a)) ^ np.array(simhash.wide_words(b)))
+        near = (simhash.majority(a) ^ simhash.majority(b)).bit_count() <= defaults["radius"]
+        found += near and apart.sum() <= defaults["wide_radius"] and apart.min() <= 1
+    assert found >= 0.975 * 400
