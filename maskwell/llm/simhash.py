@@ -396,6 +396,7 @@ def similar_classes(
 ) -> DataFrame:
     """As :func:`simhash_classes`, by Jaccard similarity of word shingles instead of bits alone.
 
+    Both fingerprints are of the set of shingles: a repeated one counts once, as in the similarity.
     Texts whose fingerprints differ by at most ``sure`` bits are one class. So that a crowd of
     near copies does not give all its pairs, each class then joins its nearest one by the
     fingerprint if the wider ones differ by at most ``wide_sure`` bits (a pair below
@@ -410,10 +411,10 @@ def similar_classes(
 
     @F.pandas_udf("fingerprint long, words array<int>, shingles long")
     def prints_of(texts: pd.Series) -> pd.DataFrame:
-        hashes = [shingle_hashes(t, words_per_shingle) for t in texts]
+        hashes = [np.unique(shingle_hashes(t, words_per_shingle)) for t in texts]
         bits = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
         wide = [wide_words(h) for h in hashes]
-        return pd.DataFrame({"fingerprint": bits, "words": wide, "shingles": [len(np.unique(h)) for h in hashes]})
+        return pd.DataFrame({"fingerprint": bits, "words": wide, "shingles": [len(h) for h in hashes]})
 
     prints = slim.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), prints_of("text").alias("p"))
     prints = materialize(prints.select("doc_id", "text_hash", "p.*"), "fingerprints")

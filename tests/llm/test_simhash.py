@@ -145,3 +145,17 @@ def test_pairs_at_the_threshold_become_candidates(size):
         near = (simhash.majority(a) ^ simhash.majority(b)).bit_count() <= defaults["radius"]
         found += near and apart.sum() <= defaults["wide_radius"] and apart.min() <= 1
     assert found >= 0.975 * 400
+
+
+def classes_of(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r["class"] for r in simhash.similar_classes(frame).collect()}
+
+
+def test_repeats_of_a_line_do_not_hide_near_copies(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    line = [f"l{k}" for k in range(7)]
+    texts = [" ".join(base + line * n) for n in (1, 20, 40, 100)]
+    assert simhash.jaccard(texts[0], texts[3]) >= 0.95
+    assert len(set(classes_of(spark, texts).values())) == 1
