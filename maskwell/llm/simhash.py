@@ -88,9 +88,16 @@ def wide_words(hashes: np.ndarray) -> list[int]:
     return np.array(parts, dtype="<u8").view("<u2").tolist()
 
 
+def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words_per_shingle))
+
+
 def jaccard(a: str | None, b: str | None, words_per_shingle: int = 5) -> float:
     """Jaccard similarity of the sets of word shingles; two texts without words are equal."""
-    x, y = (np.unique(shingle_hashes(t, words_per_shingle)) for t in (a, b))
+    return overlap(*(shingle_set(t, words_per_shingle) for t in (a, b)))
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
@@ -194,35 +201,33 @@ def _close_pairs(
 
 def _shard_edges(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """Spanning edges of the links of each unit."""
-    for points, found in _unit_pairs(batches, radius):
+    for points, ids, found in _unit_pairs(batches, radius):
         labels = np.arange(len(points))
         for i, j in found:
             labels = union_labels(labels, i, j)
         linked = labels != np.arange(len(points))
-        yield pd.DataFrame({"a": points[linked].view(np.int64), "b": points[labels[linked]].view(np.int64)})
+        yield pd.DataFrame({"a": ids[linked], "b": ids[labels[linked]]})
 
 
 def _shard_pairs(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Every link of each unit, the smaller value first."""
-    for points, found in _unit_pairs(batches, radius):
-        signed = points.view(np.int64)
+    """Every link of each unit, the smaller id first."""
+    for _, ids, found in _unit_pairs(batches, radius):
         for i, j in found:
-            yield pd.DataFrame({"a": np.minimum(signed[i], signed[j]), "b": np.maximum(signed[i], signed[j])}).drop_duplicates()
+            yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}).drop_duplicates()
 
 
 def _shard_nearest(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """The link of each seeker of a unit to its nearest home, ties to the smaller value."""
-    for points, found in _unit_pairs(batches, radius):
+    """The link of each seeker of a unit to its nearest home, ties to the smaller id."""
+    for points, ids, found in _unit_pairs(batches, radius):
         best = np.full(len(points), -1)
         for i, j in found:
             known = np.flatnonzero(best >= 0)
             i, j = np.concatenate((i, known)), np.concatenate((j, best[known]))
-            order = np.lexsort((points[j], np.bitwise_count(points[i] ^ points[j]), i))
+            order = np.lexsort((ids[j], np.bitwise_count(points[i] ^ points[j]), i))
             seekers, first = np.unique(i[order], return_index=True)
             best[seekers] = j[order][first]
         i = np.flatnonzero(best >= 0)
-        signed = points.view(np.int64)
-        a, b = signed[i], signed[best[i]]
+        a, b = ids[i], ids[best[i]]
         yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
@@ -232,12 +237,17 @@ def _unit_pairs(batches: Iterator[pd.DataFrame], radius: int):
         words = unit["value"].to_numpy().astype(np.uint32)
         homes = np.flatnonzero(unit["as_home"].to_numpy())
         seekers = np.flatnonzero(unit["as_seeker"].to_numpy())
-        yield points, _linked(points, _close_pairs(words, seekers, homes, 1), radius)
+        ids = unit["id"].to_numpy().astype(np.int64) if "id" in unit else points.view(np.int64)
+        classes = unit["class"].to_numpy().astype(np.int64) if "id" in unit else np.zeros(len(points), dtype=np.int64)
+        yield points, ids, _linked(points, ids, classes, _close_pairs(words, seekers, homes, 1), radius)
 
 
-def _linked(points: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]], radius: int):
+def _linked(
+    points: np.ndarray, ids: np.ndarray, classes: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]], radius: int
+):
     for i, j in found:
-        near = (np.bitwise_count(points[i] ^ points[j]) <= radius) & (points[i] != points[j])
+        near = (np.bitwise_count(points[i] ^ points[j]) <= radius) & (ids[i] != ids[j])
+        near &= (classes[i] != classes[j]) | (classes[i] == 0)
         if near.any():
             yield i[near], j[near]
 
@@ -267,7 +277,9 @@ def hamming_links(
 
     Two values link at ``radius`` differing bits or fewer, if they agree in one word but for
     a bit. By default the words are those of the value itself, then that always holds; a
-    column ``words`` (array<int>, equal for equal values) takes their place. The trees are fitted on
+    column ``words`` (array<int>, equal for equal values) takes their place. With columns ``id``
+    and ``class`` (both long, and ``words`` with them) each row is a value of its own, also
+    beside equal ones; edges are of ids, and two rows of one class other than 0 do not link. The trees are fitted on
     the ``sample_size`` values with the smallest hash, so each has at most ``sample_size / 8``
     shards and their size on the driver and in tasks is bounded; every value is searched.
     Shards that hold more than ``shard_rows`` values (a dense neighbourhood, or more data
@@ -275,13 +287,17 @@ def hamming_links(
     """
     spark = fingerprints.sparkSession
     known = fingerprints.where("fingerprint is not null")
-    if "words" in fingerprints.columns:
+    extra = [c for c in ("id", "class") if c in fingerprints.columns]
+    if extra:
+        points = known.select("fingerprint", "words", *extra)
+    elif "words" in fingerprints.columns:
         points = known.select("fingerprint", "words").dropDuplicates(["fingerprint"])
     else:
         points = known.select("fingerprint").distinct().withColumn("words", words_of(F.col("fingerprint"), radius))
     points = materialize(points, "points")
     total = points.count()
-    sample = points.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(sample_size).select("words").collect()
+    own = extra[0] if extra else "fingerprint"
+    sample = points.orderBy(F.xxhash64(own), own).limit(sample_size).select("words").collect()
     values = np.array([r[0] for r in sample], dtype=np.uint64)
     most = max(0, int(math.log2(max(1, sample_size // 8))))
     levels = min(most, max(0, math.ceil(math.log2(max(1, total) / shard_rows))))
@@ -295,9 +311,11 @@ def hamming_links(
                 for k, tree in enumerate(trees):
                     row, shard, home = tree.deal(words[:, k], 1)
                     yield pd.DataFrame({"fingerprint": some[row], "value": words[row, k].astype(np.int32),
-                                        "shard": (shard * len(trees) + k).astype(np.int32), "home": home})
+                                        "shard": (shard * len(trees) + k).astype(np.int32), "home": home,
+                                        **{c: batch[c].to_numpy()[at : at + 4 * _CHUNK][row] for c in extra}})
 
-    dealt = materialize(points.mapInPandas(deal, "fingerprint long, value int, shard int, home boolean"), "dealt")
+    columns = ["fingerprint long", "value int", "shard int", "home boolean", *[f"{c} long" for c in extra]]
+    dealt = materialize(points.mapInPandas(deal, ", ".join(columns)), "dealt")
     sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("n"))
     blocks = sizes.select(
         "shard",
@@ -305,7 +323,7 @@ def hamming_links(
         F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(8 * shard_rows))).cast("int").alias("seek_blocks"),
     )
     # One row per shard, and each tree has at most sample_size / 8 of them: a bounded broadcast.
-    placed = dealt.join(F.broadcast(blocks), "shard").withColumn("h", F.xxhash64("fingerprint"))
+    placed = dealt.join(F.broadcast(blocks), "shard").withColumn("h", F.xxhash64(own))
     own_home = F.pmod("h", F.col("home_blocks")).cast("int")
     own_seek = F.pmod(F.shiftright("h", 20), F.col("seek_blocks")).cast("int")
     units = (
@@ -314,7 +332,7 @@ def hamming_links(
         .withColumn("as_home", F.col("home") & (F.col("home_block") == own_home))
         .withColumn("as_seeker", F.col("seek_block") == own_seek)
         .where("as_home or as_seeker")
-        .select(*_UNIT, "fingerprint", "value", "as_home", "as_seeker")
+        .select(*_UNIT, "fingerprint", "value", "as_home", "as_seeker", *extra)
     )
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     search = {"spanning": _shard_edges, "all": _shard_pairs, "nearest": _shard_nearest}[links]
@@ -391,94 +409,94 @@ def similar_classes(
     similarity: float = 0.8,
     radius: int = 20,
     wide_radius: int = 60,
-    sure: int = 4,
-    wide_sure: int = 24,
 ) -> DataFrame:
     """As :func:`simhash_classes`, by Jaccard similarity of word shingles instead of bits alone.
 
     Both fingerprints are of the set of shingles: a repeated one counts once, as in the similarity.
-    Texts whose fingerprints differ by at most ``sure`` bits are one class. So that a crowd of
-    near copies does not give all its pairs, each class then joins its nearest one by the
-    fingerprint if the wider ones differ by at most ``wide_sure`` bits (a pair below
-    ``similarity`` does so with a chance under 0.005), as long as this still joins a hundredth
-    of the classes. The first texts of the classes left are searched again by the 16 words of a second, wider fingerprint, and two
-    classes join if the shingle sets of their texts have a similarity of at least
-    ``similarity``. A pair at 0.8 differs in 15 % of the bits: it agrees in one of 16 words of
-    16 bits but for a bit with a chance of 0.99, and ``radius`` bits of 64 and ``wide_radius``
-    of 256 lie over three standard deviations above what such a pair shows.
+    Texts with equal sets are one node of the search, all others join by verified links alone:
+    the sets of both texts have a similarity of at least ``similarity``. Candidates are searched
+    by the 16 words of a second, wider fingerprint. A pair at 0.8 differs in 15 % of the bits: it
+    agrees in one of 16 words of 16 bits but for a bit with a chance of 0.99, and ``radius``
+    bits of 64 and ``wide_radius`` of 256 lie over three standard deviations above what such a
+    pair shows.
+
+    So that a crowd of near copies does not give all its pairs, nodes first link to near ones of
+    other classes, round by round until no class joins. The search for all pairs that follows has
+    every node and leaves out only pairs whose texts share a class already.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    @F.pandas_udf("fingerprint long, words array<int>, shingles long")
+    @F.pandas_udf("node long, fingerprint long, words array<int>, shingles long")
     def prints_of(texts: pd.Series) -> pd.DataFrame:
-        hashes = [np.unique(shingle_hashes(t, words_per_shingle)) for t in texts]
-        bits = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
-        wide = [wide_words(h) for h in hashes]
-        return pd.DataFrame({"fingerprint": bits, "words": wide, "shingles": [len(h) for h in hashes]})
+        sets = [shingle_set(t, words_per_shingle) for t in texts]
+        nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+        bits = np.array([majority(x) for x in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"node": nodes, "fingerprint": bits, "words": [wide_words(x) for x in sets], "shingles": [len(x) for x in sets]})
 
     prints = slim.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), prints_of("text").alias("p"))
     prints = materialize(prints.select("doc_id", "text_hash", "p.*"), "fingerprints")
-    roots = connected_components(hamming_links(prints.drop("words"), sure), "a", "b")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "shingles", "words"))
-    nodes = prints.groupBy("fingerprint").agg(first.alias("first"))
-    rooted = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left")
-    rooted = materialize(
-        rooted.select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("root")), "rooted"
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fingerprint", "shingles", "words"))
+    nodes = prints.groupBy("node").agg(first.alias("first")).select(F.col("node").alias("id"), "first.*")
+    nodes = materialize(nodes.drop("no_id"), "nodes")
+    keyed = slim.withColumn("text_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
-    def heads_of(rooted: DataFrame) -> DataFrame:
-        heads = rooted.groupBy("root").agg(F.min(F.struct("first", "fingerprint")).alias("h"))
-        return materialize(heads.select("root", "h.fingerprint", "h.first.*"), "heads")
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[str | None, np.ndarray] = {}
 
-    def with_heads(near: DataFrame, heads: DataFrame) -> DataFrame:
-        for x in "ab":
-            side = heads.select(*[F.col(c).alias(f"{x}_{c}") for c in ("root", "fingerprint", "doc_id", "text_hash", "shingles", "words")])
-            near = near.join(side, F.col(x) == F.col(f"{x}_fingerprint"))
-        apart = F.zip_with("a_words", "b_words", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        return near.withColumn("apart", F.aggregate(apart, F.lit(0), lambda n, x: n + x)).drop("a_words", "b_words")
+        def set_of(text: str | None) -> np.ndarray:
+            if text not in known:
+                if len(known) >= 1024:
+                    known.clear()
+                known[text] = shingle_set(text, words_per_shingle)
+            return known[text]
 
-    def joined(rooted: DataFrame, merged: DataFrame) -> DataFrame:
-        moved = rooted.join(merged, F.col("root") == F.col("node"), "left")
-        return materialize(moved.select("fingerprint", "first", F.coalesce("component", "root").alias("root")), "rooted")
+        return pd.Series([overlap(set_of(x), set_of(y)) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    heads = heads_of(rooted)
+    def verified(classed: DataFrame, words: Column, links: str) -> DataFrame:
+        """Links of two classes among the candidates of a search by ``words``."""
+        values = classed.select("id", "class", "fingerprint", words.alias("words"))
+        pairs = materialize(hamming_links(values, radius, links=links), "near-pairs")
+        for x in "ab":
+            side = nodes.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "doc_id", "text_hash", "shingles", "words")])
+            pairs = pairs.join(side, F.col(x) == F.col(f"{x}_id"))
+        apart = F.zip_with("a_words", "b_words", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        # Sets of very different size cannot be similar.
+        smaller, larger = F.least("a_shingles", "b_shingles"), F.greatest("a_shingles", "b_shingles")
+        pairs = pairs.where((smaller >= similarity * larger) & (F.aggregate(apart, F.lit(0), lambda n, x: n + x) <= wide_radius))
+        pairs = materialize(pairs.drop("a_words", "b_words"), "near-pairs")
+        side = F.explode(F.array(*[
+            F.struct(F.lit(x).alias("side"), F.col(f"{x}_doc_id").alias("id"), F.col(f"{x}_text_hash").alias("text_hash")) for x in "ab"
+        ]))
+        ends = pairs.select("a", "b", side.alias("e")).select("a", "b", "e.*")
+        texts = listed_only(keyed, ends, "text_hash").join(ends, ["text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
+        # Two texts come together per pair; rows that repeat an id and a text give the same text once more.
+        sided = texts.groupBy("a", "b").agg(*[F.max(F.when(F.col("side") == x, F.col("text"))).alias(f"{x}_text") for x in "ab"])
+        return materialize(sided.where(similar("a_text", "b_text") >= similarity).select("a", "b"), "links")
+
+    links = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    roots = None
+    classed = nodes.withColumn("class", F.lit(0).cast("long"))
     while True:
-        own = heads.select("fingerprint", words_of(F.col("fingerprint"), 6).alias("words"))
-        near = with_heads(hamming_links(own, radius, links="nearest"), heads)
-        merged = connected_components(near.where(F.col("apart") <= wide_sure), "a_root", "b_root")
-        before = heads.count()
-        rooted = joined(rooted, merged)
-        heads = heads_of(rooted)
-        if heads.count() >= 0.99 * before:
+        # After the first round only crowds search on; the others have no link to offer here.
+        some = classed if roots is None else classed.where("class <> 0")
+        found = verified(some, words_of(F.col("fingerprint"), 6), "nearest")
+        if found.isEmpty():
             break
-    near = materialize(hamming_links(heads.select("fingerprint", "words"), radius, links="all"), "near-pairs")
-    pairs = with_heads(near, heads)
-    # Sets of very different size cannot be similar.
-    smaller, larger = F.least("a_shingles", "b_shingles"), F.greatest("a_shingles", "b_shingles")
-    pairs = pairs.where((smaller >= similarity * larger) & (F.col("apart") <= wide_radius))
-    pairs = materialize(pairs, "near-pairs")
-    side = F.explode(F.array(*[
-        F.struct(F.lit(x).alias("side"), F.col(f"{x}_doc_id").alias("id"), F.col(f"{x}_text_hash").alias("text_hash")) for x in "ab"
-    ]))
-    ends = pairs.select("a_root", "b_root", side.alias("e")).select("a_root", "b_root", "e.*")
-    keyed = slim.withColumn("text_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    texts = listed_only(keyed, ends, "text_hash").join(ends, ["text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
-    # Two texts come together per pair; rows that repeat an id and a text give the same text once more.
-    sided = texts.groupBy("a_root", "b_root").agg(
-        *[F.max(F.when(F.col("side") == x, F.col("text"))).alias(f"{x}_text") for x in "ab"]
-    )
-
-    @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, words_per_shingle) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    links = sided.where(similar("a_text", "b_text") >= similarity).select("a_root", "b_root")
-    merged = connected_components(links, "a_root", "b_root")
-    final = joined(rooted, merged).withColumn("first_id", F.col("first.doc_id"))
-    firsts = final.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = materialize(final.join(firsts, "root").select("fingerprint", "root", "component_id"), "classes")
-    return prints.join(of_print, "fingerprint").select(
-        F.col("doc_id").alias(id_col), "text_hash", "fingerprint", "component_id", F.col("root").alias("class")
+        links = links.unionByName(found)
+        roots = connected_components(links, "a", "b")
+        classed = materialize(
+            nodes.join(roots, F.col("id") == F.col("node"), "left").select(*nodes.columns, F.coalesce("component", F.lit(0)).alias("class")),
+            "classed",
+        )
+    links = links.unionByName(verified(classed, F.col("words"), "all"))
+    roots = connected_components(links, "a", "b")
+    final = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", "doc_id", F.coalesce("component", "id").alias("class"))
+    final = materialize(final, "rooted")
+    firsts = final.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    of_node = materialize(final.join(firsts, "class").select(F.col("id").alias("node"), "class", "component_id"), "classes")
+    return prints.join(of_node, "node").select(
+        F.col("doc_id").alias(id_col), "text_hash", "fingerprint", "component_id", "class"
     )
 
 

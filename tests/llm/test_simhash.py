@@ -159,3 +159,17 @@ def test_repeats_of_a_line_do_not_hide_near_copies(spark):
     texts = [" ".join(base + line * n) for n in (1, 20, 40, 100)]
     assert simhash.jaccard(texts[0], texts[3]) >= 0.95
     assert len(set(classes_of(spark, texts).values())) == 1
+
+
+def test_only_verified_links_join(spark):
+    rng = np.random.default_rng(9)
+    line = " ".join(f"l{k}" for k in range(7))
+    texts = [" ".join([f"{side}{k}" for k in range(100)] + [line] * 40) for side in "ab"]
+    while len(texts) < 10:
+        words = [f"w{k}" for k in rng.integers(0, 1 << 40, 40)]
+        copy = words[:34] + [f"x{k}" for k in rng.integers(0, 1 << 40, 6)]
+        a, b = (simhash.shingle_set(" ".join(x)) for x in (words, copy))
+        # Below the similarity, yet so near that bits alone would join them.
+        if simhash.overlap(a, b) < 0.8 and (simhash.majority(a) ^ simhash.majority(b)).bit_count() <= 4:
+            texts += [" ".join(words), " ".join(copy)]
+    assert len(set(classes_of(spark, texts).values())) == len(texts)
