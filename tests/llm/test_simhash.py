@@ -173,3 +173,19 @@ def test_only_verified_links_join(spark):
         if simhash.overlap(a, b) < 0.8 and (simhash.majority(a) ^ simhash.majority(b)).bit_count() <= 4:
             texts += [" ".join(words), " ".join(copy)]
     assert len(set(classes_of(spark, texts).values())) == len(texts)
+
+
+def test_members_of_a_crowd_link_to_others(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    chain = [[rng.choice(vocabulary) for _ in range(200)]]
+    for k in range(12):
+        step = list(chain[-1])
+        step[15 * k + 10] = rng.choice(vocabulary)
+        chain.append(step)
+    far = list(chain[-1])
+    for at in (3, 50, 95, 140):
+        far[at] = f"far{at}"
+    texts = [" ".join(x) for x in [*chain, far]]
+    assert simhash.jaccard(texts[12], texts[13]) >= 0.8 > simhash.jaccard(texts[0], texts[13])
+    assert len(set(classes_of(spark, texts).values())) == 1
