@@ -5,31 +5,35 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ARCHIVE = "maskwell-modules.zip"
 _shipped: set[str] = set()
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset, a local master gets a folder of this machine (driver and
-    executors are one process there) and any other master the SQL warehouse.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if spark.conf.get("spark.master", "").startswith("local["):
-            base = "file://" + os.path.join(tempfile.gettempdir(), "maskwell-tables")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or the SQL warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
     return base.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in this application's folder, which goes when its driver ends."""
+    run = f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+    where, files = _file_system(spark, run)
+    if not files.exists(where):
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +45,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no later step reads, nor anything lazily built on them."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path is not None:
+            where, files = _file_system(table.sparkSession, path)
+            files.delete(where, True)
 
 
 def ship_package(spark: SparkSession) -> None:
