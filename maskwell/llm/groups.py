@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,32 @@ def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[
         yield pd.concat(open_parts, ignore_index=True)
 
 
+def whole_groups(
+    batches: Iterator[pd.DataFrame], key: str, weigh: Callable[[pd.DataFrame], int], enough: int
+) -> Iterator[pd.DataFrame]:
+    """Frames of whole runs of equal ``key`` of a partition sorted by it, each of weight ``enough`` or one run more.
+
+    Many small groups come together; a frame holds less than ``enough`` before its last group.
+    """
+    held: list[pd.DataFrame] = []
+    weight, last = 0, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[key].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        for start, end in zip(starts, np.append(starts[1:], len(batch)), strict=True):
+            group = batch.iloc[start:end]
+            if weight >= enough and values[start] != last:
+                yield pd.concat(held, ignore_index=True)
+                held, weight = [], 0
+            held.append(group)
+            weight += weigh(group)
+            last = values[start]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def union_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Merge the classes of each (left, right) pair; a label is the smallest member index."""
     while len(left):

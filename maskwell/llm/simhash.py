@@ -1,27 +1,29 @@
-"""SimHash near-duplicates with a vantage-point tree over Hamming distance.
+"""SimHash near-duplicates with vantage-point trees over Hamming distance.
 
-1. Each text becomes a 64-bit fingerprint (majority vote over hashed word shingles).
+1. Each text becomes a fingerprint (majority vote over hashed word shingles).
 2. Equal fingerprints collapse to one node.
-3. The fingerprint is read as a few words of bits, so many that two fingerprints within the
-   radius differ by one bit or none in some word. A vantage-point tree per word, fitted on a
-   bounded sample, deals every fingerprint to its home shard. A word just inside a sphere
+3. The fingerprint is read through a few keys, sets of its bits, so chosen that two near
+   fingerprints differ by one bit or none in some key. A vantage-point tree per key, fitted
+   on a bounded sample, deals every fingerprint to its home shard. A key just inside a sphere
    may have partners just outside, so it also visits the shards beyond the boundary that
-   the triangle bounds leave open. Two words within a bit meet exactly once per tree, in
-   the home of one of them.
+   the triangle bounds leave open. Two keys within a bit meet once per tree, in the home of
+   one of them.
 4. Inside a shard the same bounds prune a local dual-tree search; pairs are kept by the
    distance of the whole fingerprints. Each shard gives the spanning edges of the links
    found, which connected components then join.
 
 A tree over whole fingerprints would prune little: random ones lie 32 bits from a vantage
-point, give or take 4, so a radius of 4 leaves nearly every boundary open. For a word of 21
-bits the spread is 2.3 against a radius of 1, and no word has more than 22 values in reach:
-what a fingerprint visits is bounded whatever the size of the data.
+point, give or take 4, so a radius of 4 leaves nearly every boundary open. For a key of 21
+bits the spread is 2.3 against a radius of 1, and no key has more than 22 values in reach:
+what a fingerprint visits is bounded whatever the size of the data. Keys grow longer with
+the table, so that the random partners of a value stay bounded too.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,12 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.llm.components import connected_components
-from maskwell.llm.groups import sorted_groups, union_labels
-from maskwell.shared import materialize
+from maskwell.llm.groups import sorted_groups, union_labels, whole_groups
+from maskwell.shared import materialize, release
 
 _CHUNK = 8192
-_UNIT = ["shard", "home_block", "seek_block"]
 _DENSE = 1 << 22
+#: A key of a fingerprint: ranges of bits, from the lowest, none across a multiple of 64.
+Key = tuple[tuple[int, int], ...]
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -77,15 +80,19 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def wide_words(hashes: np.ndarray) -> list[int]:
-    """A second SimHash of 256 bits, from the same shingle hashes mixed anew, as 16 words of 16 bits."""
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """A SimHash of 256 bits as little-endian bytes, from the same shingle hashes mixed anew."""
     parts = []
     for k in range(1, 5):
         x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         parts.append(majority(x ^ (x >> np.uint64(31))))
-    return np.array(parts, dtype="<u8").view("<u2").tolist()
+    return np.array(parts, dtype="<u8").tobytes()
+
+
+#: Keys of a wide fingerprint: 16 words of 16 bits.
+WIDE_KEYS: list[Key] = [((at, at + 16),) for at in range(0, 256, 16)]
 
 
 def shingle_set(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
@@ -144,6 +151,17 @@ class VantageTree:
         self.leaves += 1
         return -self.leaves
 
+    def home(self, points: np.ndarray) -> np.ndarray:
+        """The shard that each point lives in."""
+        vantage, inside = np.array(self.vantage, dtype=np.uint64), np.array(self.inside, dtype=np.int64)
+        children = np.array(self.children, dtype=np.int64).reshape(-1, 2)
+        node = np.full(len(points), self.root)
+        while (row := np.flatnonzero(node >= 0)).size:
+            at = node[row]
+            outside = np.bitwise_count(points[row] ^ vantage[at]) > inside[at]
+            node[row] = children[at, outside.astype(np.int64)]
+        return -node - 1
+
     def deal(self, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the point, shard, is at home) for every shard that a point must see."""
         vantage = np.array(self.vantage, dtype=np.uint64)
@@ -199,149 +217,174 @@ def _close_pairs(
         yield some[i], right[j]
 
 
-def _shard_edges(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+def exact_keys(radius: int, total: int, bits: int = 64, most: float = 2048.0) -> list[Key]:
+    """Keys of which two fingerprints within ``radius`` bits agree in one but for a bit.
+
+    Of ``n`` words the ``k`` with the fewest differences hold at most one between them, if
+    ``n`` is large enough; every choice of ``k`` words is a key. Longer keys are more trees
+    with fewer random partners: the first choice that leaves a value ``most`` or fewer of
+    them among ``total`` values is taken, or else the longest.
+    """
+    for k in (1, 2, 3):
+        n = radius // 2 + 1 if k == 1 else radius + k - 1
+        if n < 3:
+            continue
+        edges = [bits * i // n for i in range(n + 1)]
+        keys = list(combinations(zip(edges, edges[1:], strict=False), k))
+        if random_partners(keys, total) <= most:
+            break
+    return keys
+
+
+def random_partners(keys: list[Key], total: int) -> float:
+    """Values of ``total`` random ones that differ from a given one by a bit or none in some key, at most."""
+    widths = [sum(b - a for a, b in key) for key in keys]
+    return total * sum((w + 1) / 2.0**w for w in widths)
+
+
+def key_values(lanes: np.ndarray, key: Key) -> np.ndarray:
+    """The bits of a key of each row of ``lanes`` (64-bit words of fingerprints), packed."""
+    value, at = np.zeros(len(lanes), dtype=np.uint64), 0
+    for a, b in key:
+        part = lanes[:, a // 64] >> np.uint64(a % 64)
+        if b - a < 64:
+            part &= np.uint64((1 << (b - a)) - 1)
+        value |= part << np.uint64(at)
+        at += b - a
+    return value
+
+
+def _lanes(frame: pd.DataFrame) -> np.ndarray:
+    """Fingerprints of a frame: 64-bit words from ``bits``, or ``id`` itself where that is missing."""
+    if "bits" not in frame:
+        return frame["id"].to_numpy().astype(np.int64).view(np.uint64).reshape(-1, 1)
+    flat = np.frombuffer(b"".join(frame["bits"]), dtype="<u8")
+    return flat.reshape(len(frame), -1 if len(frame) else 1)
+
+
+def _unit_edges(
+    batches: Iterator[pd.DataFrame], keys: list[Key], radius: int, size_ratio: float
+) -> Iterator[pd.DataFrame]:
     """Spanning edges of the links of each unit."""
-    for points, ids, found in _unit_pairs(batches, radius):
-        labels = np.arange(len(points))
-        for i, j in found:
-            labels = union_labels(labels, i, j)
-        linked = labels != np.arange(len(points))
+    for unit in sorted_groups(batches, ["unit"]):
+        lanes, ids = _lanes(unit), unit["id"].to_numpy().astype(np.int64)
+        sizes = unit["size"].to_numpy() if "size" in unit else None
+        values = key_values(lanes, keys[(int(unit["unit"].iloc[0]) >> _SHARD_AT) % len(keys)])
+        homes, seekers = np.flatnonzero(unit["as_home"].to_numpy()), np.flatnonzero(unit["as_seeker"].to_numpy())
+        labels = np.arange(len(unit))
+        for i, j in _close_pairs(values, seekers, homes, 1):
+            if sizes is not None:
+                near = np.minimum(sizes[i], sizes[j]) >= size_ratio * np.maximum(sizes[i], sizes[j])
+                i, j = i[near], j[near]
+            for at in range(0, len(i), _DENSE):
+                x, y = i[at : at + _DENSE], j[at : at + _DENSE]
+                new = labels[x] != labels[y]
+                x, y = x[new], y[new]
+                apart = np.bitwise_count(lanes[x] ^ lanes[y]).sum(axis=1, dtype=np.int64)
+                labels = union_labels(labels, x[apart <= radius], y[apart <= radius])
+        linked = labels != np.arange(len(unit))
         yield pd.DataFrame({"a": ids[linked], "b": ids[labels[linked]]})
 
 
-def _shard_pairs(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Every link of each unit, the smaller id first."""
-    for _, ids, found in _unit_pairs(batches, radius):
-        for i, j in found:
-            yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}).drop_duplicates()
-
-
-def _shard_nearest(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """The link of each seeker of a unit to its nearest home, ties to the smaller id."""
-    for points, ids, found in _unit_pairs(batches, radius):
-        best = np.full(len(points), -1)
-        for i, j in found:
-            known = np.flatnonzero(best >= 0)
-            i, j = np.concatenate((i, known)), np.concatenate((j, best[known]))
-            order = np.lexsort((ids[j], np.bitwise_count(points[i] ^ points[j]), i))
-            seekers, first = np.unique(i[order], return_index=True)
-            best[seekers] = j[order][first]
-        i = np.flatnonzero(best >= 0)
-        a, b = ids[i], ids[best[i]]
-        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def _unit_pairs(batches: Iterator[pd.DataFrame], radius: int):
-    for unit in sorted_groups(batches, _UNIT):
-        points = unit["fingerprint"].to_numpy().astype(np.int64).view(np.uint64)
-        words = unit["value"].to_numpy().astype(np.uint32)
-        homes = np.flatnonzero(unit["as_home"].to_numpy())
-        seekers = np.flatnonzero(unit["as_seeker"].to_numpy())
-        ids = unit["id"].to_numpy().astype(np.int64) if "id" in unit else points.view(np.int64)
-        classes = unit["class"].to_numpy().astype(np.int64) if "id" in unit else np.zeros(len(points), dtype=np.int64)
-        yield points, ids, _linked(points, ids, classes, _close_pairs(words, seekers, homes, 1), radius)
-
-
-def _linked(
-    points: np.ndarray, ids: np.ndarray, classes: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]], radius: int
-):
-    for i, j in found:
-        near = (np.bitwise_count(points[i] ^ points[j]) <= radius) & (ids[i] != ids[j])
-        near &= (classes[i] != classes[j]) | (classes[i] == 0)
-        if near.any():
-            yield i[near], j[near]
-
-
-def words_of(fingerprint: Column, radius: int) -> Column:
-    """Words of a fingerprint such that values within ``radius`` bits agree in one word but for a bit."""
-    n = radius // 2 + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    if n < 3:
-        raise ValueError("the radius must be at least 4 bits")
-    return F.array(*[
-        F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("int") for a, b in zip(edges, edges[1:], strict=False)
-    ])
+_SHARD_AT = 32
+
+
+def _units(
+    row: np.ndarray, shard: np.ndarray, home: np.ndarray, ids: np.ndarray, home_blocks: np.ndarray, seek_blocks: np.ndarray
+) -> Iterator[pd.DataFrame]:
+    """``row``, ``unit``, ``as_home``, ``as_seeker`` of each dealt point: every home block meets every seek block."""
+    mixed = ids.view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    of_homes, of_seeks = home_blocks[shard], seek_blocks[shard]
+    own_home, own_seek = (mixed % of_homes).astype(np.int64), ((mixed >> np.uint64(32)) % of_seeks).astype(np.int64)
+
+    def frame(at: np.ndarray, h: np.ndarray, s: np.ndarray, seeker: bool) -> pd.DataFrame:
+        unit = shard[at] << _SHARD_AT | h << 16 | s
+        return pd.DataFrame({"row": row[at], "unit": unit, "as_home": home[at] & (h == own_home[at]), "as_seeker": seeker})
+
+    def spread(at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = counts[at].astype(np.int64)
+        return np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    at, h = spread(np.arange(len(row)), of_homes)
+    yield frame(at, h, own_seek[at], True)
+    at, s = spread(np.flatnonzero(home & (of_seeks > 1)), of_seeks)
+    other = s != own_seek[at]
+    yield frame(at[other], own_home[at[other]], s[other], False)
 
 
 def hamming_links(
-    fingerprints: DataFrame,
+    points: DataFrame,
     radius: int = 4,
-    sample_size: int = 8192,
+    keys: list[Key] | None = None,
+    size_ratio: float = 0.0,
+    sample_size: int = 131_072,
     shard_rows: int = 4096,
-    links: str = "spanning",
+    block_rows: int = 32_768,
 ) -> DataFrame:
-    """Edges ``a``, ``b`` that span all links of the distinct longs in ``fingerprint``.
-
-    With ``links="all"`` every link is returned once, for values that do not crowd together;
-    with ``links="nearest"`` each value has that to its nearest of every shard it visits.
-
-    Two values link at ``radius`` differing bits or fewer, if they agree in one word but for
-    a bit. By default the words are those of the value itself, then that always holds; a
-    column ``words`` (array<int>, equal for equal values) takes their place. With columns ``id``
-    and ``class`` (both long, and ``words`` with them) each row is a value of its own, also
-    beside equal ones; edges are of ids, and two rows of one class other than 0 do not link. The trees are fitted on
-    the ``sample_size`` values with the smallest hash, so each has at most ``sample_size / 8``
-    shards and their size on the driver and in tasks is bounded; every value is searched.
-    Shards that hold more than ``shard_rows`` values (a dense neighbourhood, or more data
+    """Edges ``a``, ``b`` that span all links of the rows ``id`` (long, distinct) of ``points``.
+
+    Two rows link at ``radius`` differing bits of ``bits`` (binary, whole 64-bit words; without
+    that column the id is the fingerprint) or fewer, if they agree in one of ``keys`` but for a
+    bit; by default those of :func:`exact_keys`, where the first implies the second. With a
+    column ``size`` the smaller of the two must be at least ``size_ratio`` of the larger. Null
+    ids take no part; an empty table has no links.
+
+    The trees are fitted on at most ``sample_size`` rows (those of smallest hash), so each has at
+    most an eighth as many shards and their size on the driver and in tasks is bounded; every row
+    is searched. Shards whose homes exceed ``block_rows`` (a dense neighbourhood, or more data
     than the bounded tree has leaves for) are compared block by block in separate tasks.
     """
-    spark = fingerprints.sparkSession
-    known = fingerprints.where("fingerprint is not null")
-    extra = [c for c in ("id", "class") if c in fingerprints.columns]
-    if extra:
-        points = known.select("fingerprint", "words", *extra)
-    elif "words" in fingerprints.columns:
-        points = known.select("fingerprint", "words").dropDuplicates(["fingerprint"])
-    else:
-        points = known.select("fingerprint").distinct().withColumn("words", words_of(F.col("fingerprint"), radius))
-    points = materialize(points, "points")
+    spark = points.sparkSession
+    columns = [c for c in ("id", "bits", "size") if c in points.columns]
+    points = materialize(points.where("id is not null").select(*columns), "points")
     total = points.count()
-    own = extra[0] if extra else "fingerprint"
-    sample = points.orderBy(F.xxhash64(own), own).limit(sample_size).select("words").collect()
-    values = np.array([r[0] for r in sample], dtype=np.uint64)
-    most = max(0, int(math.log2(max(1, sample_size // 8))))
-    levels = min(most, max(0, math.ceil(math.log2(max(1, total) / shard_rows))))
-    trees = [VantageTree(column, levels) for column in values.T] if total else []
+    keys = exact_keys(radius, total) if keys is None else keys
+    levels = math.ceil(math.log2(max(1, total) / shard_rows)) if total > shard_rows else 0
+    levels = max(0, min(levels, int(math.log2(max(8, sample_size) // 8))))
+    # At most sample_size fingerprints come to the driver.
+    sample = points.orderBy(F.xxhash64("id"), "id").limit(min(sample_size, max(1024, 8 << levels)))
+    sampled = _lanes(pd.DataFrame(sample.collect(), columns=columns))
+    trees = spark.sparkContext.broadcast([VantageTree(key_values(sampled, key), levels) for key in keys if total])
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+        """(batch, index of the row, shard, is at home)."""
+        for batch in batches:
+            for at in range(0, len(batch), 2 * _CHUNK):
+                some = batch.iloc[at : at + 2 * _CHUNK]
+                lanes = _lanes(some)
+                for k, tree in enumerate(trees.value):
+                    row, shard, home = tree.deal(key_values(lanes, keys[k]), 1)
+                    yield some, row, shard.astype(np.int64) * len(keys) + k, home
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, shard, home in dealt(batches):
+            seen, where = np.unique(shard, return_inverse=True)
+            yield pd.DataFrame({"shard": seen, "homes": np.bincount(where, home), "n": np.bincount(where)}).astype("int64")
+
+    # One row per shard of the bounded trees comes to the driver.
+    sizes = points.mapInPandas(count, "shard long, homes long, n long").groupBy("shard").agg(F.sum("homes").alias("homes"), F.sum("n").alias("n")).collect()
+    blocks = np.ones((2, 1 + max([r.shard for r in sizes], default=0)), dtype=np.uint64)
+    for r in sizes:
+        blocks[:, r.shard] = max(1, -(-r.homes // block_rows)), max(1, -(-r.n // (4 * block_rows)))
+    blocks_shared = spark.sparkContext.broadcast(blocks)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 4 * _CHUNK):
-                some = batch["fingerprint"].to_numpy()[at : at + 4 * _CHUNK].astype(np.int64)
-                words = np.stack(batch["words"].iloc[at : at + 4 * _CHUNK]).astype(np.uint64)
-                for k, tree in enumerate(trees):
-                    row, shard, home = tree.deal(words[:, k], 1)
-                    yield pd.DataFrame({"fingerprint": some[row], "value": words[row, k].astype(np.int32),
-                                        "shard": (shard * len(trees) + k).astype(np.int32), "home": home,
-                                        **{c: batch[c].to_numpy()[at : at + 4 * _CHUNK][row] for c in extra}})
-
-    columns = ["fingerprint long", "value int", "shard int", "home boolean", *[f"{c} long" for c in extra]]
-    dealt = materialize(points.mapInPandas(deal, ", ".join(columns)), "dealt")
-    sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("homes"), F.count("*").alias("n"))
-    blocks = sizes.select(
-        "shard",
-        F.greatest(F.lit(1), F.ceil(F.col("homes") / F.lit(2 * shard_rows))).cast("int").alias("home_blocks"),
-        F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(8 * shard_rows))).cast("int").alias("seek_blocks"),
-    )
-    # One row per shard, and each tree has at most sample_size / 8 of them: a bounded broadcast.
-    placed = dealt.join(F.broadcast(blocks), "shard").withColumn("h", F.xxhash64(own))
-    own_home = F.pmod("h", F.col("home_blocks")).cast("int")
-    own_seek = F.pmod(F.shiftright("h", 20), F.col("seek_blocks")).cast("int")
-    units = (
-        placed.withColumn("home_block", F.explode(F.sequence(F.lit(0), F.col("home_blocks") - 1)))
-        .withColumn("seek_block", F.explode(F.sequence(F.lit(0), F.col("seek_blocks") - 1)))
-        .withColumn("as_home", F.col("home") & (F.col("home_block") == own_home))
-        .withColumn("as_seeker", F.col("seek_block") == own_seek)
-        .where("as_home or as_seeker")
-        .select(*_UNIT, "fingerprint", "value", "as_home", "as_seeker", *extra)
-    )
+        for some, row, shard, home in dealt(batches):
+            for units in _units(row, shard, home, some["id"].to_numpy().astype(np.int64), *blocks_shared.value):
+                if len(units):
+                    own = some.iloc[units.pop("row").to_numpy()].reset_index(drop=True)
+                    yield pd.concat([units.reset_index(drop=True), own], axis=1)
+
+    kinds = {"id": "id long", "bits": "bits binary", "size": "size int"}
+    schema = ", ".join(["unit long", "as_home boolean", "as_seeker boolean", *[kinds[c] for c in columns]])
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    search = {"spanning": _shard_edges, "all": _shard_pairs, "nearest": _shard_nearest}[links]
-    found = (
-        units.repartition(tasks, *_UNIT)
-        .sortWithinPartitions(*_UNIT)
-        .mapInPandas(lambda batches: search(batches, radius), "a long, b long")
+    return (
+        points.mapInPandas(deal, schema)
+        .repartition(tasks, "unit")
+        .sortWithinPartitions("unit")
+        .mapInPandas(lambda batches: _unit_edges(batches, keys, radius, size_ratio), "a long, b long")
     )
-    return found if links == "spanning" else found.distinct()
 
 
 def simhash_classes(
@@ -364,7 +407,8 @@ def simhash_classes(
         with_fingerprint(slim.withColumn("text_hash", F.xxhash64("text")), "text", words_per_shingle).drop("text"),
         "fingerprints",
     )
-    roots = connected_components(hamming_links(prints, radius), "a", "b")
+    distinct = prints.select(F.col("fingerprint").alias("id")).distinct()
+    roots = connected_components(hamming_links(distinct, radius), "a", "b")
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     rooted = materialize(
         nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
@@ -379,26 +423,103 @@ def simhash_classes(
     )
 
 
-_FILTER_BITS = 26
-
+def _shared_shingles(unit: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, number of common hashes) of each two rows of one unit that have any in common.
 
-def listed_only(rows: DataFrame, listed: DataFrame, hash_col: str) -> DataFrame:
-    """``rows`` whose hash may be in ``listed``: a bitmap of 2^26 bits lets all of those pass.
-
-    The bitmap is at most 2048 rows of 4 kB, whatever the data; a full one lets every row pass.
+    ``hashes`` holds the sets of all rows one after another. Hashes that few rows of a unit
+    share are paired up from their lists, the others by a matrix product per unit.
     """
+    n = len(lengths)
+    owner = np.repeat(np.arange(n), lengths)
+    order = np.lexsort((hashes, unit[owner]))
+    owner, sorted_hashes, sorted_unit = owner[order], hashes[order], unit[owner[order]]
+    fresh = np.ones(len(owner), dtype=bool)
+    fresh[1:] = (sorted_hashes[1:] != sorted_hashes[:-1]) | (sorted_unit[1:] != sorted_unit[:-1])
+    starts = np.flatnonzero(fresh)
+    posted = np.diff(np.append(starts, len(owner)))
+    codes, weights = [], []
+    for p in np.unique(posted[(posted > 1) & (posted <= _FEW)]):
+        lists = np.sort(owner[starts[posted == p][:, None] + np.arange(p)], axis=1)
+        a, b = np.triu_indices(p, 1)
+        found, times = np.unique(lists[:, a] * n + lists[:, b], return_counts=True)
+        codes.append(found)
+        weights.append(times)
+    many = starts[posted > _FEW]
+    for u in np.unique(sorted_unit[many]):
+        own = many[sorted_unit[many] == u]
+        rows = np.unique(owner[np.searchsorted(sorted_unit, u) : np.searchsorted(sorted_unit, u, side="right")])
+        holds = np.zeros((len(rows), len(own)), dtype=np.float32)
+        for k, (at, p) in enumerate(zip(own, posted[np.searchsorted(starts, own)], strict=True)):
+            holds[np.searchsorted(rows, owner[at : at + p]), k] = 1
+        common = holds @ holds.T
+        a, b = np.nonzero(np.triu(common, 1))
+        codes.append(rows[a] * n + rows[b])
+        weights.append(common[a, b].astype(np.int64))
+    if not codes:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    code, where = np.unique(np.concatenate(codes), return_inverse=True)
+    return code // n, code % n, np.bincount(where, np.concatenate(weights)).astype(np.int64)
+
+
+_FEW = 64
+
+
+def _similar_edges(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Spanning edges of the pairs of each ``unit`` whose sets are similar; pairs of one class are skipped."""
+    for some in whole_groups(batches, "unit", lambda frame: sum(map(len, frame["hashes"])), 1 << 22):
+        # A document that is read twice brings its set twice.
+        some = some.drop_duplicates(["unit", "id"]).reset_index(drop=True)
+        ids, classes = some["id"].to_numpy().astype(np.int64), some["class"].to_numpy().astype(np.int64)
+        unit = np.unique(some["unit"].to_numpy().astype(str), return_inverse=True)[1]
+        lengths = np.array([len(x) // 8 for x in some["hashes"]], dtype=np.int64)
+        i, j, common = _shared_shingles(unit, lengths, np.frombuffer(b"".join(some["hashes"]), dtype="<u8"))
+        near = (common >= similarity * (lengths[i] + lengths[j] - common)) & (classes[i] != classes[j])
+        labels = union_labels(np.arange(len(some)), i[near], j[near])
+        linked = labels != np.arange(len(some))
+        yield pd.DataFrame({"a": ids[linked], "b": ids[labels[linked]]})
 
-    def place(c: str) -> Column:
-        return F.pmod(F.col(c), F.lit(1 << _FILTER_BITS))
 
-    bits = listed.groupBy(F.shiftright(place(hash_col), 15).alias("_part")).agg(
-        F.bitmap_construct_agg(place(hash_col) % 32768).alias("_bits")
-    )
-    at = place(hash_col) % 32768
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = F.expr("_byte div cast(pow(2, _at % 8) as int) % 2 = 1")
-    passed = rows.withColumn("_part", F.shiftright(place(hash_col), 15)).join(F.broadcast(bits), "_part")
-    return passed.withColumns({"_byte": byte, "_at": at}).where(is_set).drop("_part", "_bits", "_byte", "_at")
+def _verified_links(sets: DataFrame, similarity: float, block_hashes: int, block_sets: int) -> DataFrame:
+    """Edges ``a``, ``b`` that span the links of similarity within each group of ``sets``.
+
+    ``sets`` has ``id``, ``group``, ``size`` and ``hashes``. A group whose sets are within both
+    bounds is one unit. A larger one is dealt to blocks, each first searched in itself; what
+    links there is one class, and of the blocks' pairs only those remain in which one row is
+    outside the largest class of its group.
+    """
+    sizes = sets.groupBy("group").agg(F.sum("size").alias("hashes"), F.count("*").alias("n"))
+    parts = F.greatest(F.ceil(F.col("hashes") / F.lit(block_hashes)), F.ceil(F.col("n") / F.lit(block_sets))).cast("int")
+    sizes = materialize(sizes.select("group", parts.alias("parts")).where("parts > 1"), "large-groups")
+    placed = sets.join(sizes, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), "parts"))
+    search = {"func": lambda batches: _similar_edges(batches, similarity), "schema": "a long, b long"}
+
+    def searched(units: DataFrame, *unit) -> DataFrame:
+        named = units.select(F.concat_ws(":", *unit).alias("unit"), "id", "class", "hashes")
+        return materialize(named.repartition("unit").sortWithinPartitions("unit").mapInPandas(**search), "links")
+
+    alone = F.col("id").alias("class")
+    links = searched(placed.select("id", alone, "hashes", "group", "block"), "group", "block")
+    if sizes.isEmpty():
+        return links
+    roots = connected_components(links, "a", "b")
+    large = placed.where("parts > 1").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    large = materialize(large.withColumn("class", F.coalesce("component", "id")).drop("component"), "large-group-sets")
+    counts = large.groupBy("group", "class").count()
+    largest = counts.groupBy("group").agg(F.max(F.struct("count", "class")).alias("m")).select("group", F.col("m.class").alias("largest"))
+    large = large.join(materialize(largest, "largest-classes"), "group")
+    seeks = F.col("class") != F.col("largest")
+    # Only blocks that hold a row outside the largest class seek, and they meet every block.
+    seeking = large.where(seeks).groupBy("group").agg(F.sum("size").alias("hashes"), F.count("*").alias("n"))
+    fewer = F.greatest(F.ceil(F.col("hashes") / F.lit(block_hashes)), F.ceil(F.col("n") / F.lit(block_sets))).cast("int")
+    large = large.join(materialize(seeking.select("group", fewer.alias("seek_parts")), "seeking-groups"), "group")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), "seek_parts")
+    as_home = large.withColumn("seek_block", F.explode(F.sequence(F.lit(0), F.col("seek_parts") - 1)))
+    as_seeker = large.where(seeks).withColumn("seek_block", own)
+    as_seeker = as_seeker.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["id", "class", "hashes", "group", "block", "seek_block"]
+    return links.unionByName(searched(as_home.select(*columns).unionByName(as_seeker.select(*columns)), "group", "block", "seek_block"))
 
 
 def similar_classes(
@@ -407,97 +528,54 @@ def similar_classes(
     text_col: str = "text",
     words_per_shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 20,
-    wide_radius: int = 60,
+    radius: int = 60,
+    block_hashes: int = 1 << 18,
+    block_sets: int = 1024,
 ) -> DataFrame:
-    """As :func:`simhash_classes`, by Jaccard similarity of word shingles instead of bits alone.
-
-    Both fingerprints are of the set of shingles: a repeated one counts once, as in the similarity.
-    Texts with equal sets are one node of the search, all others join by verified links alone:
-    the sets of both texts have a similarity of at least ``similarity``. Candidates are searched
-    by the 16 words of a second, wider fingerprint. A pair at 0.8 differs in 15 % of the bits: it
-    agrees in one of 16 words of 16 bits but for a bit with a chance of 0.99, and ``radius``
-    bits of 64 and ``wide_radius`` of 256 lie over three standard deviations above what such a
-    pair shows.
-
-    So that a crowd of near copies does not give all its pairs, nodes first link to near ones of
-    other classes, round by round until no class joins. The search for all pairs that follows has
-    every node and leaves out only pairs whose texts share a class already.
+    """As :func:`simhash_classes`, by Jaccard similarity of sets of word shingles instead of bits alone.
+
+    Texts with equal sets are one node, all others join by verified links alone: the sets of both
+    texts have a similarity of at least ``similarity``. The trees search a fingerprint of 256 bits
+    of each set, in which a repeated shingle counts once. A pair at 0.8 differs in 15 % of the bits:
+    it agrees in one of 16 words of 16 bits but for a bit with a chance of 0.99, and ``radius`` bits
+    lie over three standard deviations above what such a pair shows.
+
+    Shards return spanning edges, so a crowd gives no pairs. What they span is a group; sets of one
+    group meet, block by block where a group is large, and all their pairs are verified but those
+    whose texts are joined already. ``class`` is the smallest node of a class. An empty table gives
+    an empty result.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    text_hash = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")
 
-    @F.pandas_udf("node long, fingerprint long, words array<int>, shingles long")
+    @F.pandas_udf("node long, bits binary, size int")
     def prints_of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, words_per_shingle) for t in texts]
         nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
-        bits = np.array([majority(x) for x in sets], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"node": nodes, "fingerprint": bits, "words": [wide_words(x) for x in sets], "shingles": [len(x) for x in sets]})
-
-    prints = slim.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), prints_of("text").alias("p"))
-    prints = materialize(prints.select("doc_id", "text_hash", "p.*"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "fingerprint", "shingles", "words"))
-    nodes = prints.groupBy("node").agg(first.alias("first")).select(F.col("node").alias("id"), "first.*")
-    nodes = materialize(nodes.drop("no_id"), "nodes")
-    keyed = slim.withColumn("text_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
-
-    @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict[str | None, np.ndarray] = {}
-
-        def set_of(text: str | None) -> np.ndarray:
-            if text not in known:
-                if len(known) >= 1024:
-                    known.clear()
-                known[text] = shingle_set(text, words_per_shingle)
-            return known[text]
-
-        return pd.Series([overlap(set_of(x), set_of(y)) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    def verified(classed: DataFrame, words: Column, links: str) -> DataFrame:
-        """Links of two classes among the candidates of a search by ``words``."""
-        values = classed.select("id", "class", "fingerprint", words.alias("words"))
-        pairs = materialize(hamming_links(values, radius, links=links), "near-pairs")
-        for x in "ab":
-            side = nodes.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "doc_id", "text_hash", "shingles", "words")])
-            pairs = pairs.join(side, F.col(x) == F.col(f"{x}_id"))
-        apart = F.zip_with("a_words", "b_words", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        # Sets of very different size cannot be similar.
-        smaller, larger = F.least("a_shingles", "b_shingles"), F.greatest("a_shingles", "b_shingles")
-        pairs = pairs.where((smaller >= similarity * larger) & (F.aggregate(apart, F.lit(0), lambda n, x: n + x) <= wide_radius))
-        pairs = materialize(pairs.drop("a_words", "b_words"), "near-pairs")
-        side = F.explode(F.array(*[
-            F.struct(F.lit(x).alias("side"), F.col(f"{x}_doc_id").alias("id"), F.col(f"{x}_text_hash").alias("text_hash")) for x in "ab"
-        ]))
-        ends = pairs.select("a", "b", side.alias("e")).select("a", "b", "e.*")
-        texts = listed_only(keyed, ends, "text_hash").join(ends, ["text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
-        # Two texts come together per pair; rows that repeat an id and a text give the same text once more.
-        sided = texts.groupBy("a", "b").agg(*[F.max(F.when(F.col("side") == x, F.col("text"))).alias(f"{x}_text") for x in "ab"])
-        return materialize(sided.where(similar("a_text", "b_text") >= similarity).select("a", "b"), "links")
-
-    links = nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    roots = None
-    classed = nodes.withColumn("class", F.lit(0).cast("long"))
-    while True:
-        # After the first round only crowds search on; the others have no link to offer here.
-        some = classed if roots is None else classed.where("class <> 0")
-        found = verified(some, words_of(F.col("fingerprint"), 6), "nearest")
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        roots = connected_components(links, "a", "b")
-        classed = materialize(
-            nodes.join(roots, F.col("id") == F.col("node"), "left").select(*nodes.columns, F.coalesce("component", F.lit(0)).alias("class")),
-            "classed",
-        )
-    links = links.unionByName(verified(classed, F.col("words"), "all"))
+        return pd.DataFrame({"node": nodes, "bits": [wide_fingerprint(x) for x in sets], "size": [len(x) for x in sets]})
+
+    prints = materialize(slim.select("doc_id", text_hash, prints_of("text").alias("p")).select("doc_id", "text_hash", "p.*"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "size", "bits"))
+    nodes = materialize(prints.groupBy("node").agg(first.alias("first")).select(F.col("node").alias("id"), "first.*"), "nodes")
+    groups = connected_components(hamming_links(nodes, radius, WIDE_KEYS, similarity), "a", "b")
+    members = nodes.join(groups.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
+    members = materialize(members.select("id", "group", "size", F.col("doc_id").alias("first_id"), "text_hash"), "members")
+
+    @F.pandas_udf("binary")
+    def hashes_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words_per_shingle).tobytes() for t in texts])
+
+    # One text of each node that has a group: shingled once more instead of kept for all.
+    texts = slim.select("doc_id", "text", text_hash).join(members, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    sets = materialize(texts.select("id", "group", "size", hashes_of("text").alias("hashes")), "shingle-sets")
+    links = _verified_links(sets, similarity, block_hashes, block_sets)
     roots = connected_components(links, "a", "b")
     final = nodes.join(roots, F.col("id") == F.col("node"), "left").select("id", "doc_id", F.coalesce("component", "id").alias("class"))
     final = materialize(final, "rooted")
     firsts = final.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     of_node = materialize(final.join(firsts, "class").select(F.col("id").alias("node"), "class", "component_id"), "classes")
-    return prints.join(of_node, "node").select(
-        F.col("doc_id").alias(id_col), "text_hash", "fingerprint", "component_id", "class"
-    )
+    release(nodes, members, sets, final)
+    return prints.join(of_node, "node").select(F.col("doc_id").alias(id_col), "text_hash", "component_id", "class")
 
 
 def keep_one_per_class(

@@ -59,8 +59,8 @@ def test_query_equals_brute_force(spark):
     assert len({r.component_id for r in got.values()}) < len(docs)
 
 
-@pytest.mark.parametrize("shard_rows", [16, 400])
-def test_links_are_exact_over_many_shards_and_blocks(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "sample_size"), [(16, 128), (16, 4096), (400, 128)])
+def test_links_are_exact_over_many_shards_and_blocks(spark, shard_rows, sample_size):
     rng = random.Random(5)
     values = [rng.getrandbits(64) for _ in range(300)]
     dense = rng.getrandbits(64)
@@ -70,8 +70,8 @@ def test_links_are_exact_over_many_shards_and_blocks(spark, shard_rows):
         values.append(v)
     values = sorted(set(values))
     signed = np.array(values, dtype=np.uint64).view(np.int64).tolist()
-    frame = spark.createDataFrame([(v,) for v in signed], "fingerprint long")
-    links = simhash.hamming_links(frame, radius=4, sample_size=128, shard_rows=shard_rows)
+    frame = spark.createDataFrame([(v,) for v in [*signed, None]], "id long")
+    links = simhash.hamming_links(frame, radius=4, sample_size=sample_size, shard_rows=shard_rows, block_rows=shard_rows)
     roots = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
     got = [roots.get(v, v) for v in signed]
     want = brute_components(signed, values)
@@ -132,21 +132,97 @@ def test_similar_texts_share_a_class(spark):
     assert not any(got[i * 6] == got[i * 6 + 5] for i in range(40))
 
 
-@pytest.mark.parametrize("size", [46, 100, 200])
+@pytest.mark.parametrize("size", [8, 20, 46, 100, 200])
 def test_pairs_at_the_threshold_become_candidates(size):
-    defaults = {k: p.default for k, p in inspect.signature(simhash.similar_classes).parameters.items()}
+    radius = inspect.signature(simhash.similar_classes).parameters["radius"].default
     rng = np.random.default_rng(size)
     found = 0
     for _ in range(400):
         both = round(size * 2 * 0.8 / 1.8)
         hashes = rng.integers(0, 1 << 64, 2 * size - both, dtype=np.uint64)
-        a, b = np.sort(hashes[:size]), np.sort(hashes[size - both :])
-        apart = np.bitwise_count(np.array(simhash.wide_words(a)) ^ np.array(simhash.wide_words(b)))
-        near = (simhash.majority(a) ^ simhash.majority(b)).bit_count() <= defaults["radius"]
-        found += near and apart.sum() <= defaults["wide_radius"] and apart.min() <= 1
+        sides = (np.sort(hashes[:size]), np.sort(hashes[size - both :]))
+        a, b = (np.frombuffer(simhash.wide_fingerprint(x), dtype="<u2") for x in sides)
+        apart = np.bitwise_count(a ^ b)
+        found += apart.sum() <= radius and apart.min() <= 1
     assert found >= 0.975 * 400
 
 
+@pytest.mark.parametrize("total", [10**3, 4 * 10**6, 10**9, 10**11])
+def test_keys_meet_all_near_fingerprints_and_few_random_ones(total):
+    keys = simhash.exact_keys(4, total)
+    assert simhash.random_partners(keys, total) <= 2048 or len(keys) == 20
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(4):
+        b ^= np.uint64(1) << rng.integers(0, 64, len(b)).astype(np.uint64)
+    apart = [np.bitwise_count(simhash.key_values(a[:, None], k) ^ simhash.key_values(b[:, None], k)) for k in keys]
+    assert (np.min(apart, axis=0) <= 1).all()
+
+
+def test_random_fingerprints_meet_as_few_as_planned():
+    rng = np.random.default_rng(2)
+    points = rng.integers(0, 1 << 64, 4_000_000, dtype=np.uint64)
+    keys = simhash.exact_keys(4, 10**9)
+    assert len(keys) > 3
+    met = 0
+    for key in keys:
+        values = simhash.key_values(points[:, None], key)
+        probes = simhash.key_values(points[:16, None], key)
+        met += sum(int((np.bitwise_count(values ^ p) <= 1).sum()) - 1 for p in probes) / len(probes)
+    planned = simhash.random_partners(keys, len(points))
+    assert planned < 60 and 0.5 * planned - 2 <= met <= 2 * planned + 2
+
+
+def brute_links(sets, similarity=0.8):
+    return {(i, j) for j in range(len(sets)) for i in range(j) if simhash.overlap(sets[i], sets[j]) >= similarity}
+
+
+@pytest.mark.parametrize(("hashes", "count"), [(1 << 18, 1024), (1500, 1024), (1 << 18, 7)])
+def test_verified_links_equal_brute_force(spark, hashes, count):
+    rng = np.random.default_rng(7)
+    sets, groups = [], []
+    for group in range(6):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        for _ in range([1, 2, 5, 40, 90, 150][group]):
+            own = base.copy()
+            edits = int(rng.integers(0, 12))
+            own[rng.choice(60, edits, replace=False)] = rng.integers(0, 1 << 63, edits, dtype=np.uint64)
+            sets.append(np.unique(own))
+            groups.append(group)
+    frame = spark.createDataFrame(
+        [(k, g, len(s), s.astype("<u8").tobytes()) for k, (s, g) in enumerate(zip(sets, groups, strict=True))],
+        "id long, group long, size int, hashes binary",
+    )
+    links = simhash._verified_links(frame.union(frame.limit(3)), 0.8, hashes, count)
+    roots = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
+    label = list(range(len(sets)))
+    for i, j in sorted(brute_links(sets)):
+        old, new = max(label[i], label[j]), min(label[i], label[j])
+        label = [new if x == old else x for x in label]
+    assert [roots.get(k, k) for k in range(len(sets))] == label
+    assert 1 < len(set(label)) < len(sets)
+
+
+@pytest.mark.parametrize("length", [9, 14, 30, 120])
+def test_recall_on_short_and_long_texts(spark, length):
+    rng = random.Random(length)
+    rows = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(length)]
+        rows.append(base)
+        # One word more at an end, and for longer texts a word changed inside.
+        rows.append([*base, "end"])
+        if length > 30:
+            rows.append([*base[:50], "other", *base[51:]])
+    texts = [" ".join(r) for r in rows]
+    sets = [simhash.shingle_set(t) for t in texts]
+    near = brute_links(sets)
+    got = classes_of(spark, texts)
+    assert len(near) >= 60
+    assert sum(got[i] == got[j] for i, j in near) >= 0.97 * len(near)
+
+
 def classes_of(spark, texts):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r["class"] for r in simhash.similar_classes(frame).collect()}
@@ -170,7 +246,7 @@ def test_only_verified_links_join(spark):
         copy = words[:34] + [f"x{k}" for k in rng.integers(0, 1 << 40, 6)]
         a, b = (simhash.shingle_set(" ".join(x)) for x in (words, copy))
         # Below the similarity, yet so near that bits alone would join them.
-        if simhash.overlap(a, b) < 0.8 and (simhash.majority(a) ^ simhash.majority(b)).bit_count() <= 4:
+        if simhash.overlap(a, b) < 0.8 and (simhash.majority(a) ^ simhash.majority(b)).bit_count() <= 6:
             texts += [" ".join(words), " ".join(copy)]
     assert len(set(classes_of(spark, texts).values())) == len(texts)
 
