@@ -6,54 +6,67 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_BLOCK = 256
+
+
+def running(sizes: Column) -> Column:
+    """Sum of the integers before each place of an array, in time linear in its length.
+
+    Blocks of fixed length are summed first, so that no array grows one place at a time
+    over a whole long text.
+    """
+    n = F.ceil(F.size(sizes) / F.lit(_BLOCK)).cast("int")
+    blocks = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def block(k: Column) -> Column:
+        return F.slice(sizes, k * _BLOCK + 1, F.lit(_BLOCK))
+
+    none = F.expr("cast(array() as array<int>)")
+
+    def before(values: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct((acc["at"] + x).alias("at"), F.array_append(acc["seen"], acc["at"]).alias("seen"))
+
+        return F.aggregate(values, F.struct(start.cast("int").alias("at"), none.alias("seen")), step, lambda acc: acc["seen"])
+
+    starts = before(F.transform(blocks, lambda k: F.aggregate(block(k), F.lit(0), lambda a, x: a + x)), F.lit(0))
+    return F.flatten(F.zip_with(blocks, starts, lambda k, start: before(block(k), start)))
+
+
 def matches(text: Column, pattern: str, kind: str) -> Column:
     """Non-overlapping matches of a pattern: array of ``s``, ``e``, ``kind``, ``value``.
 
-    Offsets follow from the lengths of the matches and of the gaps between them.
+    Offsets follow from the lengths of the matches and of the gaps between them. A text
+    without a match is scanned once, up to its end.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
-    empty = F.expr("cast(array() as array<struct<s:int,e:int,kind:string,value:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    pairs = F.zip_with(gaps, values, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+    before = running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["value"])))
 
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["gap"])
-        e = s + F.length(pair["value"])
-        span = F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), pair["value"].alias("value"))
-        return F.struct(e.alias("at"), F.array_append(acc["found"], span).alias("found"))
+    def span(pair: Column, at: Column) -> Column:
+        s = (at + F.length(pair["gap"])).cast("int")
+        e = (s + F.length(pair["value"])).cast("int")
+        return F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), pair["value"].alias("value"))
 
-    pairs = F.zip_with(gaps, values, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    none = F.expr("cast(array() as array<struct<s:int,e:int,kind:string,value:string>>)")
+    return F.when(text.rlike(pattern), F.zip_with(pairs, before, span)).otherwise(none)
 
 
 def overlaps(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
 
-def longest_first(spans: Column, type_ddl: str) -> Column:
-    """Greedy choice without overlap: longest first, then leftmost; returned in text order."""
-
-    def before(a: Column, b: Column) -> Column:
-        la, lb = a["e"] - a["s"], b["e"] - b["s"]
-        return F.when(la != lb, lb - la).otherwise(a["s"] - b["s"])
-
-    none = F.expr(f"cast(array() as array<{type_ddl}>)")
-    kept = F.aggregate(
-        F.array_sort(spans, before),
-        none,
-        lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(k, s)), acc).otherwise(F.array_append(acc, s)),
-    )
-    return F.array_sort(kept, lambda a, b: a["s"] - b["s"])
-
-
 def splice(text: Column, spans: Column, replacement: str) -> Column:
-    """Replace disjoint spans, from the right, by their field ``replacement``."""
-    from_right = F.array_sort(spans, lambda a, b: b["s"] - a["s"])
-    return F.aggregate(
-        from_right,
-        text,
-        lambda t, x: F.overlay(t, x[replacement], x["s"] + 1, x["e"] - x["s"]),
+    """Replace disjoint spans by their field ``replacement``: each piece of the text is copied once."""
+    ordered = F.array_sort(spans, lambda a, b: a["s"] - b["s"])
+    upto = F.concat(F.array(F.lit(0)), F.transform(ordered, lambda x: x["e"]))
+    pieces = F.zip_with(
+        ordered,
+        F.slice(upto, F.lit(1), F.size(ordered)),
+        lambda x, at: F.concat(F.substring(text, at + 1, x["s"] - at), x[replacement]),
     )
+    return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(upto, -1) + 1, F.length(text)))
 
 
 def subtract(s: Column, e: Column, ranges: Column) -> Column:

@@ -19,17 +19,6 @@ STOPWORDS = (
 ).split()
 
 
-def start_mark() -> str:
-    """What may stand before a word at the start of a line, sentence or quotation."""
-    line = r"(?:^|\n)[ \t]*(?:[#>*+-]+|[0-9]+[.)])?[ \t]*(?:\*\*|__)?[ \t]*"
-    return "(?:" + line + r"|[.!?][\"'’”)\]]*\s+|[\"'‘“])[\"'‘“]?$"
-
-
-def list_mark() -> str:
-    """A bullet or number at the start of a line."""
-    return r"(?:^|\n)[ \t]*(?:[*+-]|[0-9]+[.)])[ \t]*(?:\*\*|__)?[ \t]*$"
-
-
 def title_tokens(toks: DataFrame) -> DataFrame:
     return toks.where(words.is_title(F.col("word")))
 
@@ -70,14 +59,26 @@ def outside_ranges(spans_of: DataFrame, ranges: DataFrame, key: str) -> DataFram
     return spans_of.join(r, inside, "left_anti")
 
 
-def case_evidence(toks: DataFrame, scope: str) -> DataFrame:
-    """Per ``scope`` and folded word: how often it stands in lower case and capitalised."""
-    lower = F.col("word").rlike(r"^\p{Ll}+$")
-    folded = F.replace(F.lower("word"), F.lit("ß"), F.lit("ss"))
-    counted = toks.groupBy(scope, folded.alias("folded")).agg(
-        F.count_if(lower).alias("n_lower"), F.count_if(words.is_title(F.col("word"))).alias("n_title")
-    )
-    return counted.where("n_lower > 0 or n_title > 0")
+#: What a lower-case word in it says nothing about prose: addresses, links, dotted or hyphenated names.
+NOT_PROSE = r"[\p{L}\p{N}_.+\-]+@[\p{L}\p{N}_\-]+(?:\.[\p{L}\p{N}_\-]+)+|[\p{L}\p{N}_]+://\S+|[\p{L}\p{N}_]+(?:[.\-][\p{L}\p{N}_]+)+"
+
+
+def prose(text: Column) -> Column:
+    """A text in which links, addresses and dotted or hyphenated names are blank."""
+    return F.regexp_replace(text, NOT_PROSE, " ")
+
+
+def case_evidence(toks: DataFrame, scope: str, in_prose: DataFrame | None = None) -> DataFrame:
+    """Per ``scope`` and folded word: how often it stands in lower case and capitalised.
+
+    Lower-case words count in ``in_prose`` if that is given (``scope``, ``word``; see
+    :func:`prose`), else in ``toks``; capitalised ones always in ``toks``.
+    """
+    low, folded = F.col("word").rlike(r"^\p{Ll}+$"), F.replace(F.lower("word"), F.lit("ß"), F.lit("ss")).alias("folded")
+    lower = (toks if in_prose is None else in_prose).where(low).select(scope, folded, F.lit(1).alias("low"), F.lit(0).alias("title"))
+    title = title_tokens(toks).select(scope, folded, F.lit(0).alias("low"), F.lit(1).alias("title"))
+    counted = lower.unionByName(title).groupBy(scope, "folded")
+    return counted.agg(F.sum("low").alias("n_lower"), F.sum("title").alias("n_title"))
 
 
 def case_runs(toks: DataFrame, key: str, evidence: DataFrame, proportionate: bool = True) -> DataFrame:
@@ -97,6 +98,42 @@ def case_runs(toks: DataFrame, key: str, evidence: DataFrame, proportionate: boo
     )
 
 
+#: Signs that may stand between the start of a line and its first word, and those that open an item of a list.
+LINE_SIGNS = " \t#>*+-_"
+ITEM_SIGNS = "*+-"
+OPENERS = "\"'‘“"
+CLOSERS = "\"'’”)]"
+
+
+def _without(text: Column, signs: str) -> Column:
+    return F.translate(text, signs, "")
+
+
+def word_position(gap: Column, first: Column, before: Column, gap_before: Column) -> tuple[Column, Column]:
+    """Whether a word opens a line, sentence or quotation, and whether it opens an item of a list.
+
+    ``gap`` is what parts the word from the one before, ``first`` whether it is the text's first
+    word, ``before`` and ``gap_before`` are the same of the word before: the number of a list
+    item is a word itself.
+    """
+    blank = F.lit("")
+    lead = F.substring_index(gap, "\n", -1)
+    fresh_line = first | gap.contains("\n")
+    opens_line = fresh_line & (_without(_without(lead, LINE_SIGNS), OPENERS) == blank)
+    bullet = fresh_line & (F.length(_without(lead, ITEM_SIGNS)) < F.length(lead)) & (_without(lead, " \t" + ITEM_SIGNS + "_") == blank)
+    own_line = (F.col("n") == 1) | gap_before.contains("\n")
+    numbered = F.coalesce(before.rlike("^[0-9]+$") & own_line, F.lit(False))
+    numbered &= (_without(F.substring_index(gap_before, "\n", -1), " \t") == blank) & F.substring(gap, 1, 1).isin(".", ")")
+    numbered &= _without(F.substring(gap, 2, 2**30), " \t*_") == blank
+    numbered = F.coalesce(numbered, F.lit(False))
+    unquoted = F.rtrim(gap, F.lit(OPENERS))
+    spaced = F.length(F.regexp_replace(unquoted, r"\s+$", "")) < F.length(unquoted)
+    ending = F.rtrim(F.regexp_replace(unquoted, r"\s+$", ""), F.lit(CLOSERS))
+    opens_sentence = spaced & F.substring(ending, -1, 1).isin(".", "!", "?")
+    quoted = F.length(unquoted) < F.length(gap)
+    return opens_line | bullet | numbered | opens_sentence | quoted, bullet | numbered
+
+
 def positional_noise(toks: DataFrame, key: str) -> DataFrame:
     """(``key``, ``word``) of capitalised words that owe the capital to their position.
 
@@ -106,14 +143,8 @@ def positional_noise(toks: DataFrame, key: str) -> DataFrame:
     """
     order = Window.partitionBy(key).orderBy("n")
     counted = toks.withColumns({"before": F.lag("word").over(order), "gap_before": F.lag("gap").over(order)})
-    # The number of a list item is a word itself.
-    number = F.coalesce(F.col("before").rlike("^[0-9]+$"), F.lit(False))
-    ahead = F.when(number, F.concat("gap_before", "before", "gap")).otherwise(F.col("gap"))
-    mark = F.when(F.col("n") <= F.when(number, 1).otherwise(0), ahead).otherwise(F.concat(F.lit("x"), ahead))
-    titled = title_tokens(counted)
-    placed = titled.groupBy(key, "word").agg(
-        F.bool_and(mark.rlike(start_mark())).alias("starts"), F.bool_or(mark.rlike(list_mark())).alias("listed")
-    )
+    starts, listed = word_position(F.col("gap"), F.col("n") == 0, F.col("before"), F.col("gap_before"))
+    placed = title_tokens(counted).groupBy(key, "word").agg(F.bool_and(starts).alias("starts"), F.bool_or(listed).alias("listed"))
     lower = toks.select(key, F.col("word").alias("low")).distinct()
     noted = placed.where("starts").withColumn("low", F.lower("word")).join(lower.withColumn("in_lower", F.lit(True)), [key, "low"], "left")
     return noted.where("listed or in_lower").select(key, "word")

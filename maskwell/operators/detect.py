@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from maskwell.functions import checks, spans, words
 
-SPAN = "struct<s:int,e:int,kind:string,value:string>"
-
 #: kind -> (pattern, check of a match or None). Postal codes, number plates and practice
 #: numbers have no check digit and are left out on purpose.
 RECOGNISERS = {
@@ -43,11 +41,6 @@ def pii_spans(texts: DataFrame, key: str, text: str = "text", kinds: list[str] |
     return texts.select(key, F.explode(pii_of(F.col(text), kinds)).alias("m")).select(key, "m.kind", "m.value", "m.s", "m.e")
 
 
-def disjoint_pii(text: Column, kinds: list[str] | None = None) -> Column:
-    """Spans without overlap: the longest first, then the leftmost."""
-    return spans.longest_first(pii_of(text, kinds), SPAN)
-
-
 def counts_by_kind(found: DataFrame, key: str) -> DataFrame:
     """Distinct values and occurrences per ``key`` and kind."""
     once = found.groupBy(key, "kind", "value").agg(F.count("*").alias("n"))

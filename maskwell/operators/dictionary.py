@@ -4,45 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from maskwell.functions import words
-from maskwell.functions.spans import longest_first
+from maskwell.functions.spans import running
+from maskwell.operators import overlap
+from maskwell.shared import materialize
 
 # Shortest surface and most edits of the fuzzy pass.
 FUZZY_LENGTH = 5
 FUZZY_EDITS = 2
-SPAN = "struct<s:int,e:int,surface:string,entity:bigint,pass_name:string>"
+
+
+def token_array(text: Column) -> Column:
+    """Words of a text in order: array of ``gap``, ``word``, ``s``, ``e``. Nothing leaves the row."""
+    found = words.words(text)
+    parts = F.zip_with(F.slice(F.split(text, words.WORD, -1), F.lit(1), F.size(found)), found, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
+    before = running(F.transform(parts, lambda p: F.length(p["gap"]) + F.length(p["word"])))
+
+    def placed(p: Column, at: Column) -> Column:
+        s = (at + F.length(p["gap"])).cast("int")
+        return F.struct(p["gap"].alias("gap"), p["word"].alias("word"), s.alias("s"), (s + F.length(p["word"])).cast("int").alias("e"))
+
+    return F.zip_with(parts, before, placed)
 
 
 def tokens(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key``, ``n``, ``word``, ``s``, ``e``, ``gap``: every word with its place and the gap before it."""
-    parts = F.arrays_zip(
-        F.split(F.col(text), words.WORD, -1).alias("gap"), F.array_append(words.words(F.col(text)), F.lit("")).alias("word")
-    )
-    rows = texts.select(key, F.posexplode(parts).alias("n", "p")).select(key, "n", "p.gap", "p.word")
-    before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.length("gap") + F.length("word")).over(before), F.lit(0)) + F.length("gap")
-    placed = rows.withColumn("s", used.cast("int")).where("word <> ''")
-    return placed.select(key, "n", "word", "s", (F.col("s") + F.length("word")).cast("int").alias("e"), "gap")
-
-
-def windows(toks: DataFrame, key: str, longest: int = 3) -> DataFrame:
-    """Runs of 1 to ``longest`` words parted by blanks or tabs only: ``s``, ``e``, ``k``, ``phrase`` (single spaces)."""
-    order = Window.partitionBy(key).orderBy("n")
-    rows = toks
-    for k in range(1, longest):
-        rows = rows.withColumns(
-            {f"w{k}": F.lead("word", k).over(order), f"g{k}": F.lead("gap", k).over(order), f"e{k}": F.lead("e", k).over(order)}
-        )
-    runs = [F.struct(F.lit(1).alias("k"), F.col("word").alias("phrase"), F.col("e").alias("e"))]
-    joined, open_run = F.col("word"), F.lit(True)
-    for k in range(1, longest):
-        open_run = open_run & F.coalesce(F.col(f"g{k}").rlike(r"^[ \t]+$"), F.lit(False))
-        joined = F.concat(joined, F.lit(" "), F.col(f"w{k}"))
-        runs.append(F.when(open_run, F.struct(F.lit(k + 1).alias("k"), joined.alias("phrase"), F.col(f"e{k}").alias("e"))))
-    found = rows.select(key, "s", F.explode(F.filter(F.array(*runs), lambda r: r.isNotNull())).alias("r"))
-    return found.select(key, "s", "r.e", "r.k", "r.phrase")
+    rows = texts.select(key, F.posexplode(token_array(F.col(text))).alias("n", "p"))
+    return rows.select(key, "n", "p.word", "p.s", "p.e", "p.gap")
+
+
+def window_array(toks: Column, longest: int = 3) -> Column:
+    """Runs of 1 to ``longest`` words of an array of :func:`token_array`: ``s``, ``e``, ``k``, ``phrase``."""
+    ahead = [F.slice(toks, F.lit(k + 1), F.greatest(F.lit(0), F.size(toks) - k)) for k in range(longest)]
+    zipped = F.arrays_zip(*[x.alias(f"t{k}") for k, x in enumerate(ahead)])
+
+    def runs(t: Column) -> Column:
+        first = t["t0"]
+        out = [F.struct(first["s"].alias("s"), first["e"].alias("e"), F.lit(1).alias("k"), first["word"].alias("phrase"))]
+        joined, whole = first["word"], F.lit(True)
+        for k in range(1, longest):
+            x = t[f"t{k}"]
+            whole = whole & F.coalesce(x["gap"].rlike(r"^[ \t]+$"), F.lit(False))
+            joined = F.concat(joined, F.lit(" "), x["word"])
+            run = F.struct(first["s"].alias("s"), x["e"].alias("e"), F.lit(k + 1).alias("k"), joined.alias("phrase"))
+            out.append(F.when(whole, run))
+        return F.filter(F.array(*out), lambda r: r.isNotNull())
+
+    return F.flatten(F.transform(zipped, runs))
+
+
+def windows(texts: DataFrame, key: str, longest: int = 3, text: str = "text") -> DataFrame:
+    """Runs of 1 to ``longest`` words parted by blanks or tabs only: ``key``, ``s``, ``e``, ``k``, ``phrase`` (single spaces)."""
+    tokenized = texts.select(key, token_array(F.col(text)).alias("t"))
+    return tokenized.select(key, F.explode(window_array(F.col("t"), longest)).alias("r")).select(key, "r.*")
 
 
 def entries(dictionary: DataFrame, surface_key: Column) -> DataFrame:
@@ -54,45 +69,77 @@ def entries(dictionary: DataFrame, surface_key: Column) -> DataFrame:
     return best.select("lookup", "first.surface", "first.entity", "n_entries")
 
 
-def match(found: DataFrame, dictionary: DataFrame, key: str, stopwords: list[str]) -> DataFrame:
-    """Windows with the entity of the first pass that hits: exact, folded, fuzzy.
+def exact_and_folded(dictionary: DataFrame) -> DataFrame:
+    """One row per folded surface: ``folded``, its first entry, and the entries of each surface as a map ``exact``."""
+    exact = entries(dictionary, F.col("surface"))
+    named = F.struct("surface", "entity", "n_entries")
+    per_fold = exact.groupBy(words.fold(F.col("lookup")).alias("folded")).agg(
+        F.map_from_entries(F.collect_list(F.struct("lookup", named.alias("entry")))).alias("exact")
+    )
+    folded = entries(dictionary, words.fold(F.col("surface")))
+    return per_fold.join(folded.select(F.col("lookup").alias("folded"), named.alias("first")), "folded")
+
+
+def pieces(name: Column, size: Column) -> Column:
+    """The three parts of a name: array of ``part`` (its number) and ``at``, ``length`` for names of ``size`` letters."""
+    third = F.floor(size / 3).cast("int")
+    bounds = [(F.lit(0), third), (third, third), (third * 2, size - third * 2)]
+    return F.array(*[
+        F.struct(F.lit(k).alias("part"), at.cast("int").alias("at"), n.cast("int").alias("length")) for k, (at, n) in enumerate(bounds)
+    ])
+
+
+def close_words(vocabulary: DataFrame, dictionary: DataFrame, stopwords: list[str]) -> DataFrame:
+    """``phrase`` of ``vocabulary`` with ``surface``, ``entity`` of the nearest name within one or two edits.
+
+    Single words of at least five letters with the same first letter as the name. Two edits
+    leave one of the three parts of a name whole, moved by two places or fewer: parts and
+    pieces of words are joined, and only what meets there is compared.
+    """
+    single = lambda c: ~F.col(c).contains(" ") & (F.length(c) >= FUZZY_LENGTH)
+    names = dictionary.where(single("surface")).select("surface", "entity", "ord", words.fold(F.col("surface")).alias("name"))
+    parted = names.withColumn("size", F.length("name")).withColumn("p", F.explode(pieces(F.col("name"), F.col("size"))))
+    initial = F.substring("surface", 1, 1).alias("initial")
+    parted = parted.select("surface", "entity", "ord", "name", "size", initial, "p.part", F.substring("name", F.col("p.at") + 1, F.col("p.length")).alias("piece"))
+    rest = vocabulary.where(single("phrase") & ~F.lower("phrase").isin(stopwords)).select("phrase", words.fold(F.col("phrase")).alias("word"))
+    near_size = F.sequence(F.greatest(F.lit(1), F.length("word") - FUZZY_EDITS), F.length("word") + FUZZY_EDITS)
+    sized = rest.withColumn("size", F.explode(near_size)).withColumn("p", F.explode(pieces(F.col("word"), F.col("size"))))
+    moved = sized.withColumn("move", F.explode(F.sequence(F.lit(-FUZZY_EDITS), F.lit(FUZZY_EDITS)))).where(F.col("p.at") + F.col("move") >= 0)
+    cut = F.substring("word", F.col("p.at") + F.col("move") + 1, F.col("p.length"))
+    sought = moved.select("phrase", "word", "size", F.substring("phrase", 1, 1).alias("initial"), "p.part", cut.alias("piece"))
+    met = sought.join(parted, ["size", "initial", "part", "piece"]).select("phrase", "word", "surface", "entity", "ord", "name")
+    distance = F.levenshtein("word", "name", FUZZY_EDITS)
+    near = met.where(distance > 0)
+    best = near.groupBy("phrase").agg(F.min_by(F.struct("surface", "entity"), F.struct(distance, "ord")).alias("m"))
+    return best.select("phrase", "m.surface", "m.entity")
+
+
+def match(texts: DataFrame, dictionary: DataFrame, key: str, stopwords: list[str], text: str = "text") -> DataFrame:
+    """Windows of texts with the entity of the first pass that hits: exact, folded, fuzzy.
 
     ``dictionary`` has ``surface``, ``entity``, ``ord`` (declaration order). A key shared by
-    several entries is reported as ``first_name``. The fuzzy pass takes single words of at
-    least five letters with the same first letter and one or two edits; stop-words never match
-    fuzzily. Windows are matched once per distinct phrase.
+    several entries is reported as ``first_name``. Windows meet the dictionary by their folded
+    form, which both first passes have in common; the fuzzy pass compares each word of the
+    vocabulary once. Stop-words never match fuzzily. Texts are read twice and never shuffled
+    as long as what they meet is small enough for the session to broadcast.
     """
-    phrases = found.select("phrase").distinct()
-    exact = entries(dictionary, F.col("surface"))
-    folded = entries(dictionary, words.fold(F.col("surface")))
-    hit = phrases.join(exact, F.col("phrase") == F.col("lookup")).select(
-        "phrase", "surface", "entity", F.when(F.col("n_entries") > 1, "first_name").otherwise("exact").alias("pass_name")
-    )
-    rest = phrases.join(hit.select("phrase"), "phrase", "left_anti").withColumn("folded", words.fold(F.col("phrase")))
-    near = rest.join(folded, F.col("folded") == F.col("lookup")).select(
-        "phrase", "surface", "entity", F.when(F.col("n_entries") > 1, "first_name").otherwise("normalized").alias("pass_name")
-    )
-    rest = rest.join(near.select("phrase"), "phrase", "left_anti")
-    rest = rest.where(~F.lower("phrase").isin(stopwords) & ~F.col("phrase").contains(" ") & (F.length("phrase") >= FUZZY_LENGTH))
-    names = dictionary.where(~F.col("surface").contains(" ") & (F.length("surface") >= FUZZY_LENGTH))
-    names = names.select("surface", "entity", "ord", words.fold(F.col("surface")).alias("name"))
-    # Joined on the first letter and, as two edits change it by at most two, on the length.
-    names = names.withColumn("size", F.explode(F.sequence(F.length("name") - FUZZY_EDITS, F.length("name") + FUZZY_EDITS)))
-    distance = F.levenshtein("folded", "name", FUZZY_EDITS)
-    close = rest.join(
-        names,
-        (F.substring("phrase", 1, 1) == F.substring("surface", 1, 1)) & (F.length("folded") == F.col("size")) & (distance > 0),
-    )
-    fuzzy = close.groupBy("phrase").agg(F.min_by(F.struct("surface", "entity"), F.struct(distance, "ord")).alias("m"))
-    fuzzy = fuzzy.select("phrase", "m.surface", "m.entity", F.lit("fuzzy").alias("pass_name"))
-    matched = hit.unionByName(near).unionByName(fuzzy)
-    return found.join(matched, "phrase").select(key, "s", "e", "phrase", "surface", "entity", "pass_name")
+    named = exact_and_folded(dictionary)
+    vocabulary = texts.select(F.explode(F.array_distinct(words.words(F.col(text)))).alias("phrase")).distinct()
+    unknown = vocabulary.withColumn("folded", words.fold(F.col("phrase"))).join(named.select("folded"), "folded", "left_anti")
+    fuzzy = materialize(close_words(unknown.select("phrase"), dictionary, stopwords), "close-words")
+    found = windows(texts, key, longest_window(dictionary), text)
+    by_fold = found.withColumn("folded", words.fold(F.col("phrase"))).join(named, "folded", "left")
+    by_word = by_fold.join(fuzzy.select("phrase", F.struct("surface", "entity", F.lit(1).cast("long").alias("n_entries")).alias("close")), "phrase", "left")
+    exact = F.try_element_at("exact", F.col("phrase"))
+    chosen = F.coalesce(exact, F.col("first"), F.col("close"))
+    shared = F.coalesce(exact["n_entries"], F.col("first.n_entries"), F.lit(1)) > 1
+    pass_name = F.when(shared, "first_name").when(exact.isNotNull(), "exact").when(F.col("first").isNotNull(), "normalized").otherwise("fuzzy")
+    return by_word.where(chosen.isNotNull()).select(key, "s", "e", "phrase", chosen["surface"].alias("surface"), chosen["entity"].alias("entity"), pass_name.alias("pass_name"))
 
 
 def disjoint(matched: DataFrame, key: str) -> DataFrame:
     """Matches without overlap, longest extent first, then leftmost."""
-    per = matched.groupBy(key).agg(F.collect_list(F.struct("s", "e", "surface", "entity", "pass_name")).alias("m"))
-    return per.select(key, F.explode(longest_first(F.col("m"), SPAN)).alias("m")).select(key, "m.*")
+    return overlap.disjoint(matched.select(key, "s", "e", "surface", "entity", "pass_name"), key)
 
 
 def longest_window(dictionary: DataFrame) -> int:

@@ -94,17 +94,41 @@ def inbox(candidates: DataFrame, order: list[str]) -> DataFrame:
     return numbered.withColumn("item_id", F.col("ordinal") + 1).drop("ordinal", "_all")
 
 
+def aligned_words(items: DataFrame, left: str, right: str, stopwords: list[str] | None = None) -> DataFrame:
+    """``items`` with ``words`` of ``left`` and ``pairs`` of ``word``, ``target``: words at the same place of both names.
+
+    Both need as many words. Stop-words, words without a letter and words of numbered
+    surrogates give no pair.
+    """
+    a, b = (F.split(F.trim(c), r"\s+") for c in (left, right))
+    zipped = F.zip_with(a, b, lambda x, y: F.struct(x.alias("word"), y.alias("target")))
+    fit = F.filter(
+        zipped,
+        lambda p: p["word"].rlike(r"\p{L}") & p["target"].rlike(r"\p{L}") & ~F.lower(p["word"]).isin([w.lower() for w in stopwords or []]),
+    )
+    numbered = words.is_reserved_provisional(F.col(left)) | words.is_reserved_provisional(F.col(right))
+    aligned = (F.size(a) == F.size(b)) & ~numbered
+    return items.withColumns({"words": a, "pairs": F.when(aligned, fit).otherwise(F.slice(fit, 1, 0))})
+
+
 def component_map(items: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
-    """``word`` of a real name -> ``target`` word of its surrogate, where unambiguous.
+    """``word`` of a real name (``value``) -> ``target`` word of its ``surrogate``, where unambiguous."""
+    parts = aligned_words(items, "value", "surrogate", stopwords).select(F.explode("pairs").alias("p")).select("p.word", "p.target")
+    return parts.groupBy("word").agg(F.min("target").alias("target"), F.max("target").alias("last")).where("target = last").drop("last")
+
+
+def pair_map(items: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
+    """``item_id``, ``value``, ``surrogate``, ``real``: every surface of an open item and what replaces it.
 
-    Names need two words or more and as many as their surrogate; stop-words and words with
-    other signs than letters are left out.
+    ``items`` has ``item_id``, ``value``, ``entity_type``, ``surrogate``. The name and its
+    variations become the surrogate and restore to the name; each word of the name becomes
+    the word of the surrogate at its place, where the whole inbox gives it one meaning.
     """
-    pairs = items.select(F.split(F.trim("value"), r"\s+").alias("a"), F.split(F.trim("surrogate"), r"\s+").alias("b"))
-    pairs = pairs.where((F.size("a") == F.size("b")) & (F.size("a") >= 2))
-    zipped = pairs.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select(F.col("p.a").alias("word"), F.col("p.b").alias("target"))
-    plain = zipped.where(F.col("word").rlike(r"^\p{L}+$") & ~F.lower("word").isin(stopwords or []))
-    return plain.groupBy("word").agg(F.min("target").alias("target"), F.max("target").alias("last")).where("target = last").drop("last")
+    whole = items.select("item_id", F.explode(variations(F.col("value"), F.col("entity_type"))).alias("surface"), "surrogate", F.col("value").alias("real"))
+    own = items.select("item_id", F.explode(F.array_distinct(F.split(F.trim("value"), r"\s+"))).alias("word"))
+    parts = own.join(component_map(items, stopwords), "word").select("item_id", F.col("word").alias("surface"), F.col("target").alias("surrogate"), F.col("word").alias("real"))
+    single = parts.join(whole.select("item_id", "surface"), ["item_id", "surface"], "left_anti")
+    return whole.unionByName(single.select(*whole.columns)).withColumnRenamed("surface", "value")
 
 
 def purge_collisions(items: DataFrame, surrogates: DataFrame) -> DataFrame:

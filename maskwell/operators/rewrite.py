@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions import spans, words
-from maskwell.operators import detect, minting
+from maskwell.operators import detect, minting, overlap
+from maskwell.shared import materialize
 
 
-def spans_with_surrogates(texts: DataFrame, key: str, minted: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Disjoint spans of each text with the surrogate of their value."""
-    found = texts.select(key, F.explode(detect.disjoint_pii(F.col("text"), kinds)).alias("m")).select(key, "m.*")
-    return found.join(minted.select("kind", "value", "surrogate"), ["kind", "value"])
+def located(found: DataFrame, minted: DataFrame, key: str) -> DataFrame:
+    """Disjoint spans of ``found`` (``key``, ``kind``, ``value``, ``s``, ``e``) with the surrogate of their value."""
+    return overlap.disjoint(found, key).join(minted.select("kind", "value", "surrogate"), ["kind", "value"])
 
 
 def blind(texts: DataFrame, key: str, located: DataFrame) -> DataFrame:
@@ -28,30 +28,45 @@ def blind(texts: DataFrame, key: str, located: DataFrame) -> DataFrame:
 def leaks(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
     """(``key``, ``value``) for each known value that stands in a text as whole words.
 
-    Words of the values are joined with words of the texts first; only texts that hold the
-    rarest part of a value, its longest word, are searched for the whole of it.
+    The longest word of each value is joined with the distinct words of the texts: only keys
+    and words travel. The texts of what meets are then searched for the whole value.
     """
     longest = F.element_at(
         F.array_sort(words.words(F.col("value")), lambda a, b: F.length(b) - F.length(a)), 1
     )
     named = known.select("value", longest.alias("word")).where("word is not null")
-    tokens = texts.select(key, text, F.explode(F.array_distinct(words.words(F.col(text)))).alias("word"))
-    near = tokens.join(named, "word")
+    tokens = texts.select(key, F.explode(F.array_distinct(words.words(F.col(text)))).alias("word"))
+    near = tokens.join(named, "word").select(key, "value").distinct()
     whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), words.quote(F.col("value")), F.lit(r"(?![\p{L}\p{N}_])"))
-    found = near.where(F.col(text).contains(F.col("value"))).where(F.regexp_count(F.col(text), whole) > 0)
-    return found.select(key, "value").distinct()
+    held = near.join(texts.select(key, text), key).where(F.col(text).contains(F.col("value")))
+    return held.where(F.regexp_count(F.col(text), whole) > 0).select(key, "value").distinct()
 
 
-def restore(texts: DataFrame, key: str, session: DataFrame) -> DataFrame:
-    """``texts`` with ``restored``: surrogates of the exchange become real values again.
+def restore_map(session: DataFrame, key: str, stopwords: list[str] | None = None) -> DataFrame:
+    """``key`` and ``back``, the map surrogate -> real of each exchange.
 
-    ``session`` has ``key``, ``surrogate``, ``real``; of repeated surrogates the last ``seq``
-    counts. One scan from left to right, longest surrogate first, whole words only; a suffix
-    of the closed list is carried over.
+    Of repeated surrogates the last ``seq`` counts. A word of a surrogate of several words
+    restores the word at its place in the real value, if both have as many words and the
+    exchange gives the word one meaning; whole surrogates win over such words.
     """
     last = session.groupBy(key, "surrogate").agg(F.max_by("real", "seq").alias("real"))
-    per = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("surrogate", "real"))).alias("back"))
-    joined = texts.join(per, key, "left")
+    parts = minting.aligned_words(last, "surrogate", "real", stopwords).where(F.size("words") >= 2)
+    parts = parts.select(key, F.explode("pairs").alias("p")).select(key, "p.word", "p.target")
+    single = parts.groupBy(key, "word").agg(F.min("target").alias("real"), F.max("target").alias("last"))
+    single = single.where("real = last").select(key, F.col("word").alias("surrogate"), "real")
+    extra = single.join(last.select(key, "surrogate"), [key, "surrogate"], "left_anti")
+    both = last.select(key, "surrogate", "real").unionByName(extra)
+    return both.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("surrogate", "real"))).alias("back"))
+
+
+def restore(texts: DataFrame, key: str, session: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
+    """``texts`` with ``restored``: surrogates of the exchange, and words of them, become real again.
+
+    ``session`` has ``key``, ``surrogate``, ``real``, ``seq``; see :func:`restore_map`. One scan
+    from left to right, longest surrogate first, whole words only; a suffix of the closed list
+    is carried over.
+    """
+    joined = texts.join(restore_map(session, key, stopwords), key, "left")
     return joined.select(*texts.columns, F.coalesce(restored(F.col("text"), F.col("back")), F.col("text")).alias("restored"))
 
 
@@ -78,8 +93,14 @@ def unresolved(texts: DataFrame, key: str, text: str, session: DataFrame) -> Dat
     return joined.where(F.col(text).contains(F.col("surrogate"))).where(F.regexp_count(F.col(text), whole) > 0).select(key, "surrogate")
 
 
+def contact_data(texts: DataFrame, key: str, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """One scan of all texts: (located spans with surrogates, minted values)."""
+    found = materialize(detect.pii_spans(texts, key, kinds=kinds), "contact-data")
+    minted = materialize(minting.mint_pii(found, key), "minted")
+    return located(found, minted, key), minted
+
+
 def blind_documents(texts: DataFrame, key: str, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The whole deterministic pass: detect, mint, splice. Returns (blinded texts, minted values)."""
-    minted = minting.mint_pii(detect.pii_spans(texts, key, kinds=kinds), key)
-    located = spans_with_surrogates(texts, key, minted, kinds)
-    return blind(texts, key, located), minted
+    """The pass over contact data: detect, mint, splice. Returns (blinded texts, minted values)."""
+    found, minted = contact_data(texts, key, kinds)
+    return blind(texts, key, found), minted

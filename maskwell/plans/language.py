@@ -74,7 +74,7 @@ def token_offsets(spark, sf_dir):
 
 @_query("token_windows_k3", f"WITH {HOPS_SQL}, {_windows_sql(TOKENS_SQL, 'hop')} SELECT hop, s, e, k, phrase FROM wins")
 def token_windows_k3(spark, sf_dir):
-    return dictionary.windows(hop_tokens(spark, sf_dir), "hop", 3)
+    return dictionary.windows(hops(spark, sf_dir), "hop", 3)
 
 
 @_query("title_token_counts", f"WITH {HOPS_SQL}, {TOKENS_SQL} SELECT hop, count(*) AS n_title FROM toks WHERE regexp_matches(word, '{TITLE}') GROUP BY hop")
@@ -88,20 +88,21 @@ def stopword_filter(spark, sf_dir):
     return kept.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
 
 
-# Dictionary of the benchmark items: their first two words and their longest word.
+# Dictionary of the benchmark items: their first two words, their longest word and their first word.
 DICT_SQL = f"""dict AS (
-  SELECT item_id AS entity, item_id * 2 AS ord, w[1] || ' ' || w[2] AS surface FROM (SELECT item_id, regexp_extract_all(text, '{W}') AS w FROM benchmark)
-  UNION ALL SELECT item_id, item_id * 2 + 1, list_min(list_transform(w, lambda x: (-length(x), x)))[2] FROM (SELECT item_id, regexp_extract_all(text, '{W}') AS w FROM benchmark))"""
+  SELECT item_id AS entity, item_id * 3 + j AS ord, CASE j WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN list_min(list_transform(w, lambda x: (-length(x), x)))[2] ELSE w[1] END AS surface
+  FROM (SELECT item_id, regexp_extract_all(text, '{W}') AS w FROM benchmark), (SELECT unnest([0, 1, 2]) AS j))"""
 
 
 def benchmark_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First words are shared by several items, as first names are."""
     w = words.words(F.col("text"))
     longest = F.array_min(F.transform(w, lambda x: F.struct((-F.length(x)).alias("k"), x.alias("w"))))["w"]
     items = table(spark, sf_dir, "benchmark").select(
-        "item_id", F.array(F.concat_ws(" ", F.slice(w, 1, 2)), longest).alias("surfaces")
+        "item_id", F.array(F.concat_ws(" ", F.slice(w, 1, 2)), longest, F.element_at(w, 1)).alias("surfaces")
     )
     rows = items.select(F.col("item_id").alias("entity"), F.posexplode("surfaces").alias("j", "surface"))
-    return rows.select("entity", (F.col("entity") * 2 + F.col("j")).alias("ord"), "surface")
+    return rows.select("entity", (F.col("entity") * 3 + F.col("j")).alias("ord"), "surface")
 
 
 def _fold_sql(x: str) -> str:
@@ -111,35 +112,62 @@ def _fold_sql(x: str) -> str:
     return folded
 
 
-L2_SQL = f"""{DICT_SQL}, {_windows_sql(DOC_TOKENS_SQL, 'doc_id')},
-phrases AS (SELECT DISTINCT phrase FROM wins),
+def keyed_sql(source: str = "documents", key: str = "doc_id") -> str:
+    """The passes apart, so that a query of one pass does not compute the others."""
+    return f"""{DICT_SQL}, {_windows_sql(f"toks AS ({sql_tokens(source, key)})", key)},
+phrases AS MATERIALIZED (SELECT phrase, {_fold_sql('phrase')} AS folded FROM (SELECT DISTINCT phrase FROM wins)),
 ex AS (SELECT surface AS lookup, arg_min((surface, entity), ord) AS f, count(*) AS n FROM dict GROUP BY surface),
 fo AS (SELECT {_fold_sql('surface')} AS lookup, arg_min((surface, entity), ord) AS f, count(*) AS n FROM dict GROUP BY 1),
 hit AS (SELECT phrase, f[1] AS surface, f[2] AS entity, CASE WHEN n > 1 THEN 'first_name' ELSE 'exact' END AS pass_name FROM phrases JOIN ex ON phrase = lookup),
 near AS (SELECT phrase, f[1] AS surface, f[2] AS entity, CASE WHEN n > 1 THEN 'first_name' ELSE 'normalized' END AS pass_name
-  FROM phrases JOIN fo ON {_fold_sql('phrase')} = lookup WHERE phrase NOT IN (SELECT phrase FROM hit)),
-rest AS (SELECT phrase, {_fold_sql('phrase')} AS folded FROM phrases WHERE phrase NOT IN (SELECT phrase FROM hit) AND phrase NOT IN (SELECT phrase FROM near)
-  AND lower(phrase) NOT IN ({_in(STOP)}) AND NOT contains(phrase, ' ') AND length(phrase) >= 5),
-close AS (SELECT phrase, surface, entity, levenshtein(folded, {_fold_sql('surface')}) AS dist, ord FROM rest JOIN dict
-  ON substr(phrase, 1, 1) = substr(surface, 1, 1) AND NOT contains(surface, ' ') AND length(surface) >= 5
-  AND levenshtein(folded, {_fold_sql('surface')}) BETWEEN 1 AND 2),
-fuzzy AS (SELECT phrase, arg_min((surface, entity), (dist, ord)) AS f FROM close GROUP BY phrase),
-matched AS (SELECT w.doc_id, w.s, w.e, w.phrase, m.surface, m.entity, m.pass_name FROM wins w JOIN (
-  SELECT * FROM hit UNION ALL SELECT * FROM near UNION ALL SELECT phrase, f[1], f[2], 'fuzzy' FROM fuzzy) m USING (phrase))"""
+  FROM phrases p JOIN fo ON folded = lookup WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.phrase = p.phrase))"""
+
+
+FUZZY_SQL = f"""rest AS MATERIALIZED (SELECT phrase, folded, substr(phrase, 1, 1) AS initial FROM phrases p WHERE NOT contains(phrase, ' ') AND length(phrase) >= 5
+  AND lower(phrase) NOT IN ({_in(STOP)}) AND folded NOT IN (SELECT lookup FROM fo)),
+names AS MATERIALIZED (SELECT surface, entity, ord, substr(surface, 1, 1) AS initial, {_fold_sql('surface')} AS name FROM dict WHERE NOT contains(surface, ' ') AND length(surface) >= 5),
+close AS (SELECT phrase, surface, entity, levenshtein(folded, name) AS dist, ord FROM rest JOIN names USING (initial)
+  WHERE abs(length(folded) - length(name)) <= 2 AND levenshtein(folded, name) BETWEEN 1 AND 2),
+fuzzy AS (SELECT phrase, arg_min((surface, entity), (dist, ord)) AS f FROM close GROUP BY phrase)"""
+_KEYED = "SELECT * FROM hit UNION ALL SELECT * FROM near"
+_FUZZY = "SELECT phrase, f[1] AS surface, f[2] AS entity, 'fuzzy' AS pass_name FROM fuzzy"
+
+
+def matched_sql(passes: str, key: str = "doc_id") -> str:
+    return f"matched AS (SELECT w.{key}, w.s, w.e, w.phrase, m.surface, m.entity, m.pass_name FROM wins w JOIN ({passes}) m USING (phrase))"
+
+
+def l2_sql(source: str = "documents", key: str = "doc_id") -> str:
+    return f"{keyed_sql(source, key)}, {FUZZY_SQL}, {matched_sql(f'{_KEYED} UNION ALL {_FUZZY}', key)}"
+
+
+def kept_sql(key: str = "doc_id") -> str:
+    """Greedy choice among ``matched``: longest first, then leftmost."""
+    return f"""per AS (SELECT {key}, list({{'s': s, 'e': e, 'surface': surface, 'entity': entity, 'pass_name': pass_name}} ORDER BY s - e, s) AS m FROM matched GROUP BY {key}),
+kept AS (SELECT {key}, list_reduce(list_transform(m, lambda x: [x]), lambda acc, y:
+  CASE WHEN list_bool_or(list_transform(acc, lambda k: k.s < y[1].e AND y[1].s < k.e)) THEN acc ELSE list_concat(acc, y) END) AS m FROM per),
+l2 AS (SELECT {key}, x.s AS s, x.e AS e, x.surface AS surface, x.entity AS entity, x.pass_name AS pass_name FROM (SELECT {key}, unnest(m) AS x FROM kept))"""
+
+
+L2_SQL = l2_sql()
+_PASS_SQL = {
+    "l2_exact": f"{keyed_sql()}, {matched_sql('SELECT * FROM hit')}",
+    "l2_folded": f"{keyed_sql()}, {matched_sql('SELECT * FROM near')}",
+    "l2_fuzzy_le2": f"{keyed_sql()}, {FUZZY_SQL}, {matched_sql(_FUZZY)}",
+    "l2_first_name_ambiguity": f"{keyed_sql()}, {matched_sql(_KEYED)}",
+}
 
 
 def l2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = benchmark_dictionary(spark, sf_dir)
-    found = dictionary.windows(dictionary.tokens(texts(spark, sf_dir), "doc_id"), "doc_id", dictionary.longest_window(names))
-    return dictionary.match(found, names, "doc_id", STOP)
+    return dictionary.match(texts(spark, sf_dir), benchmark_dictionary(spark, sf_dir), "doc_id", STOP)
 
 
-for _name, _passes in (("l2_exact", ["exact"]), ("l2_folded", ["normalized"]), ("l2_fuzzy_le2", ["fuzzy"]), ("l2_first_name_ambiguity", ["first_name"])):
+for _name, _pass in (("l2_exact", "exact"), ("l2_folded", "normalized"), ("l2_fuzzy_le2", "fuzzy"), ("l2_first_name_ambiguity", "first_name")):
 
-    def _run(spark, sf_dir, passes=tuple(_passes)):
-        return l2_matches(spark, sf_dir).where(F.col("pass_name").isin(*passes))
+    def _run(spark, sf_dir, pass_name=_pass):
+        return l2_matches(spark, sf_dir).where(F.col("pass_name") == pass_name)
 
-    _query(_name, f"WITH {L2_SQL} SELECT * FROM matched WHERE pass_name IN ({_in(_passes)})")(_run)
+    _query(_name, f"WITH {_PASS_SQL[_name]} SELECT * FROM matched WHERE pass_name = '{_pass}'")(_run)
 
 
 @_query("l2_pass_priority", f"WITH {L2_SQL} SELECT pass_name, count(*) AS n, count(DISTINCT entity) AS n_entities FROM matched GROUP BY pass_name")
@@ -149,11 +177,7 @@ def l2_pass_priority(spark, sf_dir):
 
 @_query(
     "span_overlap_dedup",
-    f"""WITH {L2_SQL},
-per AS (SELECT doc_id, list({{'s': s, 'e': e, 'surface': surface, 'entity': entity, 'pass_name': pass_name}} ORDER BY s - e, s) AS m FROM matched GROUP BY doc_id),
-kept AS (SELECT doc_id, list_reduce(list_transform(m, lambda x: [x]), lambda acc, y:
-  CASE WHEN list_bool_or(list_transform(acc, lambda k: k.s < y[1].e AND y[1].s < k.e)) THEN acc ELSE list_concat(acc, y) END) AS m FROM per)
-SELECT doc_id, x.s AS s, x.e AS e, x.surface AS surface, x.entity AS entity, x.pass_name AS pass_name FROM (SELECT doc_id, unnest(m) AS x FROM kept)""",
+    f"WITH {L2_SQL}, {kept_sql()} SELECT * FROM l2",
 )
 def span_overlap_dedup(spark, sf_dir):
     return dictionary.disjoint(l2_matches(spark, sf_dir), "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions import words
 from maskwell.operators import detect, minting, rewrite
+from maskwell.shared import materialize
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,9 +38,42 @@ LUHN = """(list_sum(list_transform(range(1, length(value) + 1), lambda i:
   CASE WHEN i % 2 = 0 THEN substr(reverse(value), i, 1)::INT * 2 - CASE WHEN substr(reverse(value), i, 1)::INT > 4 THEN 9 ELSE 0 END
   ELSE substr(reverse(value), i, 1)::INT END)) % 10 = 0)"""
 
-FOUND = f"""found AS ({sql_matches('documents', 'doc_id', words.EMAIL, 'email')}
-UNION ALL {sql_matches('documents', 'doc_id', words.PHONE, 'phone')}
-UNION ALL {sql_matches('documents', 'doc_id', words.CARD, 'card', LUHN)})"""
+def _digit_list(x: str) -> str:
+    return f"list_transform(string_split({x}, ''), lambda c: c::INT)"
+
+
+_PLAIN = "upper(regexp_replace(value, '[ \\-]', '', 'g'))"
+_TURNED = f"string_split(substr({_PLAIN}, 5) || substr({_PLAIN}, 1, 4), '')"
+
+
+def _digit_sums(digits: str, weights: list[int]) -> str:
+    return f"list_sum(list_transform(range(1, {len(weights) + 1}), lambda i: ({digits}[i] * {weights}[i]) // 10 + ({digits}[i] * {weights}[i]) % 10))"
+
+
+def _letter(at: int) -> str:
+    return f"lpad((ascii(substr(value, {at}, 1)) - 64)::VARCHAR, 2, '0')"
+
+
+#: Check of a match of each kind, as :data:`detect.RECOGNISERS` has them.
+CHECK_SQL = {
+    "card": LUHN,
+    "iban": f"""regexp_full_match({_PLAIN}, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') AND list_reduce(list_transform({_TURNED}, lambda c:
+  CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END), lambda a, d: CASE WHEN d > 9 THEN (a * 100 + d) % 97 ELSE (a * 10 + d) % 97 END) = 1""",
+    "de_tax": f"""len(list_distinct(string_split(substr(value, 1, 10), ''))) IN (8, 9) AND (11 - list_reduce(list_concat([10], {_digit_list('substr(value, 1, 10)')}),
+  lambda a, x: CASE WHEN (a + x) % 10 = 0 THEN 10 ELSE (a + x) % 10 END * 2 % 11)) % 10 = substr(value, 11, 1)::INT""",
+    "de_pension": f"({_digit_sums(_digit_list('(substr(value, 1, 8) || ' + _letter(9) + ' || substr(value, 10, 2))'), [2, 1, 2, 5, 7, 1, 2, 1, 2, 1, 2, 1])}) % 10 = substr(value, 12, 1)::INT",
+    "de_health": f"({_digit_sums(_digit_list('(' + _letter(1) + ' || substr(value, 2, 8))'), [1, 2] * 5)}) % 10 = substr(value, 10, 1)::INT",
+    "de_doctor": f"(10 - list_sum(list_transform(range(1, 7), lambda i: {_digit_list('value')}[i] * [4, 9, 4, 9, 4, 9][i])) % 10) % 10 = substr(value, 7, 1)::INT",
+}
+
+
+def found_sql(kinds: list[str], source: str = "documents", key: str = "doc_id") -> str:
+    each = [sql_matches(source, key, detect.RECOGNISERS[k][0], k, CHECK_SQL.get(k, "true")) for k in kinds]
+    return f"found AS ({' UNION ALL '.join(each)})"
+
+
+FOUND = found_sql(KINDS)
+ALL_FOUND = found_sql(list(detect.RECOGNISERS))
 
 MINTED = """firsts AS (SELECT kind, value, min((doc_id, s)) AS f FROM found GROUP BY ALL),
 minted AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY f, value) - 1 AS ordinal FROM firsts),
@@ -52,12 +86,13 @@ DISJOINT = """disjoint AS (SELECT a.* FROM found a WHERE NOT EXISTS (
   SELECT 1 FROM found b WHERE a.doc_id = b.doc_id AND a.s < b.e AND b.s < a.e
     AND (b.e - b.s > a.e - a.s OR (b.e - b.s = a.e - a.s AND b.s < a.s))))"""
 
-BLINDED = """located AS (SELECT d.doc_id, d.s, d.e, n.surrogate FROM disjoint d JOIN named n USING (kind, value)),
-pieces AS (SELECT l.doc_id, l.s, substr(t.text, coalesce(lag(l.e) OVER w, 0) + 1, l.s - coalesce(lag(l.e) OVER w, 0)) || l.surrogate AS piece, l.e
+LOCATED = "located AS (SELECT d.doc_id, d.s, d.e, n.surrogate FROM disjoint d JOIN named n USING (kind, value))"
+WOVEN = """pieces AS (SELECT l.doc_id, l.s, substr(t.text, coalesce(lag(l.e) OVER w, 0) + 1, l.s - coalesce(lag(l.e) OVER w, 0)) || l.surrogate AS piece, l.e
   FROM located l JOIN documents t USING (doc_id) WINDOW w AS (PARTITION BY l.doc_id ORDER BY l.s)),
 woven AS (SELECT doc_id, string_agg(piece, '' ORDER BY s) AS head, max(e) AS upto, count(*) AS n_spans FROM pieces GROUP BY doc_id),
 blinded AS (SELECT t.doc_id, coalesce(n_spans, 0) AS n_spans,
   CASE WHEN head IS NULL THEN text ELSE head || substr(text, upto + 1) END AS blinded FROM documents t LEFT JOIN woven USING (doc_id))"""
+BLINDED = f"{LOCATED}, {WOVEN}"
 
 
 def _query(name: str, sql: str | None = None):
@@ -135,6 +170,22 @@ def l1_german_health_id(spark, sf_dir):
     return detect.pii_spans(rows, "c_custkey", kinds=["de_health"]).select("c_custkey", "value")
 
 
+def _composed(name: str, kind: str, value: str) -> None:
+    """A query on numbers composed from customer keys: the documents hold none of their kind."""
+
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"concat('no. ', {value}) AS text")
+        return detect.pii_spans(rows, "c_custkey", kinds=[kind]).select("c_custkey", "value")
+
+    source = f"(SELECT c_custkey, 'no. ' || {value} AS text FROM customer)"
+    found = sql_matches(source, "c_custkey", detect.RECOGNISERS[kind][0], kind, CHECK_SQL[kind])
+    _query(name, f"SELECT c_custkey, value FROM ({found})")(run)
+
+
+_composed("l1_german_tax_id", "de_tax", "cast(10000000000 + c_custkey * 6700417 % 90000000000 AS string)")
+_composed("l1_german_pension_id", "de_pension", "concat(lpad(cast(c_custkey * 7919 % 100000000 AS string), 8, '0'), chr(cast(65 + c_custkey % 26 AS int)), lpad(cast(c_custkey % 1000 AS string), 3, '0'))")
+
+
 @_query(
     "l1_counts_by_kind",
     f"WITH {FOUND} SELECT doc_id, kind, count(DISTINCT value) AS n_values, count(*) AS n_spans FROM found GROUP BY ALL",
@@ -181,6 +232,7 @@ _WHOLE = r"'(^|[^\p{L}\p{N}_])' || regexp_escape(value) || '([^\p{L}\p{N}_]|$)'"
 def leak_gate_violations(spark, sf_dir):
     """Known values left in blinded texts; empty when the gate passes."""
     blinded, minted = rewrite.blind_documents(texts(spark, sf_dir), "doc_id", KINDS)
+    blinded = materialize(blinded.select("doc_id", "blinded"), "blinded")
     return rewrite.leaks(blinded, "doc_id", "blinded", minted.select("value"))
 
 
@@ -215,8 +267,7 @@ def reserved_form_check(spark, sf_dir):
 def round_trip_identity(spark, sf_dir):
     """Blinding, then restoring with the surrogates of each document, gives the text back."""
     docs = texts(spark, sf_dir)
-    minted = minting.mint_pii(detect.pii_spans(docs, "doc_id", kinds=KINDS), "doc_id")
-    located = rewrite.spans_with_surrogates(docs, "doc_id", minted, KINDS)
+    located, _ = rewrite.contact_data(docs, "doc_id", KINDS)
     blinded = rewrite.blind(docs, "doc_id", located)
     session = located.selectExpr("doc_id", "surrogate", "value AS real", "s AS seq")
     back = rewrite.restore(blinded.selectExpr("doc_id", "blinded AS text", "text AS original"), "doc_id", session)
@@ -227,8 +278,7 @@ def round_trip_identity(spark, sf_dir):
 def resolution_gate_violations(spark, sf_dir):
     """Surrogates of a document left in its restored text; empty when all were resolved."""
     docs = texts(spark, sf_dir)
-    minted = minting.mint_pii(detect.pii_spans(docs, "doc_id", kinds=KINDS), "doc_id")
-    located = rewrite.spans_with_surrogates(docs, "doc_id", minted, KINDS)
+    located, _ = rewrite.contact_data(docs, "doc_id", KINDS)
     session = located.selectExpr("doc_id", "surrogate", "value AS real", "s AS seq")
     blinded = rewrite.blind(docs, "doc_id", located).selectExpr("doc_id", "blinded AS text")
     return rewrite.unresolved(rewrite.restore(blinded, "doc_id", session), "doc_id", "restored", session)

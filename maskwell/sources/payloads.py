@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwell.operators import rewrite
+
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """``exchange_id``, ``payload``: one JSON request per line; lines that are no JSON are left out."""
@@ -55,31 +58,110 @@ def hops(requests: DataFrame) -> DataFrame:
     )
 
 
-def _walk(value: object, path: str, found: list[tuple[str, str]]) -> None:
-    if isinstance(value, str):
-        found.append((path, value))
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            _walk(v, f"{path}.{k}", found)
-    elif isinstance(value, list):
-        for k, v in enumerate(value):
-            _walk(v, f"{path}[{k}]", found)
+Leaf = tuple[str, str | None, str, Callable[[str], None]]
+
 
+def _walk(value: object, path: str, part: str | None, mode: str, put: Callable[[object], None]) -> Iterator[Leaf]:
+    """(path, part, text, setter) of each string below ``value``, in document order.
 
-def leaves(requests: DataFrame) -> DataFrame:
-    """``exchange_id``, ``leaf_no``, ``path``, ``text``: string values at any depth, in document order."""
+    ``part`` names what a rewrite may touch: ``system``, ``content``, ``tool`` and ``schema`` of
+    a request, ``answer`` of a response; null for the rest. ``mode`` tells how to read on:
+    blocks of a message, free JSON, a schema, or a named level of the envelope.
+    """
+    if isinstance(value, str):
+        yield path, part, value, put
+        return
+    items = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+    kind = value.get("type") if isinstance(value, dict) else None
+    for k, v in items:
+        below = f"{path}.{k}" if isinstance(value, dict) else f"{path}[{k}]"
+        inner: tuple[str | None, str] = (None, "other")
+        if isinstance(value, list):
+            # A bare string in a list of blocks is no block, a list of free JSON passes on.
+            inner = (None if isinstance(v, str) and mode in ("blocks", "schema") else part, mode)
+        elif mode == "json":
+            inner = (part, "json")
+        elif mode == "schema":
+            inner = ("schema" if k == "description" and isinstance(v, str) else None, "schema")
+        elif mode == "blocks":
+            reads = {("text", "text"): "other", ("tool_result", "content"): "blocks", ("tool_use", "input"): "json"}
+            if (kind, k) in reads:
+                inner = (part, reads[kind, k])
+        elif (mode, k) in _ENVELOPE:
+            inner = _ENVELOPE[mode, k]
+            if inner == ("tool", "other") and not isinstance(v, str):
+                inner = (None, "other")
+        yield from _walk(v, below, *inner, partial(value.__setitem__, k))
+
+
+_ENVELOPE: dict[tuple[str, str], tuple[str | None, str]] = {
+    ("request", "system"): ("system", "blocks"),
+    ("request", "messages"): (None, "message"),
+    ("request", "tools"): (None, "tool"),
+    ("message", "content"): ("content", "blocks"),
+    ("tool", "description"): ("tool", "other"),
+    ("tool", "input_schema"): (None, "schema"),
+    ("tool", "function"): (None, "tool"),
+    ("tool", "parameters"): (None, "schema"),
+    ("response", "content"): ("answer", "blocks"),
+    ("response", "choices"): (None, "choice"),
+    ("choice", "message"): (None, "answer"),
+    ("answer", "content"): ("answer", "blocks"),
+}
+
+
+def leaves(payloads: DataFrame, envelope: str = "request") -> DataFrame:
+    """``exchange_id``, ``leaf_no``, ``path``, ``part``, ``text``: string values at any depth, in document order.
+
+    ``envelope`` is ``request`` or ``response``. ``part`` is null for strings that a rewrite
+    leaves alone: roles, names, types, ids.
+    """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, payload in zip(batch["exchange_id"], batch["payload"], strict=True):
-                found: list[tuple[str, str]] = []
-                _walk(json.loads(payload), "$", found)
-                rows += [(key, k, path, text) for k, (path, text) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["exchange_id", "leaf_no", "path", "text"])
+                found = _walk(json.loads(payload), "$", None, envelope, lambda _: None)
+                rows += [(key, k, path, part, text) for k, (path, part, text, _) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["exchange_id", "leaf_no", "path", "part", "text"])
 
-    rows = requests.select(F.col("exchange_id").cast("long").alias("exchange_id"), "payload").where("payload is not null")
-    return rows.mapInPandas(walk, "exchange_id long, leaf_no long, path string, text string")
+    rows = payloads.select(F.col("exchange_id").cast("long").alias("exchange_id"), "payload").where("payload is not null")
+    return rows.mapInPandas(walk, "exchange_id long, leaf_no long, path string, part string, text string")
+
+
+def rebuild(payloads: DataFrame, rewritten: DataFrame, envelope: str = "request") -> DataFrame:
+    """``exchange_id``, ``payload`` with the leaves of ``rewritten`` (``exchange_id``, ``leaf_no``, ``text``) in place.
+
+    Leaves that are not named, and payloads of which none is, stay as they are.
+    """
+    per = rewritten.groupBy("exchange_id").agg(F.collect_list(F.struct("leaf_no", "text")).alias("l"))
+
+    @F.pandas_udf("string")
+    def put(payload: pd.Series, numbers: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for body, which, new in zip(payload, numbers, texts, strict=True):
+            # The envelope's own box lets a payload that is one string be set as well.
+            box = [json.loads(body)]
+            found = list(_walk(box[0], "$", None, envelope, partial(box.__setitem__, 0)))
+            for k, text in zip(which, new, strict=True):
+                found[k][3](text)
+            out.append(json.dumps(box[0], ensure_ascii=False, separators=(",", ":")))
+        return pd.Series(out)
+
+    joined = payloads.select("exchange_id", "payload").join(per, "exchange_id", "left")
+    changed = put("payload", F.coalesce("l.leaf_no", F.array().cast("array<long>")), F.coalesce("l.text", F.array().cast("array<string>")))
+    return joined.select("exchange_id", F.when(F.col("l").isNull(), F.col("payload")).otherwise(changed).alias("payload"))
+
+
+def restore_payloads(answers: DataFrame, session: DataFrame) -> DataFrame:
+    """Responses of either dialect with surrogates of their own exchange made real.
+
+    Text blocks, tool inputs and message contents are restored. ``session`` has ``exchange_id``,
+    ``surrogate``, ``real``, ``seq``.
+    """
+    parts = leaves(answers, "response").where("part is not null")
+    restored = rewrite.restore(parts, "exchange_id", session).where("text <> restored")
+    return rebuild(answers, restored.select("exchange_id", "leaf_no", F.col("restored").alias("text")), "response")
 
 
 def joined_text(found: DataFrame) -> DataFrame:

@@ -50,31 +50,41 @@ def step(held: str, before: str, chunk: str, back: dict[str, str], last: bool) -
     return "".join(out), text[cut:], (before + text[:cut])[-1:]
 
 
-def restore_stream(chunks: DataFrame) -> DataFrame:
+def restore_stream(chunks: DataFrame, idle_ms: int = 600_000) -> DataFrame:
     """Pieces of restored text for a stream of ``exchange_id``, ``seq``, ``chunk``, ``last``, ``session``.
 
     ``session`` is the exchange's map surrogate -> real as JSON. Chunks of one micro-batch are
-    put in order; a chunk flagged ``last`` flushes and clears the state of its exchange.
+    put in order; a chunk flagged ``last`` flushes and clears the state of its exchange. An
+    exchange that sends nothing for ``idle_ms`` is given up: what it still holds is sent.
     """
 
     def handle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, before = state.get if state.exists else ("", "")
-        rows = pd.concat(list(frames)).sort_values("seq")
+        held, before, seq, session = state.get if state.exists else ("", "", -1, "{}")
         out = []
+        if state.hasTimedOut:
+            piece, _, _ = step(held, before, "", json.loads(session), True)
+            state.remove()
+            if piece:
+                out.append((key[0], seq + 1, piece))
+            yield pd.DataFrame(out, columns=["exchange_id", "seq", "piece"])
+            return
+        rows = pd.concat(list(frames)).sort_values("seq")
         for r in rows.itertuples(index=False):
-            piece, held, before = step(held, before, r.chunk, json.loads(r.session), bool(r.last))
+            seq, session = int(r.seq), r.session
+            piece, held, before = step(held, before, r.chunk, json.loads(session), bool(r.last))
             if piece:
-                out.append((key[0], r.seq, piece))
+                out.append((key[0], seq, piece))
             if r.last:
                 held, before = "", ""
         if len(rows) and bool(rows["last"].iloc[-1]):
             state.remove()
         else:
-            state.update((held, before))
+            state.update((held, before, seq, session))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["exchange_id", "seq", "piece"])
 
     return chunks.groupBy("exchange_id").applyInPandasWithState(
-        handle, OUTPUT, "held string, before string", "append", GroupStateTimeout.NoTimeout
+        handle, OUTPUT, "held string, before string, seq long, session string", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

@@ -5,7 +5,7 @@ from oracle import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
 #: Gates that must find nothing.
-EMPTY = {"leak_gate_violations", "resolution_gate_violations", "mint_phone_pool_guard", "l2_first_name_ambiguity"}
+EMPTY = {"leak_gate_violations", "resolution_gate_violations", "mint_phone_pool_guard"}
 
 
 @pytest.fixture(scope="module")

@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from maskwell.functions import spans
 from maskwell.operators import candidates, dictionary, minting, records, rewrite
 from maskwell.operators.ordinal import with_ordinal
 from maskwell.sources import files, payloads
@@ -13,8 +15,7 @@ def l2(spark, text, names):
     texts = spark.createDataFrame([(1, text)], "id long, text string")
     entries = [(s, e, k) for k, (s, e) in enumerate(names)]
     table = spark.createDataFrame(entries, "surface string, entity long, ord long")
-    found = dictionary.windows(dictionary.tokens(texts, "id"), "id", dictionary.longest_window(table))
-    rows = dictionary.disjoint(dictionary.match(found, table, "id", ["darwin"]), "id").collect()
+    rows = dictionary.disjoint(dictionary.match(texts, table, "id", ["darwin"]), "id").collect()
     return [(text[r.s : r.e], r.entity, r.pass_name) for r in sorted(rows, key=lambda r: r.s)]
 
 
@@ -35,6 +36,79 @@ def test_positional_noise(spark):
     assert {r.word for r in noise.collect()} == {"Rules", "Assist", "Then", "Bold"}
 
 
+def brute_positional(text):
+    """Word by word from the text before it, as a reader would tell."""
+    found = list(re.finditer(r"\w+", text))
+    starts, listed = {}, {}
+    for m in found:
+        if not (m[0][0].isupper() and m[0][1:].isalpha() and m[0][1:].islower()):
+            continue
+        ahead = text[: m.start()]
+        line = ahead.rsplit("\n", 1)[-1]
+        item = re.fullmatch(r"[ \t]*([0-9]+[.)])[ \t*_]*|[ \t_]*[*+-][ \t*+_-]*", line) is not None
+        bare = ahead.rstrip("\"'‘“")
+        sentence = bare != bare.rstrip() and bare.rstrip().rstrip("\"'’”)]").endswith((".", "!", "?"))
+        start = item or sentence or bare != ahead or not line.strip(" \t#>*+-_\"'‘“")
+        starts.setdefault(m[0], []).append(start)
+        listed.setdefault(m[0], []).append(item)
+    words = {m[0] for m in found}
+    return {w for w, s in starts.items() if all(s) and (any(listed[w]) or w.lower() in words)}
+
+
+def test_positional_noise_equals_brute_force(spark):
+    rnd = random.Random(3)
+    parts = ["Anna", "anna", "Rule", "rule", "Then", "x", "12", "3", "Été", "été"]
+    gaps = [" ", " ", " ", ". ", "! ", "? ", ".) ", "\n", "\n- ", "\n* ", "\n12. ", "\n> ", "\n# ", ' "', " “", ", ", "\n\n", ": ", "\n 3) ", ".\" "]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(gaps) for _ in range(rnd.randint(1, 9))) for _ in range(400)]
+    texts = [rnd.choice(["", "- ", "1. ", '"', "# ", " "]) + t for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for r in candidates.positional_noise(dictionary.tokens(frame, "id"), "id").collect():
+        got.setdefault(r.id, set()).add(r.word)
+    for k, t in enumerate(texts):
+        assert got.get(k, set()) == brute_positional(t), t
+
+
+def test_evidence_counts_prose_only(spark):
+    text = "Northwind at info@northwind-x.de and https://northwind.de/a or northwind.txt; northwind-x, northwind and Northwind"
+    texts = spark.createDataFrame([(1, text)], "id long, text string")
+    toks = dictionary.tokens(texts, "id")
+    in_prose = dictionary.tokens(texts.select("id", candidates.prose(F.col("text")).alias("text")), "id")
+    got = {r.folded: (r.n_lower, r.n_title) for r in candidates.case_evidence(toks, "id", in_prose).collect()}
+    assert got["northwind"] == (1, 2) and "txt" not in got
+
+
+def brute_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_close_words_equal_brute_force(spark):
+    rnd = random.Random(6)
+    names = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(5, 8))) for _ in range(12)})
+    vocabulary = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(4, 10))) for _ in range(600)} - set(names))
+    entries = [(s, k, k) for k, s in enumerate(names)]
+    table = spark.createDataFrame(entries, "surface string, entity long, ord long")
+    found = dictionary.close_words(spark.createDataFrame([(v,) for v in vocabulary], "phrase string"), table, [])
+    want = {}
+    for v in vocabulary:
+        near = [(brute_edits(v, s), k, s) for k, s in enumerate(names) if v[0] == s[0] and len(v) >= 5]
+        if near and min(near)[0] <= 2:
+            want[v] = min(near)[2]
+    assert {r.phrase: r.surface for r in found.collect()} == want and len(want) > 50
+
+
+def test_running_sums_over_blocks(spark):
+    sizes = [[], [4], list(range(255)), list(range(256)), list(range(700))]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(sizes)], "k long, x array<int>")
+    for r in frame.select("k", "x", spans.running(F.col("x")).alias("got")).collect():
+        assert r.got == [sum(r.x[:i]) for i in range(len(r.x))]
+
+
 def test_ordinals_over_many_parts(spark):
     rows = [(("a", "b")[k % 7 == 0], (k * 37) % 1000) for k in range(1000)]
     frame = spark.createDataFrame(rows, "g string, v long").repartition(5)
