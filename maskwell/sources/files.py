@@ -10,18 +10,19 @@ from pyspark.sql.window import Window
 CAPTURE_BYTES = 10_000_000
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
+def read_captures(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
     """``file``, ``line_no``, ``record``, ``body``: lines of every capture before its first broken one.
 
-    A capture is a file of bounded size, so each is read as one row and cut into lines.
+    A capture is a file of bounded size, so each is read as one row and cut into lines. With
+    ``by`` a capture is a folder named by that column, as :func:`write_captures` leaves it.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    name = F.col("_metadata.file_name") if by is None else F.col(by).cast("string")
+    whole = spark.read.text(path, wholetext=True).select(name.alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "body")).where("body <> ''")
-    parsed = F.try_parse_json("body")
-    marked = lines.withColumn("ok", parsed.isNotNull())
-    first_bad = marked.groupBy("file").agg(F.min(F.when(~F.col("ok"), F.col("line_no"))).alias("bad"))
+    marked = lines.withColumn("v", F.try_parse_json("body"))
+    first_bad = marked.groupBy("file").agg(F.min(F.when(F.col("v").isNull(), F.col("line_no"))).alias("bad"))
     kept = marked.join(first_bad, "file").where(F.col("bad").isNull() | (F.col("line_no") < F.col("bad")))
-    return kept.select("file", "line_no", F.try_variant_get(F.try_parse_json("body"), "$.record", "string").alias("record"), "body")
+    return kept.select("file", "line_no", F.try_variant_get("v", "$.record", "string").alias("record"), "body")
 
 
 def capture_status(lines: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def capped(rows: DataFrame, key: str, order: str, body: str, limit: int = CAPTUR
 
 def write_captures(rows: DataFrame, path: str, key: str, order: str, body: str) -> None:
     """One folder of JSON lines per capture."""
-    capped(rows, key, order, body).select(key, body).repartition(key).sortWithinPartitions(key).write.mode("append").partitionBy(key).text(path)
+    capped(rows, key, order, body).repartition(key).sortWithinPartitions(key, order).select(key, body).write.mode("append").partitionBy(key).text(path)
 
 
 BUNDLE = (
