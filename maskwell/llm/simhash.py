@@ -319,8 +319,8 @@ def hamming_links(
     keys: list[Key] | None = None,
     size_ratio: float = 0.0,
     sample_size: int = 131_072,
-    shard_rows: int = 4096,
-    block_rows: int = 32_768,
+    shard_rows: int = 65_536,
+    block_rows: int = 131_072,
 ) -> DataFrame:
     """Edges ``a``, ``b`` that span all links of the rows ``id`` (long, distinct) of ``points``.
 
@@ -328,7 +328,7 @@ def hamming_links(
     that column the id is the fingerprint) or fewer, if they agree in one of ``keys`` but for a
     bit; by default those of :func:`exact_keys`, where the first implies the second. With a
     column ``size`` the smaller of the two must be at least ``size_ratio`` of the larger. Null
-    ids take no part; an empty table has no links.
+    ids take no part; an empty table has no links. ``points`` is read several times: give a stored table.
 
     The trees are fitted on at most ``sample_size`` rows (those of smallest hash), so each has at
     most an eighth as many shards and their size on the driver and in tasks is bounded; every row
@@ -337,7 +337,7 @@ def hamming_links(
     """
     spark = points.sparkSession
     columns = [c for c in ("id", "bits", "size") if c in points.columns]
-    points = materialize(points.where("id is not null").select(*columns), "points")
+    points = points.where("id is not null").select(*columns)
     total = points.count()
     keys = exact_keys(radius, total) if keys is None else keys
     levels = math.ceil(math.log2(max(1, total) / shard_rows)) if total > shard_rows else 0
@@ -407,7 +407,7 @@ def simhash_classes(
         with_fingerprint(slim.withColumn("text_hash", F.xxhash64("text")), "text", words_per_shingle).drop("text"),
         "fingerprints",
     )
-    distinct = prints.select(F.col("fingerprint").alias("id")).distinct()
+    distinct = materialize(prints.select(F.col("fingerprint").alias("id")).distinct(), "points")
     roots = connected_components(hamming_links(distinct, radius), "a", "b")
     nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     rooted = materialize(
@@ -423,6 +423,24 @@ def simhash_classes(
     )
 
 
+#: Slots of hashes: a bounded broadcast that tells most rows which a join will not match from the rest.
+SLOTS = 1 << 20
+
+
+def _slot(hashed: str) -> Column:
+    return F.pmod(F.col(hashed), F.lit(SLOTS)).alias("_slot")
+
+
+def split_by_slots(rows: DataFrame, hashed: str, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may match ``listed`` by ``hashed``, rows that cannot), so that the second need no shuffle.
+
+    At most ``SLOTS`` numbers are broadcast; once all slots are taken every row may match.
+    """
+    slots = F.broadcast(listed.select(_slot(hashed)).distinct())
+    keyed = rows.withColumn("_slot", _slot(hashed))
+    return keyed.join(slots, "_slot", "left_semi").drop("_slot"), keyed.join(slots, "_slot", "left_anti").drop("_slot")
+
+
 def _shared_shingles(unit: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, number of common hashes) of each two rows of one unit that have any in common.
 
@@ -566,7 +584,8 @@ def similar_classes(
         return pd.Series([shingle_set(t, words_per_shingle).tobytes() for t in texts])
 
     # One text of each node that has a group: shingled once more instead of kept for all.
-    texts = slim.select("doc_id", "text", text_hash).join(members, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    grouped, _ = split_by_slots(slim.select("doc_id", "text", text_hash), "text_hash", members)
+    texts = grouped.join(members, "text_hash").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     sets = materialize(texts.select("id", "group", "size", hashes_of("text").alias("hashes")), "shingle-sets")
     links = _verified_links(sets, similarity, block_hashes, block_sets)
     roots = connected_components(links, "a", "b")
@@ -587,13 +606,15 @@ def keep_one_per_class(
     null ids keeps the one with the smallest hash). Rows that repeat both id and text count
     as one. Null and empty texts are one class.
     """
-    key = [F.coalesce(F.col(id_col), F.lit(0)).alias("_id"), F.col(id_col).isNull().alias("_no_id")]
-    classes = similar_classes(docs, id_col, text_col, words_per_shingle, similarity)
-    keep = classes.select(*key, F.col("text_hash").alias("_hash"), "class")
-    keep = keep.groupBy("class").agg(F.min(F.struct("_no_id", "_id", "_hash")).alias("k"))
-    keep = materialize(keep.select("k._id", "k._no_id", "k._hash").distinct(), "kept")
-    names = docs.columns
-    hashed = F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).alias("_hash")
-    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), *key, hashed)
-    single = keyed.dropDuplicates(["_id", "_no_id", "_hash"])
-    return single.join(keep, ["_id", "_no_id", "_hash"], "left_semi").select("_row.*")
+    keys = ["no_id", "id", "hash"]
+    key = [F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), F.lit(0)).alias("id")]
+    hashed = F.coalesce(F.xxhash64(docs[text_col]), F.lit(0)).alias("hash")
+    classes = similar_classes(docs, id_col, text_col, words_per_shingle, similarity).select(*key, F.col("text_hash").alias("hash"), "class")
+    rows = materialize(classes.select(F.struct("no_id", "id", "hash").alias("k"), "class"), "class-members")
+    crowds = rows.groupBy("class").agg(F.min("k").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    crowded = materialize(rows.join(crowds, "class").select("k.*", (F.col("k") == F.col("kept")).alias("stays")).distinct(), "crowded")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *key, hashed)
+    # Rows alone in their class stay as they are; only the texts of the others are shuffled.
+    touched, alone = split_by_slots(keyed, "hash", crowded)
+    single = touched.dropDuplicates(keys).join(crowded.where("not stays"), keys, "left_anti")
+    return single.select("_row.*").unionByName(alone.select("_row.*"))
