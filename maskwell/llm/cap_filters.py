@@ -8,10 +8,10 @@ without trying all directions. Vectors meet in their filters and are verified th
 cosine in double precision.
 
 The number of directions follows from the data: it grows with the largest label so that a
-filter holds about ``load`` unrelated vectors. The bound is then lowered until random pairs
-at the threshold share ``shared`` filters on average and a share of ``meet`` of them have one
-in common, measured with the code itself: sums of a few blocks have shorter tails than the
-normal distribution of the first estimate.
+filter holds about ``load`` unrelated vectors. The bound is then lowered until a share of ``meet``
+of random pairs at the threshold have a filter in common, measured with the code itself: sums
+of a few blocks have shorter tails than the normal distribution of the first estimate. A
+filter more than that is one more copy of every vector in the shuffle.
 """
 
 from __future__ import annotations
@@ -47,10 +47,15 @@ class CapCode:
 
     @staticmethod
     def plan(
-        largest: int, cosine: float, dim: int, load: float = 64.0, shared: float = 16.0, codes: int = 16, meet: float = 0.995
+        largest: int, cosine: float, dim: int, load: float = 64.0, shared: float = 4.0, meet: float = 0.9995
     ) -> CapCode:
-        """Code for labels of at most ``largest`` vectors of ``dim`` components."""
+        """Code for labels of at most ``largest`` vectors of ``dim`` components.
+
+        Each vector joins the best filter of every code at least; the rarer a filter is, the more
+        codes give the fewest filters in all.
+        """
         normal = NormalDist()
+        codes = max(10, round(5.5 * math.log10(max(1, largest)) - 8))
         share = min(0.02, load / max(1, largest))
         bound = normal.inv_cdf(1 - share)
         # Probability that the partner of a vector in a filter is in it too (numerically).
@@ -58,14 +63,14 @@ class CapCode:
         density = np.exp(-x * x / 2)
         beyond = np.array([1 - normal.cdf((bound - cosine * v) / math.sqrt(1 - cosine**2)) for v in x])
         both = float((density * beyond).sum() / density.sum())
-        directions = shared / (both * share) / codes
+        directions = max(4.0, shared / (both * share) / codes)
         blocks = max(2, math.ceil(math.log(directions) / math.log(512)))
         code = CapCode(codes, blocks, max(2, math.ceil(directions ** (1 / blocks))), bound)
         a, b = _pairs_at(cosine, dim)
         while code.bound > 0:
             (row_a, name_a), (row_b, name_b) = code.decode(a), code.decode(b)
             common = np.intersect1d(name_a * len(a) + row_a, name_b * len(a) + row_b, assume_unique=True)
-            if len(common) >= shared * len(a) and len(np.unique(common % len(a))) >= meet * len(a):
+            if len(np.unique(common % len(a))) >= meet * len(a):
                 break
             code = replace(code, bound=code.bound - 0.05)
         return code
@@ -107,7 +112,7 @@ def _codebooks(dim: int, blocks: int, words: int, seed: int) -> list[tuple[np.nd
     return books
 
 
-def _pairs_at(cosine: float, dim: int, n: int = 1024, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_at(cosine: float, dim: int, n: int = 4096, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Random unit vectors and a partner of each at ``cosine``."""
     rng = np.random.default_rng(seed)
     a, b = rng.normal(size=(2, n, dim))
@@ -125,15 +130,19 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _first_shared(lists: np.ndarray, left: np.ndarray, right: np.ndarray, current: int) -> np.ndarray:
-    """Whether ``current`` is the smallest filter that both sides of each pair have."""
-    out = np.empty(len(left), dtype=bool)
-    step = max(1, (1 << 23) // max(1, lists.shape[1] ** 2))
-    for at in range(0, len(left), step):
-        a, b = lists[left[at : at + step]], lists[right[at : at + step]]
-        same = (a[:, :, None] == b[:, None, :]) & (a < current)[:, :, None] & (a >= 0)[:, :, None]
-        out[at : at + step] = ~same.any(axis=(1, 2))
-    return out
+def _share_smaller(filters: list[np.ndarray], current: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each two rows of ``left`` x ``right`` have a filter smaller than ``current`` in common.
+
+    One product of the rows' memberships in those filters, however many pairs there are.
+    """
+    owner = np.repeat(np.arange(len(filters)), [len(f) for f in filters])
+    flat = np.concatenate(filters)
+    owner, flat = owner[flat < current], flat[flat < current]
+    names, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    met = times[column] > 1
+    holds = np.zeros((len(filters), len(names)), dtype=np.float32)
+    holds[owner[met], column[met]] = 1
+    return holds[left] @ holds[right].T > 0
 
 
 def _verify(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFrame]:
@@ -145,24 +154,22 @@ def _verify(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataF
         sides = unit["block"].to_numpy()
         a, b = unit["block_a"].iloc[0], unit["block_b"].iloc[0]
         left, right = (np.flatnonzero(sides == a), np.flatnonzero(sides == b))
-        i, j = np.nonzero(x[left] @ x[right].T >= cosine)
-        i, j = left[i], right[j]
+        near = x[left] @ x[right].T >= cosine
         if a == b:
-            i, j = i[i < j], j[i < j]
-        if not len(i):
+            np.fill_diagonal(near, False)
+        if not near.any():
             continue
-        longest = max(map(len, unit["filters"]))
-        lists = np.full((len(unit), longest), -1, dtype=np.int64)
-        for k, f in enumerate(unit["filters"]):
-            lists[k, : len(f)] = f
-        new = _first_shared(lists, i, j, int(unit["filter"].iloc[0]))
-        copies = unit["copies"].to_numpy()
-        links = np.bincount(i[new], copies[j[new]], len(unit)) + np.bincount(j[new], copies[i[new]], len(unit))
-        labels = union_labels(np.arange(len(unit)), i, j)
+        new = near & ~_share_smaller(unit["filters"].tolist(), int(unit["filter"].iloc[0]), left, right)
+        copies, links = unit["copies"].to_numpy(), np.zeros(len(unit), dtype=np.int64)
+        links[left] += new @ copies[right]
+        if a != b:
+            links[right] += new.T @ copies[left]
+        i, j = np.nonzero(near)
+        labels = union_labels(np.arange(len(unit)), left[i], right[j])
         node = unit["node"].to_numpy()
         # The label of a class is its smallest position; any member serves as its centre.
         use = (links > 0) | (labels != np.arange(len(unit)))
-        yield pd.DataFrame({"node": node[use], "links": links[use].astype(np.int64), "centre": node[labels[use]]})
+        yield pd.DataFrame({"node": node[use], "links": links[use], "centre": node[labels[use]]})
 
 
 def link_embeddings(
@@ -172,8 +179,7 @@ def link_embeddings(
     label_col: str = "label",
     cosine: float = 0.93,
     load: float = 64.0,
-    shared: float = 16.0,
-    block: int = 512,
+    block: int = 2048,
 ) -> DataFrame:
     """One row per row of ``vectors``: ``id_col``, ``n_links``, ``component_id``, ``kept``.
 
@@ -197,7 +203,7 @@ def link_embeddings(
     )
     # One row per number of components.
     per_dim = nodes.groupBy("label", "dim").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
-    codes = {r.dim: CapCode.plan(r.n, cosine, r.dim, load, shared) for r in per_dim}
+    codes = {r.dim: CapCode.plan(r.n, cosine, r.dim, load) for r in per_dim}
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

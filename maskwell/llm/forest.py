@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -143,9 +144,9 @@ def nearest_neighbours(
     sent to the tasks. Nearness is Euclidean distance in double precision on the original
     vectors, ties go to the smaller id.
 
-    Rows with a null id, and vectors that are null, empty, zero, hold a null or non-finite
-    component or have not the most common number of components, take no part. A query is
-    never its own neighbour; rows that repeat its id count as its own. Of identical vectors
+    Rows with a null id, and vectors that are null, empty, zero or hold a null or non-finite
+    component, take no part. Vectors of as many components are searched among themselves, each
+    number with a forest of its own. A query is never its own neighbour; rows that repeat its id count as its own. Of identical vectors
     the ``k`` + 1 smallest ids stay candidates, as no list can hold more, and identical
     queries are searched once. An empty table gives an empty result.
     """
@@ -153,12 +154,21 @@ def nearest_neighbours(
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")
     ).where(F.col("id").isNotNull() & is_usable(F.col("vector")))
-    sizes = rows.groupBy(F.size("vector").alias("dim")).count()
-    common = sizes.orderBy(F.desc("count"), "dim").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if common is None:
-        return empty
-    rows = rows.where(F.size("vector") == common.dim)
+    # One row per number of components that a query has.
+    dims = [r.dim for r in rows.where("asks").select(F.size("vector").alias("dim")).distinct().orderBy("dim").collect()]
+    found = [
+        _search(rows.where(F.size("vector") == dim), k, trees, leaves, sample_size, search_share, block, seed) for dim in dims
+    ]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(
+    rows: DataFrame, k: int, trees: int, leaves: int, sample_size: int, search_share: float, block: int, seed: int
+) -> DataFrame:
+    """:func:`nearest_neighbours` of usable vectors of one length: ``id``, ``vector``, ``asks``."""
+    spark = rows.sparkSession
     # The limit per vector is applied in each task before the shuffle, so copies stay there.
     by_vector = Window.partitionBy("vector").orderBy("id")
     kept = rows.select("id", "vector").dropDuplicates().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)
