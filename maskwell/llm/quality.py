@@ -5,7 +5,8 @@
 2. Grouped aggregation over all documents gives the mean of each host and of each path of
    a host. Both shrink: a path toward its host and a host toward the global mean, by a
    strength that the method of moments estimates from the spread between groups.
-3. The posterior of a path replaces the global prior in the odds of its documents.
+3. The posterior of a path replaces the global prior in the odds of its documents. Each
+   document's own evidence is taken out of its sums first: it enters its odds once.
 """
 
 from __future__ import annotations
@@ -169,10 +170,31 @@ def _strength(groups: DataFrame, n: str, mean: str, prior: str, within: str) ->
     return float(min(1e6, max(1.0, inner / outer if outer > 1e-12 else 1e6)))
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """Posterior mean of every (``host``, ``path``) of ``scored``, and the global mean.
+@dataclass(frozen=True)
+class SitePriors:
+    """Sums of evidence per ``host`` and ``path`` and how strongly they shrink.
+
+    ``sums`` has ``host``, ``path``, ``n``, ``s`` of the path and ``host_n``, ``host_s`` of its host; ``mean`` is
+    that of all documents, ``of_hosts`` and ``of_paths`` are the pseudo-counts of the priors.
+    """
+
+    sums: DataFrame
+    mean: float
+    of_hosts: float
+    of_paths: float
+
+    def posteriors(self, own: Column | float = 0.0, counted: int = 0) -> tuple[Column, Column]:
+        """(mean of the host, mean of the path) in rows of ``sums``, without ``counted`` documents of evidence ``own``."""
+        own, one = own if isinstance(own, Column) else F.lit(own), F.lit(counted)
+        host = (F.col("host_s") - own + self.of_hosts * F.lit(self.mean)) / (F.col("host_n") - one + self.of_hosts)
+        return host, (F.col("s") - own + self.of_paths * host) / (F.col("n") - one + self.of_paths)
+
+
+def site_priors(scored: DataFrame) -> SitePriors:
+    """Sums and strengths from ``scored`` (``host``, ``path``, ``p``). A null host or path is a group of its own.
 
-    ``scored`` has ``host``, ``path`` and ``p``. A null host or path is a group of its own.
+    The strengths come from the spread of the groups around their priors: without it, as in an
+    empty table or with one group, a prior counts for a million documents.
     """
     paths = materialize(
         scored.groupBy("host", "path").agg(
@@ -182,20 +204,21 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     )
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = float(total.s / total.n) if total.n else 0.5
+
+    def within(frame: DataFrame) -> DataFrame:
+        frame = frame.withColumn("m", F.col("s") / F.col("n"))
+        return frame.withColumn("within", F.col("ss") - F.col("n") * F.col("m") * F.col("m"))
+
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
-    hosts = hosts.withColumns({"m": F.col("s") / F.col("n"), "prior": F.lit(mean)})
-    hosts = hosts.withColumn("within", F.col("ss") - F.col("n") * F.col("m") * F.col("m"))
+    hosts = materialize(within(hosts).withColumn("prior", F.lit(mean)), "hosts")
     of_hosts = _strength(hosts, "n", "m", "prior", "within")
-    hosts = materialize(
-        hosts.select("host", ((F.col("s") + of_hosts * F.lit(mean)) / (F.col("n") + of_hosts)).alias("host_mean")), "hosts"
-    )
+    slim = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     # The size of the host table decides the join: broadcast below the session's threshold.
-    joined = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
-    joined = joined.withColumn("m", F.col("s") / F.col("n"))
-    joined = materialize(joined.withColumn("within", F.col("ss") - F.col("n") * F.col("m") * F.col("m")), "paths")
-    of_paths = _strength(joined, "n", "m", "host_mean", "within")
-    posterior = (F.col("s") + of_paths * F.col("host_mean")) / (F.col("n") + of_paths)
-    return joined.select("host", "path", "host_mean", posterior.alias("path_mean")), mean
+    joined = paths.join(slim, paths["host"].eqNullSafe(slim["host"])).drop(slim["host"])
+    joined = materialize(within(joined), "paths")
+    prior = (F.col("host_s") + of_hosts * F.lit(mean)) / (F.col("host_n") + of_hosts)
+    of_paths = _strength(joined.withColumn("prior", prior), "n", "m", "prior", "within")
+    return SitePriors(joined.select("host", "path", "n", "s", "host_n", "host_s"), mean, of_hosts, of_paths)
 
 
 def _logit(p: Column) -> Column:
@@ -214,9 +237,11 @@ def with_quality(
 
     ``host`` and ``path`` are SQL expressions over ``docs``, such as
     ``parse_url(url, 'HOST')``. The odds of a document are its text odds times the odds of
-    its path over the global odds. Rows are never dropped: null texts get the evidence of an
-    empty text, null hosts and paths form groups, repeated rows all count. Columns of
-    ``docs`` with the names used here stay inside ``row``.
+    its path over the global odds, where ``host_mean`` and ``path_mean`` are those of the other
+    documents: one alone on its site gets the global prior. Rows are never dropped: null texts
+    get the evidence of an empty text, null hosts and paths form groups, repeated rows all
+    count. Columns of ``docs`` with the names used here stay inside ``row``. An empty table
+    gives an empty result.
     """
     parts = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
@@ -224,21 +249,16 @@ def with_quality(
         F.expr(path).cast("string").alias("path"),
     )
     scored = parts.withColumn("p", evidence(docs, model, f"row.{text_col}"))
-    posteriors, mean = site_posteriors(materialize(scored.select("host", "path", "p"), "evidence"))
-    posteriors = materialize(posteriors, "posteriors").withColumnsRenamed({"host": "h", "path": "q"})
-    joined = scored.join(
-        posteriors, scored["host"].eqNullSafe(posteriors["h"]) & scored["path"].eqNullSafe(posteriors["q"])
-    )
-    odds = _logit(F.col("p")) + _logit(F.col("path_mean")) - _logit(F.lit(mean))
-    return joined.select(
-        "row", F.col("p").alias("p_text"), "host_mean", "path_mean", (1 / (1 + F.exp(-odds))).alias("quality")
-    )
+    priors = site_priors(materialize(scored.select("host", "path", "p"), "evidence"))
+    sums = priors.sums.withColumnsRenamed({"host": "h", "path": "q"})
+    joined = scored.join(sums, scored["host"].eqNullSafe(sums["h"]) & scored["path"].eqNullSafe(sums["q"]))
+    host_mean, path_mean = priors.posteriors(F.col("p"), 1)
+    rated = joined.select("row", F.col("p").alias("p_text"), host_mean.alias("host_mean"), path_mean.alias("path_mean"))
+    odds = _logit(F.col("p_text")) + _logit(F.col("path_mean")) - _logit(F.lit(priors.mean))
+    return rated.withColumn("quality", 1 / (1 + F.exp(-odds)))
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.5, **options) -> DataFrame:
     """``docs`` without the documents whose quality is below ``threshold``."""
     return with_quality(docs, model, **options).where(F.col("quality") >= threshold).select("row.*")
 
-
-URL_HOST = "lower(parse_url(url, 'HOST'))"
-URL_PATH = "split(parse_url(url, 'PATH'), '/')[1]"
