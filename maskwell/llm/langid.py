@@ -1,18 +1,20 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts come from every labelled row of the training side by a grouped aggregation; the
-log-probability matrix (languages x buckets) goes to the tasks, which score batches of
-whole texts with numpy. Texts are read in segments, so a very long one needs no more
-memory than a short one.
+Counts come from every labelled row of the training side by a grouped aggregation and stay
+in a table. The log-probability matrix (languages x buckets) goes to the tasks, which score
+batches of whole texts with numpy, block of languages by block. Texts are read in segments,
+so a very long one needs no more memory than a short one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,9 +93,9 @@ class LanguageModel:
     log_prior: np.ndarray
     log_prob: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and posterior probability of each whole text; ties go to the first language."""
-        total = np.tile(self.log_prior[:, None], (1, len(texts))) if self.languages else np.zeros((0, len(texts)))
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability of each language and text, whether each text has a letter)."""
+        total = np.tile(self.log_prior[:, None], (1, len(texts)))
         seen = np.zeros(len(texts), dtype=bool)
         buckets = self.log_prob.shape[1]
         for rows, points in _segments(texts):
@@ -101,12 +103,47 @@ class LanguageModel:
             for row, bucket in _features(rows, points, buckets):
                 for k in range(len(self.languages)):
                     total[k] += np.bincount(row, weights=self.log_prob[k][bucket], minlength=len(texts))
-        if not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        best = total.argmax(axis=0)
-        score = 1.0 / np.exp(total - total.max(axis=0)).sum(axis=0)
-        names = [self.languages[b] if s else UNDETERMINED for b, s in zip(best, seen, strict=True)]
-        return names, np.where(seen, score, 0.0)
+        return total, seen
+
+    def best(self, texts: list[str | None]) -> pd.DataFrame:
+        """``lang``, ``top``, ``rest``, ``seen`` of each text: the best language of this block (the first of equal ones), its
+        log-probability, and the sum of all probabilities over that of the best."""
+        total, seen = self.totals(texts)
+        at = total.argmax(axis=0)
+        top = total[at, np.arange(len(texts))]
+        names = np.array(self.languages, dtype=object)[at]
+        return pd.DataFrame({"lang": names, "top": top, "rest": np.exp(total - top).sum(axis=0), "seen": seen})
+
+
+@dataclass(frozen=True)
+class LanguageModels:
+    """A model of any number of languages, loaded in blocks of at most ``block`` of them.
+
+    ``counts`` is a stored table with ``lang``, ``bucket``, ``n``; ``documents`` counts the rows of each
+    of ``languages``, in sorted order. The driver holds one block at a time.
+    """
+
+    counts: DataFrame
+    languages: tuple[str, ...]
+    documents: np.ndarray
+    buckets: int
+    smoothing: float
+    block: int
+
+    def __len__(self) -> int:
+        return -(-len(self.languages) // self.block)
+
+    def part(self, k: int) -> LanguageModel:
+        some = self.languages[k * self.block : (k + 1) * self.block]
+        of_block = self.counts.where((F.col("bucket") < self.buckets) & F.col("lang").between(some[0], some[-1]))
+        table = np.zeros((len(some), self.buckets))
+        at = {lang: row for row, lang in enumerate(some)}
+        # One row per language of the block, with at most as many pairs as there are buckets.
+        for r in of_block.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).toLocalIterator():
+            table[at[r.lang], r.b] = r.n
+        table += self.smoothing
+        prior = np.log(self.documents[k * self.block : (k + 1) * self.block]) - np.log(self.documents.sum())
+        return LanguageModel(some, prior, np.log(table) - np.log(table.sum(axis=1, keepdims=True)))
 
 
 def train(
@@ -115,14 +152,14 @@ def train(
     lang_col: str = "lang",
     buckets: int = 1 << 14,
     smoothing: float = 0.5,
-    max_languages: int = 1024,
-) -> LanguageModel:
+    block: int = 256,
+) -> LanguageModels:
     """Fit the model on every row of ``docs`` with a non-null language.
 
-    The model has languages x ``buckets`` numbers. More than ``max_languages`` languages
-    raise an error, which bounds what the driver holds and the tasks get. A null text counts
-    for the prior only. Without labelled rows the model has no language and answers
-    ``und`` for every text.
+    A block of the model has ``block`` x ``buckets`` numbers, which bounds what the driver holds
+    and a task gets at once, whatever the number of languages. A null text counts for the
+    prior only. Without labelled rows the model has no language and answers ``und`` for every
+    text.
     """
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
@@ -156,50 +193,46 @@ def train(
 
     counts = labelled.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "ngram-counts")
-    # One row per language first, so that the bound holds before any count is collected.
-    per_lang = counts.where(F.col("bucket") == buckets).limit(max_languages + 1).collect()
-    if len(per_lang) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    languages = tuple(sorted(r.lang for r in per_lang))
-    at = {lang: k for k, lang in enumerate(languages)}
-    table = np.zeros((len(languages), buckets))
-    prior = np.array([next(r.n for r in per_lang if r.lang == lang) for lang in languages], dtype=float)
-    for r in counts.where(F.col("bucket") < buckets).toLocalIterator():
-        table[at[r.lang], r.bucket] = r.n
-    table += smoothing
-    return LanguageModel(
-        languages,
-        np.log(prior) - np.log(prior.sum()) if len(languages) else prior,
-        np.log(table) - np.log(table.sum(axis=1, keepdims=True)),
-    )
-
+    # The last bucket counts documents: one short row per language.
+    per_lang = sorted((r.lang, r.n) for r in counts.where(F.col("bucket") == buckets).collect())
+    documents = np.array([n for _, n in per_lang], dtype=float)
+    return LanguageModels(counts, tuple(lang for lang, _ in per_lang), documents, buckets, smoothing, block)
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Column:
-    """Column of struct ``lang_pred`` string, ``score`` double for each whole text of ``docs``.
 
-    A null text, or one without a letter, gives ``und`` with score 0.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        names, score = shared.value.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": names, "score": score})
+def _best_of(shared: Broadcast):
+    @F.pandas_udf("lang string, top double, rest double, seen boolean")
+    def best(texts: pd.Series) -> pd.DataFrame:
+        return shared.value.best(texts.tolist())
 
-    return predict(F.col(text_col))
+    return best
 
 
-def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` in a struct ``row``, with ``lang_pred`` and ``score`` beside it.
+def with_language(docs: DataFrame, model: LanguageModels, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` in a struct ``row``, with ``lang_pred`` string and ``score`` double of its whole text beside it.
 
-    Columns of ``docs`` that bear these names stay inside ``row`` and clash with nothing.
+    A null text, or one without a letter, gives ``und`` with score 0. Equal languages go to the
+    first in sorted order. Columns of ``docs`` that bear these names stay inside ``row`` and clash
+    with nothing; an empty table gives an empty result.
     """
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return row.withColumn("p", identify(docs, model, f"row.{text_col}")).select("row", "p.lang_pred", "p.score")
+    spark = docs.sparkSession
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    if not len(model):
+        return rows.select("row", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    found = [_best_of(spark.sparkContext.broadcast(model.part(k)))(F.col(f"row.{text_col}")) for k in range(len(model))]
+    scored = rows.select("row", *[b.alias(f"b{k}") for k, b in enumerate(found)])
+    blocks = [F.col(f"b{k}") for k in range(len(found))]
+    top = F.greatest(*[b["top"] for b in blocks]) if len(blocks) > 1 else blocks[0]["top"]
+    # The first block with the highest value names the language.
+    first = F.coalesce(*[F.when(b["top"] == top, b["lang"]) for b in blocks])
+    whole = reduce(Column.__add__, [b["rest"] * F.exp(b["top"] - top) for b in blocks])
+    seen = blocks[0]["seen"]
+    return scored.select(
+        "row", F.when(seen, first).otherwise(UNDETERMINED).alias("lang_pred"), F.when(seen, 1 / whole).otherwise(0.0).alias("score")
+    )
 
 
 def keep_identified(
-    docs: DataFrame, model: LanguageModel, languages: list[str] | None = None, min_score: float = 0.5, text_col: str = "text"
+    docs: DataFrame, model: LanguageModels, languages: list[str] | None = None, min_score: float = 0.5, text_col: str = "text"
 ) -> DataFrame:
     """``docs`` without the rows of undetermined language or of a language not wanted.
 
