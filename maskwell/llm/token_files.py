@@ -6,7 +6,8 @@ encoded integers in stripes that tasks read in parallel; the minimum and maximum
 stripe and row group and a Bloom filter on the document id let a lookup skip the rest.
 
 Encoding goes word by word where the tokenizer allows it: one that drops white space gives
-the ids of each run between spaces on its own, and most runs come from a bounded cache.
+the ids of each run between spaces on its own, and most runs come from a cache. It is bounded
+in entries and holds short runs only, so it is bounded in bytes too.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from maskwell.llm.bpe import byte_alphabet
 ROW_GROUP = 1000
 _ROWS = 256
 _CACHE = 300_000
+#: Longest run or piece that is kept; its ids are at most a few hundred bytes.
+_KEPT = 64
 _LATIN = "a-zß-öø-ÿ"
 _SIMPLE = re.compile(rf"[!-~À-Ö{_LATIN}Ø-Þ]+")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
@@ -77,9 +80,12 @@ class CachedEncoder:
             pass
         if len(known) > _CACHE:
             known.clear()
+        long: dict[str, bytes] = {}
         for r in set(runs).difference(known):
-            known[r] = self._run(r)
-        return b"".join(map(known.__getitem__, runs))
+            (known if len(r) <= _KEPT else long)[r] = self._run(r)
+        if not long:
+            return b"".join(map(known.__getitem__, runs))
+        return b"".join([long[r] if len(r) > _KEPT else known[r] for r in runs])
 
     def _by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -97,7 +103,9 @@ class CachedEncoder:
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else "".join([self.to_char[b] for b in piece.encode()])
         ids = [t.id for t in self.library.model.tokenize(spelled)]
-        self.pieces[piece] = found = np.array(ids, dtype="<u4").tobytes()
+        found = np.array(ids, dtype="<u4").tobytes()
+        if len(piece) <= _KEPT:
+            self.pieces[piece] = found
         return found
 
 
@@ -107,6 +115,9 @@ def encoder(path: str) -> CachedEncoder:
     return CachedEncoder(path)
 
 
+SCHEMA = "doc_id long, tie long, n_tokens long, ids array<int>, part int"
+
+
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -155,8 +166,12 @@ def write_token_files(
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """Rows written; ``doc_ids`` are looked up through stripe statistics and Bloom filters."""
-    rows = spark.read.orc(path)
+    """Rows written; ``doc_ids`` are looked up through stripe statistics and Bloom filters.
+
+    A folder of no rows gives an empty table of the same columns with ``doc_id`` long; ids that
+    are not there give nothing, null ids are never found by lookup.
+    """
+    rows = spark.read.schema(SCHEMA).orc(path)
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
@@ -164,7 +179,8 @@ def token_positions(tokens: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of each row of token files.
 
     ``start`` is the number of ids of all rows before it. Only lengths are shuffled: a
-    running sum within each part, on top of the sum of the parts before it.
+    running sum within each part, on top of the sum of the parts before it. No row gives no row;
+    documents without an id have 0 tokens and the crc32 of nothing, 0.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +196,7 @@ def token_positions(tokens: DataFrame) -> DataFrame:
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     slim = tokens.mapInArrow(digest, f"part int, doc_id {kind}, tie long, n_tokens long, ids_crc32 long")
-    # One row per file.
+    # One row per file: that many numbers are added up in one task.
     parts = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
     before = Window.partitionBy("part").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
