@@ -97,14 +97,15 @@ def inbox(candidates: DataFrame, order: list[str]) -> DataFrame:
 def aligned_words(items: DataFrame, left: str, right: str, stopwords: list[str] | None = None) -> DataFrame:
     """``items`` with ``words`` of ``left`` and ``pairs`` of ``word``, ``target``: words at the same place of both names.
 
-    Both need as many words. Stop-words, words without a letter and words of numbered
-    surrogates give no pair.
+    Both need as many words. Stop-words, words of legal forms, words without a letter and
+    words of numbered surrogates give no pair.
     """
+    shared = sorted({w.lower() for form in words.LEGAL_FORMS for w in form.split()} | {w.lower() for w in stopwords or []})
     a, b = (F.split(F.trim(c), r"\s+") for c in (left, right))
     zipped = F.zip_with(a, b, lambda x, y: F.struct(x.alias("word"), y.alias("target")))
     fit = F.filter(
         zipped,
-        lambda p: p["word"].rlike(r"\p{L}") & p["target"].rlike(r"\p{L}") & ~F.lower(p["word"]).isin([w.lower() for w in stopwords or []]),
+        lambda p: p["word"].rlike(r"\p{L}") & p["target"].rlike(r"\p{L}") & ~F.lower(p["word"]).isin(shared),
     )
     numbered = words.is_reserved_provisional(F.col(left)) | words.is_reserved_provisional(F.col(right))
     aligned = (F.size(a) == F.size(b)) & ~numbered

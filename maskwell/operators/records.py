@@ -94,23 +94,31 @@ def failure_runs(rows: DataFrame, key: str, order: list[str], ok: Column) -> Dat
 def probes(rows: DataFrame, key: str, seconds: int = PROBE_SECONDS) -> DataFrame:
     """Requests that really probe: the first, then each at least ``seconds`` after the last probe.
 
-    A probe depends on the probe before it, so the requests of a key pass one task in order
-    of time, batch by batch; only the time of the last probe is held.
+    A request that comes that long after the one before it probes for sure. So each key's time is
+    cut into stretches without such a pause, by sums over slots of time rather than over
+    requests, and the stretches are walked through apart from one another.
     """
     kind, clock = (rows.schema[c].dataType.simpleString() for c in (key, "ts"))
+    width = seconds * 1_000_000
     times = rows.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).where(F.col(key).isNotNull() & F.col("at").isNotNull())
+    times = times.withColumn("slot", F.floor(F.col("at") / width))
+    slots = times.groupBy(key, "slot").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    in_time = Window.partitionBy(key).orderBy("slot")
+    fresh = F.coalesce(F.col("lo") - F.lag("hi").over(in_time) >= width, F.lit(True)).cast("int")
+    slots = slots.withColumn("fresh", fresh).select(key, "slot", F.sum("fresh").over(in_time).alias("stretch"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, last = None, 0
         for batch in batches:
             keep = []
-            for k, at in zip(batch[key].tolist(), batch["at"].tolist(), strict=True):
-                if k != last_key or at - last >= seconds * 1_000_000:
-                    last_key, last = k, at
+            for k, stretch, at in zip(batch[key].tolist(), batch["stretch"].tolist(), batch["at"].tolist(), strict=True):
+                if (k, stretch) != last_key or at - last >= width:
+                    last_key, last = (k, stretch), at
                     keep.append((k, at))
             yield pd.DataFrame(keep, columns=[key, "at"])
 
-    taken = times.repartition(key).sortWithinPartitions(key, "at").mapInPandas(fold, f"{key} {kind}, at long")
+    walked = times.join(slots, [key, "slot"]).select(key, "stretch", "at").repartition(key, "stretch").sortWithinPartitions(key, "stretch", "at")
+    taken = walked.mapInPandas(fold, f"{key} {kind}, at long")
     return taken.select(key, F.timestamp_micros("at").cast(clock).alias("probed_at"))
 
 

@@ -83,3 +83,11 @@ def test_legal_forms_and_folding(spark):
     assert frame.select(words.fold(F.lit("Müßiggång Łódź Ærø"))).first()[0] == "mussiggang lodz aero"
     titles = spark.createDataFrame([(w,) for w in ["Anna", "Tomás", "IBM", "GmbH", "A", "Abc1"]], "w string")
     assert [r[0] for r in titles.select(words.is_title(F.col("w"))).collect()] == [True, True, False, False, False, False]
+
+
+def test_folding_of_three_scripts(spark):
+    cases = {"Müller": "muller", "Straße": "strasse", "Αθήνα": "athina", "Жуков": "zhukov", "Щукин Юрий": "shchukin iurii", "ŁÓDŹ": "lodz", "日本": "日本", "": ""}
+    frame = spark.createDataFrame([(t,) for t in [*cases, None]], "t string")
+    got = {r.t: r.f for r in frame.select("t", words.fold(F.col("t")).alias("f")).collect()}
+    assert got == {**cases, None: None}
+    assert len(words.OTHER) == len(words.OTHER_PLAIN) and len(words.ACCENTED) == len(words.PLAIN)

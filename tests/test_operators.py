@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -5,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwell.functions import spans
-from maskwell.operators import candidates, dictionary, minting, records, rewrite
+from maskwell.operators import candidates, dictionary, minting, passes, records, rewrite
 from maskwell.operators.ordinal import with_ordinal
 from maskwell.sources import files, payloads
-from maskwell.streaming import restore
+from maskwell.streaming import events, restore
 
 
 def l2(spark, text, names):
@@ -203,3 +204,114 @@ def test_seed_files(spark, tmp_path):
     assert bundle["entities"].first().asDict() == {"workspace": "w", "ord": 0, "kind": "person", "canonical": "A", "variations": ["B"]}
     (tmp_path / "w.txt").write_text("# c\nthe\n\n und \nthe\n")
     assert sorted(r.word for r in files.read_word_list(spark, str(tmp_path / "w.txt")).collect()) == ["the", "und"]
+
+
+def request(spark, *bodies):
+    return spark.createDataFrame(list(enumerate(bodies)), "exchange_id long, payload string")
+
+
+def test_parts_of_a_request_and_what_stays(spark):
+    body = {
+        "system": [{"type": "text", "text": "S"}, {"type": "image", "text": "no"}],
+        "messages": [
+            {"role": "user", "content": "A"},
+            {"role": "assistant", "content": [{"type": "tool_use", "name": "f", "input": {"q": ["B", {"type": "C"}], "n": 1}}]},
+            {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "i", "content": [{"type": "text", "text": "D"}]}, "bare"]},
+        ],
+        "tools": [
+            {"name": "f", "description": "E", "input_schema": {"type": "object", "required": ["q"], "properties": {"description": {"type": "string", "description": "F"}}}},
+            {"function": {"name": "g", "description": "G", "parameters": {"description": "H"}}},
+        ],
+    }
+    rows = payloads.leaves(request(spark, json.dumps(body), '"text"', "[]")).collect()
+    assert [(r.part, r.text) for r in rows if r.part] == [
+        ("system", "S"), ("content", "A"), ("content", "B"), ("content", "C"), ("content", "D"), ("tool", "E"), ("schema", "F"), ("tool", "G"), ("schema", "H")]
+    new = spark.createDataFrame([(0, r.leaf_no, r.text.lower()) for r in rows if r.part], "exchange_id long, leaf_no long, text string")
+    back = {r.exchange_id: r.payload for r in payloads.rebuild(request(spark, json.dumps(body), '"text"', "[]"), new).collect()}
+    want = json.dumps(body)
+    for x in "SABCDEFGH":
+        want = want.replace(f'"{x}"', f'"{x.lower()}"')
+    assert json.loads(back[0]) == json.loads(want) and back[1] == '"text"' and back[2] == "[]"
+
+
+def test_answers_of_both_dialects_are_restored(spark):
+    bodies = [
+        {"content": [{"type": "text", "text": "Bernd Vogt and Bernd"}, {"type": "tool_use", "name": "Vogt", "input": {"Vogt": "Vogts"}}]},
+        {"choices": [{"message": {"content": "Vogt", "tool_calls": [{"function": {"arguments": "Vogt"}}]}}]},
+    ]
+    session = spark.createDataFrame([(k, "Bernd Vogt", "Anna Lee", 0) for k in (0, 1)], "exchange_id long, surrogate string, real string, seq long")
+    got = [json.loads(r.payload) for r in payloads.restore_payloads(request(spark, *map(json.dumps, bodies)), session).orderBy("exchange_id").collect()]
+    assert got[0]["content"][0]["text"] == "Anna Lee and Anna" and got[0]["content"][1] == {"type": "tool_use", "name": "Vogt", "input": {"Vogt": "Lees"}}
+    assert got[1]["choices"][0]["message"] == {"content": "Lee", "tool_calls": [{"function": {"arguments": "Vogt"}}]}
+
+
+def test_words_of_surrogates_need_one_meaning(spark):
+    rows = [(1, "Alex Brenner", "Priya Nadkarni", 0), (1, "Alex Thal", "Omar Said", 1), (1, "Werk Nord GmbH", "Kestrel", 2), (1, "BFX0001", "Zed", 3)]
+    session = spark.createDataFrame(rows, "id long, surrogate string, real string, seq long")
+    texts = spark.createDataFrame([(1, "Alex, Brenner, Thal, Nord, Werk Nord GmbH, BFX0001, BFX")], "id long, text string")
+    assert rewrite.restore(texts, "id", session).first().restored == "Alex, Nadkarni, Said, Nord, Kestrel, Zed, BFX"
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_events_in_chunks_of_any_size(size):
+    back = {"Bernd Vogt": 'Anna "Lee"', "Vogt": "Li"}
+    tool = json.dumps({"q": "Bernd Vogt", "n": [1, "Vogts"]})
+    raw = "".join(
+        f"event: {name}\ndata: {json.dumps(data)}\n\n"
+        for name, data in [
+            ("message_start", {}),
+            *[("content_block_delta", {"index": 0, "delta": {"type": "text_delta", "text": t}}) for t in ("I met Ber", "nd Vo", "gt's. Vogtland")],
+            ("content_block_stop", {"index": 0}),
+            ("content_block_start", {"index": 1, "content_block": {"type": "tool_use"}}),
+            *[("content_block_delta", {"index": 1, "delta": {"type": "input_json_delta", "partial_json": tool[a : a + 5]}}) for a in range(0, len(tool), 5)],
+            ("content_block_stop", {"index": 1}),
+            ("message_stop", {}),
+        ]
+    )
+    held, rows = {}, []
+    for at in range(0, len(raw), size):
+        rows += events.advance(held, raw[at : at + size], back)
+    text = "".join(t for _, _, kind, t in rows if kind == events.TEXT)
+    assert text == 'I met Anna "Lee"\'s. Vogtland' and held["stopped"]
+    assert [json.loads(t) for _, _, kind, t in rows if kind == events.TOOL] == [{"q": 'Anna "Lee"', "n": [1, "Lis"]}]
+    # Cut off in the middle: what is held comes out, restored.
+    held = {}
+    rows = events.advance(held, raw[: raw.index("gt's")], back)
+    rows += events.advance(held, "", back, ended=True)
+    assert "".join(t for _, _, kind, t in rows if kind == events.TEXT) == "I met Bernd Vo"
+    assert events.restore_tool_json('{"q": "Vogt', back) == '{"q": "Li'
+
+
+def test_layers_by_precedence(spark):
+    text = "Kestrel GmbH met Priya Nadkarni, Priya and a.b@corp.lan near Kestrel"
+    texts = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    names = spark.createDataFrame([("Kestrel", 7, 0)], "surface string, entity long, ord long")
+    known = spark.createDataFrame([(7, "Werk", "Kestrel")], "entity long, surrogate string, canonical string")
+    items = spark.createDataFrame([(1, "Priya Nadkarni", "person", "Alex Brenner"), (2, "Kestrel GmbH", "organization", "Thal AG")], "item_id long, value string, entity_type string, surrogate string")
+    chosen, minted = passes.deterministic_spans(texts, "id", names, known, items, ["and", "met", "near"])
+    blinded = {r.id: r.blinded for r in passes.blind_texts(texts, "id", chosen).collect()}
+    assert blinded[1] == "Werk GmbH met Alex Brenner, Alex and pii-user-0000@maskwell.invalid near Werk"
+    assert blinded[2] is None and blinded[3] == ""
+    back = rewrite.restore(spark.createDataFrame([(1, blinded[1])], "id long, text string"), "id", passes.session_of(chosen, "id"))
+    assert back.first().restored == text
+    assert [r.value for r in minted.collect()] == ["a.b@corp.lan"]
+
+
+def test_novel_names_of_blinded_texts(spark):
+    text = "Then Zaphod Beeblebrox met Alex Brenner. They said that Marvin was there; then marvin left for Trillian Alex."
+    texts = spark.createDataFrame([(1, text)], "id long, text string")
+    session = spark.createDataFrame([(1, "Alex Brenner", "x y", 0)], "id long, surrogate string, real string, seq long")
+    harmless = spark.createDataFrame([("They",)], "word string")
+    found = passes.novel_names(texts, "id", session, harmless, [], lambda word, context: F.length(word) > 3)
+    assert sorted((r.value, text[r.s : r.e]) for r in found.collect()) == [(v, v) for v in ("Marvin", "Trillian Alex", "Zaphod Beeblebrox")]
+    assert passes.novel_names(texts, "id", session, harmless, [], lambda w, c: F.lit(True), deterministic_only=True).count() == 0
+
+
+def test_jdbc_tables_are_read_in_ranges(spark):
+    frame = None
+    try:
+        frame = files.read_jdbc(spark, "jdbc:none:memory", "t", "id", 0, 10, 2)
+    except Exception as e:
+        # No driver is at hand here: the call reaches the source and names what is missing.
+        assert "driver" in str(e).lower()
+    assert frame is None
