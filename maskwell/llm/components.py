@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.shared import materialize
+from maskwell.shared import materialize, release
 
 
 def _parents(edges: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         parents = _parents(star)
         is_star = star.join(parents, F.col("lo") == F.col("node"), "left_semi").limit(1).count() == 0
         if is_star and parents.where("n > 1").limit(1).count() == 0:
+            release(parents)
             break
         # Large star: hang every node on the smallest neighbour of its lower neighbour.
         large = materialize(
@@ -47,8 +48,10 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
             .distinct(),
             "edges",
         )
+        release(star, parents)
         # Small star: hang a node and its lower neighbours on the smallest of them.
-        joined = large.join(_parents(large), F.col("hi") == F.col("node"))
+        parents = _parents(large)
+        joined = large.join(parents, F.col("hi") == F.col("node"))
         star = materialize(
             joined.select(
                 F.explode(
@@ -63,6 +66,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
             .distinct(),
             "edges",
         )
+        release(large, parents)
     ends = star.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = star.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return ends.unionByName(roots)

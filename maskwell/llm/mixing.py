@@ -8,7 +8,8 @@ above. Each leaf then takes whole epochs and a token-prefix of one more, in an o
 the seed, the epoch and the document id fix.
 
 All of it is grouped aggregation and window functions over tables of leaves and of
-(leaf, hash bucket); only the bucket in which a leaf's prefix ends is ordered row by row.
+(leaf, hash bucket); only the last part of the bucket in which a leaf's prefix ends is ordered
+row by row.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql.window import Window
 from maskwell.shared import materialize
 
 LEVELS = ("domain", "lang", "source")
-#: 32-bit positions fall into 4096 buckets of an epoch's order.
-_BUCKET_BITS = 20
+#: 32-bit positions fall into 4096 buckets of an epoch's order, and each of those into 4096 more.
+_SHIFTS = (20, 8)
 
 
 def word_count(text: str = "text") -> Column:
@@ -77,6 +78,17 @@ def share_out(children: DataFrame, parent: list[str], key: str) -> DataFrame:
     return frame.drop("_cap", "_ratio", "_cap_before", "_weight_left", "_full", "_left", "_open")
 
 
+def _cut_buckets(placed: DataFrame, shift: int) -> DataFrame:
+    """Per leaf the bucket of places in which the running sum first exceeds ``rest``, as ``cut_bucket``, and what is left of ``rest`` there.
+
+    At most 4096 sums per leaf are added up in order.
+    """
+    buckets = placed.groupBy(*LEVELS, "rest", F.shiftright("place", shift).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+    summed = buckets.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket")))
+    first = summed.where("upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))).alias("cut"))
+    return first.select(*LEVELS, F.col("cut.bucket").alias("cut_bucket"), F.col("cut.rest").alias("rest"))
+
+
 def leaf_budgets(
     leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], budget: int | None, max_epochs: int, default_weight: int = 1
 ) -> DataFrame:
@@ -143,31 +155,23 @@ def with_copies(
         "mix-plan",
     )
     placed = slim.join(plan, list(LEVELS)).withColumn("place", epoch_position(seed, F.col("epochs"), F.col("id")))
-    placed = placed.withColumn("bucket", F.shiftright("place", _BUCKET_BITS))
-    buckets = placed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    up_to = Window.partitionBy(*LEVELS).orderBy("bucket")
-    # The bucket in which the running sum first exceeds the rest; it always exists.
-    cut = (
-        buckets.withColumn("upto", F.sum("n").over(up_to))
-        .where("upto > rest")
-        .groupBy(*LEVELS)
-        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("base"))).alias("cut"))
-        .select(*LEVELS, F.col("cut.bucket").alias("cut_bucket"), F.col("cut.base").alias("base"))
-    )
-    cut = materialize(cut, "mix-cut")
-    inside = placed.join(cut, list(LEVELS)).where("bucket = cut_bucket")
+    # Twice a bucket is cut open, so that at most a 2^24-th of a leaf is ordered row by row.
+    inside = placed.select(*LEVELS, "rest", "place", "id", "n_tokens")
+    for shift in _SHIFTS:
+        cut = materialize(_cut_buckets(inside, shift), "mix-cut")
+        inside = inside.drop("rest").join(cut, list(LEVELS)).where(F.shiftright("place", shift) == F.col("cut_bucket")).drop("cut_bucket")
     order = Window.partitionBy(*LEVELS).orderBy(F.struct("place", "id", "n_tokens"))
     last = (
-        inside.withColumn("upto", F.col("base") + F.sum("n_tokens").over(order))
+        inside.withColumn("upto", F.sum("n_tokens").over(order))
         .where("upto <= rest")
         .groupBy(*LEVELS)
         .agg(F.max(F.struct("place", "id", "n_tokens")).alias("last"))
     )
-    plan = materialize(plan.join(cut, list(LEVELS), "left").join(last, list(LEVELS), "left"), "mix-plan")
+    plan = materialize(plan.join(cut.drop("rest"), list(LEVELS), "left").join(last, list(LEVELS), "left"), "mix-plan")
     # One row per leaf: its size decides whether the session's threshold allows a broadcast.
     joined = rows.join(plan, list(LEVELS), "left")
     at = epoch_position(seed, F.col("epochs"), F.col("id"))
-    within = (F.shiftright(at, _BUCKET_BITS) < F.col("cut_bucket")) | (
+    within = (F.shiftright(at, _SHIFTS[-1]) < F.col("cut_bucket")) | (
         F.struct(at.alias("place"), F.col("id"), F.col("n_tokens")) <= F.col("last")
     )
     copies = F.coalesce(F.col("epochs"), F.lit(0)) + F.when(within, 1).otherwise(0)

@@ -70,11 +70,15 @@ def with_shard(docs: DataFrame, key_col: str, shards: list[str], slots: int = 40
 
 
 def write_shards(docs: DataFrame, path: str, key_col: str, shards: list[str], slots: int = 4099, files: int = 8) -> None:
-    """Write ``docs`` as Parquet with one folder per shard.
+    """Write ``docs`` as Parquet with one folder ``_shard=<name>`` per shard that has rows.
 
     A shard's rows are dealt to ``files`` tasks, so that a shard with a third of the rows
-    still has several writers.
+    still has several writers. Null keys go to the shard of the empty text, repeated rows are
+    all written, an empty table gives an empty folder. A column of ``docs`` that is called
+    ``_shard`` raises an error, as it would clash with the folders.
     """
+    if "_shard" in docs.columns:
+        raise ValueError("a column is called _shard")
     placed = with_shard(docs, key_col, shards, slots).select("row.*", F.col("shard").alias("_shard"))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(files))
     placed.repartition("_shard", salt).write.partitionBy("_shard").parquet(path)

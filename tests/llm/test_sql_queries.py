@@ -1,5 +1,7 @@
 """Queries that SQL expresses, against that SQL, and their operators on odd rows."""
 
+import hashlib
+
 import corpus_pipeline
 import pytest
 from oracle import assert_same, connect
@@ -82,6 +84,17 @@ def test_sharding_of_odd_rows_and_balance(spark, odd):
             sharding.fill_table(["a"], bad)
 
 
+def test_written_shards_hold_every_row(spark, odd, tmp_path):
+    path = str(tmp_path / "shards")
+    sharding.write_shards(odd, path, "doc_id", ["a", "b", "c"], 101)
+    back = spark.read.parquet(path)
+    assert back.count() == odd.count() and back.drop("_shard").exceptAll(odd.select(*back.drop("_shard").columns)).count() == 0
+    placed = {(r.row.doc_id, r.shard) for r in sharding.with_shard(odd, "doc_id", ["a", "b", "c"], 101).collect()}
+    assert {(r.doc_id, r._shard) for r in back.collect()} == placed
+    with pytest.raises(ValueError, match="_shard"):
+        sharding.write_shards(odd.withColumn("_shard", F.lit(1)), path + "2", "doc_id", ["a"])
+
+
 def test_mixing_keeps_budgets_and_odd_rows(spark, odd):
     weights = {"domain": {}, "lang": {"en": 3, "de": 1}, "source": {}}
     mixed = mixing.with_copies(odd, weights, domain="'d'")
@@ -97,6 +110,47 @@ def test_mixing_keeps_budgets_and_odd_rows(spark, odd):
     assert plan == {"a": 100, "b": 10, "c": 50, "f": 0}
 
 
+def test_mixing_takes_the_prefix_that_brute_force_takes(spark):
+    rows = [(k, "w " * (k % 7), "en", "s1") for k in range(300)] + [(7, "w " * 3, "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.with_copies(docs, {"domain": {}, "lang": {}, "source": {}}, budget=1500, seed=9, domain="'d'").collect()
+    total = sum(k % 7 for k in range(300)) + 3
+    epochs, rest = divmod(1500, total)
+
+    def place(doc_id):
+        return int(hashlib.md5(f"9:{epochs}:{doc_id}".encode()).hexdigest()[:8], 16)
+
+    upto, taken = 0, set()
+    for _, doc_id, n in sorted({(place(k), k, len(t.split())) for k, t, *_ in rows}):
+        upto += n * sum(r[0] == doc_id and len(r[1].split()) == n for r in rows)
+        if upto > rest:
+            break
+        taken.add((doc_id, n))
+    assert all(r.copies == epochs + ((r.row.doc_id, r.n_tokens) in taken) for r in got)
+    assert 0 < len(taken) < 300
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and a clashing column pass all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long = " ".join(f"word{k % 977} and{k % 31}" for k in range(40_000))
+    rows = [(9001, None, None, None, 0), (9002, "", "en", "web1", 0), (None, "und so weiter und so fort", "de", "web2", 1), (9003, long, "en", "web1", 1), (9003, long, "en", "web1", 1)]
+    odd = docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumns({"class": F.lit("x"), "row": F.lit(1), "quality": F.lit(2)})
+    (tmp_path / "d").mkdir()
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "d/labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path / "d"))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == odd.columns, name
+        assert stage(spark, odd.limit(0), str(tmp_path / "d")).count() == 0, name
+        # One stage's own input each: what it keeps of the odd rows is defined and no row is made up.
+        if name.startswith("SimHash"):
+            assert out.where("doc_id = 9003").count() == 1 and out.where("doc_id in (9001, 9002)").count() == 1
+        elif name.startswith("language"):
+            assert out.where("doc_id in (9001, 9002)").count() == 0
+        assert out.select("doc_id").distinct().join(odd.select("doc_id").distinct(), "doc_id", "left_anti").where("doc_id is not null").count() == 0
+
+
 def test_pipeline_stages_in_order(spark):
     assert [name.split()[0] for name, _ in corpus_pipeline.STAGES] == ["quality", "language", "SimHash", "mixing", "BPE"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
