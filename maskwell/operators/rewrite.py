@@ -86,6 +86,19 @@ def restored(text: Column, back: Column) -> Column:
     return F.array_join(woven, "")
 
 
+def payload_gate(leaves: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaks, declared collisions) of outgoing payloads: ``exchange_id``, ``value`` each.
+
+    ``leaves`` has ``exchange_id``, ``text`` and ``forbidden``: what stands in leaves that no gate may
+    block, such as names of tools, is no leak but a collision to report.
+    """
+    found = [
+        leaks(leaves.where(side).select(F.struct("exchange_id", "leaf_no").alias("leaf"), "text"), "leaf", "text", known)
+        for side in (~F.col("forbidden"), F.col("forbidden"))
+    ]
+    return tuple(x.select("leaf.exchange_id", "value").distinct() for x in found)
+
+
 def unresolved(texts: DataFrame, key: str, text: str, session: DataFrame) -> DataFrame:
     """(``key``, ``surrogate``) still standing in a restored text of its own exchange; empty if all went well."""
     joined = texts.join(session.select(key, "surrogate").distinct(), key)

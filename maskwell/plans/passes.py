@@ -205,6 +205,29 @@ def tool_prose_rewrite(spark, sf_dir):
     return done.select("exchange_id", get("description").alias("description"), get("input_schema.properties.description.description").alias("inner_description"), get("name").alias("name"))
 
 
+def _declaring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that declare a tool named after a part: even ones in one dialect, odd ones in the other."""
+    plain = "named_struct('name', p_name, 'description', concat('Make a ', p_name))"
+    wrapped = "named_struct('function', named_struct('name', p_name, 'description', concat('Make a ', p_name)))"
+    one = "to_json(named_struct('messages', array(), 'tools', array({})))"
+    payload = f"CASE WHEN p_partkey % 2 = 0 THEN {one.format(plain)} ELSE {one.format(wrapped)} END AS payload"
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS exchange_id", payload)
+
+
+@_query("declared_tool_names", "SELECT p_partkey AS exchange_id, p_name AS name FROM part")
+def declared_tool_names(spark, sf_dir):
+    return payloads.tool_names(_declaring(spark, sf_dir))
+
+
+@_query("payload_gate", "SELECT p_partkey AS exchange_id, p_name AS value, unnest(['leak', 'declared']) AS what FROM part")
+def payload_gate(spark, sf_dir):
+    """Each part's name leaks from a description, and collides where it names a tool."""
+    found = materialize(payloads.checked_leaves(payloads.leaves(_declaring(spark, sf_dir))), "checked-leaves")
+    known = table(spark, sf_dir, "part").select(F.col("p_name").alias("value")).distinct()
+    leaked, declared = rewrite.payload_gate(found, known)
+    return leaked.withColumn("what", F.lit("leak")).unionByName(declared.withColumn("what", F.lit("declared")))
+
+
 def blinded_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Blinded documents as answers of both dialects, and the session of each: (``exchange_id``, ``payload``), session."""
     docs = texts(spark, sf_dir)

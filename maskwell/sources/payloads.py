@@ -164,6 +164,13 @@ def restore_payloads(answers: DataFrame, session: DataFrame) -> DataFrame:
     return rebuild(answers, restored.select("exchange_id", "leaf_no", F.col("restored").alias("text")), "response")
 
 
+def tool_names(requests: DataFrame) -> DataFrame:
+    """``exchange_id``, ``name`` of every tool that a request declares, in either dialect."""
+    tools = F.try_variant_get(F.try_parse_json("payload"), "$.tools", "array<variant>")
+    name = F.coalesce(F.try_variant_get("t", "$.name", "string"), F.try_variant_get("t", "$.function.name", "string"))
+    return requests.select("exchange_id", F.explode(tools).alias("t")).select("exchange_id", name.alias("name")).where("name <> ''").distinct()
+
+
 def joined_text(found: DataFrame) -> DataFrame:
     """All leaves of an exchange in one text, parted by NUL so that no match spans two of them."""
     per = found.groupBy("exchange_id").agg(F.sort_array(F.collect_list(F.struct("leaf_no", "text"))).alias("t"))
