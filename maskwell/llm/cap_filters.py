@@ -130,22 +130,23 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _share_smaller(filters: list[np.ndarray], current: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _share_smaller(
+    n: int, owner: np.ndarray, filters: np.ndarray, current: int, left: np.ndarray, right: np.ndarray
+) -> np.ndarray:
     """Whether each two rows of ``left`` x ``right`` have a filter smaller than ``current`` in common.
 
-    One product of the rows' memberships in those filters, however many pairs there are.
+    ``owner`` and ``filters`` list the filters of ``n`` rows. One product of the rows' memberships,
+    however many pairs there are.
     """
-    owner = np.repeat(np.arange(len(filters)), [len(f) for f in filters])
-    flat = np.concatenate(filters)
-    owner, flat = owner[flat < current], flat[flat < current]
-    names, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    owner, filters = owner[filters < current], filters[filters < current]
+    names, column, times = np.unique(filters, return_inverse=True, return_counts=True)
     met = times[column] > 1
-    holds = np.zeros((len(filters), len(names)), dtype=np.float32)
+    holds = np.zeros((n, len(names)), dtype=np.float32)
     holds[owner[met], column[met]] = 1
     return holds[left] @ holds[right].T > 0
 
 
-def _verify(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFrame]:
+def _verify(batches: Iterator[pd.DataFrame], codes: dict[int, CapCode], cosine: float) -> Iterator[pd.DataFrame]:
     keys = ["label", "dim", "filter", "block_a", "block_b"]
     for unit in sorted_groups(batches, keys):
         if len(unit) < 2:
@@ -159,7 +160,9 @@ def _verify(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataF
             np.fill_diagonal(near, False)
         if not near.any():
             continue
-        new = near & ~_share_smaller(unit["filters"].tolist(), int(unit["filter"].iloc[0]), left, right)
+        # Decoded anew where links are found: lists of filters in the shuffle would outweigh the vectors.
+        owner, names = codes[int(unit["dim"].iloc[0])].decode(x)
+        new = near & ~_share_smaller(len(x), owner, names, int(unit["filter"].iloc[0]), left, right)
         copies, links = unit["copies"].to_numpy(), np.zeros(len(unit), dtype=np.int64)
         links[left] += new @ copies[right]
         if a != b:
@@ -228,11 +231,11 @@ def link_embeddings(
     units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
     keys = [*keys, "block_a", "block_b"]
-    units = units.select(*keys, "block", "node", "vector", "copies", "filters")
+    units = units.select(*keys, "block", "node", "vector", "copies")
     found = (
         units.repartition(*keys)
         .sortWithinPartitions(*keys)
-        .mapInPandas(lambda batches: _verify(batches, cosine), "node long, links long, centre long")
+        .mapInPandas(lambda batches: _verify(batches, codes, cosine), "node long, links long, centre long")
     )
     found = materialize(found, "vector-links")
     roots = connected_components(found.select("node", F.col("centre").alias("other")), "node", "other")
