@@ -7,13 +7,15 @@ stripe and row group and a Bloom filter on the document id let a lookup skip the
 
 Encoding goes word by word where the tokenizer allows it: one that drops white space gives
 the ids of each run between spaces on its own, and most runs come from a cache. It is bounded
-in entries and holds short runs only, so it is bounded in bytes too.
+in entries and holds short runs only, so it is bounded in bytes too. When it is full, what it
+holds becomes the old generation, from which runs that come again are taken over.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -50,7 +52,9 @@ class CachedEncoder:
             spec = json.load(f)
         self.by_word = self._drops_white_space(spec)
         self.to_char = {b: c for c, b in byte_alphabet().items()}
+        self.model = self.library.model
         self.runs: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     @staticmethod
@@ -79,10 +83,15 @@ class CachedEncoder:
         except KeyError:
             pass
         if len(known) > _CACHE:
-            known.clear()
-        long: dict[str, bytes] = {}
+            self.old_runs, self.runs = known, {}
+            known = self.runs
+        old, long = self.old_runs, {}
         for r in set(runs).difference(known):
-            (known if len(r) <= _KEPT else long)[r] = self._run(r)
+            if len(r) > _KEPT:
+                long[r] = self._run(r)
+            else:
+                found = old.get(r)
+                known[r] = self._run(r) if found is None else found
         if not long:
             return b"".join(map(known.__getitem__, runs))
         return b"".join([long[r] if len(r) > _KEPT else known[r] for r in runs])
@@ -102,8 +111,8 @@ class CachedEncoder:
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else "".join([self.to_char[b] for b in piece.encode()])
-        ids = [t.id for t in self.library.model.tokenize(spelled)]
-        found = np.array(ids, dtype="<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        found = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= _KEPT:
             self.pieces[piece] = found
         return found
