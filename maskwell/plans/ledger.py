@@ -88,12 +88,12 @@ def review_reject(spark, sf_dir):
     return done["inbox"].select(F.lit("inbox").alias("place"), "value").union(done["allowed"].select(F.lit("allowed"), "word"))
 
 
-@_query("inbox_hydrate", f"WITH {INBOX_SQL} SELECT item_id, value FROM inbox WHERE value NOT IN (SELECT p_name FROM part WHERE p_partkey % 7 = 0)")
+@_query("inbox_hydrate", f"WITH {INBOX_SQL} SELECT item_id, value FROM inbox WHERE value NOT IN (SELECT p_name FROM part WHERE p_partkey < 20 AND p_partkey % 7 = 0)")
 def inbox_hydrate(spark, sf_dir):
-    """Stored items decrypted; those that are live surrogates, here the names of every seventh part, are purged."""
+    """Stored items decrypted; those that are live surrogates, here names of some of the same parts, are purged."""
     items = inbox(spark, sf_dir)
     cells = items.withColumn("cell", encrypt(F.col("value"), CIPHER_KEY, F.col("workspace"))).drop("value")
-    live = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(F.col("p_name").alias("surrogate"))
+    live = table(spark, sf_dir, "part").where("p_partkey < 20 AND p_partkey % 7 = 0").select(F.col("p_name").alias("surrogate"))
     return review.hydrate(cells, CIPHER_KEY, live.distinct()).select("item_id", "value")
 
 
