@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,12 +11,21 @@ from pyspark.sql import functions as F
 _BLOCK = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(sizes: Column) -> Column:
     """Sum of the integers before each place of an array, in time linear in its length.
 
     Blocks of fixed length are summed first, so that no array grows one place at a time
     over a whole long text.
     """
+    return let(sizes, _running)
+
+
+def _running(sizes: Column) -> Column:
     n = F.ceil(F.size(sizes) / F.lit(_BLOCK)).cast("int")
     blocks = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
@@ -40,17 +51,21 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
     without a match is scanned once, up to its end.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
-    pairs = F.zip_with(gaps, values, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    before = running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["value"])))
+    gaps = F.split(text, pattern, -1)
 
     def span(pair: Column, at: Column) -> Column:
         s = (at + F.length(pair["gap"])).cast("int")
         e = (s + F.length(pair["value"])).cast("int")
         return F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), pair["value"].alias("value"))
 
+    def placed(pairs: Column) -> Column:
+        before = running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["value"])))
+        return F.zip_with(pairs, before, span)
+
+    # The last gap has no match behind it.
+    paired = F.filter(F.zip_with(gaps, values, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value"))), lambda p: p["value"].isNotNull())
     none = F.expr("cast(array() as array<struct<s:int,e:int,kind:string,value:string>>)")
-    return F.when(text.rlike(pattern), F.zip_with(pairs, before, span)).otherwise(none)
+    return F.when(text.rlike(pattern), let(paired, placed)).otherwise(none)
 
 
 def overlaps(a: Column, b: Column) -> Column:

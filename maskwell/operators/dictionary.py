@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions import words
-from maskwell.functions.spans import running
+from maskwell.functions.spans import let, running
 from maskwell.operators import overlap
 from maskwell.shared import materialize
 
@@ -17,15 +17,17 @@ FUZZY_EDITS = 2
 
 def token_array(text: Column) -> Column:
     """Words of a text in order: array of ``gap``, ``word``, ``s``, ``e``. Nothing leaves the row."""
-    found = words.words(text)
-    parts = F.zip_with(F.slice(F.split(text, words.WORD, -1), F.lit(1), F.size(found)), found, lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
-    before = running(F.transform(parts, lambda p: F.length(p["gap"]) + F.length(p["word"])))
+    # The last gap has no word behind it.
+    zipped = F.zip_with(F.split(text, words.WORD, -1), words.words(text), lambda g, w: F.struct(g.alias("gap"), w.alias("word")))
 
-    def placed(p: Column, at: Column) -> Column:
+    def place(p: Column, at: Column) -> Column:
         s = (at + F.length(p["gap"])).cast("int")
         return F.struct(p["gap"].alias("gap"), p["word"].alias("word"), s.alias("s"), (s + F.length(p["word"])).cast("int").alias("e"))
 
-    return F.zip_with(parts, before, placed)
+    def placed(parts: Column) -> Column:
+        return F.zip_with(parts, running(F.transform(parts, lambda p: F.length(p["gap"]) + F.length(p["word"]))), place)
+
+    return let(F.filter(zipped, lambda p: p["word"].isNotNull()), placed)
 
 
 def tokens(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -36,6 +38,10 @@ def tokens(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def window_array(toks: Column, longest: int = 3) -> Column:
     """Runs of 1 to ``longest`` words of an array of :func:`token_array`: ``s``, ``e``, ``k``, ``phrase``."""
+    return let(toks, lambda t: _windows(t, longest))
+
+
+def _windows(toks: Column, longest: int) -> Column:
     ahead = [F.slice(toks, F.lit(k + 1), F.greatest(F.lit(0), F.size(toks) - k)) for k in range(longest)]
     zipped = F.arrays_zip(*[x.alias(f"t{k}") for k, x in enumerate(ahead)])
 
@@ -80,37 +86,22 @@ def exact_and_folded(dictionary: DataFrame) -> DataFrame:
     return per_fold.join(folded.select(F.col("lookup").alias("folded"), named.alias("first")), "folded")
 
 
-def pieces(name: Column, size: Column) -> Column:
-    """The three parts of a name: array of ``part`` (its number) and ``at``, ``length`` for names of ``size`` letters."""
-    third = F.floor(size / 3).cast("int")
-    bounds = [(F.lit(0), third), (third, third), (third * 2, size - third * 2)]
-    return F.array(*[
-        F.struct(F.lit(k).alias("part"), at.cast("int").alias("at"), n.cast("int").alias("length")) for k, (at, n) in enumerate(bounds)
-    ])
-
-
 def close_words(vocabulary: DataFrame, dictionary: DataFrame, stopwords: list[str]) -> DataFrame:
     """``phrase`` of ``vocabulary`` with ``surface``, ``entity`` of the nearest name within one or two edits.
 
-    Single words of at least five letters with the same first letter as the name. Two edits
-    leave one of the three parts of a name whole, moved by two places or fewer: parts and
-    pieces of words are joined, and only what meets there is compared.
+    Single words of at least five letters with the same first letter as the name. Each word of
+    the vocabulary is compared once, with the names of its first letter and of a length that
+    two edits can bridge.
     """
     single = lambda c: ~F.col(c).contains(" ") & (F.length(c) >= FUZZY_LENGTH)
     names = dictionary.where(single("surface")).select("surface", "entity", "ord", words.fold(F.col("surface")).alias("name"))
-    parted = names.withColumn("size", F.length("name")).withColumn("p", F.explode(pieces(F.col("name"), F.col("size"))))
-    initial = F.substring("surface", 1, 1).alias("initial")
-    parted = parted.select("surface", "entity", "ord", "name", "size", initial, "p.part", F.substring("name", F.col("p.at") + 1, F.col("p.length")).alias("piece"))
+    bridged = F.sequence(F.length("name") - FUZZY_EDITS, F.length("name") + FUZZY_EDITS)
+    names = names.select("*", F.substring("surface", 1, 1).alias("initial"), F.explode(bridged).alias("size"))
     rest = vocabulary.where(single("phrase") & ~F.lower("phrase").isin(stopwords)).select("phrase", words.fold(F.col("phrase")).alias("word"))
-    near_size = F.sequence(F.greatest(F.lit(1), F.length("word") - FUZZY_EDITS), F.length("word") + FUZZY_EDITS)
-    sized = rest.withColumn("size", F.explode(near_size)).withColumn("p", F.explode(pieces(F.col("word"), F.col("size"))))
-    moved = sized.withColumn("move", F.explode(F.sequence(F.lit(-FUZZY_EDITS), F.lit(FUZZY_EDITS)))).where(F.col("p.at") + F.col("move") >= 0)
-    cut = F.substring("word", F.col("p.at") + F.col("move") + 1, F.col("p.length"))
-    sought = moved.select("phrase", "word", "size", F.substring("phrase", 1, 1).alias("initial"), "p.part", cut.alias("piece"))
-    met = sought.join(parted, ["size", "initial", "part", "piece"]).select("phrase", "word", "surface", "entity", "ord", "name")
+    rest = rest.select("phrase", "word", F.substring("phrase", 1, 1).alias("initial"), F.length("word").alias("size"))
     distance = F.levenshtein("word", "name", FUZZY_EDITS)
-    near = met.where(distance > 0)
-    best = near.groupBy("phrase").agg(F.min_by(F.struct("surface", "entity"), F.struct(distance, "ord")).alias("m"))
+    near = rest.join(names, ["initial", "size"]).withColumn("edits", distance).where("edits > 0")
+    best = near.groupBy("phrase").agg(F.min_by(F.struct("surface", "entity"), F.struct("edits", "ord")).alias("m"))
     return best.select("phrase", "m.surface", "m.entity")
 
 
