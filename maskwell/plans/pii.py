@@ -20,7 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Ids and texts; a table of fewer files than there are cores is dealt to all of them first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
 
 
 def sql_matches(source: str, key: str, pattern: str, kind: str, keep: str = "true") -> str:
