@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import bpe, cap_filters, forest, langid, license_scan, mixing, quality, sharding, simhash, sql, token_files
-from maskwell.shared import new_path
+from maskwell.llm import bpe, cap_filters, digest_index, divergence, filter_audit, forest, langid, license_scan, mixing
+from maskwell.llm import quality, sharding, simhash, sql, token_files
+from maskwell.shared import materialize, new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -126,6 +127,37 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "slot", "shard")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy that stays of every document's text, from an index of earlier documents.
+
+    Documents of the folds other than 0 are the history that the index is built over; those of
+    fold 0, and null ids, arrive later and are looked up.
+    """
+    docs = _read(spark, sf_dir, "documents")
+    slim = materialize(digest_index.document_digests(docs), "digests")
+    earlier = F.coalesce(fold(F.col("id")) != 0, F.lit(False))
+    known = materialize(digest_index.group_digests(slim.where(earlier)), "known-digests")
+    arrived = digest_index.group_digests(slim.where(~earlier))
+    n_known = known.count()
+    shards = digest_index.shards_for(n_known)
+    index = materialize(digest_index.build_index(known, shards), "digest-index")
+    blocks = -(-digest_index.shards_for(slim.where(~earlier).count()) // shards)
+    merged = digest_index.merge_groups(arrived, index, shards, blocks)
+    marked = digest_index.mark_repeats(slim, merged)
+    return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of five filters in every order, per source; see :func:`filter_audit.audit_orders`."""
+    cells = filter_audit.failure_cells(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), part="source")
+    return filter_audit.audit_orders(cells)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from each other of its language, and its own terms; see :func:`divergence.audit`."""
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_embedding_near_dedup"] = op1_embedding_near_dedup
 QUERIES["op2_language_id"] = op2_language_id
 QUERIES["op3_bpe_encode_decode"] = op3_bpe_encode_decode
@@ -136,4 +168,7 @@ QUERIES["op7_simhash_near_dedup"] = op7_simhash_near_dedup
 QUERIES["op8_mix_sources"] = op8_mix_sources
 QUERIES["op9_shard_documents"] = op9_shard_documents
 QUERIES["op10_nearest_neighbours"] = op10_nearest_neighbours
+QUERIES["op11_exact_dedup"] = op11_exact_dedup
+QUERIES["op12_filter_audit"] = op12_filter_audit
+QUERIES["op13_source_divergence"] = op13_source_divergence
 ORACLE_SQL.update(sql.oracle_sql())

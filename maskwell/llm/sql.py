@@ -155,6 +155,87 @@ FROM keyed k JOIN owner o ON k.slot = o.slot JOIN shard s ON s.i = o.i
 """
 
 
+def exact_dedup_sql() -> str:
+    return """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def filter_audit_sql() -> str:
+    """Every order is run over every document."""
+    return """
+WITH mark AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copy FROM documents
+),
+masks AS (
+  SELECT part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * copy::INT AS mask,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM docs LEFT JOIN mark USING (doc_id)
+),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+),
+steps AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)),
+counts AS (
+  SELECT part, filter_order, step, bit,
+    count(*) FILTER (mask & before = 0 AND mask & bit = 0) AS kept,
+    count(*) FILTER (mask & before = 0 AND mask & bit <> 0) AS removed,
+    count(*) FILTER (mask & before <> 0 AND mask & bit <> 0) AS redundant,
+    count(*) FILTER (mask = bit) AS unique_fails,
+    count(*) FILTER (mask & before = 0 AND mask & bit <> 0 AND good = 1) AS good_lost,
+    count(*) FILTER (mask & before = 0 AND mask & bit <> 0 AND toxic = 1) AS toxic_lost
+  FROM masks, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counts
+"""
+
+
+def divergence_sql() -> str:
+    """Every pair of sources meets every kept term."""
+    return """
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+),
+words AS (SELECT row, lang, source, unnest(w) AS term FROM docs),
+terms AS (SELECT lang, term, count(*) AS n_lang FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n_lang)::HUGEINT AS total FROM terms GROUP BY ALL),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN terms USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups g LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + l.v) AS p,
+    1 + 1000000000::HUGEINT * (t.n_lang + 1) // (l.total + l.v) AS q
+  FROM totals g JOIN langs l USING (lang) JOIN terms t USING (lang) LEFT JOIN counts c USING (lang, source, term)
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p)::BIGINT AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+),
+own AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)))::INT AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, rank FROM (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)))::INT AS rank FROM own) WHERE rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from maskwell.llm import queries
 
@@ -162,4 +243,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": license_sql(),
         "op8_mix_sources": mixing_sql(queries.MIX_WEIGHTS, queries.MIX_EPOCHS, queries.MIX_SEED),
         "op9_shard_documents": sharding_sql(queries.SHARDS, queries.SLOTS),
+        "op11_exact_dedup": exact_dedup_sql(),
+        "op12_filter_audit": filter_audit_sql(),
+        "op13_source_divergence": divergence_sql(),
     }
