@@ -12,7 +12,7 @@ from maskwell.plans.pii import KINDS, table, texts
 from maskwell.plans.wire import requests
 from maskwell.shared import materialize, new_path
 from maskwell.sources import payloads
-from maskwell.streaming import events
+from maskwell.streaming import events, ordered
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -333,18 +333,12 @@ def sse_restore(spark, sf_dir):
 
 @_query("sse_restore_stream", _STREAMED)
 def sse_restore_stream(spark, sf_dir):
-    """The same by a stream with state that times out."""
+    """The same by a stream with state."""
     chunks, _ = event_chunks(spark, sf_dir)
     source, out = new_path(spark, "event-chunks"), new_path(spark, "events")
     chunks.write.parquet(source)
-    query = (
-        events.restore_events(spark.readStream.schema(chunks.schema).parquet(source))
-        .writeStream.format("parquet")
-        .option("checkpointLocation", new_path(spark, "stream-state"))
-        .trigger(availableNow=True)
-        .start(out)
-    )
-    query.awaitTermination()
+    stream = spark.readStream.schema(chunks.schema).parquet(source)
+    ordered.start(events.restore_events(stream), out).awaitTermination()
     return _readable(events.streamed_text(spark.read.schema(events.OUTPUT).parquet(out)))
 
 

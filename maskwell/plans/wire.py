@@ -9,7 +9,7 @@ from maskwell.operators import rewrite
 from maskwell.plans.pii import KINDS, table, texts
 from maskwell.shared import new_path
 from maskwell.sources import files, payloads
-from maskwell.streaming import restore, views
+from maskwell.streaming import ordered, restore, views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,14 +137,7 @@ def stream_chunk_restore(spark, sf_dir):
     chunks = blinded_chunks(spark, sf_dir)
     chunks.write.parquet(source)
     stream = spark.readStream.schema(chunks.schema).parquet(source)
-    query = (
-        restore.restore_stream(stream)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", new_path(spark, "stream-state"))
-        .trigger(availableNow=True)
-        .start(out)
-    )
-    query.awaitTermination()
+    ordered.start(restore.restore_stream(stream), out).awaitTermination()
     return restore.reassemble(spark.read.schema(restore.OUTPUT).parquet(out))
 
 

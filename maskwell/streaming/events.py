@@ -7,146 +7,176 @@ and the exchange's map surrogate -> real as JSON.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskwell.operators import rewrite
+from maskwell.streaming.ordered import in_order, session_of
 from maskwell.streaming.restore import pattern_of, step
 
 OUTPUT = "exchange_id long, seq long, n long, event string, block long, kind string, text string"
 #: Kinds of rows: restored text, restored tool input, an event passed on, an exchange given up.
 TEXT, TOOL, PASSED, LOST = "text", "tool_input", "event", "disconnected"
+#: A JSON string with the colon that makes it a key, if any; the last one may be cut off.
+_LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)(?:"(\s*:)?|$)', re.DOTALL)
 
 
-def parse_event(raw: str) -> tuple[str | None, object]:
-    """Name and JSON data of one event; data that is no JSON is null."""
-    name, data = None, None
-    for line in raw.split("\n"):
-        if line.startswith("event:"):
-            name = line[6:].strip()
-        elif line.startswith("data:"):
-            data = line[5:].strip()
-    try:
-        return name, json.loads(data) if data else None
-    except ValueError:
-        return name, None
+def fields(event: str) -> dict[str, str]:
+    """Fields of one event as the event-stream format has them.
 
+    A field's name ends at the first colon of its line, one blank behind that colon goes, and
+    values of a repeated ``data`` are lines of one value. Lines that begin with a colon are
+    comments; of other repeated fields the last counts.
+    """
+    out: dict[str, str] = {}
+    for line in event.split("\n"):
+        name, _, value = line.partition(":")
+        if not name:
+            continue
+        value = value.removeprefix(" ")
+        out[name] = f"{out[name]}\n{value}" if name == "data" and name in out else value
+    return out
 
-def restore_value(value: object, back: dict[str, str]) -> object:
-    """A JSON value whose strings have surrogates of ``back`` made real; keys stay."""
-    if isinstance(value, str):
-        return pattern_of(list(back)).sub(lambda m: back[m[1]] + (m[2] or ""), value) if back else value
-    if isinstance(value, dict):
-        return {k: restore_value(v, back) for k, v in value.items()}
-    return [restore_value(v, back) for v in value] if isinstance(value, list) else value
+
+def body_of(data: str | None) -> dict:
+    """The JSON object of an event's data; anything else, broken or nested too deep, is empty."""
+    try:
+        body = json.loads(data or "")
+    except (ValueError, RecursionError):
+        return {}
+    return body if isinstance(body, dict) else {}
 
 
 def restore_tool_json(assembled: str, back: dict[str, str]) -> str:
-    """Tool input put together from its deltas; text that is no JSON is restored as it stands."""
-    try:
-        return json.dumps(restore_value(json.loads(assembled), back), ensure_ascii=False)
-    except ValueError:
-        return str(restore_value(assembled, back))
+    """Tool input put together from its deltas, string by string; keys stay.
+
+    The text need not be whole JSON: a string that is cut off is restored up to its end, and
+    what stands outside strings as it is.
+    """
+    if not back:
+        return assembled
+    pattern = pattern_of(list(back))
+
+    def real(text: str) -> str:
+        return pattern.sub(lambda m: back[m[1]] + (m[2] or ""), text)
+
+    def literal(m: re.Match[str]) -> str:
+        if m[2] is not None:
+            return m[0]
+        closed = len(m[0]) > len(m[1]) + 1
+        try:
+            value = json.dumps(real(json.loads(f'"{m[1]}"', strict=False)), ensure_ascii=False)
+        except ValueError:
+            value = f'"{real(m[1])}"'
+        return value if closed else value[:-1]
+
+    out, at = [], 0
+    for m in _LITERAL.finditer(assembled):
+        out += [real(assembled[at : m.start()]), literal(m)]
+        at = m.end()
+    return "".join([*out, real(assembled[at:])])
+
+
+def split_events(kept: dict, chunk: str, ended: bool) -> list[str]:
+    """Whole events that a chunk completes; ``kept["tail"]`` holds what is still open.
+
+    Lines end with LF, CR or both; a CR at the end of a chunk waits for its LF.
+    """
+    raw = kept.get("tail", "") + chunk
+    wait = "\r" if raw.endswith("\r") and not ended else ""
+    lines = raw.removesuffix(wait).replace("\r\n", "\n").replace("\r", "\n")
+    *whole, tail = lines.split("\n\n")
+    if ended:
+        whole, tail = [*whole, tail], ""
+    kept["tail"] = tail + wait
+    return [event.strip("\n") for event in whole if event.strip()]
 
 
-def advance(held: dict, chunk: str, back: dict[str, str], ended: bool = False) -> list[tuple[str | None, int | None, str, str]]:
-    """Rows (event, block, kind, text) that a chunk sets free; ``held`` is changed in place.
+def advance(kept: dict, chunk: str, back: dict[str, str], ended: bool = False) -> list[tuple[str | None, int | None, str, str]]:
+    """Rows (event, block, kind, text) that a chunk sets free; ``kept`` is changed in place.
 
-    ``held`` keeps the unparsed tail, the text held back of each block and the tool input so far.
+    ``kept`` has the open tail, the text held back of each block and the tool input so far. An
+    event that does not have the form of its name (no JSON object, an index that is no number,
+    a block or delta that is no object) is passed on as it stands.
     """
-    *whole, held["tail"] = (held.get("tail", "") + chunk).split("\n\n")
-    if ended and held["tail"].strip():
-        whole.append(held.pop("tail"))
-    texts, tools = held.setdefault("texts", {}), held.setdefault("tools", {})
+    texts, tools = kept.setdefault("texts", {}), kept.setdefault("tools", {})
     out: list[tuple[str | None, int | None, str, str]] = []
 
     def flush(block: str) -> None:
-        text, before = texts.pop(block)
-        piece = step(text, before, "", back, True)[0]
+        piece = step(*texts.pop(block), "", back, True)[0]
         if piece:
             out.append(("content_block_delta", int(block), TEXT, piece))
 
-    for raw in whole:
-        name, data = parse_event(raw)
-        body = data if isinstance(data, dict) else {}
-        block = str(body.get("index", 0))
-        delta = body.get("delta") if isinstance(body.get("delta"), dict) else {}
-        if name == "content_block_start" and (body.get("content_block") or {}).get("type") == "tool_use":
-            tools[block] = ""
-        if name == "content_block_delta" and delta.get("type") == "text_delta" and isinstance(delta.get("text"), str):
-            text, before = texts.get(block, ("", ""))
-            piece, text, before = step(text, before, delta["text"], back, False)
-            texts[block] = (text, before)
+    for raw in split_events(kept, chunk or "", ended):
+        found = fields(raw)
+        name, body = found.get("event"), body_of(found.get("data"))
+        index = body.get("index")
+        index = index if isinstance(index, int) and not isinstance(index, bool) and abs(index) < 2**63 else None
+        part = body.get("delta" if name == "content_block_delta" else "content_block")
+        part = part if isinstance(part, dict) and index is not None else {}
+        block, kind = str(index), part.get("type")
+        if kind == "text_delta" and isinstance(part.get("text"), str):
+            piece, *texts[block] = step(*texts.get(block, ("", "")), part["text"], back, False)
             if piece:
-                out.append((name, int(block), TEXT, piece))
+                out.append((name, index, TEXT, piece))
             continue
-        if name == "content_block_delta" and delta.get("type") == "input_json_delta" and block in tools:
-            tools[block] += delta.get("partial_json") or ""
+        if kind == "input_json_delta" and block in tools and isinstance(part.get("partial_json"), str):
+            tools[block] += part["partial_json"]
             continue
+        if name == "content_block_start" and kind == "tool_use":
+            tools[block] = ""
         if name == "content_block_stop" and block in tools:
-            out.append(("content_block_delta", int(block), TOOL, restore_tool_json(tools.pop(block), back)))
-        elif name == "content_block_stop" and block in texts:
+            out.append(("content_block_delta", index, TOOL, restore_tool_json(tools.pop(block), back)))
+        if name == "content_block_stop" and block in texts:
             flush(block)
-        held["stopped"] = held.get("stopped", False) or name == "message_stop"
-        out.append((name, int(block) if "index" in body else None, PASSED, raw))
+        kept["stopped"] = kept.get("stopped", False) or name == "message_stop"
+        out.append((name, index, PASSED, raw))
     if ended:
         for block in sorted(texts, key=int):
             flush(block)
     return out
 
 
-def restore_events(chunks: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def _feed(kept: dict, chunk: str, back: dict[str, str], last: bool) -> tuple[list[tuple], bool]:
+    rows = advance(kept, chunk, back, ended=last)
+    return rows, last or kept.get("stopped", False)
+
+
+def _finish(kept: dict, back: dict[str, str]) -> list[tuple]:
+    return [*advance(kept, "", back, ended=True), (None, None, LOST, "")]
+
+
+def restore_events(chunks: DataFrame, idle_ms: int | None = None, arrival: str | None = None, late: str = "0 seconds") -> DataFrame:
     """Restored rows of a stream of raw chunks: ``exchange_id``, ``seq``, ``n``, ``event``, ``block``, ``kind``, ``text``.
 
-    Text comes as soon as no surrogate can straddle what is sent, tool input as a whole when
-    its block stops. After ``message_stop`` the state goes. An exchange silent for ``idle_ms``
-    flushes what it holds and ends with a row of the kind ``disconnected``.
+    Chunks are taken in order of ``seq``, whatever the order in which they come. Text goes out
+    as soon as no surrogate can straddle what is sent, tool input as a whole when its block
+    stops. An exchange ends with ``message_stop`` or, with ``idle_ms`` (see
+    :func:`ordered.in_order`), by a time-out: it flushes what it holds and ends with a row of
+    the kind ``disconnected``.
     """
-
-    def handle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, session, kept = state.get if state.exists else (-1, "{}", "{}")
-        held, rows = json.loads(kept), []
-        if state.hasTimedOut:
-            found = [*advance(held, "", json.loads(session), ended=True), (None, None, LOST, "")]
-            rows = [(key[0], seq + 1, n, *r) for n, r in enumerate(found)]
-            state.remove()
-        else:
-            for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-                seq, session = int(r.seq), r.session
-                rows += [(key[0], seq, n, *x) for n, x in enumerate(advance(held, r.chunk, json.loads(session)))]
-            if held.get("stopped"):
-                state.remove()
-            else:
-                state.update((seq, session, json.dumps(held)))
-                state.setTimeoutDuration(idle_ms)
-        columns = [c.split(" ")[0] for c in OUTPUT.split(", ")]
-        yield pd.DataFrame(rows, columns=columns).astype({"block": "Int64"})
-
-    return chunks.groupBy("exchange_id").applyInPandasWithState(
-        handle, OUTPUT, "seq long, session string, held string", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    return in_order(chunks, _feed, _finish, OUTPUT, idle_ms, arrival, late)
 
 
 def restore_events_at_rest(chunks: DataFrame) -> DataFrame:
     """The same for chunks in a table: one pass per exchange; one without ``message_stop`` ends ``disconnected``."""
 
     def handle(rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}
+        kept: dict = {}
         out: list[tuple] = []
         key, seq, back = 0, -1, {}
-        for r in rows.sort_values("seq").itertuples(index=False):
-            key, seq, back = r.exchange_id, int(r.seq), json.loads(r.session)
-            out += [(key, seq, n, *x) for n, x in enumerate(advance(held, r.chunk, back))]
-        if not held.get("stopped"):
-            found = [*advance(held, "", back, ended=True), (None, None, LOST, "")]
-            out += [(key, seq + 1, n, *x) for n, x in enumerate(found)]
+        for r in rows.drop_duplicates("seq").sort_values("seq").itertuples(index=False):
+            key, seq, back = r.exchange_id, int(r.seq), session_of(r.session)
+            out += [(key, seq, n, *x) for n, x in enumerate(advance(kept, r.chunk if isinstance(r.chunk, str) else "", back))]
+        if not kept.get("stopped"):
+            out += [(key, seq + 1, n, *x) for n, x in enumerate(_finish(kept, back))]
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUTPUT.split(", ")]).astype({"block": "Int64"})
 
-    return chunks.groupBy("exchange_id").applyInPandas(handle, OUTPUT)
+    placed = chunks.where("exchange_id IS NOT NULL AND seq IS NOT NULL")
+    return placed.groupBy("exchange_id").applyInPandas(handle, OUTPUT)
 
 
 def streamed_text(rows: DataFrame) -> DataFrame:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskwell.functions.words import NAME_SUFFIXES
+from maskwell.streaming.ordered import ENDED, LOST, OPEN, in_order
 
-OUTPUT = "exchange_id long, seq long, piece string"
+OUTPUT = "exchange_id long, seq long, n long, piece string, state string"
 
 
 def pattern_of(surrogates: list[str]) -> re.Pattern[str]:
@@ -50,42 +47,26 @@ def step(held: str, before: str, chunk: str, back: dict[str, str], last: bool) -
     return "".join(out), text[cut:], (before + text[:cut])[-1:]
 
 
-def restore_stream(chunks: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def _feed(kept: dict, chunk: str, back: dict[str, str], last: bool) -> tuple[list[tuple], bool]:
+    piece, kept["held"], kept["before"] = step(kept.get("held", ""), kept.get("before", ""), chunk, back, last)
+    return ([(piece, ENDED if last else OPEN)] if piece or last else []), last
+
+
+def _finish(kept: dict, back: dict[str, str]) -> list[tuple]:
+    return [(step(kept.get("held", ""), kept.get("before", ""), "", back, True)[0], LOST)]
+
+
+def restore_stream(chunks: DataFrame, idle_ms: int | None = None, arrival: str | None = None, late: str = "0 seconds") -> DataFrame:
     """Pieces of restored text for a stream of ``exchange_id``, ``seq``, ``chunk``, ``last``, ``session``.
 
-    ``session`` is the exchange's map surrogate -> real as JSON. Chunks of one micro-batch are
-    put in order; a chunk flagged ``last`` flushes and clears the state of its exchange. An
-    exchange that sends nothing for ``idle_ms`` is given up: what it still holds is sent.
+    ``session`` is the exchange's map surrogate -> real as JSON; one that is no such map
+    restores nothing. Chunks are taken in order of ``seq`` from 0 on, whatever the order in
+    which they come; a chunk flagged ``last`` flushes its exchange, whose final row has the
+    state ``ended``. With ``idle_ms`` (see :func:`ordered.in_order`) an exchange that falls
+    silent ends with a row of the state ``disconnected``: what was held back goes out, chunks
+    behind a missing one do not, and whatever comes later is ignored.
     """
-
-    def handle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, before, seq, session = state.get if state.exists else ("", "", -1, "{}")
-        out = []
-        if state.hasTimedOut:
-            piece, _, _ = step(held, before, "", json.loads(session), True)
-            state.remove()
-            if piece:
-                out.append((key[0], seq + 1, piece))
-            yield pd.DataFrame(out, columns=["exchange_id", "seq", "piece"])
-            return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for r in rows.itertuples(index=False):
-            seq, session = int(r.seq), r.session
-            piece, held, before = step(held, before, r.chunk, json.loads(session), bool(r.last))
-            if piece:
-                out.append((key[0], seq, piece))
-            if r.last:
-                held, before = "", ""
-        if len(rows) and bool(rows["last"].iloc[-1]):
-            state.remove()
-        else:
-            state.update((held, before, seq, session))
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["exchange_id", "seq", "piece"])
-
-    return chunks.groupBy("exchange_id").applyInPandasWithState(
-        handle, OUTPUT, "held string, before string, seq long, session string", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    return in_order(chunks, _feed, _finish, OUTPUT, idle_ms, arrival, late)
 
 
 def reassemble(pieces: DataFrame) -> DataFrame:

@@ -23,5 +23,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from maskwell.shared import ship_package
+
+    ship_package(session)
     yield session
     session.stop()
