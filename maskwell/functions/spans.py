@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-_BLOCK = 256
+_BLOCK = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,13 +19,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def running(sizes: Column) -> Column:
     """Sum of the integers before each place of an array, in time linear in its length.
 
-    Blocks of fixed length are summed first, so that no array grows one place at a time
-    over a whole long text.
+    Blocks of fixed length are summed first, and blocks of blocks, so that no array grows one
+    place at a time over a whole long text.
     """
-    return let(sizes, _running)
+    return let(sizes, lambda x: _running(x, 3))
 
 
-def _running(sizes: Column) -> Column:
+def _running(sizes: Column, levels: int) -> Column:
     n = F.ceil(F.size(sizes) / F.lit(_BLOCK)).cast("int")
     blocks = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
@@ -40,7 +40,8 @@ def _running(sizes: Column) -> Column:
 
         return F.aggregate(values, F.struct(start.cast("int").alias("at"), none.alias("seen")), step, lambda acc: acc["seen"])
 
-    starts = before(F.transform(blocks, lambda k: F.aggregate(block(k), F.lit(0), lambda a, x: a + x)), F.lit(0))
+    sums = F.transform(blocks, lambda k: F.aggregate(block(k), F.lit(0), lambda a, x: a + x))
+    starts = before(sums, F.lit(0)) if levels == 2 else let(sums, lambda x: _running(x, levels - 1))
     return F.flatten(F.zip_with(blocks, starts, lambda k, start: before(block(k), start)))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from maskwell.shared import materialize
 # Shortest surface and most edits of the fuzzy pass.
 FUZZY_LENGTH = 5
 FUZZY_EDITS = 2
+#: Letters from which on a name is looked up by pieces, as it has too many shorter forms.
+LONG_NAME = 20
 
 
 def token_array(text: Column) -> Column:
@@ -86,46 +91,180 @@ def exact_and_folded(dictionary: DataFrame) -> DataFrame:
     return per_fold.join(folded.select(F.col("lookup").alias("folded"), named.alias("first")), "folded")
 
 
-def close_words(vocabulary: DataFrame, dictionary: DataFrame, stopwords: list[str]) -> DataFrame:
-    """``phrase`` of ``vocabulary`` with ``surface``, ``entity`` of the nearest name within one or two edits.
+def remnants(text: str, most: int) -> set[str]:
+    """All that is left of a text when up to ``most`` characters go, the first one excepted."""
+    out = reached = {text}
+    for _ in range(most):
+        reached = {x[:i] + x[i + 1 :] for x in reached for i in range(1, len(x))}
+        out = out | reached
+    return out
+
+
+def _cuts(size: int) -> list[tuple[int, int]]:
+    """Start and end of the three pieces of a text of ``size`` characters."""
+    ends = [size * k // 3 for k in range(4)]
+    return list(zip(ends, ends[1:], strict=False))
+
+
+def name_keys(name: str) -> set[str]:
+    """Keys of a folded name: itself with up to two characters less; a long one by its three pieces."""
+    if len(name) <= LONG_NAME:
+        return remnants(name, FUZZY_EDITS)
+    return {f"{len(name)}/{k}/{name[s:e]}" for k, (s, e) in enumerate(_cuts(len(name)))}
+
 
-    Single words of at least five letters with the same first letter as the name. Each word of
-    the vocabulary is compared once, with the names of its first letter and of a length that
-    two edits can bridge.
+def phrase_keys(phrase: str, blanks: int) -> set[str]:
+    """Keys of a folded run of ``blanks`` + 1 words, of which one is a key of every name within two edits.
+
+    A name has no blank, so an alignment deletes each blank or puts a letter in its place:
+    either way the run loses it, and only the other edits may cost it a letter. The first
+    characters are the same and stay. Two edits leave one of three pieces of a long name whole,
+    and shift it by two places at most.
+    """
+    joined, keys = phrase.replace(" ", ""), set()
+    if len(joined) <= LONG_NAME + FUZZY_EDITS:
+        keys = remnants(joined, FUZZY_EDITS - blanks)
+    for size in range(max(LONG_NAME + 1, len(phrase) - FUZZY_EDITS), len(phrase) + FUZZY_EDITS + 1):
+        for k, (s, e) in enumerate(_cuts(size)):
+            shifts = range(max(0, s - FUZZY_EDITS), s + FUZZY_EDITS + 1)
+            keys |= {f"{size}/{k}/{phrase[at : at + e - s]}" for at in shifts}
+    return keys
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per key of each row's ``folded``; ``k`` is null for names. Few rows are held at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            some = batch.slice(start, 500)
+            key, at = [], []
+            for row, (surface, folded, k) in enumerate(zip(*(some[c].to_pylist() for c in ("surface", "folded", "k")), strict=True)):
+                found = name_keys(folded) if k is None else phrase_keys(folded, k - 1)
+                key += [surface[:1] + x for x in found]
+                at += [row] * len(found)
+            picked = some.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), picked["surface"], picked["folded"]], names=["key", "surface", "folded"])
+
+
+def _fuzzy(c: str) -> Column:
+    return ~F.col(c).contains(" ") & (F.length(c) >= FUZZY_LENGTH)
+
+
+def close_phrases(phrases: DataFrame, dictionary: DataFrame, stopwords: list[str]) -> DataFrame:
+    """``phrase`` of ``phrases`` (``phrase``, ``folded``, ``k`` words, at most 3) and ``surface``, ``entity`` of the nearest name.
+
+    Names are surfaces of one word of at least five letters; a phrase is near with one or two
+    edits between the folded forms, the same first character, at least five characters and no
+    stop-word of its own. Equal keys meet, in whose sense a name and a phrase share a remnant;
+    only those are compared. The nearest name wins, then the first declared.
     """
-    single = lambda c: ~F.col(c).contains(" ") & (F.length(c) >= FUZZY_LENGTH)
-    names = dictionary.where(single("surface")).select("surface", "entity", "ord", words.fold(F.col("surface")).alias("name"))
-    bridged = F.sequence(F.length("name") - FUZZY_EDITS, F.length("name") + FUZZY_EDITS)
-    names = names.select("*", F.substring("surface", 1, 1).alias("initial"), F.explode(bridged).alias("size"))
-    rest = vocabulary.where(single("phrase") & ~F.lower("phrase").isin(stopwords)).select("phrase", words.fold(F.col("phrase")).alias("word"))
-    rest = rest.select("phrase", "word", F.substring("phrase", 1, 1).alias("initial"), F.length("word").alias("size"))
-    distance = F.levenshtein("word", "name", FUZZY_EDITS)
-    near = rest.join(names, ["initial", "size"]).withColumn("edits", distance).where("edits > 0")
-    best = near.groupBy("phrase").agg(F.min_by(F.struct("surface", "entity"), F.struct("edits", "ord")).alias("m"))
+    known = dictionary.where(_fuzzy("surface")).select("surface", "entity", "ord")
+    names = known.select("surface").distinct().select("surface", words.fold(F.col("surface")).alias("folded"), F.lit(None).cast("int").alias("k"))
+    rest = phrases.where((F.length("phrase") >= FUZZY_LENGTH) & ~F.lower("phrase").isin(stopwords))
+    rest = rest.select(F.col("phrase").alias("surface"), "folded", "k")
+    shape = "key string, surface string, folded string"
+    by_name = names.mapInArrow(_keyed, shape).select("key", "surface", F.col("folded").alias("name"))
+    by_phrase = rest.mapInArrow(_keyed, shape).select("key", F.col("surface").alias("phrase"), F.col("folded").alias("word"))
+    near = by_phrase.join(by_name, "key").withColumn("edits", F.levenshtein("word", "name", FUZZY_EDITS)).where("edits > 0")
+    best = near.join(known, "surface").groupBy("phrase").agg(F.min_by(F.struct("surface", "entity"), F.struct("edits", "ord")).alias("m"))
     return best.select("phrase", "m.surface", "m.entity")
 
 
+def token_runs(texts: DataFrame, key: str, longest: int, text: str = "text") -> DataFrame:
+    """``key``, ``t``: every word with the ``longest`` - 1 words behind it, as fields ``t0``, ``t1``, ..."""
+
+    def runs(toks: Column) -> Column:
+        ahead = [F.slice(toks, F.lit(k + 1), F.greatest(F.lit(0), F.size(toks) - k)) for k in range(longest)]
+        return F.arrays_zip(*[x.alias(f"t{k}") for k, x in enumerate(ahead)])
+
+    tokenized = texts.select(key, token_array(F.col(text)).alias("toks"))
+    return tokenized.select(key, F.explode(runs(F.col("toks"))).alias("t"))
+
+
+def _run(k: int) -> tuple[Column, Column]:
+    """Whether the first ``k`` words of a run are parted by blanks or tabs only, and those words with single blanks."""
+    whole, phrase = F.lit(True), F.col("t.t0.word")
+    for j in range(1, k):
+        whole = whole & F.coalesce(F.col(f"t.t{j}.gap").rlike(r"^[ \t]+$"), F.lit(False))
+        phrase = F.concat(phrase, F.lit(" "), F.col(f"t.t{j}.word"))
+    return whole, phrase
+
+
+def affixes(names: DataFrame) -> DataFrame:
+    """``folded``, ``pre``, ``suf``: every beginning and end of the names of the fuzzy pass."""
+    folded = names.where(_fuzzy("surface")).select(words.fold(F.col("surface")).alias("name")).distinct()
+    cut = folded.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("n"))
+    pre = cut.select(F.substring("name", F.lit(1), F.col("n")).alias("folded"), F.lit(True).alias("pre"), F.lit(False).alias("suf"))
+    suf = cut.select(F.substring("name", F.length("name") - F.col("n") + 1, F.col("n")).alias("folded"), F.lit(False).alias("pre"), F.lit(True).alias("suf"))
+    return pre.unionByName(suf).groupBy("folded").agg(F.max("pre").alias("pre"), F.max("suf").alias("suf"))
+
+
+def _several_words(runs: DataFrame, vocabulary: DataFrame, names: DataFrame, high: int) -> DataFrame:
+    """Distinct ``phrase``, ``k``, ``folded`` of two or three words that a name may be near to.
+
+    Each blank costs an edit. So of two words one is an exact beginning or end of the name, and
+    of three the first and the last are.
+    """
+    parts = vocabulary.join(affixes(names), "folded").select("word", "pre", "suf")
+    t0, t1, t2 = (F.col(f"t.t{k}.word") for k in range(3))
+    led = runs.join(parts.select(F.col("word").alias("w0"), F.col("pre").alias("pre0")), t0 == F.col("w0"), "left")
+    led = led.join(parts.select(F.col("word").alias("w1"), F.col("suf").alias("suf1")), t1 == F.col("w1"), "left")
+    led = led.join(parts.where("suf").select(F.col("word").alias("w2"), F.col("suf").alias("suf2")), t2 == F.col("w2"), "left")
+    two, three = _run(2), _run(3)
+    wins = [
+        F.when((F.col("pre0") | F.col("suf1")) & two[0], F.struct(F.lit(2).alias("k"), two[1].alias("phrase"))),
+        F.when(F.col("pre0") & F.col("suf2") & three[0], F.struct(F.lit(3).alias("k"), three[1].alias("phrase"))),
+    ]
+    # Folding gives a letter four at most.
+    fits = F.length("w.phrase").between(FUZZY_LENGTH, high + FUZZY_EDITS + 16)
+    found = led.select(F.explode(F.array(*wins)).alias("w")).where(fits).select("w.*").distinct()
+    return found.withColumn("folded", words.fold(F.col("phrase")))
+
+
 def match(texts: DataFrame, dictionary: DataFrame, key: str, stopwords: list[str], text: str = "text") -> DataFrame:
     """Windows of texts with the entity of the first pass that hits: exact, folded, fuzzy.
 
     ``dictionary`` has ``surface``, ``entity``, ``ord`` (declaration order). A key shared by
-    several entries is reported as ``first_name``. Windows meet the dictionary by their folded
-    form, which both first passes have in common; the fuzzy pass compares each word of the
-    vocabulary once. Stop-words never match fuzzily. Texts are read twice and never shuffled
-    as long as what they meet is small enough for the session to broadcast.
+    several entries is reported as ``first_name``. Windows of up to three words (or as many as
+    the longest surface has) count in every pass; a window that is a stop-word never matches
+    fuzzily. Words are folded once each, near windows are looked for once each, and only words
+    with which a known or near window begins are made into windows. Texts are read three times
+    and never shuffled as long as what they meet is small enough for the session to broadcast.
     """
     named = exact_and_folded(dictionary)
-    vocabulary = texts.select(F.explode(F.array_distinct(words.words(F.col(text)))).alias("phrase")).distinct()
-    unknown = vocabulary.withColumn("folded", words.fold(F.col("phrase"))).join(named.select("folded"), "folded", "left_anti")
-    fuzzy = materialize(close_words(unknown.select("phrase"), dictionary, stopwords), "close-words")
-    found = windows(texts, key, longest_window(dictionary), text)
-    by_fold = found.withColumn("folded", words.fold(F.col("phrase"))).join(named, "folded", "left")
+    longest, low, high = _extents(dictionary)
+    runs = token_runs(texts, key, longest, text)
+    vocabulary = texts.select(F.explode(F.array_distinct(words.words(F.col(text)))).alias("word")).distinct()
+    vocabulary = materialize(vocabulary.withColumn("folded", words.fold(F.col("word"))), "vocabulary")
+    if high is None:
+        fuzzy = dictionary.select(F.col("surface").alias("phrase"), "surface", "entity").limit(0)
+    else:
+        single = vocabulary.select(F.col("word").alias("phrase"), F.lit(1).alias("k"), "folded")
+        found = single.unionByName(_several_words(runs, vocabulary, dictionary, high).select("phrase", "k", "folded"))
+        near = F.length("folded").between(low - FUZZY_EDITS, high + FUZZY_EDITS) & (F.length("phrase") >= FUZZY_LENGTH)
+        unknown = found.where(near).join(named.select("folded"), "folded", "left_anti")
+        fuzzy = close_phrases(unknown, dictionary, stopwords)
+    fuzzy = materialize(fuzzy, "close-phrases")
+
+    begun = named.select("folded").unionByName(fuzzy.select(words.fold(F.col("phrase")).alias("folded")))
+    first = F.split("folded", " ")
+    begun = begun.groupBy(first[0].alias("folded")).agg(F.max(F.size(first)).alias("most"))
+    heads = vocabulary.join(begun, "folded").select(F.col("word").alias("head"), "most")
+    met = runs.join(heads, F.col("t.t0.word") == F.col("head"))
+    wins = [
+        F.when((F.col("most") >= k) & _run(k)[0], F.struct(_run(k)[1].alias("phrase"), F.col(f"t.t{k - 1}.e").alias("e"))) for k in range(1, longest + 1)
+    ]
+    spans = met.select(key, F.col("t.t0.s").alias("s"), F.explode(F.array(*wins)).alias("w")).where("w IS NOT NULL")
+    spans = spans.select(key, "s", "w.e", "w.phrase", words.fold(F.col("w.phrase")).alias("folded"))
+
+    by_fold = spans.join(named, "folded", "left")
     by_word = by_fold.join(fuzzy.select("phrase", F.struct("surface", "entity", F.lit(1).cast("long").alias("n_entries")).alias("close")), "phrase", "left")
     exact = F.try_element_at("exact", F.col("phrase"))
     chosen = F.coalesce(exact, F.col("first"), F.col("close"))
     shared = F.coalesce(exact["n_entries"], F.col("first.n_entries"), F.lit(1)) > 1
     pass_name = F.when(shared, "first_name").when(exact.isNotNull(), "exact").when(F.col("first").isNotNull(), "normalized").otherwise("fuzzy")
-    return by_word.where(chosen.isNotNull()).select(key, "s", "e", "phrase", chosen["surface"].alias("surface"), chosen["entity"].alias("entity"), pass_name.alias("pass_name"))
+    return by_word.where(chosen.isNotNull()).select(
+        key, "s", "e", "phrase", chosen["surface"].alias("surface"), chosen["entity"].alias("entity"), pass_name.alias("pass_name")
+    )
 
 
 def disjoint(matched: DataFrame, key: str) -> DataFrame:
@@ -133,10 +272,8 @@ def disjoint(matched: DataFrame, key: str) -> DataFrame:
     return overlap.disjoint(matched.select(key, "s", "e", "surface", "entity", "pass_name"), key)
 
 
-def longest_window(dictionary: DataFrame) -> int:
-    """Words of the longest surface, at least 3 where a surface can match fuzzily: one aggregated row."""
-    row = dictionary.agg(
-        F.max(F.size(words.words(F.col("surface")))).alias("k"),
-        F.max(F.when(~F.col("surface").contains(" ") & (F.length("surface") >= FUZZY_LENGTH), 3).otherwise(1)).alias("f"),
-    ).first()
-    return max(row.k or 1, row.f or 1)
+def _extents(dictionary: DataFrame) -> tuple[int, int | None, int | None]:
+    """Words of the longest window and the shortest and longest folded name of the fuzzy pass: one aggregated row."""
+    size = F.when(_fuzzy("surface"), F.length(words.fold(F.col("surface"))))
+    row = dictionary.agg(F.max(F.size(words.words(F.col("surface")))).alias("k"), F.min(size).alias("low"), F.max(size).alias("high")).first()
+    return max(row.k or 1, 1 if row.high is None else FUZZY_EDITS + 1), row.low, row.high

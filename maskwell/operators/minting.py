@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions import words
 from maskwell.operators.ordinal import with_ordinal
+from maskwell.shared import materialize
 
 # Fixed value: reserved phone numbers that exist.
 PHONE_POOL = 100
@@ -30,14 +31,82 @@ def first_seen(found: DataFrame, key: str) -> DataFrame:
     return seen.select("kind", "value", F.col(f"first.{key}").alias("first_key"), F.col("first.s").alias("first_at"))
 
 
-def mint_pii(found: DataFrame, key: str) -> DataFrame:
+def nth_free(rows: DataFrame, holes: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
+    """``rows`` with the next free number of their kind, in the given order, counted from 0.
+
+    ``rows`` has ``kind``, ``holes`` the numbers (``kind``, ``number``) that are taken. Row r
+    gets the number before which r are free. If g numbers are free before a hole, it pushes all
+    rows from the g-th on by one; so rows at r and holes at g, put in one order with holes
+    first, stand at the very numbers sought. No loop, and no kind in one task.
+    """
+    ranked = with_ordinal(rows, ["kind"], order, "_at")
+    taken = holes.select("kind", "number").distinct()
+    if taken.isEmpty():
+        return ranked.withColumnRenamed("_at", name)
+    packed = ranked.select("kind", "_at", F.lit(True).alias("_row"), F.struct(*rows.columns).alias("_r"))
+    pushed = with_ordinal(taken, ["kind"], ["number"], "_i").select("kind", (F.col("number") - F.col("_i")).alias("_at"), F.lit(False).alias("_row"))
+    placed = with_ordinal(packed.unionByName(pushed, allowMissingColumns=True), ["kind"], ["_at", "_row"], name).where("_row")
+    return placed.select("_r.*", name)
+
+
+def reserved_number(kind: Column, value: Column) -> Column:
+    """Number of the surrogate of a kind that a value equals; null if it equals none."""
+    digits = F.regexp_extract(value, "([0-9]+)(@[a-z.]+)?$", 1)
+    number = F.when(F.length(digits) <= 18, digits.cast("long"))
+    general = F.concat(F.lit("PII-RESERVED-"), kind, F.lit("-"))
+    number = F.when((kind == "phone") & value.startswith(general), number + PHONE_POOL).when(kind == "phone", number - 100).otherwise(number)
+    return F.when((number >= 0) & (_surrogate(kind, number) == value), number)
+
+
+def _surrogate(kind: Column, number: Column) -> Column:
+    """Surrogate by number; beyond a kind's finite pool the general reserved form goes on."""
+    digits = (number - PHONE_POOL).cast("string")
+    general = F.concat(F.lit("PII-RESERVED-phone-"), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))
+    return F.when((kind == "phone") & (number >= PHONE_POOL), general).otherwise(words.pii_surrogate(kind, number))
+
+
+def mint_pii(found: DataFrame, key: str, known: DataFrame | None = None, issued: DataFrame | None = None, beyond: str = "raise") -> DataFrame:
     """``kind``, ``value``, ``ordinal``, ``surrogate``: numbered per kind by first appearance.
 
-    Values that already have the shape of a surrogate are not minted again.
+    ``issued`` are rows of earlier calls; their values keep what they have, and new numbers
+    follow the last of their kind. A surrogate that equals a real value (one of ``known``, with
+    column ``value``, of ``issued`` or of ``found``) is skipped and never used later. Values in
+    ``found`` that have the shape of a surrogate are taken for one and not minted, unless
+    ``known`` lists them as real.
+
+    Phone numbers have a pool of ``PHONE_POOL``. At its end the job fails with an error that
+    names the kind only; with ``beyond="reserved"`` numbering goes on in the reserved form that
+    kinds without a name space of their own have.
     """
-    real = first_seen(found, key).where(~words.is_reserved_pii(F.col("value")))
-    numbered = with_ordinal(real, ["kind"], ["first_key", "first_at", "value"])
-    return numbered.select("kind", "value", "ordinal", words.pii_surrogate(F.col("kind"), F.col("ordinal")).alias("surrogate"))
+    if beyond not in ("raise", "reserved"):
+        raise ValueError("beyond must be raise or reserved")
+    spark = found.sparkSession
+    real = spark.createDataFrame([], "value string") if known is None else known.select("value").where("value IS NOT NULL")
+    old = spark.createDataFrame([], "kind string, value string, ordinal long, surrogate string") if issued is None else issued
+    seen = first_seen(found, key)
+    shaped = words.is_reserved_pii(F.col("value"))
+    listed = seen.where(shaped).join(real.distinct(), "value", "left_semi").select(*seen.columns)
+    fresh = seen.where(~shaped).unionByName(listed).join(old.select("kind", "value"), ["kind", "value"], "left_anti")
+
+    taken = real.unionByName(old.select("value")).where(shaped).distinct()
+    kinds = F.array(*map(F.lit, ("email", "phone", "iban", "id")))
+    other = F.regexp_extract("value", "^PII-RESERVED-(.+)-[0-9]+$", 1)
+    named = taken.select("value", F.explode(F.array_distinct(F.concat(kinds, F.array(other)))).alias("kind"))
+    holes = named.select("kind", reserved_number(F.col("kind"), F.col("value")).alias("number")).where("number IS NOT NULL")
+    if issued is None:
+        numbered = nth_free(fresh, holes, ["first_key", "first_at", "value"])
+        total = F.col("ordinal")
+    else:
+        after = old.groupBy("kind").agg((F.max("ordinal") + 1).alias("start"))
+        moved = holes.join(after, "kind", "left").select("kind", (F.col("number") - F.coalesce("start", F.lit(0))).alias("number")).where("number >= 0")
+        numbered = nth_free(fresh, moved, ["first_key", "first_at", "value"]).join(after, "kind", "left")
+        total = F.col("ordinal") + F.coalesce("start", F.lit(0))
+    rows = numbered.select("kind", "value", total.cast("long").alias("ordinal"))
+    surrogate = _surrogate(F.col("kind"), F.col("ordinal"))
+    if beyond == "raise":
+        ended = (F.col("kind") == "phone") & (F.col("ordinal") >= PHONE_POOL)
+        surrogate = F.when(ended, F.raise_error(F.concat(F.lit("no surrogate is left of the kind "), F.col("kind")))).otherwise(surrogate)
+    return old.select("kind", "value", "ordinal", "surrogate").unionByName(rows.withColumn("surrogate", surrogate))
 
 
 def exhausted_pools(minted: DataFrame) -> DataFrame:
@@ -63,16 +132,33 @@ def free_entries(pool: DataFrame, known: DataFrame, value: str = "value") -> Dat
     return with_ordinal(pool.join(used, ["kind", "position"], "left_anti"), ["kind"], ["position"], "free")
 
 
-def mint_names(referents: DataFrame, pool: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
-    """``referents`` (``kind``, ``value``) with a ``surrogate``: the n-th free entry, then numbered ones."""
+def mint_names(referents: DataFrame, pool: DataFrame, known: DataFrame, order: list[str], value: str = "value") -> DataFrame:
+    """``referents`` (``kind``, ``value``) with a ``surrogate``: the n-th free entry, then numbered ones.
+
+    Neither collides with a value of ``known``: entries that share a word with one and numbered
+    surrogates that equal one are skipped.
+    """
     numbered = with_ordinal(referents, ["kind"], order)
     free = free_entries(pool, known).select("kind", F.col("free").alias("ordinal"), "entry")
     sizes = free.groupBy("kind").agg(F.count("*").alias("n_free"))
-    joined = numbered.join(free, ["kind", "ordinal"], "left").join(sizes, "kind", "left")
+    joined = materialize(numbered.join(free, ["kind", "ordinal"], "left").join(sizes, "kind", "left"), "names")
     prefix = F.coalesce(*[F.when(F.col("kind") == k, F.lit(p)) for k, p in FALLBACK.items()], F.lit("BFK"))
-    beyond = (F.col("ordinal") - F.coalesce("n_free", F.lit(0))).cast("string")
-    fallback = F.concat(prefix, F.lpad(beyond, F.greatest(F.length(beyond), F.lit(4)), F.lit("0")))
-    return joined.withColumn("surrogate", F.coalesce("entry", fallback)).drop("entry", "n_free")
+
+    # A numbered surrogate that equals a known value is skipped.
+    shaped = known.select(F.col(value).alias("v")).where(words.is_reserved_provisional(F.col("v"))).distinct()
+    kinds = {p: k for k, p in FALLBACK.items()}
+    kind_of = F.coalesce(*[F.when(F.substring("v", 1, 3) == p, F.lit(k)) for p, k in kinds.items()])
+    number = F.when(F.length("v") <= 21, F.substring("v", F.lit(4), F.length("v")).cast("long"))
+    holes = shaped.select("v", kind_of.alias("kind"), number.alias("number")).where("kind IS NOT NULL AND number IS NOT NULL")
+    last = nth_free(joined.where("entry IS NULL"), holes.where(F.concat(F.substring("v", 1, 3), _four(F.col("number"))) == F.col("v")), ["ordinal"], "beyond")
+    poolless = last.withColumn("surrogate", F.concat(prefix, _four(F.col("beyond"))))
+    pooled = joined.where("entry IS NOT NULL").withColumn("surrogate", F.col("entry"))
+    return pooled.unionByName(poolless.drop("beyond")).drop("entry", "n_free")
+
+
+def _four(number: Column) -> Column:
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
 
 
 def referent_key(name: Column, entity_type: Column) -> Column:

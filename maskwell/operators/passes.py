@@ -46,6 +46,7 @@ def deterministic_spans(
     items: DataFrame,
     stopwords: list[str],
     kinds: list[str] | None = None,
+    beyond: str = "raise",
 ) -> tuple[DataFrame, DataFrame]:
     """Disjoint spans of all three layers, and the contact data minted.
 
@@ -53,7 +54,8 @@ def deterministic_spans(
     ``surrogates`` has ``entity``, ``surrogate``, ``canonical``; ``items`` are open review items as
     for :func:`minting.pair_map`. Precedence: dictionary, then items in order of their number
     and the longer value first, then contact data; inside the dictionary and the contact data
-    the longest span wins, then the leftmost.
+    the longest span wins, then the leftmost. No surrogate of contact data equals a real value of
+    the other layers; see :func:`minting.mint_pii` for ``beyond``.
     """
     columns = [key, "s", "e", "layer", "rank", "surrogate", "real"]
     matched = dictionary.disjoint(dictionary.match(texts, names, key, stopwords), key)
@@ -62,7 +64,9 @@ def deterministic_spans(
     paired = occurrences(texts, key, minting.pair_map(items, stopwords))
     paired = paired.select(key, "s", "e", level["pair"], F.col("item_id").cast("long").alias("rank"), "surrogate", "real")
     found = materialize(detect.pii_spans(texts, key, kinds=kinds), "contact-data")
-    minted = materialize(minting.mint_pii(found, key), "minted")
+    real = names.select(F.col("surface").alias("value")).unionByName(surrogates.select(F.col("canonical").alias("value")))
+    real = real.unionByName(items.select("value"))
+    minted = materialize(minting.mint_pii(found, key, known=real, beyond=beyond), "minted")
     contact = found.join(minted.select("kind", "value", "surrogate"), ["kind", "value"])
     contact = contact.select(key, "s", "e", level["contact"], F.lit(0).cast("long").alias("rank"), "surrogate", F.col("value").alias("real"))
     every = known.select(*columns).unionByName(paired.select(*columns)).unionByName(contact.select(*columns))

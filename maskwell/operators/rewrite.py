@@ -106,14 +106,14 @@ def unresolved(texts: DataFrame, key: str, text: str, session: DataFrame) -> Dat
     return joined.where(F.col(text).contains(F.col("surrogate"))).where(F.regexp_count(F.col(text), whole) > 0).select(key, "surrogate")
 
 
-def contact_data(texts: DataFrame, key: str, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """One scan of all texts: (located spans with surrogates, minted values)."""
+def contact_data(texts: DataFrame, key: str, kinds: list[str] | None = None, beyond: str = "raise") -> tuple[DataFrame, DataFrame]:
+    """One scan of all texts: (located spans with surrogates, minted values); see :func:`minting.mint_pii` for ``beyond``."""
     found = materialize(detect.pii_spans(texts, key, kinds=kinds), "contact-data")
-    minted = materialize(minting.mint_pii(found, key), "minted")
+    minted = materialize(minting.mint_pii(found, key, beyond=beyond), "minted")
     return located(found, minted, key), minted
 
 
-def blind_documents(texts: DataFrame, key: str, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def blind_documents(texts: DataFrame, key: str, kinds: list[str] | None = None, beyond: str = "raise") -> tuple[DataFrame, DataFrame]:
     """The pass over contact data: detect, mint, splice. Returns (blinded texts, minted values)."""
-    found, minted = contact_data(texts, key, kinds)
+    found, minted = contact_data(texts, key, kinds, beyond)
     return blind(texts, key, found), minted

@@ -123,11 +123,25 @@ near AS (SELECT phrase, f[1] AS surface, f[2] AS entity, CASE WHEN n > 1 THEN 'f
   FROM phrases p JOIN fo ON folded = lookup WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.phrase = p.phrase))"""
 
 
-FUZZY_SQL = f"""rest AS MATERIALIZED (SELECT phrase, folded, substr(phrase, 1, 1) AS initial FROM phrases p WHERE NOT contains(phrase, ' ') AND length(phrase) >= 5
-  AND lower(phrase) NOT IN ({_in(STOP)}) AND folded NOT IN (SELECT lookup FROM fo)),
+def _shorter_sql(x: str) -> str:
+    return f"list_transform(range(1, length({x}) + 1), lambda i: substr({x}, 1, i - 1) || substr({x}, i + 1))"
+
+
+# Windows of one to three words, as the rule has them: any two forms within two edits share a form that is up to
+# two letters shorter, and a blank is always lost.
+FUZZY_SQL = f"""rest AS MATERIALIZED (SELECT phrase, folded, substr(phrase, 1, 1) AS initial, replace(folded, ' ', '') AS joined,
+    length(folded) - length(replace(folded, ' ', '')) AS blanks FROM phrases
+  WHERE length(phrase) >= 5 AND lower(phrase) NOT IN ({_in(STOP)}) AND folded NOT IN (SELECT lookup FROM fo)
+    AND length(folded) <= (SELECT max(length(surface)) + 4 FROM dict)),
 names AS MATERIALIZED (SELECT surface, entity, ord, substr(surface, 1, 1) AS initial, {_fold_sql('surface')} AS name FROM dict WHERE NOT contains(surface, ' ') AND length(surface) >= 5),
-close AS (SELECT phrase, surface, entity, levenshtein(folded, name) AS dist, ord FROM rest JOIN names USING (initial)
-  WHERE abs(length(folded) - length(name)) <= 2 AND levenshtein(folded, name) BETWEEN 1 AND 2),
+n1 AS (SELECT *, {_shorter_sql('name')} AS d1 FROM names),
+n2 AS MATERIALIZED (SELECT DISTINCT surface, entity, ord, initial, name,
+  unnest([name] || d1 || flatten(list_transform(d1, lambda y: {_shorter_sql('y')}))) AS k FROM n1),
+r1 AS (SELECT *, CASE WHEN blanks < 2 THEN {_shorter_sql('joined')} ELSE [] END AS d1 FROM rest WHERE initial IN (SELECT initial FROM names)),
+r2 AS (SELECT phrase, folded, initial,
+  unnest(list_distinct([joined] || d1 || CASE WHEN blanks = 0 THEN flatten(list_transform(d1, lambda y: {_shorter_sql('y')})) ELSE [] END)) AS k FROM r1),
+close AS (SELECT DISTINCT phrase, surface, entity, levenshtein(folded, name) AS dist, ord FROM r2 JOIN n2 USING (initial, k)
+  WHERE levenshtein(folded, name) BETWEEN 1 AND 2),
 fuzzy AS (SELECT phrase, arg_min((surface, entity), (dist, ord)) AS f FROM close GROUP BY phrase)"""
 _KEYED = "SELECT * FROM hit UNION ALL SELECT * FROM near"
 _FUZZY = "SELECT phrase, f[1] AS surface, f[2] AS entity, 'fuzzy' AS pass_name FROM fuzzy"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskwell.functions import words
 from maskwell.operators import candidates, detect, minting, passes, rewrite
 from maskwell.plans import language, pii
-from maskwell.plans.pii import KINDS, table, texts
+from maskwell.plans.pii import BEYOND, KINDS, table, texts
 from maskwell.plans.wire import requests
 from maskwell.shared import materialize, new_path
 from maskwell.sources import payloads
@@ -70,7 +70,7 @@ def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def chosen_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chosen, minted = passes.deterministic_spans(texts(spark, sf_dir), "doc_id", *_names(spark, sf_dir), STOP, KINDS)
+    chosen, minted = passes.deterministic_spans(texts(spark, sf_dir), "doc_id", *_names(spark, sf_dir), STOP, KINDS, BEYOND)
     return materialize(chosen, "chosen"), minted
 
 
@@ -137,7 +137,7 @@ def _blinded_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     sent = materialize(requests(spark, sf_dir), "payloads")
     parts = materialize(payloads.leaves(sent).where("part is not null"), "leaves")
     keyed = parts.select(F.struct("exchange_id", "leaf_no").alias("leaf"), "text")
-    chosen, _ = passes.deterministic_spans(keyed, "leaf", *_names(spark, sf_dir), STOP, KINDS)
+    chosen, _ = passes.deterministic_spans(keyed, "leaf", *_names(spark, sf_dir), STOP, KINDS, BEYOND)
     chosen = materialize(chosen, "chosen")
     rewritten = passes.blind_texts(keyed, "leaf", chosen).where("n_spans > 0").select("leaf.*", F.col("blinded").alias("text"))
     return payloads.rebuild(sent, rewritten), chosen, sent
@@ -231,7 +231,7 @@ def payload_gate(spark, sf_dir):
 def blinded_answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Blinded documents as answers of both dialects, and the session of each: (``exchange_id``, ``payload``), session."""
     docs = texts(spark, sf_dir)
-    located, _ = rewrite.contact_data(docs, "doc_id", KINDS)
+    located, _ = rewrite.contact_data(docs, "doc_id", KINDS, BEYOND)
     blinded = rewrite.blind(docs, "doc_id", located).selectExpr("doc_id AS exchange_id", "blinded")
     blocks = "to_json(named_struct('content', array(named_struct('type', 'text', 'text', blinded, 'input', null), named_struct('type', 'tool_use', 'text', null, 'input', named_struct('q', blinded)))))"
     chat = "to_json(named_struct('choices', array(named_struct('message', named_struct('role', 'assistant', 'content', blinded, 'tool_calls', array(blinded))))))"
@@ -287,7 +287,7 @@ def restore_suffix_transfer(spark, sf_dir):
 def event_chunks(spark: SparkSession, sf_dir: str, size: int = 300) -> tuple[DataFrame, DataFrame]:
     """Blinded documents as streams of events cut into raw chunks, and their sessions. Every fifth breaks off."""
     docs = texts(spark, sf_dir)
-    located, _ = rewrite.contact_data(docs, "doc_id", KINDS)
+    located, _ = rewrite.contact_data(docs, "doc_id", KINDS, BEYOND)
     session = materialize(located.selectExpr("doc_id AS exchange_id", "surrogate", "value AS real", "s AS seq"), "sessions")
     back = session.groupBy("exchange_id").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("surrogate", "real")))).alias("session"))
     blinded = rewrite.blind(docs, "doc_id", located).selectExpr("doc_id AS exchange_id", "blinded")

@@ -13,6 +13,8 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Kinds that the documents hold.
 KINDS = ["email", "phone", "card"]
+#: A whole table holds more phone numbers than one exchange: numbering goes on in the general reserved form.
+BEYOND = "reserved"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and texts; a table of fewer files than there are cores is dealt to all of them first."""
+    """Ids and texts; what Spark would read in fewer tasks than there are cores is dealt to all cores first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
 def sql_matches(source: str, key: str, pattern: str, kind: str, keep: str = "true") -> str:
@@ -81,7 +83,7 @@ ALL_FOUND = found_sql(list(detect.RECOGNISERS))
 MINTED = """firsts AS (SELECT kind, value, min((doc_id, s)) AS f FROM found GROUP BY ALL),
 minted AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY f, value) - 1 AS ordinal FROM firsts),
 named AS (SELECT kind, value, ordinal, CASE kind WHEN 'email' THEN 'pii-user-' || printf('%04d', ordinal) || '@maskwell.invalid'
-  WHEN 'phone' THEN '+1-555-' || printf('%04d', 100 + ordinal % 100)
+  WHEN 'phone' THEN CASE WHEN ordinal < 100 THEN '+1-555-' || printf('%04d', 100 + ordinal) ELSE 'PII-RESERVED-phone-' || printf('%04d', ordinal - 100) END
   ELSE 'PII-RESERVED-' || kind || '-' || printf('%04d', ordinal) END AS surrogate FROM minted)"""
 
 # Spans of different kinds never nest in these texts unless one is longer: longest first, then leftmost.
@@ -208,7 +210,7 @@ def l1_distinct_values(spark, sf_dir):
 
 @_query("mint_pii_ranked", f"WITH {FOUND}, {MINTED} SELECT kind, value, ordinal, surrogate FROM named")
 def mint_pii_ranked(spark, sf_dir):
-    return minting.mint_pii(detect.pii_spans(texts(spark, sf_dir), "doc_id", kinds=KINDS), "doc_id")
+    return minting.mint_pii(detect.pii_spans(texts(spark, sf_dir), "doc_id", kinds=KINDS), "doc_id", beyond=BEYOND)
 
 
 @_query(
@@ -216,13 +218,13 @@ def mint_pii_ranked(spark, sf_dir):
     f"WITH {FOUND} SELECT kind, count(DISTINCT value) AS n_values FROM found WHERE kind = 'phone' GROUP BY kind HAVING count(DISTINCT value) > 100",
 )
 def mint_phone_pool_guard(spark, sf_dir):
-    return minting.exhausted_pools(minting.mint_pii(detect.pii_spans(texts(spark, sf_dir), "doc_id", kinds=KINDS), "doc_id"))
+    return minting.exhausted_pools(minting.mint_pii(detect.pii_spans(texts(spark, sf_dir), "doc_id", kinds=KINDS), "doc_id", beyond=BEYOND))
 
 
 @_query("blind_documents", f"WITH {FOUND}, {MINTED}, {DISJOINT}, {BLINDED} SELECT doc_id, n_spans, blinded FROM blinded")
 def blind_documents(spark, sf_dir):
     """Flagship: contact data of all documents replaced by surrogates."""
-    return rewrite.blind_documents(texts(spark, sf_dir), "doc_id", KINDS)[0].drop("text")
+    return rewrite.blind_documents(texts(spark, sf_dir), "doc_id", KINDS, BEYOND)[0].drop("text")
 
 
 _WHOLE = r"'(^|[^\p{L}\p{N}_])' || regexp_escape(value) || '([^\p{L}\p{N}_]|$)'"
@@ -234,7 +236,7 @@ _WHOLE = r"'(^|[^\p{L}\p{N}_])' || regexp_escape(value) || '([^\p{L}\p{N}_]|$)'"
 )
 def leak_gate_violations(spark, sf_dir):
     """Known values left in blinded texts; empty when the gate passes."""
-    blinded, minted = rewrite.blind_documents(texts(spark, sf_dir), "doc_id", KINDS)
+    blinded, minted = rewrite.blind_documents(texts(spark, sf_dir), "doc_id", KINDS, BEYOND)
     blinded = materialize(blinded.select("doc_id", "blinded"), "blinded")
     return rewrite.leaks(blinded, "doc_id", "blinded", minted.select("value"))
 
@@ -270,7 +272,7 @@ def reserved_form_check(spark, sf_dir):
 def round_trip_identity(spark, sf_dir):
     """Blinding, then restoring with the surrogates of each document, gives the text back."""
     docs = texts(spark, sf_dir)
-    located, _ = rewrite.contact_data(docs, "doc_id", KINDS)
+    located, _ = rewrite.contact_data(docs, "doc_id", KINDS, BEYOND)
     blinded = rewrite.blind(docs, "doc_id", located)
     session = located.selectExpr("doc_id", "surrogate", "value AS real", "s AS seq")
     back = rewrite.restore(blinded.selectExpr("doc_id", "blinded AS text", "text AS original"), "doc_id", session)
@@ -281,7 +283,7 @@ def round_trip_identity(spark, sf_dir):
 def resolution_gate_violations(spark, sf_dir):
     """Surrogates of a document left in its restored text; empty when all were resolved."""
     docs = texts(spark, sf_dir)
-    located, _ = rewrite.contact_data(docs, "doc_id", KINDS)
+    located, _ = rewrite.contact_data(docs, "doc_id", KINDS, BEYOND)
     session = located.selectExpr("doc_id", "surrogate", "value AS real", "s AS seq")
     blinded = rewrite.blind(docs, "doc_id", located).selectExpr("doc_id", "blinded AS text")
     return rewrite.unresolved(rewrite.restore(blinded, "doc_id", session), "doc_id", "restored", session)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.operators import rewrite
-from maskwell.plans.pii import KINDS, table, texts
+from maskwell.plans.pii import BEYOND, KINDS, table, texts
 from maskwell.shared import new_path
 from maskwell.sources import files, payloads
 from maskwell.streaming import ordered, restore, views
@@ -106,7 +106,7 @@ def store_upsert(spark, sf_dir):
 def blinded_chunks(spark: SparkSession, sf_dir: str, size: int = 400) -> DataFrame:
     """Blinded documents in chunks of ``size`` characters, each with the session of its document."""
     docs = texts(spark, sf_dir)
-    located, _ = rewrite.contact_data(docs, "doc_id", KINDS)
+    located, _ = rewrite.contact_data(docs, "doc_id", KINDS, BEYOND)
     session = located.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("surrogate", "value")))).alias("session"))
     blinded = rewrite.blind(docs, "doc_id", located).join(session, "doc_id", "left")
     n = F.greatest(F.lit(1), F.ceil(F.length("blinded") / size)).cast("int")

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from maskwell.functions import spans
+from maskwell.functions import spans, words
 from maskwell.operators import candidates, dictionary, minting, passes, records, rewrite
 from maskwell.operators.ordinal import with_ordinal
 from maskwell.sources import files, payloads
@@ -88,19 +88,105 @@ def brute_edits(a, b):
     return row[-1]
 
 
+def close(spark, names, phrases, stopwords=()):
+    table = spark.createDataFrame([(s, k, k) for k, s in enumerate(names)], "surface string, entity long, ord long")
+    rows = spark.createDataFrame([(p, len(p.split(" "))) for p in phrases], "phrase string, k int").withColumn("folded", words.fold(F.col("phrase")))
+    return {r.phrase: r.surface for r in dictionary.close_phrases(rows, table, list(stopwords)).collect()}
+
+
+def brute_close(names, phrases):
+    want = {}
+    for p in phrases:
+        near = [(brute_edits(p, s), k, s) for k, s in enumerate(names) if p[0] == s[0] and len(p) >= 5]
+        near = [x for x in near if 1 <= x[0] <= 2]
+        if near:
+            want[p] = min(near)[2]
+    return want
+
+
 def test_close_words_equal_brute_force(spark):
     rnd = random.Random(6)
     names = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(5, 8))) for _ in range(12)})
     vocabulary = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(4, 10))) for _ in range(600)} - set(names))
-    entries = [(s, k, k) for k, s in enumerate(names)]
-    table = spark.createDataFrame(entries, "surface string, entity long, ord long")
-    found = dictionary.close_words(spark.createDataFrame([(v,) for v in vocabulary], "phrase string"), table, [])
-    want = {}
-    for v in vocabulary:
-        near = [(brute_edits(v, s), k, s) for k, s in enumerate(names) if v[0] == s[0] and len(v) >= 5]
-        if near and min(near)[0] <= 2:
-            want[v] = min(near)[2]
-    assert {r.phrase: r.surface for r in found.collect()} == want and len(want) > 50
+    want = brute_close(names, vocabulary)
+    assert close(spark, names, vocabulary) == want and len(want) > 50
+
+
+def test_close_windows_and_long_names_equal_brute_force(spark):
+    rnd = random.Random(7)
+    names = sorted({"".join(rnd.choice("abc") for _ in range(n)) for n in (5, 6, 7, 8, 17, 18, 19, 20, 21, 22, 23, 30, 64) for _ in range(3)})
+    phrases = set()
+    for name in names:
+        for _ in range(60):
+            x = list(name)
+            for _ in range(rnd.randint(1, 3)):
+                at, kind = rnd.randrange(len(x)), rnd.choice("dis  ")
+                if kind == "d":
+                    del x[at]
+                else:
+                    x[at : at + (kind == "s")] = [" " if kind == " " else rnd.choice("abc")]
+            phrase = "".join(x)
+            if re.fullmatch(r"[abc]+( [abc]+){0,2}", phrase):
+                phrases.add(phrase)
+    phrases = sorted(phrases - set(names))
+    want = brute_close(names, phrases)
+    assert close(spark, names, phrases) == want
+    assert sum(" " in p for p in want) > 100 and sum(len(p) > 21 for p in want) > 100
+
+
+def test_a_name_that_a_blank_cuts_is_found(spark):
+    assert l2(spark, "Did Hol stein or Hols te in or Holl stein, H olstein or hol stein call?", [("Holstein", 1)]) == [
+        ("Hol stein", 1, "fuzzy"), ("Hols te in", 1, "fuzzy"), ("Holl stein", 1, "fuzzy"), ("H olstein", 1, "fuzzy")]
+    # A line break, three edits and a stop-word are no match; a known name of several words goes before.
+    assert l2(spark, "Hol\nstein Hu l stain", [("Holstein", 1)]) == []
+    assert l2(spark, "Nord Licht", [("Nordlicht", 1), ("Nord Licht", 2)]) == [("Nord Licht", 2, "exact")]
+    assert l2(spark, "Nord Licht " * 3000, [("Nordlicht", 1)])[-1] == ("Nord Licht", 1, "fuzzy")
+    assert l2(spark, "Dar win darwin", [("Darwim", 1)]) == [("Dar win", 1, "fuzzy")]
+
+
+def found_values(spark, rows):
+    return spark.createDataFrame([(k, kind, value, 0) for k, (kind, value) in enumerate(rows)], "id long, kind string, value string, s int")
+
+
+def phones(n, start=0):
+    return [("phone", f"+49 30 {k:07d}") for k in range(start, start + n)]
+
+
+def test_minting_stops_where_a_pool_ends(spark):
+    assert len({r.surrogate for r in minting.mint_pii(found_values(spark, phones(100)), "id").collect()}) == 100
+    with pytest.raises(Exception, match="no surrogate is left of the kind phone") as failed:
+        minting.mint_pii(found_values(spark, phones(130)), "id").collect()
+    assert "+49 30" not in str(failed.value)
+    more = {r.surrogate for r in minting.mint_pii(found_values(spark, phones(130)), "id", beyond="reserved").collect()}
+    assert len(more) == 130 and "PII-RESERVED-phone-0029" in more
+
+
+def minted(spark, rows, known=(), issued=None, **more):
+    table = spark.createDataFrame([(v,) for v in known], "value string")
+    return {(r.kind, r.value): r.surrogate for r in minting.mint_pii(found_values(spark, rows), "id", table, issued, **more).collect()}
+
+
+def test_minting_skips_known_values_and_keeps_what_was_issued(spark):
+    got = minted(spark, [*phones(5), ("email", "a@b.de")], ["+1-555-0100", "+1-555-0102", "pii-user-0000@maskwell.invalid", None, "+1-555-0999", "x"])
+    assert sorted(got.values()) == ["+1-555-0101", "+1-555-0103", "+1-555-0104", "+1-555-0105", "+1-555-0106", "pii-user-0001@maskwell.invalid"]
+    # A value of that shape is minted only if it is known to be real, and never gets itself.
+    assert minted(spark, [*phones(3), ("phone", "+1-555-0103")]) == minted(spark, phones(3))
+    first = minting.mint_pii(found_values(spark, [*phones(3), ("phone", "+1-555-0103")]), "id", spark.createDataFrame([("+1-555-0103",)], "value string"))
+    first = spark.createDataFrame(first.collect(), first.schema)
+    assert {r.value: r.surrogate for r in first.collect()}["+1-555-0103"] == "+1-555-0104"
+    later = minted(spark, phones(2, 2), issued=first)
+    assert later == {**{(r.kind, r.value): r.surrogate for r in first.collect()}, ("phone", "+49 30 0000003"): "+1-555-0105"}
+    many = minted(spark, phones(90), [f"+1-555-{100 + k:04d}" for k in range(0, 100, 3)] + ["PII-RESERVED-phone-0001"], beyond="reserved")
+    free = [f"+1-555-{100 + k:04d}" for k in range(100) if k % 3] + [f"PII-RESERVED-phone-{k:04d}" for k in range(40) if k != 1]
+    assert sorted(many.values()) == sorted(free[:90])
+
+
+def test_numbered_names_skip_known_values(spark):
+    names = spark.createDataFrame([("person", f"n{k}") for k in range(4)] + [("term", "t")], "kind string, value string")
+    pool = spark.createDataFrame([("person", 0, "Arno Ahlborn")], "kind string, position int, entry string")
+    known = spark.createDataFrame([("BFP0000",), ("BFP0002",), ("BFT00",), ("other",)], "value string")
+    got = {r.value: r.surrogate for r in minting.mint_names(names, pool, known, ["value"]).collect()}
+    assert got == {"n0": "Arno Ahlborn", "n1": "BFP0001", "n2": "BFP0003", "n3": "BFP0004", "t": "BFT0000"}
 
 
 def test_running_sums_over_blocks(spark):
