@@ -8,34 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions import spans, words
-from maskwell.operators import candidates, detect, dictionary, minting, overlap, rewrite
+from maskwell.operators import candidates, detect, dictionary, minting, overlap, rewrite, scan
 from maskwell.shared import materialize
 
 #: Layers by precedence: what an earlier one claims, a later one does not see.
 LAYERS = ("dictionary", "pair", "contact")
 
 
-def whole_word(value: Column) -> Column:
-    """Pattern of a value that no letter, digit or underscore touches."""
-    return F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), words.quote(value), F.lit(r"(?![\p{L}\p{N}_])"))
-
-
 def occurrences(texts: DataFrame, key: str, values: DataFrame, text: str = "text") -> DataFrame:
-    """Places of each value of ``values`` as whole words: its columns with ``key``, ``s``, ``e``.
-
-    Texts and values meet in the longest word of a value, as in the leak gate; texts follow
-    once it is known which of them hold a value.
-    """
-    longest = F.element_at(F.array_sort(words.words(F.col("value")), lambda a, b: F.length(b) - F.length(a)), 1)
-    named = values.withColumn("_word", longest).where("_word is not null")
-    held = texts.select(key, F.explode(F.array_distinct(words.words(F.col(text)))).alias("_word")).join(named, "_word").drop("_word")
-    near = held.join(texts.select(key, F.col(text).alias("_text")), key).where(F.col("_text").contains(F.col("value")))
-    gaps = F.split(F.col("_text"), whole_word(F.col("value")), F.lit(-1))
-    n = F.length("value")
-    before = spans.running(F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.length(g) + n))
-    starts = F.zip_with(before, F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda at, g: (at + F.length(g)).cast("int"))
-    placed = near.where(F.size(gaps) > 1).withColumn("s", F.explode(starts))
-    return placed.withColumn("e", (F.col("s") + F.length("value")).cast("int")).drop("_text")
+    """Places of each value of ``values`` as whole words, overlapping ones too: its columns with ``key``, ``s``, ``e``."""
+    return scan.places(texts, key, values, text).join(values, "value")
 
 
 def deterministic_spans(
@@ -127,13 +109,9 @@ def novel_names(
 
 
 def injected_ranges(blinded: DataFrame, key: str, session: DataFrame) -> DataFrame:
-    """Places of each exchange's own surrogates in its blinded text: ``key``, ``s``, ``e``."""
-    own = session.select(key, "surrogate").distinct().join(blinded.select(key, "text"), key).where(F.col("text").contains(F.col("surrogate")))
-    gaps = F.split(F.col("text"), words.quote(F.col("surrogate")), F.lit(-1))
-    n = F.length("surrogate")
-    heads = F.slice(gaps, F.lit(1), F.size(gaps) - 1)
-    starts = F.zip_with(spans.running(F.transform(heads, lambda g: F.length(g) + n)), heads, lambda at, g: (at + F.length(g)).cast("int"))
-    return own.select(key, "surrogate", F.explode(starts).alias("s")).select(key, "s", (F.col("s") + n).cast("int").alias("e"))
+    """Places of each exchange's own surrogates in its blinded text, inside words and overlapping too: ``key``, ``s``, ``e``."""
+    own = scan.own_values(session, key, F.col("surrogate"))
+    return scan.listed_places(blinded, key, own, whole=False).select(key, "s", "e").distinct()
 
 
 def clip_to_line(text: Column, s: Column, e: Column, at: Column, upto: Column) -> Column:

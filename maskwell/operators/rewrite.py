@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.functions import spans, words
-from maskwell.operators import detect, minting, overlap
+from maskwell.operators import detect, minting, overlap, scan
 from maskwell.shared import materialize
 
 
@@ -26,20 +26,8 @@ def blind(texts: DataFrame, key: str, located: DataFrame) -> DataFrame:
 
 
 def leaks(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
-    """(``key``, ``value``) for each known value that stands in a text as whole words.
-
-    The longest word of each value is joined with the distinct words of the texts: only keys
-    and words travel. The texts of what meets are then searched for the whole value.
-    """
-    longest = F.element_at(
-        F.array_sort(words.words(F.col("value")), lambda a, b: F.length(b) - F.length(a)), 1
-    )
-    named = known.select("value", longest.alias("word")).where("word is not null")
-    tokens = texts.select(key, F.explode(F.array_distinct(words.words(F.col(text)))).alias("word"))
-    near = tokens.join(named, "word").select(key, "value").distinct()
-    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), words.quote(F.col("value")), F.lit(r"(?![\p{L}\p{N}_])"))
-    held = near.join(texts.select(key, text), key).where(F.col(text).contains(F.col("value")))
-    return held.where(F.regexp_count(F.col(text), whole) > 0).select(key, "value").distinct()
+    """(``key``, ``value``) for each known value that stands in a text as whole words; see :func:`scan.places`."""
+    return scan.places(texts, key, known, text).select(key, "value").distinct()
 
 
 def restore_map(session: DataFrame, key: str, stopwords: list[str] | None = None) -> DataFrame:
@@ -101,9 +89,8 @@ def payload_gate(leaves: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFr
 
 def unresolved(texts: DataFrame, key: str, text: str, session: DataFrame) -> DataFrame:
     """(``key``, ``surrogate``) still standing in a restored text of its own exchange; empty if all went well."""
-    joined = texts.join(session.select(key, "surrogate").distinct(), key)
-    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), words.quote(F.col("surrogate")), F.lit(r"(?![\p{L}\p{N}_])"))
-    return joined.where(F.col(text).contains(F.col("surrogate"))).where(F.regexp_count(F.col(text), whole) > 0).select(key, "surrogate")
+    own = scan.own_values(session, key, F.col("surrogate"))
+    return scan.listed_places(texts, key, own, text).select(key, F.col("value").alias("surrogate")).distinct()
 
 
 def contact_data(texts: DataFrame, key: str, kinds: list[str] | None = None, beyond: str = "raise") -> tuple[DataFrame, DataFrame]:
