@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskwell.functions import words
+from maskwell.functions.spans import let
 from maskwell.operators.ordinal import with_ordinal
 from maskwell.sources.files import capture_status
 
@@ -26,12 +27,26 @@ def latest(captures: DataFrame, by: list[str]) -> DataFrame:
 
 
 def annotate(text: Column, injected: Column) -> Column:
-    """Each known value followed by its surrogate: ``[real -> surrogate]``, one after another in the array's order."""
-    return F.aggregate(
-        injected,
-        text,
-        lambda t, p: F.replace(t, p["real"], F.concat(F.lit("["), p["real"], F.lit(" -> "), p["surrogate"], F.lit("]"))),
-    )
+    """Each known value followed by its surrogate: ``[real -> surrogate]``.
+
+    ``injected`` is an array of ``real``, ``surrogate``. One scan from left to right, the longest
+    value first: nothing is annotated inside what was put in, nor a value inside a longer one.
+    Of several surrogates of a value the first counts; null and empty values count as absent.
+    """
+    usable = F.filter(F.coalesce(injected, F.array().cast("array<struct<real:string,surrogate:string>>")), lambda p: (p["real"] != "") & p["surrogate"].isNotNull())
+    return F.when(F.size(usable) == 0, text).otherwise(let(usable, lambda pairs: _annotated(text, pairs)))
+
+
+def _annotated(text: Column, pairs: Column) -> Column:
+    reals = F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["real"])).alias("n"), p["real"].alias("real")))), lambda x: x["real"])
+    pattern = F.array_join(F.transform(reals, words.quote), "|")
+    gaps, found = F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0))
+
+    def mark(real: Column) -> Column:
+        surrogate = F.try_element_at(F.filter(pairs, lambda p: p["real"] == real), F.lit(1))["surrogate"]
+        return F.concat(F.lit("["), real, F.lit(" -> "), surrogate, F.lit("]"))
+
+    return F.array_join(F.zip_with(gaps, found, lambda g, r: F.concat(g, F.coalesce(mark(r), F.lit("")))), "")
 
 
 def dismissals(judged: DataFrame, logged: DataFrame) -> DataFrame:

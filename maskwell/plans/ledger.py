@@ -12,6 +12,7 @@ from maskwell.functions import words
 from maskwell.functions.crypto import decrypt, encrypt
 from maskwell.operators import candidates, captures, graph, minting, passes, review, store
 from maskwell.operators.ordinal import with_ordinal
+from maskwell.operators.stored import StoredTable, verdicts
 from maskwell.plans import language
 from maskwell.plans.pii import table
 from maskwell.plans.records import CIPHER_KEY, EDGES, ENTITIES, edges, entities
@@ -38,14 +39,14 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-# Open items: names of the first fifty parts, numbered by first appearance; the rest of the parts are found later.
+# Open items: names of the odd parts, numbered by first appearance; those of even parts are found later.
 INBOX_SQL = """inbox AS (SELECT row_number() OVER (ORDER BY first) AS item_id, p_name AS value, 'term' AS entity_type, 'w' || first % 3 AS workspace FROM
-  (SELECT p_name, min(p_partkey) AS first FROM part WHERE p_partkey < 20 GROUP BY p_name))"""
+  (SELECT p_name, min(p_partkey) AS first FROM part WHERE p_partkey % 2 = 1 GROUP BY p_name))"""
 POOL = minting.POOLS["term"]
 
 
 def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    early = table(spark, sf_dir, "part").where("p_partkey < 20").groupBy("p_name").agg(F.min("p_partkey").alias("first"))
+    early = table(spark, sf_dir, "part").where("p_partkey % 2 = 1").groupBy("p_name").agg(F.min("p_partkey").alias("first"))
     listed = early.selectExpr("first", "p_name AS value", "'term' AS entity_type", "concat('w', first % 3) AS workspace")
     numbered = minting.inbox(listed, ["first"]).join(listed.select("value", "workspace"), "value")
     return numbered.withColumn("surrogate", F.concat(F.lit("Alt"), "item_id")).select(*review.INBOX)
@@ -220,6 +221,7 @@ def seed_commit(spark, sf_dir):
 @_query("reidentify_cells", "SELECT 'T' || s_suppkey AS surrogate, 'w' || s_nationkey AS workspace, s_name AS plain, true AS hidden FROM supplier")
 def reidentify_cells(spark, sf_dir):
     cells = store.reidentify_cells(entities(spark, sf_dir).where("kind = 'term'"), CIPHER_KEY)
+    cells = StoredTable.create(cells, new_path(spark, "cells"), ["surrogate", "workspace"]).rows()
     hidden = F.col("cell").startswith(store.CELL_PREFIX) & ~F.col("cell").contains("Supplier")
     return cells.select("surrogate", "workspace", decrypt(F.col("cell"), CIPHER_KEY, F.col("workspace")).alias("plain"), hidden.alias("hidden"))
 
@@ -263,7 +265,8 @@ def edge_create_delete(spark, sf_dir):
     """Edges of the vocabulary are made, others refused; then those of odd sources are deleted."""
     links = edges(spark, sf_dir)
     made, refused = store.create_edges(links.limit(0), links, entities(spark, sf_dir).select("entity_id", "kind"))
-    kept = store.delete_edges(made, links.where("source_id % 2 = 1"), ["source_id", "relation", "target_id"])
+    made = StoredTable.create(made, new_path(spark, "edges"), ["source_id", "relation", "target_id"])
+    kept = made.deleted(links.where("source_id % 2 = 1")).rows()
     count = lambda rows, what: rows.groupBy("relation").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "relation", "n")
     return count(kept, "kept").unionByName(count(refused, "refused"))
 
@@ -275,7 +278,9 @@ EXCEPT SELECT 'u' || c_custkey % 50, 'w' || c_nationkey, c_mktsegment FROM custo
 )
 def grant_revoke(spark, sf_dir):
     triples = table(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('u', c_custkey % 50) AS identity", "concat('w', c_nationkey) AS workspace", "c_mktsegment AS role")
-    return store.change_grants(triples.where("c_custkey % 2 = 0"), triples, triples.where("c_custkey % 9 = 0"))
+    keys = ["identity", "workspace", "role"]
+    grants = StoredTable.create(triples.where("c_custkey % 2 = 0").select(*keys), new_path(spark, "grants"), keys)
+    return grants.upserted(triples.select(*keys)).deleted(triples.where("c_custkey % 9 = 0")).rows()
 
 
 @_query("workspace_create", "SELECT 'w' || n_nationkey AS slug, CASE WHEN n_nationkey < 10 THEN n_name ELSE lower(n_name) END AS name FROM nation")
@@ -292,7 +297,8 @@ def settings_write(spark, sf_dir):
     old = rows.where("n_nationkey < 5").selectExpr("concat('w', n_nationkey) AS workspace", "true AS deterministic_only", "true AS phone_candidates_enabled")
     new = rows.selectExpr("concat('w', n_nationkey) AS workspace", "n_nationkey % 3 = 0 AS deterministic_only", "n_nationkey % 3 <> 0 AS phone_candidates_enabled", "1 AS seq")
     stale = new.selectExpr("workspace", "NOT deterministic_only AS deterministic_only", "true AS phone_candidates_enabled", "0 AS seq")
-    return store.write_settings(old, new.unionByName(stale), "seq")
+    settings = StoredTable.create(old, new_path(spark, "settings"), ["workspace"])
+    return settings.upserted(new.unionByName(stale), order="seq").rows()
 
 
 @_query(
@@ -479,3 +485,26 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS
 def user_sessions(spark, sf_dir):
     """Activity of each user in sessions that end after half an hour."""
     return views.sessions(table(spark, sf_dir, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@_query("verdict_table", """WITH c AS (SELECT conv_id * 1000 + turn AS hop, sha256(text) AS digest, length(text) > 200 AS long FROM conversations)
+SELECT hop, CASE WHEN long THEN '0-' || 5 ELSE '' END AS spans, (SELECT count(DISTINCT digest) FROM c) AS n_asked FROM c""")
+def verdict_table(spark, sf_dir):
+    """Verdicts over all messages, twice: the second run finds all of them in the stored table and asks nothing."""
+    hops = table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS hop", "text AS context")
+    span = F.struct(F.lit(0).alias("s"), F.lit(5).alias("e"))
+
+    def ask(unseen):
+        return unseen.withColumn("spans", F.filter(F.array(span), lambda x: F.length("context") > 200))
+
+    none = spark.createDataFrame([], "digest string, spans array<struct<s:int,e:int>>, used long")
+    kept = StoredTable.create(none, new_path(spark, "verdicts"), ["digest"])
+    kept, _ = verdicts(kept, hops, ask, F.lit(1).cast("long"), most=10**12)
+    asked = kept.rows().count()
+
+    def refuse(unseen):
+        return unseen.select("digest", F.raise_error(F.lit("a verdict is asked again")).cast("array<struct<s:int,e:int>>").alias("spans"))
+
+    _, found = verdicts(kept, hops, refuse, F.lit(2).cast("long"), most=10**12)
+    listed = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["s"], x["e"])), ",")
+    return found.select("hop", listed.alias("spans"), F.lit(asked).cast("long").alias("n_asked"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.operators import rewrite
+from maskwell.operators.stored import StoredTable
 from maskwell.plans.pii import BEYOND, KINDS, table, texts
 from maskwell.shared import new_path
 from maskwell.sources import files, payloads
@@ -97,10 +98,13 @@ def capture_size_cap(spark, sf_dir):
 
 @_query("store_upsert", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) ELSE p_name END AS p_name FROM part")
 def store_upsert(spark, sf_dir):
+    """A stored table after an upsert, opened anew, and after the same upsert again."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     updates = rows.where("p_partkey % 4 = 0").selectExpr("p_partkey", "upper(p_name) AS p_name", "1 AS seq")
     stale = updates.selectExpr("p_partkey", "'old' AS p_name", "0 AS seq")
-    return files.upsert(rows, updates.unionByName(stale), ["p_partkey"], order="seq")
+    parts = StoredTable.create(rows, new_path(spark, "parts"), ["p_partkey"])
+    parts.upserted(updates.unionByName(stale), order="seq")
+    return StoredTable.open(spark, parts.path).upserted(updates, order="seq").rows()
 
 
 def blinded_chunks(spark: SparkSession, sf_dir: str, size: int = 400) -> DataFrame:
