@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from maskwell.functions.spans import overlaps
 
 
+#: Spans of an island that are compared with each other.
+FEW = 32
+
+
+def sweep(starts: list[int], ends: list[int]) -> list[int]:
+    """Numbers of the spans, given by precedence, that overlap none kept before them.
+
+    Kept spans are disjoint, so their starts and ends are in one order: a span is free if the
+    first kept end behind its start belongs to a span that starts no earlier than it ends.
+    """
+    kept_starts, kept_ends, out = [], [], []
+    for k, (s, e) in enumerate(zip(starts, ends, strict=True)):
+        at = bisect_left(kept_ends, s + 1)
+        if at == len(kept_ends) or kept_starts[at] >= e:
+            kept_starts.insert(at, s)
+            kept_ends.insert(at, e)
+            out.append(k)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def picked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """:func:`sweep` of each row's spans; null for null."""
+    for starts, ends in batches:
+        yield pd.Series([None if s is None else sweep(s.tolist(), e.tolist()) for s, e in zip(starts, ends, strict=True)])
+
+
 def disjoint(found: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """Rows of ``found`` (``key``, ``s``, ``e`` and others) without overlap within a text.
 
     Greedy by ``order`` (columns, ascending), then the longest, then the leftmost. Spans that
-    hang together by overlaps are settled among themselves, so that a text with very many
-    spans needs no comparison of each with all. Empty spans go.
+    hang together by overlaps are settled among themselves: few of them by comparison, more by
+    search among the kept ones in order of place. Empty spans go.
     """
     by_place = Window.partitionBy(key).orderBy("s", "e")
     upto = F.max("e").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
@@ -27,5 +59,8 @@ def disjoint(found: DataFrame, key: str, order: list[str] | None = None) -> Data
     kept = F.aggregate(
         "m", none, lambda acc, x: F.when(F.exists(acc, lambda k: overlaps(k, x)), acc).otherwise(F.array_append(acc, x))
     )
-    settled = F.when(F.size("m") == 1, F.col("m")).otherwise(kept)
+    large = F.size("m") > FEW
+    per = per.withColumn("_picked", picked(F.when(large, F.col("m.s")), F.when(large, F.col("m.e"))))
+    swept = F.transform("_picked", lambda k: F.element_at("m", k + 1))
+    settled = F.when(F.size("m") == 1, F.col("m")).when(large, swept).otherwise(kept)
     return per.select(key, F.explode(settled).alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in others])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwell.functions import words
 from maskwell.operators import candidates, detect, minting, passes, rewrite
+from maskwell.operators.ordinal import with_ordinal
 from maskwell.plans import language, pii
 from maskwell.plans.pii import BEYOND, KINDS, table, texts
 from maskwell.plans.wire import requests
@@ -195,7 +196,8 @@ def tool_prose_rewrite(spark, sf_dir):
     tool = f"named_struct('name', p_name, 'description', concat('Make a ', p_name, ', please'), 'input_schema', {schema})"
     sent = parts.selectExpr("p_partkey AS exchange_id", f"to_json(named_struct('messages', array(), 'tools', array({tool}))) AS payload")
     names = parts.select("p_name").distinct()
-    ordinal = names.alias("a").join(names.alias("b"), F.col("b.p_name") <= F.col("a.p_name")).groupBy(F.col("a.p_name").alias("value")).agg(F.count("*").alias("item_id"))
+    numbered = with_ordinal(names.selectExpr("p_name AS value", "0 AS _all"), ["_all"], ["value"])
+    ordinal = numbered.select("value", (F.col("ordinal") + 1).alias("item_id"))
     items = ordinal.selectExpr("item_id", "value", "'term' AS entity_type", "concat('Vor', item_id, ' Nach', item_id) AS surrogate")
     found = materialize(payloads.leaves(sent).where("part IN ('tool', 'schema')"), "tool-prose")
     rewritten = passes.apply_pairs(found.select(F.struct("exchange_id", "leaf_no").alias("leaf"), "text"), "leaf", items, STOP)

@@ -59,6 +59,28 @@ def hops(requests: DataFrame) -> DataFrame:
 
 
 Leaf = tuple[str, str | None, str, Callable[[str], None]]
+#: Levels of nesting that are read; path of the only leaf of a payload that cannot be read.
+DEPTH, UNREADABLE = 200, "$!"
+
+
+def _read(payload: str) -> list | None:
+    """The parsed payload in a list of one; null for what is no JSON or nested more than ``DEPTH`` levels deep."""
+    try:
+        box = [json.loads(payload)]
+    except (ValueError, RecursionError):
+        return None
+    level = [x for x in box if isinstance(x, dict | list)]
+    for _ in range(DEPTH + 1):
+        inner = (x.values() if isinstance(x, dict) else x for x in level)
+        level = [v for values in inner for v in values if isinstance(v, dict | list)]
+        if not level:
+            return box
+    return None
+
+
+def _clean(text: str) -> str:
+    """Halves of surrogate pairs, which JSON may escape but UTF-8 cannot hold, become U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def _walk(value: object, path: str, part: str | None, mode: str, put: Callable[[object], None]) -> Iterator[Leaf]:
@@ -114,15 +136,18 @@ def leaves(payloads: DataFrame, envelope: str = "request") -> DataFrame:
     """``exchange_id``, ``leaf_no``, ``path``, ``part``, ``text``: string values at any depth, in document order.
 
     ``envelope`` is ``request`` or ``response``. ``part`` is null for strings that a rewrite
-    leaves alone: roles, names, types, ids.
+    leaves alone: roles, names, types, ids. A payload that is no JSON, or nested more than
+    ``DEPTH`` levels deep, is one leaf of the path ``$!`` without a part: gates see its text,
+    rewriting leaves it alone. Null payloads have no leaves.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, payload in zip(batch["exchange_id"], batch["payload"], strict=True):
-                found = _walk(json.loads(payload), "$", None, envelope, lambda _: None)
-                rows += [(key, k, path, part, text) for k, (path, part, text, _) in enumerate(found)]
+                box = _read(payload)
+                found = [(UNREADABLE, None, payload, None)] if box is None else _walk(box[0], "$", None, envelope, lambda _: None)
+                rows += [(key, k, _clean(path), part, _clean(text)) for k, (path, part, text, _) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["exchange_id", "leaf_no", "path", "part", "text"])
 
     rows = payloads.select(F.col("exchange_id").cast("long").alias("exchange_id"), "payload").where("payload is not null")
@@ -132,7 +157,8 @@ def leaves(payloads: DataFrame, envelope: str = "request") -> DataFrame:
 def rebuild(payloads: DataFrame, rewritten: DataFrame, envelope: str = "request") -> DataFrame:
     """``exchange_id``, ``payload`` with the leaves of ``rewritten`` (``exchange_id``, ``leaf_no``, ``text``) in place.
 
-    Leaves that are not named, and payloads of which none is, stay as they are.
+    Leaves that are not named, payloads of which none is, and those that cannot be read stay
+    as they are.
     """
     per = rewritten.groupBy("exchange_id").agg(F.collect_list(F.struct("leaf_no", "text")).alias("l"))
 
@@ -141,11 +167,15 @@ def rebuild(payloads: DataFrame, rewritten: DataFrame, envelope: str = "request"
         out = []
         for body, which, new in zip(payload, numbers, texts, strict=True):
             # The envelope's own box lets a payload that is one string be set as well.
-            box = [json.loads(body)]
+            box = _read(body) if body is not None else None
+            if box is None:
+                out.append(body)
+                continue
             found = list(_walk(box[0], "$", None, envelope, partial(box.__setitem__, 0)))
             for k, text in zip(which, new, strict=True):
                 found[k][3](text)
-            out.append(json.dumps(box[0], ensure_ascii=False, separators=(",", ":")))
+            text = json.dumps(box[0], ensure_ascii=False, separators=(",", ":"))
+            out.append(text if text.isascii() or _clean(text) == text else json.dumps(box[0], separators=(",", ":")))
         return pd.Series(out)
 
     joined = payloads.select("exchange_id", "payload").join(per, "exchange_id", "left")
