@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwell.functions import words
 from maskwell.functions.spans import let, running
@@ -18,6 +21,10 @@ FUZZY_LENGTH = 5
 FUZZY_EDITS = 2
 #: Letters from which on a name is looked up by pieces, as it has too many shorter forms.
 LONG_NAME = 20
+#: Texts whose words a task holds at once, and distinct words.
+TEXTS, HELD_WORDS = 64, 200_000
+#: A word, as :data:`words.WORD` has it, in workers.
+_WORD = re.compile(r"\w+")
 
 
 def token_array(text: Column) -> Column:
@@ -132,17 +139,16 @@ def phrase_keys(phrase: str, blanks: int) -> set[str]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per key of each row's ``folded``; ``k`` is null for names. Few rows are held at a time."""
+    """``keys`` of each row's ``folded``, with its ``surface``; ``k`` is null for names. Few rows are held at a time."""
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             some = batch.slice(start, 500)
-            key, at = [], []
-            for row, (surface, folded, k) in enumerate(zip(*(some[c].to_pylist() for c in ("surface", "folded", "k")), strict=True)):
+            keys = []
+            for surface, folded, k in zip(*(some[c].to_pylist() for c in ("surface", "folded", "k")), strict=True):
                 found = name_keys(folded) if k is None else phrase_keys(folded, k - 1)
-                key += [surface[:1] + x for x in found]
-                at += [row] * len(found)
-            picked = some.take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), picked["surface"], picked["folded"]], names=["key", "surface", "folded"])
+                keys.append([surface[:1] + x for x in found])
+            columns = [pa.array(keys, pa.list_(pa.string())), some["surface"], some["folded"]]
+            yield pa.RecordBatch.from_arrays(columns, names=["keys", "surface", "folded"])
 
 
 def _fuzzy(c: str) -> Column:
@@ -160,33 +166,84 @@ def close_phrases(phrases: DataFrame, dictionary: DataFrame, stopwords: list[str
     known = dictionary.where(_fuzzy("surface")).select("surface", "entity", "ord")
     names = known.select("surface").distinct().select("surface", words.fold(F.col("surface")).alias("folded"), F.lit(None).cast("int").alias("k"))
     rest = phrases.where((F.length("phrase") >= FUZZY_LENGTH) & ~F.lower("phrase").isin(stopwords))
-    rest = rest.select(F.col("phrase").alias("surface"), "folded", "k")
-    shape = "key string, surface string, folded string"
-    by_name = names.mapInArrow(_keyed, shape).select("key", "surface", F.col("folded").alias("name"))
-    by_phrase = rest.mapInArrow(_keyed, shape).select("key", F.col("surface").alias("phrase"), F.col("folded").alias("word"))
+    initial = F.substring("surface", 1, 1).alias("initial")
+    rest = rest.select(F.col("phrase").alias("surface"), "folded", "k", initial).join(names.select(initial).distinct(), "initial", "left_semi")
+    shape = "keys array<string>, surface string, folded string"
+    by_name = names.mapInArrow(_keyed, shape).select(F.explode("keys").alias("key"), "surface", F.col("folded").alias("name"))
+    by_name = materialize(by_name, "name-keys")
+    by_phrase = rest.mapInArrow(_keyed, shape).select(F.explode("keys").alias("key"), F.col("surface").alias("phrase"), F.col("folded").alias("word"))
     near = by_phrase.join(by_name, "key").withColumn("edits", F.levenshtein("word", "name", FUZZY_EDITS)).where("edits > 0")
     best = near.join(known, "surface").groupBy("phrase").agg(F.min_by(F.struct("surface", "entity"), F.struct("edits", "ord")).alias("m"))
     return best.select("phrase", "m.surface", "m.entity")
 
 
+def _token_runs(longest: int, shape: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(start, TEXTS)
+                row, found, starts, ends, joined = [], [], [], [], []
+                for k, text in enumerate(some.column(1).to_pylist()):
+                    last = None
+                    for m in _WORD.finditer(text or ""):
+                        s, e = m.span()
+                        row.append(k)
+                        found.append(m[0])
+                        starts.append(s)
+                        ends.append(e)
+                        joined.append(last is not None and not text[last:s].strip(" \t"))
+                        last = e
+                rows, e_at, near = np.array(row, np.int32), np.array(ends, np.int32), np.array(joined, bool)
+                word, at = pa.array(found, pa.string()), np.arange(len(found))
+                columns = [some.column(0).take(pa.array(rows)), pa.array(starts, pa.int32()), word, pa.array(e_at)]
+                whole = np.ones(len(found), bool)
+                for j in range(1, longest):
+                    # The j-th word behind belongs to the run if only blanks part all words up to it.
+                    inside = np.minimum(at + j, max(len(found) - 1, 0))
+                    whole = whole & (at + j < len(found)) & near[inside]
+                    taken = pa.array(inside, mask=~whole)
+                    columns += [word.take(taken), pa.array(e_at).take(taken)]
+                yield pa.RecordBatch.from_arrays(columns, schema=shape.set(0, shape.field(0).with_type(columns[0].type)))
+
+    return runs
+
+
 def token_runs(texts: DataFrame, key: str, longest: int, text: str = "text") -> DataFrame:
-    """``key``, ``t``: every word with the ``longest`` - 1 words behind it, as fields ``t0``, ``t1``, ..."""
+    """``key``, ``s``, ``w0``, ``e0`` of every word, and ``w1``, ``e1``, ... of the words behind it.
+
+    A word behind is null where more than blanks or tabs parts it from the run before it.
+    """
+    rows = texts.select(key, text)
+    fields = [T.StructField(key, rows.schema[key].dataType), T.StructField("s", T.IntegerType())]
+    for j in range(longest):
+        fields += [T.StructField(f"w{j}", T.StringType()), T.StructField(f"e{j}", T.IntegerType())]
+    arrow = pa.schema([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int32()) for f in fields])
+    return rows.mapInArrow(_token_runs(longest, arrow), T.StructType(fields))
+
+
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: set[str] = set()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            held.update(_WORD.findall(text or ""))
+            if len(held) > HELD_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
+                held.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
 
-    def runs(toks: Column) -> Column:
-        ahead = [F.slice(toks, F.lit(k + 1), F.greatest(F.lit(0), F.size(toks) - k)) for k in range(longest)]
-        return F.arrays_zip(*[x.alias(f"t{k}") for k, x in enumerate(ahead)])
 
-    tokenized = texts.select(key, token_array(F.col(text)).alias("toks"))
-    return tokenized.select(key, F.explode(runs(F.col("toks"))).alias("t"))
+def vocabulary_of(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``word``, ``folded``: every distinct word of the texts, folded once."""
+    found = texts.select(text).mapInArrow(_distinct_words, "word string").distinct()
+    return found.withColumn("folded", words.fold(F.col("word")))
 
 
-def _run(k: int) -> tuple[Column, Column]:
-    """Whether the first ``k`` words of a run are parted by blanks or tabs only, and those words with single blanks."""
-    whole, phrase = F.lit(True), F.col("t.t0.word")
+def _phrase(k: int) -> Column:
+    """The first ``k`` words of a run with single blanks; null if the run is shorter."""
+    out = F.col("w0")
     for j in range(1, k):
-        whole = whole & F.coalesce(F.col(f"t.t{j}.gap").rlike(r"^[ \t]+$"), F.lit(False))
-        phrase = F.concat(phrase, F.lit(" "), F.col(f"t.t{j}.word"))
-    return whole, phrase
+        out = F.concat(out, F.lit(" "), F.col(f"w{j}"))
+    return out
 
 
 def affixes(names: DataFrame) -> DataFrame:
@@ -204,16 +261,16 @@ def _several_words(runs: DataFrame, vocabulary: DataFrame, names: DataFrame, hig
     Each blank costs an edit. So of two words one is an exact beginning or end of the name, and
     of three the first and the last are.
     """
-    parts = vocabulary.join(affixes(names), "folded").select("word", "pre", "suf")
-    t0, t1, t2 = (F.col(f"t.t{k}.word") for k in range(3))
-    led = runs.join(parts.select(F.col("word").alias("w0"), F.col("pre").alias("pre0")), t0 == F.col("w0"), "left")
-    led = led.join(parts.select(F.col("word").alias("w1"), F.col("suf").alias("suf1")), t1 == F.col("w1"), "left")
-    led = led.join(parts.where("suf").select(F.col("word").alias("w2"), F.col("suf").alias("suf2")), t2 == F.col("w2"), "left")
-    two, three = _run(2), _run(3)
+    # Stored, so that Spark knows the sizes of what texts meet before it plans that.
+    parts = materialize(vocabulary.join(affixes(names), "folded").select("word", "pre", "suf"), "parts")
+    led = runs.join(parts.select(F.col("word").alias("w0"), F.col("pre").alias("pre0")), "w0", "left")
+    led = led.join(parts.select(F.col("word").alias("w1"), F.col("suf").alias("suf1")), "w1", "left")
+    led = led.join(parts.where("suf").select(F.col("word").alias("w2"), F.col("suf").alias("suf2")), "w2", "left")
     wins = [
-        F.when((F.col("pre0") | F.col("suf1")) & two[0], F.struct(F.lit(2).alias("k"), two[1].alias("phrase"))),
-        F.when(F.col("pre0") & F.col("suf2") & three[0], F.struct(F.lit(3).alias("k"), three[1].alias("phrase"))),
+        F.when(F.col("pre0") | F.col("suf1"), F.struct(F.lit(2).alias("k"), _phrase(2).alias("phrase"))),
+        F.when(F.col("pre0") & F.col("suf2"), F.struct(F.lit(3).alias("k"), _phrase(3).alias("phrase"))),
     ]
+    led = led.where("w1 IS NOT NULL AND (pre0 OR suf1)")
     # Folding gives a letter four at most.
     fits = F.length("w.phrase").between(FUZZY_LENGTH, high + FUZZY_EDITS + 16)
     found = led.select(F.explode(F.array(*wins)).alias("w")).where(fits).select("w.*").distinct()
@@ -230,11 +287,10 @@ def match(texts: DataFrame, dictionary: DataFrame, key: str, stopwords: list[str
     with which a known or near window begins are made into windows. Texts are read three times
     and never shuffled as long as what they meet is small enough for the session to broadcast.
     """
-    named = exact_and_folded(dictionary)
+    named = materialize(exact_and_folded(dictionary), "surfaces")
     longest, low, high = _extents(dictionary)
     runs = token_runs(texts, key, longest, text)
-    vocabulary = texts.select(F.explode(F.array_distinct(words.words(F.col(text)))).alias("word")).distinct()
-    vocabulary = materialize(vocabulary.withColumn("folded", words.fold(F.col("word"))), "vocabulary")
+    vocabulary = materialize(vocabulary_of(texts, text), "vocabulary")
     if high is None:
         fuzzy = dictionary.select(F.col("surface").alias("phrase"), "surface", "entity").limit(0)
     else:
@@ -248,12 +304,10 @@ def match(texts: DataFrame, dictionary: DataFrame, key: str, stopwords: list[str
     begun = named.select("folded").unionByName(fuzzy.select(words.fold(F.col("phrase")).alias("folded")))
     first = F.split("folded", " ")
     begun = begun.groupBy(first[0].alias("folded")).agg(F.max(F.size(first)).alias("most"))
-    heads = vocabulary.join(begun, "folded").select(F.col("word").alias("head"), "most")
-    met = runs.join(heads, F.col("t.t0.word") == F.col("head"))
-    wins = [
-        F.when((F.col("most") >= k) & _run(k)[0], F.struct(_run(k)[1].alias("phrase"), F.col(f"t.t{k - 1}.e").alias("e"))) for k in range(1, longest + 1)
-    ]
-    spans = met.select(key, F.col("t.t0.s").alias("s"), F.explode(F.array(*wins)).alias("w")).where("w IS NOT NULL")
+    heads = materialize(vocabulary.join(begun, "folded").select(F.col("word").alias("head"), "most"), "heads")
+    met = runs.join(heads, F.col("w0") == F.col("head"))
+    wins = [F.when(F.col("most") >= k, F.struct(_phrase(k).alias("phrase"), F.col(f"e{k - 1}").alias("e"))) for k in range(1, longest + 1)]
+    spans = met.select(key, "s", F.explode(F.array(*wins)).alias("w")).where("w.phrase IS NOT NULL")
     spans = spans.select(key, "s", "w.e", "w.phrase", words.fold(F.col("w.phrase")).alias("folded"))
 
     by_fold = spans.join(named, "folded", "left")
