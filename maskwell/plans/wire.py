@@ -152,6 +152,33 @@ def blocks_per_window(spark, sf_dir):
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+_LATE = "event_id % 50 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
+
+
+@_query(
+    "blocks_per_window_stream",
+    f"""WITH kept AS (SELECT * FROM events WHERE NOT ({_LATE})),
+w AS (SELECT to_timestamp(floor(epoch(ts) / 900) * 900)::TIMESTAMP AS start, event_type, count(*) AS n FROM kept GROUP BY ALL)
+SELECT * FROM w WHERE start + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM kept) - INTERVAL 10 MINUTE""",
+)
+def blocks_per_window_stream(spark, sf_dir):
+    """The same view as a stream that is stopped and restarted twice; rows that come a day late are dropped.
+
+    A window is final, and written, once the watermark has passed its end.
+    """
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    late = (F.col("event_id") % 50 == 0) & (F.col("ts") < F.lit(span.high) - F.expr("INTERVAL 1 DAY"))
+    early = F.col("ts") < F.lit(span.low + (span.high - span.low) / 2)
+    source, out, state = new_path(spark, "events"), new_path(spark, "windows"), new_path(spark, "windows-state")
+    for part in (rows.where(~late & early), rows.where(~late & ~early), rows.where(late)):
+        part.write.mode("append").parquet(source)
+        stream = views.blocks_per_window(spark.readStream.schema(rows.schema).parquet(source))
+        ordered.start(stream, out, state).awaitTermination()
+    written = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(out)
+    return written.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 @_query("tool_vocabulary", "SELECT DISTINCT p_size AS workspace, word FROM (SELECT p_size, unnest(list_concat([p_brand || '_' || p_name], regexp_split_to_array(p_brand || '_' || p_name, '[_.\\-]+'))) AS word FROM part) WHERE word <> ''")
 def tool_vocabulary(spark, sf_dir):
     rows = table(spark, sf_dir, "part").selectExpr("p_size AS workspace", "concat(p_brand, '_', p_name) AS tool")
