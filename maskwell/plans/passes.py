@@ -286,19 +286,24 @@ def restore_suffix_transfer(spark, sf_dir):
     return rewrite.restore(said, "p_partkey", session.withColumn("seq", F.lit(0))).select("p_partkey", "restored")
 
 
-def event_chunks(spark: SparkSession, sf_dir: str, size: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Blinded documents as streams of events cut into raw chunks, and their sessions. Every fifth breaks off."""
+def event_chunks(spark: SparkSession, sf_dir: str, size: int = 300, leaky: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Blinded documents as streams of events cut into raw chunks, and their sessions. Every fifth breaks off.
+
+    With ``leaky`` every second one has a surrogate as a key of its tool input, which restoring leaves alone.
+    """
     docs = texts(spark, sf_dir)
     located, _ = rewrite.contact_data(docs, "doc_id", KINDS, BEYOND)
     session = materialize(located.selectExpr("doc_id AS exchange_id", "surrogate", "value AS real", "s AS seq"), "sessions")
     back = session.groupBy("exchange_id").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("surrogate", "real")))).alias("session"))
     blinded = rewrite.blind(docs, "doc_id", located).selectExpr("doc_id AS exchange_id", "blinded")
+    keys = session.where("exchange_id % 2 = 0" if leaky else "false").groupBy("exchange_id").agg(F.min("surrogate").alias("mark"))
+    blinded = blinded.join(keys, "exchange_id", "left")
 
     def event(name: str, data: str) -> str:
         return f"concat('event: {name}\\ndata: ', to_json({data}), '\\n\\n')"
 
     half = "cast(length(blinded) / 2 as int)"
-    tool = "to_json(named_struct('q', blinded))"
+    tool = "CASE WHEN mark IS NULL THEN to_json(named_struct('q', blinded)) ELSE to_json(map('q', blinded, mark, 'key')) END"
     delta = lambda i, kind, field, text: event("content_block_delta", f"named_struct('index', {i}, 'delta', named_struct('type', '{kind}', '{field}', {text}))")
     stop = lambda i: event("content_block_stop", f"named_struct('index', {i})")
     parts = [
@@ -344,10 +349,15 @@ def sse_restore_stream(spark, sf_dir):
     return _readable(events.streamed_text(spark.read.schema(events.OUTPUT).parquet(out)))
 
 
-@_query("sse_outcomes", "SELECT doc_id AS exchange_id, CASE WHEN doc_id % 5 = 0 THEN 'upstream_error' ELSE 'forwarded' END AS outcome, 0::BIGINT AS n_unresolved FROM documents")
+@_query(
+    "sse_outcomes",
+    f"""WITH {pii.FOUND}, {pii.DISJOINT}, leaky AS (SELECT DISTINCT doc_id FROM disjoint WHERE doc_id % 2 = 0)
+SELECT d.doc_id AS exchange_id, CASE WHEN l.doc_id IS NOT NULL THEN 'blocked' WHEN d.doc_id % 5 = 0 THEN 'upstream_error' ELSE 'forwarded' END AS outcome,
+  (l.doc_id IS NOT NULL)::BIGINT AS n_unresolved FROM documents d LEFT JOIN leaky l ON l.doc_id = d.doc_id""",
+)
 def sse_outcomes(spark, sf_dir):
-    """The gate at the end of each stream, and streams that broke off."""
-    chunks, session = event_chunks(spark, sf_dir)
+    """The gate at the end of each stream: surrogates that went out, and streams that broke off."""
+    chunks, session = event_chunks(spark, sf_dir, leaky=True)
     rows = materialize(events.restore_events_at_rest(chunks), "events")
     return events.stream_outcomes(rows, session)
 
