@@ -73,11 +73,13 @@ def strip_legal_form(name: Column) -> Column:
     return out
 
 
+# The shapes below.
 def is_reserved_provisional(value: Column) -> Column:
     """Shape of the numbered surrogates that follow an exhausted pool."""
     return value.rlike("^(BFX|BFR|BFP|BFT|BFO|BFK)[0-9]{4,}$")
 
 
+# The shapes below.
 def is_reserved_pii(value: Column) -> Column:
     """Shape of a surrogate for contact data."""
     return value.rlike(
@@ -86,6 +88,7 @@ def is_reserved_pii(value: Column) -> Column:
     )
 
 
+# The shapes below.
 def pii_surrogate(kind: Column, index: Column) -> Column:
     """Surrogate of the index-th value of a kind, in name spaces that nobody can own."""
 
@@ -107,6 +110,7 @@ def scrubbed(real: Column, surrogate: Column) -> Column:
     return F.coalesce(surrogate, F.concat(F.lit("hash:"), F.substring(F.sha2(real, 256), 1, 12)))
 
 
+# The beginnings and kinds below.
 def audit_kind(event: Column) -> Column:
     return (
         F.when(event.startswith("re-identif") | event.startswith("re-identify"), "reveal")

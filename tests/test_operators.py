@@ -16,16 +16,16 @@ def l2(spark, text, names):
     texts = spark.createDataFrame([(1, text)], "id long, text string")
     entries = [(s, e, k) for k, (s, e) in enumerate(names)]
     table = spark.createDataFrame(entries, "surface string, entity long, ord long")
-    rows = dictionary.disjoint(dictionary.match(texts, table, "id", ["darwin"]), "id").collect()
+    rows = dictionary.disjoint(dictionary.match(texts, table, "id", ["kastel"]), "id").collect()
     return [(text[r.s : r.e], r.entity, r.pass_name) for r in sorted(rows, key=lambda r: r.s)]
 
 
 def test_dictionary_passes(spark):
-    names = [("Müller", 1), ("Wegner", 2), ("Klaus Wegner", 2), ("Marwin", 3)]
-    assert l2(spark, "Muller met Wegnerr and Klaus  Wegner", names) == [
-        ("Muller", 1, "normalized"), ("Wegnerr", 2, "fuzzy"), ("Klaus  Wegner", 2, "exact")]
+    names = [("Müller", 1), ("Torwald", 2), ("Klaus Torwald", 2), ("Pastel", 3)]
+    assert l2(spark, "Muller met Torwaldr and Klaus  Torwald", names) == [
+        ("Muller", 1, "normalized"), ("Torwaldr", 2, "fuzzy"), ("Klaus  Torwald", 2, "exact")]
     # A part of a longer word, another first letter and a line break are no match.
-    assert l2(spark, "Wegnersberg xWegner darwin Klaus\nWegner", names) == [("Wegner", 2, "exact")]
+    assert l2(spark, "Torwaldsberg xTorwald kastel Klaus\nTorwald", names) == [("Torwald", 2, "exact")]
     assert l2(spark, "Klaus", [("Klaus", 5), ("Klaus", 4)]) == [("Klaus", 5, "first_name")]
     assert l2(spark, "", names) == []
 
@@ -141,7 +141,7 @@ def test_a_name_that_a_blank_cuts_is_found(spark):
     assert l2(spark, "Hol\nstein Hu l stain", [("Holstein", 1)]) == []
     assert l2(spark, "Nord Licht", [("Nordlicht", 1), ("Nord Licht", 2)]) == [("Nord Licht", 2, "exact")]
     assert l2(spark, "Nord Licht " * 3000, [("Nordlicht", 1)])[-1] == ("Nord Licht", 1, "fuzzy")
-    assert l2(spark, "Dar win darwin", [("Darwim", 1)]) == [("Dar win", 1, "fuzzy")]
+    assert l2(spark, "Kas tel kastel", [("Kastem", 1)]) == [("Kas tel", 1, "fuzzy")]
 
 
 def found_values(spark, rows):
