@@ -155,6 +155,19 @@ def _fuzzy(c: str) -> Column:
     return ~F.col(c).contains(" ") & (F.length(c) >= FUZZY_LENGTH)
 
 
+def _near(phrases: DataFrame, known: DataFrame, stopwords: list[str]) -> DataFrame:
+    """``phrase``, ``surface``, ``edits`` of phrases and names that share a key and are one or two edits apart."""
+    names = known.select("surface").distinct().select("surface", words.fold(F.col("surface")).alias("folded"), F.lit(None).cast("int").alias("k"))
+    rest = phrases.where((F.length("phrase") >= FUZZY_LENGTH) & ~F.lower("phrase").isin(stopwords))
+    initial = F.substring("surface", 1, 1).alias("initial")
+    rest = rest.select(F.col("phrase").alias("surface"), "folded", "k", initial).join(names.select(initial).distinct(), "initial", "left_semi")
+    shape = "keys array<string>, surface string, folded string"
+    by_name = names.mapInArrow(_keyed, shape).select(F.explode("keys").alias("key"), "surface", F.col("folded").alias("name"))
+    by_name = materialize(by_name, "name-keys")
+    by_phrase = rest.mapInArrow(_keyed, shape).select(F.explode("keys").alias("key"), F.col("surface").alias("phrase"), F.col("folded").alias("word"))
+    return by_phrase.join(by_name, "key").withColumn("edits", F.levenshtein("word", "name", FUZZY_EDITS)).where("edits > 0")
+
+
 def close_phrases(phrases: DataFrame, dictionary: DataFrame, stopwords: list[str]) -> DataFrame:
     """``phrase`` of ``phrases`` (``phrase``, ``folded``, ``k`` words, at most 3) and ``surface``, ``entity`` of the nearest name.
 
@@ -164,19 +177,17 @@ def close_phrases(phrases: DataFrame, dictionary: DataFrame, stopwords: list[str
     only those are compared. The nearest name wins, then the first declared.
     """
     known = dictionary.where(_fuzzy("surface")).select("surface", "entity", "ord")
-    names = known.select("surface").distinct().select("surface", words.fold(F.col("surface")).alias("folded"), F.lit(None).cast("int").alias("k"))
-    rest = phrases.where((F.length("phrase") >= FUZZY_LENGTH) & ~F.lower("phrase").isin(stopwords))
-    initial = F.substring("surface", 1, 1).alias("initial")
-    rest = rest.select(F.col("phrase").alias("surface"), "folded", "k", initial).join(names.select(initial).distinct(), "initial", "left_semi")
-    shape = "keys array<string>, surface string, folded string"
-    by_name = names.mapInArrow(_keyed, shape).select(F.explode("keys").alias("key"), "surface", F.col("folded").alias("name"))
-    by_name = materialize(by_name, "name-keys")
-    by_phrase = rest.mapInArrow(_keyed, shape).select(F.explode("keys").alias("key"), F.col("surface").alias("phrase"), F.col("folded").alias("word"))
-    near = by_phrase.join(by_name, "key").withColumn("edits", F.levenshtein("word", "name", FUZZY_EDITS)).where("edits > 0")
+    near = _near(phrases, known, stopwords)
     best = near.join(known, "surface").groupBy("phrase").agg(F.min_by(F.struct("surface", "entity"), F.struct("edits", "ord")).alias("m"))
     return best.select("phrase", "m.surface", "m.entity")
 
 
+def near_names(phrases: DataFrame, surfaces: DataFrame, stopwords: list[str]) -> DataFrame:
+    """``phrase``, ``surface``, ``edits``: every name near to a phrase, in the sense of :func:`close_phrases`."""
+    near = _near(phrases, surfaces.where(_fuzzy("surface")), stopwords)
+    return near.groupBy("phrase", "surface").agg(F.min("edits").alias("edits"))
+
+
 def _token_runs(longest: int, shape: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,6 +288,25 @@ def _several_words(runs: DataFrame, vocabulary: DataFrame, names: DataFrame, hig
     return found.withColumn("folded", words.fold(F.col("phrase")))
 
 
+def near_candidates(runs: DataFrame, vocabulary: DataFrame, names: DataFrame, low: int, high: int) -> DataFrame:
+    """Distinct ``phrase``, ``k``, ``folded`` whose length a name of ``low`` to ``high`` folded letters may be near to."""
+    single = vocabulary.select(F.col("word").alias("phrase"), F.lit(1).alias("k"), "folded")
+    found = single.unionByName(_several_words(runs, vocabulary, names, high).select("phrase", "k", "folded"))
+    near = F.length("folded").between(low - FUZZY_EDITS, high + FUZZY_EDITS) & (F.length("phrase") >= FUZZY_LENGTH)
+    return found.where(near)
+
+
+def begun_spans(runs: DataFrame, vocabulary: DataFrame, begun: DataFrame, key: str, longest: int) -> DataFrame:
+    """``key``, ``s``, ``e``, ``phrase``, ``folded`` of windows whose first word begins a phrase of ``begun`` (``folded``)."""
+    first = F.split("folded", " ")
+    begun = begun.groupBy(first[0].alias("folded")).agg(F.max(F.size(first)).alias("most"))
+    heads = materialize(vocabulary.join(begun, "folded").select(F.col("word").alias("head"), "most"), "heads")
+    met = runs.join(heads, F.col("w0") == F.col("head"))
+    wins = [F.when(F.col("most") >= k, F.struct(_phrase(k).alias("phrase"), F.col(f"e{k - 1}").alias("e"))) for k in range(1, longest + 1)]
+    spans = met.select(key, "s", F.explode(F.array(*wins)).alias("w")).where("w.phrase IS NOT NULL")
+    return spans.select(key, "s", "w.e", "w.phrase", words.fold(F.col("w.phrase")).alias("folded"))
+
+
 def match(texts: DataFrame, dictionary: DataFrame, key: str, stopwords: list[str], text: str = "text") -> DataFrame:
     """Windows of texts with the entity of the first pass that hits: exact, folded, fuzzy.
 
@@ -288,27 +318,19 @@ def match(texts: DataFrame, dictionary: DataFrame, key: str, stopwords: list[str
     and never shuffled as long as what they meet is small enough for the session to broadcast.
     """
     named = materialize(exact_and_folded(dictionary), "surfaces")
-    longest, low, high = _extents(dictionary)
+    longest, low, high = extents(dictionary)
     runs = token_runs(texts, key, longest, text)
     vocabulary = materialize(vocabulary_of(texts, text), "vocabulary")
     if high is None:
         fuzzy = dictionary.select(F.col("surface").alias("phrase"), "surface", "entity").limit(0)
     else:
-        single = vocabulary.select(F.col("word").alias("phrase"), F.lit(1).alias("k"), "folded")
-        found = single.unionByName(_several_words(runs, vocabulary, dictionary, high).select("phrase", "k", "folded"))
-        near = F.length("folded").between(low - FUZZY_EDITS, high + FUZZY_EDITS) & (F.length("phrase") >= FUZZY_LENGTH)
-        unknown = found.where(near).join(named.select("folded"), "folded", "left_anti")
+        found = near_candidates(runs, vocabulary, dictionary, low, high)
+        unknown = found.join(named.select("folded"), "folded", "left_anti")
         fuzzy = close_phrases(unknown, dictionary, stopwords)
     fuzzy = materialize(fuzzy, "close-phrases")
 
     begun = named.select("folded").unionByName(fuzzy.select(words.fold(F.col("phrase")).alias("folded")))
-    first = F.split("folded", " ")
-    begun = begun.groupBy(first[0].alias("folded")).agg(F.max(F.size(first)).alias("most"))
-    heads = materialize(vocabulary.join(begun, "folded").select(F.col("word").alias("head"), "most"), "heads")
-    met = runs.join(heads, F.col("w0") == F.col("head"))
-    wins = [F.when(F.col("most") >= k, F.struct(_phrase(k).alias("phrase"), F.col(f"e{k - 1}").alias("e"))) for k in range(1, longest + 1)]
-    spans = met.select(key, "s", F.explode(F.array(*wins)).alias("w")).where("w.phrase IS NOT NULL")
-    spans = spans.select(key, "s", "w.e", "w.phrase", words.fold(F.col("w.phrase")).alias("folded"))
+    spans = begun_spans(runs, vocabulary, begun, key, longest)
 
     by_fold = spans.join(named, "folded", "left")
     by_word = by_fold.join(fuzzy.select("phrase", F.struct("surface", "entity", F.lit(1).cast("long").alias("n_entries")).alias("close")), "phrase", "left")
@@ -326,7 +348,7 @@ def disjoint(matched: DataFrame, key: str) -> DataFrame:
     return overlap.disjoint(matched.select(key, "s", "e", "surface", "entity", "pass_name"), key)
 
 
-def _extents(dictionary: DataFrame) -> tuple[int, int | None, int | None]:
+def extents(dictionary: DataFrame) -> tuple[int, int | None, int | None]:
     """Words of the longest window and the shortest and longest folded name of the fuzzy pass: one aggregated row."""
     size = F.when(_fuzzy("surface"), F.length(words.fold(F.col("surface"))))
     row = dictionary.agg(F.max(F.size(words.words(F.col("surface")))).alias("k"), F.min(size).alias("low"), F.max(size).alias("high")).first()
