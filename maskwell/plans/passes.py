@@ -41,6 +41,14 @@ pairs AS (SELECT item_id, value, surrogate, value AS real FROM items
   UNION ALL SELECT DISTINCT item_id, word, s.target, word FROM parts p JOIN single s USING (word))"""
 
 
+def choice_sql(key: str) -> str:
+    """Spans of ``every`` chosen by precedence: ``chosen``."""
+    return f"""ranked AS (SELECT {key}, list({{'s': s, 'e': e, 'layer': layer, 'surrogate': surrogate, 'real': real}} ORDER BY layer, rank, s - e, s) AS m FROM every GROUP BY {key}),
+settled AS (SELECT {key}, list_reduce(list_transform(m, lambda x: [x]), lambda acc, y:
+  CASE WHEN list_bool_or(list_transform(acc, lambda k: k.s < y[1].e AND y[1].s < k.e)) THEN acc ELSE list_concat(acc, y) END) AS m FROM ranked),
+chosen AS (SELECT {key}, x.s AS s, x.e AS e, ['dictionary', 'pair', 'contact'][x.layer + 1] AS layer, x.surrogate AS surrogate, x.real AS real FROM (SELECT {key}, unnest(m) AS x FROM settled))"""
+
+
 def all_spans_sql(source: str = "documents", key: str = "doc_id", contact: bool = True) -> str:
     """Spans of all layers, chosen by precedence: ``chosen``."""
     named = f"UNION ALL SELECT {key}, s, e, 2, 0, surrogate, value FROM found JOIN named USING (kind, value)" if contact else ""
@@ -48,10 +56,7 @@ def all_spans_sql(source: str = "documents", key: str = "doc_id", contact: bool
 every AS (SELECT {key}, s, e, 0 AS layer, 0 AS rank, surrogate, canonical AS real FROM l2 JOIN surrogates USING (entity)
   UNION ALL SELECT w.{key}, w.s, w.e, 1, p.item_id, p.surrogate, p.real FROM wins w JOIN pairs p ON w.phrase = p.value AND w.e - w.s = length(p.value)
   {named}),
-ranked AS (SELECT {key}, list({{'s': s, 'e': e, 'layer': layer, 'surrogate': surrogate, 'real': real}} ORDER BY layer, rank, s - e, s) AS m FROM every GROUP BY {key}),
-settled AS (SELECT {key}, list_reduce(list_transform(m, lambda x: [x]), lambda acc, y:
-  CASE WHEN list_bool_or(list_transform(acc, lambda k: k.s < y[1].e AND y[1].s < k.e)) THEN acc ELSE list_concat(acc, y) END) AS m FROM ranked),
-chosen AS (SELECT {key}, x.s AS s, x.e AS e, ['dictionary', 'pair', 'contact'][x.layer + 1] AS layer, x.surrogate AS surrogate, x.real AS real FROM (SELECT {key}, unnest(m) AS x FROM settled))"""
+{choice_sql(key)}"""
 
 
 DOCS_SQL = f"{pii.FOUND}, {pii.MINTED}, {all_spans_sql()}"
