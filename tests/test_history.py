@@ -117,7 +117,7 @@ def test_a_replay_finds_what_was_recorded_then(spark):
     ]
     items = spark.createDataFrame(items, "item_id long, value string, entity_type string, surrogate string, valid_from timestamp, valid_to timestamp")
     lines = ["Petra Kunze and Kunze, Petra with Muller: a@b.example", "Abel GmbH, Abel, Hausan and Nord Licht: +49 170 1234567", "a@b.example Kunze Petra Kunze"]
-    data = [(d * 10 + k, text, day(d)) for d in (0, 5, 7) for k, text in enumerate(lines)]
+    data = [(d * 10 + k, text, day(d)) for d in (0, 7) for k, text in enumerate(lines)]
     texts = spark.createDataFrame(data, "doc long, text string, at timestamp")
     recorded, log = [], []
     for d in (0, 7):
