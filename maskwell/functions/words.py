@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwell.functions.scripts import latin
+
 #: A word in any script.
 WORD = r"[\p{L}\p{N}_]+"
 #: One upper-case letter, then lower-case letters only.
@@ -31,24 +33,15 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿłšžčćđ
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyylszccdouaeszznertdnuaeiu"
 
 
-#: Greek and Cyrillic letters and the Latin ones that transcribe them; the last ones need several.
-OTHER = "αβγδεζηικλμνξοπρστυωςάέήίόύώϊϋабвгдезийклмнопрстуфыэіїєґ"
-OTHER_PLAIN = "abgdeziiklmnxoprstuosaeiiouoiuabvgdeziiklmnoprstufyeiieg"
-OTHER_PAIRS = (
-    ("θ", "th"), ("φ", "ph"), ("χ", "kh"), ("ψ", "ps"), ("ё", "io"), ("ж", "zh"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"),
-    ("ш", "sh"), ("щ", "shch"), ("ю", "iu"), ("я", "ia"), ("ъ", ""), ("ь", ""),
-)
-
-
 def fold(text: Column) -> Column:
-    """Lower case in plain Latin letters: accents go, Greek and Cyrillic are transcribed. Other scripts stay."""
+    """Lower case in plain Latin letters: accents go, letters of other scripts are transcribed, ideographs stay.
+
+    Texts of the common Latin letters alone take one translation; only others are looked up letter by letter.
+    """
     plain = F.translate(F.lower(text), ACCENTED, PLAIN)
     for letter, pair in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th")):
         plain = F.replace(plain, F.lit(letter), F.lit(pair))
-    other = F.translate(plain, OTHER, OTHER_PLAIN)
-    for letter, pair in OTHER_PAIRS:
-        other = F.replace(other, F.lit(letter), F.lit(pair))
-    return F.when(text.rlike(r"[\x{370}-\x{4FF}]"), other).otherwise(plain)
+    return F.when(plain.rlike(r"[^\x00-\x7F]"), latin(plain)).otherwise(plain)
 
 
 def words(text: Column) -> Column:

@@ -184,6 +184,36 @@ for _name, _pass in (("l2_exact", "exact"), ("l2_folded", "normalized"), ("l2_fu
     _query(_name, f"WITH {_PASS_SQL[_name]} SELECT * FROM matched WHERE pass_name = '{_pass}'")(_run)
 
 
+# Letters of five scripts that read as one Latin letter each.
+SCRIPTS = (
+    ("abdegiklmnoprtxz", "αβδεγικλμνοπρτξζ"),
+    ("abvgdezklmnoprstufy", "абвгдезклмнопрстуфы"),
+    ("bdghklmnpqrstvyz", "בדגהכלמנפקרסטויז"),
+    ("abdfhjklmnqrstwyz", "ابدفحجكلمنقرستويز"),
+    ("abcdeghijklmnopqrstuvxz", "აბცდეგჰიძკლმნოპყრსტუვხზ"),
+)
+
+
+def _scripted_sql(x: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN translate({x}, '{a}{a.upper()}', '{b}{b}')" for k, (a, b) in enumerate(SCRIPTS))
+    return f"CASE hop % {len(SCRIPTS)} {cases} END"
+
+
+@_query(
+    "l2_folded_scripts",
+    f"""WITH {HOPS_SQL}, {keyed_sql("hops", "hop")},
+written AS (SELECT hop, s, e, {_scripted_sql("phrase")} AS phrase, folded FROM wins JOIN phrases USING (phrase))
+SELECT hop, s, e, phrase, f[1] AS surface, f[2] AS entity, 'normalized' AS pass_name FROM written JOIN fo ON folded = lookup
+WHERE n = 1 AND phrase NOT IN (SELECT surface FROM dict)""",
+)
+def l2_folded_scripts(spark, sf_dir):
+    """Hops written in one of five scripts meet Latin surfaces; the SQL looks for them in the Latin texts."""
+    which = F.col("hop") % len(SCRIPTS)
+    written = [F.when(which == k, F.translate("text", a + a.upper(), b + b)) for k, (a, b) in enumerate(SCRIPTS)]
+    found = dictionary.match(hops(spark, sf_dir).withColumn("text", F.coalesce(*written)), benchmark_dictionary(spark, sf_dir), "hop", STOP)
+    return found.where(F.col("pass_name") == "normalized")
+
+
 @_query("l2_pass_priority", f"WITH {L2_SQL} SELECT pass_name, count(*) AS n, count(DISTINCT entity) AS n_entities FROM matched GROUP BY pass_name")
 def l2_pass_priority(spark, sf_dir):
     return l2_matches(spark, sf_dir).groupBy("pass_name").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("n_entities"))

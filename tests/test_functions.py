@@ -1,12 +1,13 @@
 import hashlib
 import hmac
+import unicodedata
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from maskwell.functions import checks, crypto, spans, words
+from maskwell.functions import checks, crypto, scripts, spans, words
 from maskwell.operators import detect, overlap
 from maskwell.plans.records import KEY, QUERIES
 
@@ -85,9 +86,20 @@ def test_legal_forms_and_folding(spark):
     assert [r[0] for r in titles.select(words.is_title(F.col("w"))).collect()] == [True, True, False, False, False, False]
 
 
-def test_folding_of_three_scripts(spark):
-    cases = {"Müller": "muller", "Straße": "strasse", "Αθήνα": "athina", "Жуков": "zhukov", "Щукин Юрий": "shchukin iurii", "ŁÓDŹ": "lodz", "日本": "日本", "": ""}
+def test_folding_of_scripts(spark):
+    cases = {
+        "Müller": "muller", "Straße": "strasse", "ŁÓDŹ": "lodz", "Nguyễn Văn": "nguyen van", "ﬁn Ｔｏｋｙｏ": "fin tokyo",
+        "Αθήνα": "athina", "Жуков": "zhukov", "Щукин Юрий": "shchukin iurii", "שלום": "shlvm", "דוד": "dvd",
+        "محمد": "mhmd", "김민준": "gimminjun", "한글": "hangeul", "タナカ ジロウ": "tanaka jirou", "さくら": "sakura",
+        "გიორგი": "giorgi", "Արամ": "aram", "日本": "日本", "a日b": "a日b", "x-1_2": "x-1_2", "😀é": "😀e", "": "", "ь": "",
+    }
     frame = spark.createDataFrame([(t,) for t in [*cases, None]], "t string")
     got = {r.t: r.f for r in frame.select("t", words.fold(F.col("t")).alias("f")).collect()}
     assert got == {**cases, None: None}
-    assert len(words.OTHER) == len(words.OTHER_PLAIN) and len(words.ACCENTED) == len(words.PLAIN)
+    assert len(words.ACCENTED) == len(words.PLAIN)
+
+
+def test_hangul_syllables_read_as_their_names(spark):
+    codes = list(range(scripts.HANGUL, scripts.HANGUL_END))
+    rows = spark.createDataFrame([(chr(c),) for c in codes], "t string").select("t", scripts.latin(F.col("t")).alias("f")).collect()
+    assert [r.f for r in sorted(rows)] == [unicodedata.name(chr(c)).removeprefix("HANGUL SYLLABLE ").lower() for c in codes]
