@@ -48,6 +48,7 @@ def hydrate_graph(entities: DataFrame, variations: DataFrame, edges: DataFrame,
     ``entities``: ``workspace``, ``entity_id``, ``kind``, ``cell``, ``surrogate``; ``variations``: ``workspace``, ``entity_id``, ``ord``,
     ``cell``. One join for each table, whatever the number of entities.
     """
+    entities, variations = encrypted_only(entities, "entities"), encrypted_only(variations, "variations")
     plain = variations.withColumn("name", decrypt(F.col("cell"), key, F.col("workspace")))
     per = plain.groupBy("workspace", "entity_id").agg(F.sort_array(F.collect_list(F.struct("ord", "name")))["name"].alias("variations"))
     named = entities.withColumn("canonical", decrypt(F.col("cell"), key, F.col("workspace"))).drop("cell")
@@ -69,6 +70,16 @@ def plaintext_cells(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def encrypted_only(rows: DataFrame, name: str, cell: str = "cell") -> DataFrame:
+    """``rows`` of a store; reading a cell that is not encrypted ends the job with an error. Null cells pass.
+
+    The check is part of the rows, so nothing of such a table gets to whoever reads them.
+    """
+    refused = F.raise_error(F.lit(f"store {name} holds plain cells: it is refused")).cast("string")
+    plain = F.coalesce(~F.col(cell).startswith(CELL_PREFIX), F.lit(False))
+    return rows.withColumn(cell, F.when(plain, refused).otherwise(F.col(cell)))
+
+
 def create_edges(edges: DataFrame, new: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges with the valid rows of ``new``, the refused rows with their ``problems``)."""
     checked = graph.edge_problems(new, kinds)
