@@ -100,22 +100,26 @@ def search_leaves(trees: list[Tree], sizes: list[np.ndarray], query: np.ndarray,
 
 
 def _nearest(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The ``k`` nearest rows of every query of a leaf. A row that a query meets in a tree before is not ranked again."""
     for unit in sorted_groups(batches, ["tree", "leaf", "row_block", "query_block"]):
         is_query = unit["is_query"].to_numpy()
         if is_query.all() or not is_query.any():
             continue
         x = np.stack([np.asarray(v, dtype=np.float64) for v in unit["vector"]])
         ids = unit["id"].to_numpy()
-        rows, names = x[~is_query], ids[~is_query]
+        every, names = x[~is_query], ids[~is_query]
+        earlier = np.stack(unit["places"][~is_query])[:, : int(unit["tree"].iloc[0])]
         out_query, out_id, out_score = [], [], []
-        for q, name in zip(x[is_query], ids[is_query], strict=True):
-            score = np.sqrt(((rows - q) ** 2).sum(axis=1))
-            top = np.arange(len(rows))
-            if len(rows) > k:
+        for q, name, seen in zip(x[is_query], ids[is_query], unit["seen"][is_query], strict=True):
+            visited = np.unpackbits(np.frombuffer(seen, dtype=np.uint8)).astype(bool)
+            fresh = np.flatnonzero(~visited[earlier].any(axis=1))
+            score = np.sqrt(((every[fresh] - q) ** 2).sum(axis=1))
+            top = np.arange(len(fresh))
+            if len(fresh) > k:
                 top = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
-            top = top[np.lexsort((names[top], score[top]))[:k]]
+            top = top[np.lexsort((names[fresh[top]], score[top]))[:k]]
             out_query.append(np.full(len(top), name))
-            out_id.append(names[top])
+            out_id.append(names[fresh[top]])
             out_score.append(score[top])
         yield pd.DataFrame(
             {"query": np.concatenate(out_query), "vec_id": np.concatenate(out_id), "score": np.concatenate(out_score)}
@@ -138,8 +142,8 @@ def nearest_neighbours(
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest rows found of each query row.
 
     ``search_share`` is the number of rows in the leaves that a query visits over all trees,
-    as a multiple of all rows (a row met in two trees counts twice); a small table gets more,
-    so that every query finds ``k`` rows if there are that many. The trees come from
+    as a multiple of all rows (a row met in two trees counts twice here, but is ranked in the
+    first of them only); a small table gets more, so that every query finds ``k`` rows if there are that many. The trees come from
     ``sample_size`` vectors of smallest hash; at most ``trees`` x ``leaves`` inner nodes are
     sent to the tasks. Nearness is Euclidean distance in double precision on the original
     vectors, ties go to the smaller id.
@@ -180,16 +184,21 @@ def _search(
     forest = [grow_tree(points, capacity, seed + t) for t in range(trees)]
     shared = spark.sparkContext.broadcast(forest)
 
+    # Leaves are numbered over all trees: a row carries its places, a query a bit for each leaf that it visits.
+    firsts = np.cumsum([0, *(tree.leaves for tree in forest)])
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 some = batch.iloc[at : at + 2048]
                 x = np.stack([np.asarray(v, dtype=np.float64) for v in some["vector"]])
-                for t, tree in enumerate(shared.value):
-                    yield some.assign(tree=t, leaf=tree.leaf_of(x))
+                leaf = np.stack([tree.leaf_of(x) for tree in shared.value], axis=1)
+                places = list((leaf + firsts[:-1]).astype(np.int32))
+                for t in range(len(shared.value)):
+                    yield some.assign(tree=t, leaf=leaf[:, t], places=places)
 
     element = kept.schema["vector"].dataType.simpleString()
-    indexed = kept.mapInPandas(index, f"id long, vector {element}, tree int, leaf int")
+    indexed = kept.mapInPandas(index, f"id long, vector {element}, tree int, leaf int, places array<int>")
     # One row per leaf of the bounded forest.
     counts = indexed.groupBy("tree", "leaf").count().collect()
     held = [np.zeros(tree.leaves) for tree in forest]
@@ -208,12 +217,15 @@ def _search(
                     q = np.asarray(vector, dtype=np.float64)
                     visits = search_leaves(shared.value, sizes_shared.value, q, wanted)
                     t, leaf = np.array(visits, dtype=np.int64).reshape(-1, 2).T
-                    parts.append(pd.DataFrame({"id": name, "vector": [vector] * len(t), "tree": t, "leaf": leaf}))
+                    seen = np.zeros(firsts[-1], dtype=bool)
+                    seen[firsts[t] + leaf] = True
+                    bits = np.packbits(seen).tobytes()
+                    parts.append(pd.DataFrame({"id": name, "vector": [vector] * len(t), "tree": t, "leaf": leaf, "seen": [bits] * len(t)}))
                 yield pd.concat(parts)
 
     # A table of the queries may be one file: deal them to all tasks.
     visits = asking.select(F.col("class").alias("id"), "vector").repartition("id")
-    visits = materialize(visits.mapInPandas(search, f"id long, vector {element}, tree int, leaf int"), "ann-visits")
+    visits = materialize(visits.mapInPandas(search, f"id long, vector {element}, tree int, leaf int, seen binary"), "ann-visits")
     asked = visits.groupBy("tree", "leaf").count().collect()
     plan = [
         (r.tree, r.leaf, -(-int(held[r.tree][r.leaf]) // block) or 1, -(-r["count"] // block) or 1) for r in asked
@@ -231,6 +243,8 @@ def _search(
             F.lit(as_query).alias("is_query"),
             "id",
             "vector",
+            F.lit(None).cast("array<int>").alias("places") if as_query else "places",
+            "seen" if as_query else F.lit(None).cast("binary").alias("seen"),
         )
 
     units = dealt(indexed, "row", "query", False).unionByName(dealt(visits, "query", "row", True))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,25 @@ def test_exact_when_all_leaves_are_searched_with_ties_and_bad_rows(spark):
     assert forest.nearest_neighbours(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     few = forest.nearest_neighbours(frame.where("vec_id in (0, 10, 20)"), F.col("vec_id") % 100 == 0)
     assert few.count() == len(brute_nearest(rows[:3]))
+
+
+def test_a_row_of_several_visited_leaves_is_ranked_once():
+    """All leaves of both trees are visited: every row is listed by the first tree and by no other."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(30, 4))
+    leaf = np.stack([np.arange(30) % 3, 3 + np.arange(30) % 2], axis=1).astype(np.int32)
+    bits = np.packbits(np.ones(5, dtype=bool)).tobytes()
+    some = np.packbits(np.array([True, False, False, True, True])).tobytes()
+
+    def unit(tree, at, seen):
+        inside = np.flatnonzero(leaf[:, tree] == at)
+        rows = [(tree, at - 3 * tree, 0, 0, False, int(i), vectors[i], leaf[i], None) for i in inside]
+        ask = [(tree, at - 3 * tree, 0, 0, True, 1000, vectors[0], None, seen)]
+        return pd.DataFrame(rows + ask, columns=["tree", "leaf", "row_block", "query_block", "is_query", "id", "vector", "places", "seen"])
+
+    def met(seen, visits):
+        return sorted(i for tree, at in visits for f in forest._nearest(iter([unit(tree, at, seen)]), 30) for i in f["vec_id"])
+
+    assert met(bits, [(0, 0), (0, 1), (0, 2), (1, 3), (1, 4)]) == list(range(30))
+    assert met(some, [(0, 0), (1, 3), (1, 4)]) == list(range(30))
+    assert met(some, [(1, 3), (1, 4)]) == [i for i in range(30) if i % 3]
