@@ -109,10 +109,14 @@ def _nearest(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
         ids = unit["id"].to_numpy()
         every, names = x[~is_query], ids[~is_query]
         earlier = np.stack(unit["places"][~is_query])[:, : int(unit["tree"].iloc[0])]
+        bits = np.frombuffer(b"".join(unit["seen"][is_query]), dtype=np.uint8).reshape(int(is_query.sum()), -1)
+        visited = np.unpackbits(bits, axis=1).astype(bool)
+        again = np.zeros((len(bits), len(every)), dtype=bool)
+        for column in earlier.T:
+            again |= visited[:, column]
         out_query, out_id, out_score = [], [], []
-        for q, name, seen in zip(x[is_query], ids[is_query], unit["seen"][is_query], strict=True):
-            visited = np.unpackbits(np.frombuffer(seen, dtype=np.uint8)).astype(bool)
-            fresh = np.flatnonzero(~visited[earlier].any(axis=1))
+        for q, name, met in zip(x[is_query], ids[is_query], again, strict=True):
+            fresh = np.flatnonzero(~met)
             score = np.sqrt(((every[fresh] - q) ** 2).sum(axis=1))
             top = np.arange(len(fresh))
             if len(fresh) > k:
