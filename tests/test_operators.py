@@ -219,6 +219,27 @@ def test_restore_suffixes_words_and_signs(spark):
         assert r.restored == cases[r.text]
 
 
+def test_surrogates_inside_words_come_back(spark):
+    texts = ["call +1 (208) 555-1177 4284896609045836.", "éa.b@example.com, a.b@example.com's and a.b@example.com+4912345678+49123456789x", "none", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    located, _ = rewrite.contact_data(docs, "id", ["email", "phone", "card"], "reserved")
+    blinded = rewrite.blind(docs, "id", located)
+    session = rewrite.session_of(docs, "id", located).collect()
+    frame = spark.createDataFrame(session, "id long, surrogate string, real string, seq long")
+    whole = rewrite.restore(blinded.selectExpr("id", "blinded AS text"), "id", frame)
+    for r in whole.collect():
+        assert r.restored == texts[r.id]
+        assert r.id > 1 or r.text != texts[r.id]
+    # Chunks of a stream, three characters each.
+    for r in blinded.collect():
+        back = {x.surrogate: x.real for x in session if x.id == r.id}
+        held, before, pieces = "", "", []
+        for at in range(0, len(r.blinded) + 1, 3):
+            piece, held, before = restore.step(held, before, r.blinded[at : at + 3], back, at + 3 > len(r.blinded))
+            pieces.append(piece)
+        assert "".join(pieces) == texts[r.id]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_chunks_restore_like_the_whole(seed):
     rnd = random.Random(seed)
