@@ -111,7 +111,8 @@ def blinded_chunks(spark: SparkSession, sf_dir: str, size: int = 400) -> DataFra
     """Blinded documents in chunks of ``size`` characters, each with the session of its document."""
     docs = texts(spark, sf_dir)
     located, _ = rewrite.contact_data(docs, "doc_id", KINDS, BEYOND)
-    session = located.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("surrogate", "value")))).alias("session"))
+    session = rewrite.session_of(docs, "doc_id", located)
+    session = session.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("surrogate", "real")))).alias("session"))
     blinded = rewrite.blind(docs, "doc_id", located).join(session, "doc_id", "left")
     n = F.greatest(F.lit(1), F.ceil(F.length("blinded") / size)).cast("int")
     parts = blinded.select("doc_id", "blinded", "session", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
