@@ -34,7 +34,7 @@ def match_as_of(texts: DataFrame, key: str, at: str, names: DataFrame, stopwords
     if high is None:
         near = known.select(F.col("surface").alias("phrase"), "surface", F.lit(0).alias("edits")).limit(0)
     else:
-        found = dictionary.near_candidates(runs, vocabulary, names, low, high)
+        found = dictionary.near_candidates(packed, vocabulary, names, low, high)
         near = dictionary.near_names(found, known.select("surface"), stopwords)
     near = materialize(near, "near-names")
 

@@ -240,6 +240,14 @@ def test_surrogates_inside_words_come_back(spark):
         assert "".join(pieces) == texts[r.id]
 
 
+def test_workers_hand_on_only_runs_near_to_a_name(spark):
+    names = spark.createDataFrame([("Bernhard", 1, 0), ("Müller", 2, 1)], "surface string, entity long, ord long")
+    texts = spark.createDataFrame([(1, "Bern hard and Bern hart, Mül ler. Bern zuzu, B ern hard")], "id long, text string")
+    vocabulary = dictionary.vocabulary_of(texts)
+    found = dictionary.near_candidates(texts, vocabulary, names, 6, 8).where("k > 1")
+    assert {r.phrase for r in found.collect()} == {"Bern hard", "Bern hart", "Mül ler", "B ern hard"}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_chunks_restore_like_the_whole(seed):
     rnd = random.Random(seed)
