@@ -29,7 +29,6 @@ def match_as_of(texts: DataFrame, key: str, at: str, names: DataFrame, stopwords
     known = materialize(known, "surfaces-ever")
     longest, low, high = dictionary.extents(names)
     packed = _timed(texts, key, at, text)
-    runs = dictionary.token_runs(packed, "_k", longest)
     vocabulary = materialize(dictionary.vocabulary_of(packed), "vocabulary")
     if high is None:
         near = known.select(F.col("surface").alias("phrase"), "surface", F.lit(0).alias("edits")).limit(0)
@@ -39,7 +38,7 @@ def match_as_of(texts: DataFrame, key: str, at: str, names: DataFrame, stopwords
     near = materialize(near, "near-names")
 
     begun = known.select("folded").unionByName(near.select(words.fold(F.col("phrase")).alias("folded")))
-    spans = materialize(dictionary.begun_spans(runs, vocabulary, begun, "_k", longest), "windows-ever")
+    spans = materialize(dictionary.begun_spans(packed, vocabulary, begun, "_k", longest), "windows-ever")
     place = ["_k", "s", "e", "phrase"]
     same = F.when(F.col("phrase") == F.col("surface"), 0).otherwise(1)
     by_fold = spans.join(known, "folded").select(*place, "surface", same.alias("rank"), F.lit(0).alias("edits"))
