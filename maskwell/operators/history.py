@@ -67,17 +67,34 @@ def cover(valid_from: Column, valid_to: Column) -> Column:
     return F.concat(*out)
 
 
+def holding(valid_from: Column, valid_to: Column) -> Column:
+    """Aligned blocks no shorter than [valid_from, valid_to) that hold it: array of ``level``, ``block``, two at most.
+
+    The level is the lowest one whose blocks are as long as the interval, so an interval takes a
+    16th of its blocks or more. Nulls are open ends: such intervals lie in the three longest blocks.
+    """
+    start = F.coalesce(_second(valid_from), F.lit(FIRST))
+    last = F.greatest(start, F.coalesce(_second(valid_to), F.lit(LAST - 1)))
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(last - start < BASE**k, k).otherwise(level)
+    size = F.element_at(F.array(*[F.lit(BASE**k) for k in range(LEVELS)]), level + 1)
+    block = lambda second: F.floor(second / size).cast("long")
+    return F.transform(F.sequence(block(start), block(last)), lambda b: F.struct(level.alias("level"), b.alias("block")))
+
+
 def as_of(rows: DataFrame, kept: DataFrame, by: list[str], at: str) -> DataFrame:
     """``rows`` with the columns of every version of their key that is in force at their time ``at``.
 
     ``kept`` has ``by``, ``valid_from`` and ``valid_to`` (null: open), which are dropped; versions of
     a key may overlap. Rows with a null key or time, or without a version, have no result. A version
-    is cut into aligned blocks of time, a row looks its time up once for each size of block that its
-    key has. So key and block meet by equality: a key with many versions is spread over many tasks,
-    and a row meets no version but those whose blocks hold its second.
+    travels once or twice, to the aligned blocks of time of its own length (see :func:`holding`), a
+    row looks its time up once for each size of block that its key has. So key and block meet by
+    equality: a key with many versions is spread over many tasks, and where versions follow one
+    another a row meets 17 at most of each size.
     """
     blocks = kept.withColumns({c: F.col(c).cast("timestamp") for c in ("valid_from", "valid_to")})
-    blocks = blocks.withColumn("_b", F.explode(cover(F.col("valid_from"), F.col("valid_to"))))
+    blocks = blocks.withColumn("_b", F.explode(holding(F.col("valid_from"), F.col("valid_to"))))
     blocks = blocks.select("*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).drop("_b")
     sizes = blocks.groupBy(*by).agg(F.collect_set("_level").alias("_levels"))
     second = _second(F.col("_at"))

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from maskwell.operators import dictionary, rewrite
+from maskwell.operators import dictionary, history, rewrite
 
 
 def test_keys_asked_for_at_once_are_those_asked_for_one_by_one():
@@ -26,3 +26,12 @@ def test_a_long_text_with_many_spans_is_spliced_in_one_pass(spark):
     row = rewrite.blind(spark.createDataFrame([(1, text), (2, None)], "id int, text string"), "id", located).where("id = 1").first()
     assert row.n_spans == n and row.blinded == ("X" + "é" * 40) * n
     assert time.perf_counter() - began < 30
+
+
+def test_a_version_travels_twice_at_most(spark):
+    ends = [(a, b) for a in (0, 17, 10**6, 4095) for b in (1, 15, 16, 17, 4096, 86_400, 10**8)]
+    frame = spark.createDataFrame([(a, a + b) for a, b in ends], "a long, b long").select(F.timestamp_seconds("a").alias("a"), F.timestamp_seconds("b").alias("b"))
+    for row in frame.select(F.unix_seconds("a").alias("at"), F.unix_seconds("b").alias("upto"), history.holding(F.col("a"), F.col("b")).alias("p")).collect():
+        assert len(row.p) <= 2 and row.p[0].block * 16 ** row.p[0].level <= row.at and row.upto < (row.p[-1].block + 1) * 16 ** row.p[0].level
+    open_end = frame.select(history.holding(F.col("a"), F.lit(None).cast("timestamp")).alias("p")).first()
+    assert len(open_end.p) <= 3
