@@ -450,11 +450,11 @@ def header_allowlist(spark, sf_dir):
 
 @_query("capture_files", "SELECT user_id, count(*) AS n_records, 'in-flight' AS status FROM events GROUP BY user_id")
 def capture_files(spark, sf_dir):
-    """Events written as one capture file per user, then listed."""
+    """Events written as one capture per user, many to a file, then listed."""
     path = new_path(spark, "captures")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.to_json(F.struct(F.col("event_type").alias("record"), "event_id")).alias("body"))
     files.write_captures(rows, path, "user_id", "event_id", "body")
-    lines = files.read_captures(spark, path, by="user_id")
+    lines = files.read_captures(spark, path, packed=True)
     return files.capture_status(lines).select(F.col("file").cast("long").alias("user_id"), "n_records", "status")
 
 

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from maskwell.operators import dictionary, history, rewrite
+from maskwell.sources import files
 
 
 def test_keys_asked_for_at_once_are_those_asked_for_one_by_one():
@@ -35,3 +36,12 @@ def test_a_version_travels_twice_at_most(spark):
         assert len(row.p) <= 2 and row.p[0].block * 16 ** row.p[0].level <= row.at and row.upto < (row.p[-1].block + 1) * 16 ** row.p[0].level
     open_end = frame.select(history.holding(F.col("a"), F.lit(None).cast("timestamp")).alias("p")).first()
     assert len(open_end.p) <= 3
+
+
+def test_captures_share_files_and_end_at_their_broken_line(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id % 500 AS k", "id AS n", "CASE WHEN id = 1001 THEN '{broken' ELSE '{\"record\":\"x\"}' END AS body")
+    files.write_captures(rows, f"{tmp_path}/c", "k", "n", "body")
+    files.write_captures(rows.selectExpr("k", "n + 2000 AS n", "'{\"record\":\"footer\"}' AS body").where("k = 7"), f"{tmp_path}/c", "k", "n", "body")
+    assert len(list((tmp_path / "c").glob("part-*"))) < 20
+    got = {r.file: (r.n_records, r.status) for r in files.capture_status(files.read_captures(spark, f"{tmp_path}/c", packed=True)).collect()}
+    assert len(got) == 500 and got["1"] == (2, "in-flight") and got["7"] == (8, "complete") and got["8"] == (4, "in-flight")
