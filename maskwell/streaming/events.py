@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from maskwell.streaming.ordered import in_order, session_of
 from maskwell.streaming.restore import pattern_of, step
 
 OUTPUT = "exchange_id long, seq long, n long, event string, block long, kind string, text string"
+_SHAPE = pa.schema([(name, {"long": pa.int64(), "string": pa.string()}[kind]) for name, kind in (c.split(" ") for c in OUTPUT.split(", "))])
+#: Output rows of one batch of a table at rest.
+ROWS = 1024
 #: Kinds of rows: restored text, restored tool input, an event passed on, an exchange given up.
 TEXT, TOOL, PASSED, LOST = "text", "tool_input", "event", "disconnected"
 #: A JSON string with the colon that makes it a key, if any; the last one may be cut off.
@@ -85,10 +90,16 @@ def split_events(kept: dict, chunk: str, ended: bool) -> list[str]:
 
     Lines end with LF, CR or both; a CR at the end of a chunk waits for its LF.
     """
-    raw = kept.get("tail", "") + chunk
-    wait = "\r" if raw.endswith("\r") and not ended else ""
-    lines = raw.removesuffix(wait).replace("\r\n", "\n").replace("\r", "\n")
-    *whole, tail = lines.split("\n\n")
+    tail = kept.get("tail", "")
+    if tail.endswith("\r"):
+        tail, chunk = tail[:-1], "\r" + chunk
+    wait = "\r" if chunk.endswith("\r") and not ended else ""
+    lines = chunk.removesuffix(wait).replace("\r\n", "\n").replace("\r", "\n")
+    # What is open has no end of an event in it: only what is new is searched.
+    whole, fresh = [], "\n\n" in tail[-1:] + lines
+    tail += lines
+    if fresh:
+        *whole, tail = tail.split("\n\n")
     if ended:
         whole, tail = [*whole, tail], ""
     kept["tail"] = tail + wait
@@ -161,22 +172,43 @@ def restore_events(chunks: DataFrame, idle_ms: int | None = None, arrival: str |
     return in_order(chunks, _feed, _finish, OUTPUT, idle_ms, arrival, late)
 
 
+def _in_turn(rows: Iterator[tuple[int, int, str | None, str | None]]) -> Iterator[tuple]:
+    """Output rows of chunks (exchange, number, chunk, session) that come exchange by exchange, in order of their numbers."""
+    key, seq, session, back, kept = None, None, None, {}, {}
+
+    def ended() -> list[tuple]:
+        if key is None or kept.get("stopped"):
+            return []
+        return [(key, seq + 1, n, *x) for n, x in enumerate(_finish(kept, back))]
+
+    for exchange, number, chunk, given in rows:
+        if exchange != key:
+            yield from ended()
+            key, seq, session, back, kept = exchange, None, None, {}, {}
+        elif number == seq:
+            continue
+        if given is not None and given != session:
+            session, back = given, session_of(given)
+        seq = number
+        yield from ((key, seq, n, *x) for n, x in enumerate(advance(kept, chunk or "", back)))
+    yield from ended()
+
+
+def _restored_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = _in_turn(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    while some := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _SHAPE, strict=True)], schema=_SHAPE)
+
+
 def restore_events_at_rest(chunks: DataFrame) -> DataFrame:
-    """The same for chunks in a table: one pass per exchange; one without ``message_stop`` ends ``disconnected``."""
-
-    def handle(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: dict = {}
-        out: list[tuple] = []
-        key, seq, back = 0, -1, {}
-        for r in rows.drop_duplicates("seq").sort_values("seq").itertuples(index=False):
-            key, seq, back = r.exchange_id, int(r.seq), session_of(r.session)
-            out += [(key, seq, n, *x) for n, x in enumerate(advance(kept, r.chunk if isinstance(r.chunk, str) else "", back))]
-        if not kept.get("stopped"):
-            out += [(key, seq + 1, n, *x) for n, x in enumerate(_finish(kept, back))]
-        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUTPUT.split(", ")]).astype({"block": "Int64"})
+    """The same for chunks in a table: one pass over them in order; an exchange without ``message_stop`` ends ``disconnected``.
 
+    A chunk without a session goes by that of the chunks before it.
+    """
     placed = chunks.where("exchange_id IS NOT NULL AND seq IS NOT NULL")
-    return placed.groupBy("exchange_id").applyInPandas(handle, OUTPUT)
+    placed = placed.select(F.col("exchange_id").cast("long"), F.col("seq").cast("long"), F.col("chunk").cast("string"), F.col("session").cast("string"))
+    ordered = placed.repartition("exchange_id").sortWithinPartitions("exchange_id", "seq")
+    return ordered.mapInArrow(_restored_batches, OUTPUT)
 
 
 def streamed_text(rows: DataFrame) -> DataFrame:

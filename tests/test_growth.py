@@ -1,11 +1,13 @@
 """Steps whose work must not grow faster than their input."""
 
+import json
 import time
 
 from pyspark.sql import functions as F
 
 from maskwell.operators import dictionary, history, rewrite
 from maskwell.sources import files
+from maskwell.streaming import events
 
 
 def test_keys_asked_for_at_once_are_those_asked_for_one_by_one():
@@ -45,3 +47,21 @@ def test_captures_share_files_and_end_at_their_broken_line(spark, tmp_path):
     assert len(list((tmp_path / "c").glob("part-*"))) < 20
     got = {r.file: (r.n_records, r.status) for r in files.capture_status(files.read_captures(spark, f"{tmp_path}/c", packed=True)).collect()}
     assert len(got) == 500 and got["1"] == (2, "in-flight") and got["7"] == (8, "complete") and got["8"] == (4, "in-flight")
+
+
+def test_exchanges_at_rest_are_read_in_one_pass_without_a_call_for_each(spark):
+    said = 'event: content_block_delta\r\ndata: {"index": 0, "delta": {"type": "text_delta", "text": "to Vogt"}}\r\n\r\n'
+    stop = 'event: content_block_stop\ndata: {"index": 0}\n\nevent: message_stop\ndata: {}\n\n'
+    rows = []
+    for exchange in range(300):
+        raw, real = said + (stop if exchange % 3 else ""), json.dumps({"Vogt": f"Lee{exchange}"})
+        cut = [raw[at : at + 7] for at in range(0, len(raw), 7)]
+        # The first number may be any; one that comes twice counts once, and the first chunk brings the session.
+        rows += [(exchange, k - 1, piece, real if k == 0 else None) for k, piece in enumerate(cut)] + [(exchange, 3, cut[4], None)]
+    chunks = spark.createDataFrame([*rows, (None, 0, said, None), (1, None, said, None)], "exchange_id long, seq long, chunk string, session string")
+    found = events.restore_events_at_rest(chunks)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    sent = {r.exchange_id: r.text for r in events.streamed_text(found).collect()}
+    assert sent == {exchange: f"to Lee{exchange}" for exchange in range(300)}
+    lost = {r.exchange_id for r in found.where("kind = 'disconnected'").collect()}
+    assert lost == set(range(0, 300, 3))
