@@ -51,6 +51,24 @@ def edge_problems(edges: DataFrame, kinds: DataFrame) -> DataFrame:
     return named.withColumn("problems", problems)
 
 
+def fitting_edges(edges: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The rows of ``edges`` with a relation in which :func:`edge_problems` finds no problem.
+
+    What no relation can join is left out before it meets anything. Few targets may hold most of the edges, so
+    the kinds of those that occur are looked up first: where they are few, Spark sends them to the edges.
+    """
+    named = edges.where(F.col("relation").isin(*RELATIONS))
+    sources, targets = (kinds.where(F.col("kind").isin(*{pair[at] for pair in RELATIONS.values()})) for at in (0, 1))
+    sources = sources.select(F.col("entity_id").alias("source_id"), F.col("kind").alias("_source")).distinct()
+    targets = targets.select(F.col("entity_id").alias("target_id"), F.col("kind").alias("_target")).distinct()
+    targets = targets.join(named.select("target_id").distinct(), "target_id", "left_semi")
+    met = named.join(targets, "target_id").join(sources, "source_id")
+    fits = F.lit(False)
+    for relation, (source, target) in RELATIONS.items():
+        fits = fits | ((F.col("relation") == relation) & (F.col("_source") == source) & (F.col("_target") == target))
+    return met.where(fits).select(*edges.columns)
+
+
 def merge(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """Fold losers into winners: ``pairs`` has ``winner_id``, ``loser_id`` of one kind.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwell.functions.crypto import decrypt, encrypt
 from maskwell.operators import graph, minting
 from maskwell.operators.ordinal import with_ordinal
+from maskwell.shared import materialize
 from maskwell.sources.files import upsert
 
 # Fixed value: how an encrypted cell begins.
@@ -30,11 +31,12 @@ def seed_commit(entities: DataFrame, edges: DataFrame, new_entities: DataFrame,
     """Entities and edges after a bundle is loaded, the same when it is loaded again.
 
     Entities that are there by workspace, kind and name are kept as they are; edges of unknown
-    relation, wrong orientation or missing ends are left out.
+    relation, wrong orientation or missing ends are left out. Both tables are written before they
+    are handed on, so that a bundle loaded on top of another does not do its work again.
     """
-    every = graph.add_new(entities, new_entities)
-    fit = graph.edge_problems(new_edges, every.select("entity_id", "kind")).where("size(problems) = 0").select(*new_edges.columns)
-    return every, edges.unionByName(fit.select(*edges.columns)).distinct()
+    every = materialize(graph.add_new(entities, new_entities), "entities")
+    fit = graph.fitting_edges(new_edges, every.select("entity_id", "kind"))
+    return every, materialize(edges.unionByName(fit.select(*edges.columns)).distinct(), "edges")
 
 
 def reidentify_cells(entities: DataFrame, key: bytes) -> DataFrame:

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from maskwell.operators import dictionary, history, rewrite
+from maskwell.operators import dictionary, graph, history, rewrite, store
 from maskwell.sources import files
 from maskwell.streaming import events
 
@@ -65,3 +65,24 @@ def test_exchanges_at_rest_are_read_in_one_pass_without_a_call_for_each(spark):
     assert sent == {exchange: f"to Lee{exchange}" for exchange in range(300)}
     lost = {r.exchange_id for r in found.where("kind = 'disconnected'").collect()}
     assert lost == set(range(0, 300, 3))
+
+
+def test_a_bundle_loaded_on_another_takes_its_rows_from_the_store(spark):
+    kinds = "CASE WHEN id < 900 THEN 'person' WHEN id < 990 THEN 'term' ELSE 'other' END AS kind"
+    every = spark.range(1000).selectExpr("concat('w', id % 3) AS workspace", "id AS entity_id", kinds, "concat('n', id) AS canonical", "array('v') AS variations", "'s' AS surrogate")
+    # Most edges go to one target; others have odd relations, the wrong direction, null or missing ends.
+    links = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 97 = 0 THEN NULL ELSE id % 1010 END AS source_id",
+        "CASE id % 4 WHEN 0 THEN 'employer' WHEN 1 THEN 'subsidiary_of' WHEN 2 THEN 'alias-of' ELSE NULL END AS relation",
+        "CASE WHEN id % 10 < 8 THEN 950 WHEN id % 10 = 8 THEN id % 1010 END AS target_id",
+    )
+    once = store.seed_commit(every.where("entity_id % 3 = 0"), links.limit(0), every, links)
+    twice = store.seed_commit(*once, every, links)
+    for table in twice:
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+    # A null relation is no known one.
+    want = graph.edge_problems(links.where("relation IS NOT NULL"), every.select("entity_id", "kind")).where("size(problems) = 0").select(*links.columns).distinct()
+    got = [tuple(r) for r in twice[1].collect()]
+    assert len(got) == len(set(got)) > 300 and set(got) == {tuple(r) for r in want.collect()}
+    assert twice[0].count() == twice[0].select("workspace", "entity_id").distinct().count() == 1000
