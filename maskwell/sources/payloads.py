@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +57,7 @@ def hops(requests: DataFrame) -> DataFrame:
     )
 
 
-Leaf = tuple[str, str | None, str, Callable[[str], None]]
+Leaf = tuple[str, str | None, str, dict | list, str | int]
 #: Levels of nesting that are read; path of the only leaf of a payload that cannot be read.
 DEPTH, UNREADABLE = 200, "$!"
 
@@ -69,6 +68,9 @@ def _read(payload: str) -> list | None:
         box = [json.loads(payload)]
     except (ValueError, RecursionError):
         return None
+    # No level without a bracket of its own: most payloads have too few of them to be that deep.
+    if payload.count("{") + payload.count("[") <= DEPTH:
+        return box
     level = [x for x in box if isinstance(x, dict | list)]
     for _ in range(DEPTH + 1):
         inner = (x.values() if isinstance(x, dict) else x for x in level)
@@ -80,42 +82,52 @@ def _read(payload: str) -> list | None:
 
 def _clean(text: str) -> str:
     """Halves of surrogate pairs, which JSON may escape but UTF-8 cannot hold, become U+FFFD."""
-    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _walk(value: object, path: str, part: str | None, mode: str, put: Callable[[object], None]) -> Iterator[Leaf]:
-    """(path, part, text, setter) of each string below ``value``, in document order.
+def _walk(box: list, mode: str) -> list[Leaf]:
+    """(path, part, text, container, place) of each string below the payload in ``box``, in document order.
 
     ``part`` names what a rewrite may touch: ``system``, ``content``, ``tool`` and ``schema`` of
     a request, ``answer`` of a response; null for the rest. ``mode`` tells how to read on:
-    blocks of a message, free JSON, a schema, or a named level of the envelope.
+    blocks of a message, free JSON, a schema, or a named level of the envelope. What is still to
+    be read lies on a list of its own, the next value last, so that a string costs the same at any depth.
     """
-    if isinstance(value, str):
-        yield path, part, value, put
-        return
-    items = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
-    kind = value.get("type") if isinstance(value, dict) else None
-    for k, v in items:
-        below = f"{path}.{k}" if isinstance(value, dict) else f"{path}[{k}]"
-        inner: tuple[str | None, str] = (None, "other")
-        if isinstance(value, list):
+    out: list[Leaf] = []
+    ahead: list[tuple] = [(box[0], "$", None, mode, box, 0)]
+    while ahead:
+        value, path, part, mode, container, place = ahead.pop()
+        if isinstance(value, str):
+            out.append((path, part, value, container, place))
+        elif isinstance(value, list):
             # A bare string in a list of blocks is no block, a list of free JSON passes on.
-            inner = (None if isinstance(v, str) and mode in ("blocks", "schema") else part, mode)
-        elif mode == "json":
-            inner = (part, "json")
-        elif mode == "schema":
-            inner = ("schema" if k == "description" and isinstance(v, str) else None, "schema")
-        elif mode == "blocks":
-            reads = {("text", "text"): "other", ("tool_result", "content"): "blocks", ("tool_use", "input"): "json"}
-            if (kind, k) in reads:
-                inner = (part, reads[kind, k])
-        elif (mode, k) in _ENVELOPE:
-            inner = _ENVELOPE[mode, k]
-            if inner == ("tool", "other") and not isinstance(v, str):
-                inner = (None, "other")
-        yield from _walk(v, below, *inner, partial(value.__setitem__, k))
-
-
+            bare = None if mode in ("blocks", "schema") else part
+            for k in range(len(value) - 1, -1, -1):
+                v = value[k]
+                if isinstance(v, str | dict | list):
+                    ahead.append((v, f"{path}[{k}]", bare if isinstance(v, str) else part, mode, value, k))
+        elif isinstance(value, dict):
+            kind = value.get("type") if mode == "blocks" else None
+            for k in reversed(value):
+                v = value[k]
+                if isinstance(v, str | dict | list):
+                    ahead.append((v, f"{path}.{k}", *_below(v, k, part, mode, kind), value, k))
+    return out
+
+
+def _below(value: object, k: str, part: str | None, mode: str, kind: object) -> tuple[str | None, str]:
+    """Part and mode of the value under the name ``k`` of an object; ``kind`` is the type of a block."""
+    if mode == "json":
+        return part, "json"
+    if mode == "schema":
+        return "schema" if k == "description" and isinstance(value, str) else None, "schema"
+    if mode == "blocks":
+        return (part, _BLOCKS[kind, k]) if isinstance(kind, str) and (kind, k) in _BLOCKS else (None, "other")
+    inner = _ENVELOPE.get((mode, k), (None, "other"))
+    return (None, "other") if inner == ("tool", "other") and not isinstance(value, str) else inner
+
+
+_BLOCKS = {("text", "text"): "other", ("tool_result", "content"): "blocks", ("tool_use", "input"): "json"}
 _ENVELOPE: dict[tuple[str, str], tuple[str | None, str]] = {
     ("request", "system"): ("system", "blocks"),
     ("request", "messages"): (None, "message"),
@@ -132,13 +144,15 @@ _ENVELOPE: dict[tuple[str, str], tuple[str | None, str]] = {
 }
 
 
-def leaves(payloads: DataFrame, envelope: str = "request") -> DataFrame:
+def leaves(payloads: DataFrame, envelope: str = "request", parts: Sequence[str] | None = None) -> DataFrame:
     """``exchange_id``, ``leaf_no``, ``path``, ``part``, ``text``: string values at any depth, in document order.
 
     ``envelope`` is ``request`` or ``response``. ``part`` is null for strings that a rewrite
     leaves alone: roles, names, types, ids. A payload that is no JSON, or nested more than
     ``DEPTH`` levels deep, is one leaf of the path ``$!`` without a part: gates see its text,
-    rewriting leaves it alone. Null payloads have no leaves.
+    rewriting leaves it alone. Null payloads have no leaves. With ``parts`` only leaves of these
+    parts leave the workers; their numbers stay the same. Payloads are dealt to all tasks
+    first: a small file, or one with a single row group, would be read by a task or two.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,11 +160,11 @@ def leaves(payloads: DataFrame, envelope: str = "request") -> DataFrame:
             rows = []
             for key, payload in zip(batch["exchange_id"], batch["payload"], strict=True):
                 box = _read(payload)
-                found = [(UNREADABLE, None, payload, None)] if box is None else _walk(box[0], "$", None, envelope, lambda _: None)
-                rows += [(key, k, _clean(path), part, _clean(text)) for k, (path, part, text, _) in enumerate(found)]
+                found = [(UNREADABLE, None, payload, [], 0)] if box is None else _walk(box, envelope)
+                rows += [(key, k, _clean(path), part, _clean(text)) for k, (path, part, text, _, _) in enumerate(found) if parts is None or part in parts]
             yield pd.DataFrame(rows, columns=["exchange_id", "leaf_no", "path", "part", "text"])
 
-    rows = payloads.select(F.col("exchange_id").cast("long").alias("exchange_id"), "payload").where("payload is not null")
+    rows = payloads.select(F.col("exchange_id").cast("long").alias("exchange_id"), "payload").where("payload is not null").repartition("exchange_id")
     return rows.mapInPandas(walk, "exchange_id long, leaf_no long, path string, part string, text string")
 
 
@@ -171,9 +185,10 @@ def rebuild(payloads: DataFrame, rewritten: DataFrame, envelope: str = "request"
             if box is None:
                 out.append(body)
                 continue
-            found = list(_walk(box[0], "$", None, envelope, partial(box.__setitem__, 0)))
+            found = _walk(box, envelope)
             for k, text in zip(which, new, strict=True):
-                found[k][3](text)
+                _, _, _, container, place = found[k]
+                container[place] = text
             text = json.dumps(box[0], ensure_ascii=False, separators=(",", ":"))
             out.append(text if text.isascii() or _clean(text) == text else json.dumps(box[0], separators=(",", ":")))
         return pd.Series(out)

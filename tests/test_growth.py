@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from maskwell.operators import dictionary, graph, history, rewrite, store
-from maskwell.sources import files
+from maskwell.sources import files, payloads
 from maskwell.streaming import events
 
 
@@ -86,3 +86,22 @@ def test_a_bundle_loaded_on_another_takes_its_rows_from_the_store(spark):
     got = [tuple(r) for r in twice[1].collect()]
     assert len(got) == len(set(got)) > 300 and set(got) == {tuple(r) for r in want.collect()}
     assert twice[0].count() == twice[0].select("workspace", "entity_id").distinct().count() == 1000
+
+
+def test_payloads_of_one_split_are_read_by_all_tasks(spark):
+    prose = F.concat(*[F.sha2(F.concat("id", F.lit(f"/{k}")), 512) for k in range(10)])
+    body = F.to_json(F.struct(F.array(F.struct(prose.alias("description"))).alias("tools")))
+    sent = spark.range(0, 8000, 1, 1).select(F.col("id").alias("exchange_id"), body.alias("payload"))
+    found = payloads.leaves(sent).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in found) == 8000 and len(found) >= 3 and max(r["count"] for r in found) < 4000
+
+
+def test_only_asked_parts_leave_the_workers_with_their_numbers_and_any_type_of_block_is_read(spark):
+    body = {"messages": [{"content": [{"type": ["text"], "text": "a"}, {"type": "text", "text": "b"}]}], "tools": [{"name": "n", "description": "c"}]}
+    sent = spark.createDataFrame([(1, json.dumps(body))], "exchange_id long, payload string")
+    every = [(r.leaf_no, r.part, r.text) for r in payloads.leaves(sent).orderBy("leaf_no").collect()]
+    assert every == [(0, None, "text"), (1, None, "a"), (2, None, "text"), (3, "content", "b"), (4, None, "n"), (5, "tool", "c")]
+    assert [(r.leaf_no, r.text) for r in payloads.leaves(sent, parts=("tool",)).collect()] == [(5, "c")]
+    new = payloads.rebuild(sent, spark.createDataFrame([(1, 3, "B"), (1, 5, "C")], "exchange_id long, leaf_no long, text string")).first().payload
+    body["messages"][0]["content"][1]["text"], body["tools"][0]["description"] = "B", "C"
+    assert json.loads(new) == body
