@@ -122,7 +122,10 @@ def spans_as_of(
     ``ordinal``, ``surrogate``) have ``valid_from`` and ``valid_to``, as :func:`history.versions`
     gives them. A name whose entity had no surrogate then is left standing, as it was then.
     Nothing is stored: numbers minted here for contact data unknown at its time are of this run.
+    Texts are dealt to all tasks once, for all steps that read them: a small file, or one with a
+    single row group, would be read by one task each time.
     """
+    texts = materialize(texts.select(*dict.fromkeys((key, at, text))).repartition(key), "dealt-texts")
     columns = [key, "s", "e", "layer", "rank", "surrogate", "real"]
     level = {name: F.lit(k).alias("layer") for k, name in enumerate(LAYERS)}
 

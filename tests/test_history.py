@@ -142,3 +142,22 @@ def test_a_replay_finds_what_was_recorded_then(spark):
     unmapped = replay.spans_as_of(texts, "doc", "at", names, surrogates, items, STOP, contacts.where("kind <> 'email'"))
     mails = unmapped.where("real = 'a@b.example'").select("surrogate").distinct().collect()
     assert len(mails) == 1 and mails[0][0]
+
+
+def test_texts_of_one_split_are_replayed_by_all_tasks(spark, monkeypatch):
+    """However the table lies in its file, no task reads more than its share of the texts."""
+    prose = F.concat_ws(" ", F.lit("Petra Kunze"), *[F.sha2(F.concat("id", F.lit(f"/{k}")), 512) for k in range(10)])
+    texts = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc"), F.lit(day(5)).alias("at"), prose.alias("text"))
+    shares = []
+
+    class Seen(Exception):
+        pass
+
+    def watched(texts, *args):
+        shares.extend(r["count"] for r in texts.groupBy(F.spark_partition_id()).count().collect())
+        raise Seen
+
+    monkeypatch.setattr(replay, "match_as_of", watched)
+    with pytest.raises(Seen):
+        replay.spans_as_of(texts, "doc", "at", *[None] * 3, STOP)
+    assert sum(shares) == 6000 and max(shares) < 4500
