@@ -11,8 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -49,7 +48,7 @@ class InOrder(StatefulProcessor):
     """
 
     def __init__(self, feed: Feed, finish: Finish, columns: list[str], idle_ms: int | None, event_time: bool) -> None:
-        self._feed, self._finish, self._columns = feed, finish, columns
+        self._feed, self._finish, self._shape = feed, finish, Row(*columns)
         self._idle, self._event_time = idle_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -60,10 +59,12 @@ class InOrder(StatefulProcessor):
     def _now(self, timers: Any) -> int:
         return timers.getCurrentWatermarkInMs() if self._event_time else timers.getCurrentProcessingTimeInMs()
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # Columns that are computed reach the worker without their names.
-        frames = [frame.set_axis([*INPUT, "at", "ms"][: frame.shape[1]], axis=1) for frame in rows]
-        arrived = pd.concat(frames).drop_duplicates("seq").sort_values("seq")
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        # Columns that are computed reach the worker without their names: fields go by their place, as in INPUT, then the time.
+        arrived: dict[int, Row] = {}
+        for r in rows:
+            arrived.setdefault(int(r[1]), r)
+        numbers = sorted(arrived)
         place = self._place.get()
         at, waiting, state, session, kept, heard = place if place is not None else (0, 0, OPEN, None, "{}", None)
         out: list[tuple] = []
@@ -71,10 +72,10 @@ class InOrder(StatefulProcessor):
             # Timers fire after the rows of a batch: this exchange was silent for too long already.
             out, state = self._given_up(key, at, session, kept), LOST
         if state == OPEN:
-            given = arrived["session"].dropna()
-            session = given.iloc[0] if session is None and len(given) else session
+            if session is None:
+                session = next((x for x in (arrived[seq][4] for seq in numbers) if x is not None), None)
             back, held = session_of(session), json.loads(kept)
-            come = {int(r.seq): (r.chunk if isinstance(r.chunk, str) else "", bool(r.last)) for r in arrived.itertuples() if int(r.seq) >= at}
+            come = {seq: (arrived[seq][2] if isinstance(arrived[seq][2], str) else "", bool(arrived[seq][3])) for seq in numbers if seq >= at}
             while state == OPEN and (at in come or (waiting and self._early.containsKey((at,)))):
                 if at in come:
                     chunk, last = come.pop(at)
@@ -89,9 +90,9 @@ class InOrder(StatefulProcessor):
                 if state == OPEN and not (waiting and self._early.containsKey((seq,))):
                     self._early.updateValue((seq,), value)
                     waiting += 1
-            kept = json.dumps(held)
+            kept = json.dumps(held) if state == OPEN else kept
         if self._idle:
-            newest = int(arrived["ms"].max()) if self._event_time else self._now(timerValues)
+            newest = max(int(r[6]) for r in arrived.values()) if self._event_time else self._now(timerValues)
             heard = newest if heard is None else max(heard, newest)
             for timer in list(self._handle.listTimers()):
                 self._handle.deleteTimer(timer)
@@ -99,30 +100,31 @@ class InOrder(StatefulProcessor):
         if state == OPEN:
             self._place.update((at, waiting, state, session, kept, heard))
         else:
-            self._close(at, state)
-        yield self._frame(out)
+            self._close(at, state, waiting)
+        yield from map(self._row, out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         place, out = self._place.get(), []
         if place is not None and place[2] == OPEN:
-            at, _, _, session, kept, _ = place
+            at, waiting, _, session, kept, _ = place
             out = self._given_up(key, at, session, kept)
-            self._close(at, LOST)
+            self._close(at, LOST, waiting)
             self._handle.registerTimer(self._now(timerValues) + self._idle)
         elif place is not None:
             self._place.clear()
-        yield self._frame(out)
+        yield from map(self._row, out)
 
     def _given_up(self, key: tuple, at: int, session: str | None, kept: str) -> list[tuple]:
         return [(key[0], at, n, *row) for n, row in enumerate(self._finish(json.loads(kept), session_of(session)))]
 
-    def _close(self, at: int, state: str) -> None:
-        self._early.clear()
+    def _close(self, at: int, state: str, waiting: int) -> None:
+        # Each call to the state is a message to Spark and back.
+        if waiting:
+            self._early.clear()
         self._place.update((at, 0, state, None, "{}", None))
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=self._columns)
-        return frame.astype({"block": "Int64"}) if "block" in frame.columns else frame
+    def _row(self, values: tuple) -> Row:
+        return self._shape(*values)
 
     def close(self) -> None:
         pass
@@ -150,7 +152,7 @@ def in_order(
         placed = placed.withWatermark(arrival, late).withColumn("ms", F.unix_millis(F.col(arrival)))
     columns = [c.strip().split(" ")[0] for c in output.split(",")]
     processor = InOrder(feed, finish, columns, idle_ms, mode == "EventTime")
-    return placed.groupBy("exchange_id").transformWithStateInPandas(processor, output, "Append", mode)
+    return placed.groupBy("exchange_id").transformWithState(processor, output, "Append", mode)
 
 
 def start(stream: DataFrame, out: str, checkpoint: str | None = None, at_rest: bool = True) -> StreamingQuery:

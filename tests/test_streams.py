@@ -6,6 +6,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from maskwell.shared import new_path
@@ -168,3 +169,63 @@ def test_a_session_that_is_no_map_restores_nothing(session):
 )
 def test_tool_input_is_restored_string_by_string(given, want):
     assert events.restore_tool_json(given, BACK) == want
+
+
+class Told:
+    """A state that counts the calls to it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.held.get("place")
+
+    def update(self, value):
+        self.calls += 1
+        self.held["place"] = value
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.held[key]
+
+    def clear(self):
+        self.calls += 1
+        self.held = {k: v for k, v in self.held.items() if k == "place"}
+
+
+def test_an_exchange_in_one_batch_asks_its_state_twice_and_needs_no_frame():
+    columns = [c.split(" ")[0] for c in events.OUTPUT.split(", ")]
+    raw = answer("it is Bernd Vogt", True)
+    cut = [raw[at : at + 20] for at in range(0, len(raw), 20)]
+    # Repeated, out of order, one null, the session on the first chunk only.
+    rows = [Row(7, k, piece, False, json.dumps(BACK) if k == 0 else None) for k, piece in enumerate(cut)] + [Row(7, 0, "other", False, None)]
+    whole, parted = Told(), Told()
+    processor = ordered.InOrder(events._feed, events._finish, columns, None, False)
+    processor.init(whole)
+    found = list(processor.handleInputRows((7,), iter([*rows[-2::-1], rows[-1]]), None))
+    assert whole.calls == 2 and whole.held["place"][2] == ordered.ENDED
+    assert "".join(r.text for r in found if r.kind == events.TEXT) == "it is Anna Lee"
+    # In two batches of which the first lacks its first chunk, early ones wait in the state and go at the end.
+    processor.init(parted)
+    assert list(processor.handleInputRows((7,), iter(rows[1:-1]), None)) == []
+    later = list(processor.handleInputRows((7,), iter(rows[:1]), None))
+    assert [r.text for r in later] == [r.text for r in found] and list(parted.held) == ["place"]
+    assert list(processor.handleInputRows((7,), iter(rows[:1]), None)) == []
