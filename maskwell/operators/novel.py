@@ -191,13 +191,13 @@ def _read(stopwords: list[str]):
     return run
 
 
-def unexplained(blinded: DataFrame, key: str, own: DataFrame, stopwords: list[str]) -> DataFrame:
-    """Capitalised words that neither stop-words, nor their text, nor its own surrogates (``own``: ``key``, ``values``) explain.
+def unexplained(blinded: DataFrame, key: str, stopwords: list[str]) -> DataFrame:
+    """Capitalised words that neither stop-words, nor their ``text``, nor its own surrogates (``values``) explain.
 
     ``key``, ``word``, ``s``, ``e``, ``context``, ``at``, the ``gap`` to the word before where that
     is blanks and tabs only, and ``cuts``: what surrogates cover of gap and word.
     """
-    rows = blinded.select(key, "text").where(F.col(key).isNotNull() & F.col("text").isNotNull()).join(own.select(key, "values"), key, "left")
+    rows = blinded.select(key, "text", "values").where(F.col(key).isNotNull() & F.col("text").isNotNull())
     shape = T.StructType([T.StructField(key, rows.schema[key].dataType), *T.StructType.fromDDL(_CANDIDATE_TYPE).fields])
     return rows.mapInArrow(_read(stopwords), shape)
 
